@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing
+from . import mixing, near_dedup, packing, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,7 +14,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op2_poisson_mixing": mixing.op2_poisson_mixing,
+        "op3_toxicity_boosted_trees": toxicity.op3_toxicity_boosted_trees,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
+        "op7_ftrl_quality": quality.op7_ftrl_quality,
+        "op8_bagminhash_near_dedup": near_dedup.op8_bagminhash_near_dedup,
     }
 
 
