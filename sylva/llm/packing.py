@@ -12,6 +12,8 @@ an empty table; repeated rows are packed as often as they occur; other columns a
 from __future__ import annotations
 
 import heapq
+import re
+import struct
 import zlib
 from dataclasses import dataclass
 
@@ -27,52 +29,59 @@ CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class WordCache:
-    """Encodes texts as little-endian 32-bit ids through a bounded cache of white-space separated tokens.
+class PieceCache(dict):
+    """The ids, as little-endian 32-bit integers, of the pieces that the tokenizer cuts a text into.
 
-    The tokenizer drops white space and none of its rules looks across it, so the ids of a text are those of
-    its tokens in order.  Texts with the separators U+001C to U+001F, which Python alone takes for white
-    space, are encoded whole.
+    A text of Latin-1 characters is lower-cased and cut by the tokenizer's own pattern, spelled out for Latin-1;
+    pieces recur, so most of them are found here.  Other texts, and those with a special token or with one of the
+    separators U+001C to U+001F, are left to the tokenizer.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    LETTER, DIGIT, SPACE = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\t\n\x0b\x0c\r \x85\xa0"
+    PATTERN = f"[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{DIGIT}]|[^{LETTER}{DIGIT}{SPACE}]+"
+
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        known = self.known
-        missing = list(dict.fromkeys(w for ws in words if ws for w in ws if w not in known))
-        if len(known) + len(missing) > self.limit:
-            known.clear()
-            missing = list(dict.fromkeys(w for ws in words if ws for w in ws))
-        if missing:
-            for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-                known[w] = _raw(e.ids)
-        get = known.__getitem__
-        return [
-            _raw(self.tokenizer.encode(t, add_special_tokens=False).ids) if ws is None else b"".join(map(get, ws))
-            for t, ws in zip(texts, words)
-        ]
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.find, self.odd = re.compile(self.PATTERN.encode("latin-1")).findall, re.compile(r"<\||[\x1c-\x1f]").search
+        # Byte-level alphabet: printable Latin-1 stands for itself, the other bytes follow from U+0100 on.
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        rest = (b for b in range(256) if b not in plain)
+        self.alphabet = {b: 256 + k for k, b in enumerate(rest)}
+
+    def __missing__(self, piece: bytes) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        text = piece.decode("latin-1")
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.alphabet)
+        out = self[piece] = _raw([t.id for t in self.tokenizer.model.tokenize(text)])
+        return out
+
+    def encode(self, text: str) -> bytes:
+        if not self.odd(text):
+            try:
+                return b"".join(map(self.__getitem__, self.find(text.lower().encode("latin-1"))))
+            except UnicodeEncodeError:
+                pass
+        return _raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
 def _raw(ids: list[int]) -> bytes:
-    import struct
-
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-_encoders: dict[str, WordCache] = {}
+_encoders: dict[str, PieceCache] = {}
 
 
-def encoder(path: str) -> WordCache:
+def encoder(path: str) -> PieceCache:
     """One per Python worker and tokenizer file, kept from task to task."""
     if path not in _encoders:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[path] = WordCache(path)
+        _encoders[path] = PieceCache(path)
     return _encoders[path]
 
 
@@ -82,8 +91,9 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
 
     def pieces(b: pa.RecordBatch) -> pa.RecordBatch:
         out = [[], [], [], [], []]
-        for doc, raw in zip(b.column("doc_id").to_pylist(), encoder(tokenizer_path).encode(texts_of(b))):
-            raw += end
+        encode = encoder(tokenizer_path).encode
+        for doc, text in zip(b.column("doc_id").to_pylist(), texts_of(b)):
+            raw = encode(text) + end
             for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                 part = raw[at : at + 4 * capacity]
                 for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part))):
