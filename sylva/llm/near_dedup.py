@@ -34,8 +34,10 @@ from .common import U64, chunks, discard, map_arrow, materialise, mix, parts, sh
 
 BANDS, ROWS, THRESHOLD = 25, 5, 0.8
 REGISTERS = BANDS * ROWS
-#: Pairs whose signatures agree in fewer registers aren't verified: five standard deviations below 0.8.
-AGREE = int(REGISTERS * (THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5))
+#: Registers of the wider signatures that decide which pairs across components are verified, and how many of the
+#: first WIDE >> 3 and of all have to agree: five standard deviations below similarity 0.8.
+WIDE = 1024
+AGREE = {m: int(m * (THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / m) ** 0.5)) for m in (WIDE >> 3, WIDE)}
 BLOCK, GROUP = 512, 64
 
 
@@ -97,7 +99,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, key (MD5 of the text), size (number of shingles), bands, and a byte of each register."""
+    """doc_id, key (MD5 of the text), size (number of shingles) and bands."""
 
     def sign(b: pa.RecordBatch) -> pa.Table:
         texts, out = texts_of(b), []
@@ -106,7 +108,6 @@ def signed(docs: DataFrame) -> DataFrame:
             signature = bag_minhash(h, weight, begin)
             size = np.add.reduceat(np.append(weight, 0), np.minimum(begin[:-1], len(weight))) * (np.diff(begin) > 0)
             keys = band_keys(signature)
-            sketch = (mix(signature.view(U64)) & U64(255)).astype(np.uint8)
             offsets = np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))]).astype(np.int32)
             out.append(
                 pa.RecordBatch.from_arrays(
@@ -115,17 +116,32 @@ def signed(docs: DataFrame) -> DataFrame:
                         b.column("key").slice(lo, hi - lo),
                         pa.array(size.astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[size > 0].ravel())),
-                        pa.array([s.tobytes() for s in sketch], pa.binary()),
                     ],
-                    ["doc_id", "key", "size", "bands", "sketch"],
+                    ["doc_id", "key", "size", "bands"],
                 )
             )
         return pa.Table.from_batches(out)
 
-    schema = "doc_id long, key binary, size long, bands array<long>, sketch binary"
+    schema = "doc_id long, key binary, size long, bands array<long>"
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of().alias("key"), "text"), sign, schema)
 
 
+def sketched(text: DataFrame) -> DataFrame:
+    """key, size, and a byte of each register of a wide signature, of (key, text)."""
+
+    def sketch(b: pa.RecordBatch) -> pa.Table:
+        texts, out = texts_of(b), []
+        for lo, hi in chunks(texts, 1_000_000):
+            h, weight, begin = bags(texts[lo:hi])
+            wide = (mix(bag_minhash(h, weight, begin, WIDE).view(U64)) & U64(255)).astype(np.uint8)
+            size = [int(weight[a:z].sum()) for a, z in zip(begin[:-1], begin[1:])]
+            columns = [b.column("key").slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array([s.tobytes() for s in wide], pa.binary())]
+            out.append(pa.RecordBatch.from_arrays(columns, ["key", "size", "sketch"]))
+        return pa.Table.from_batches(out)
+
+    return map_arrow(text.select("key", "text"), sketch, "key binary, size long, sketch binary")
+
+
 def key_of():
     return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
 
@@ -232,11 +248,11 @@ def first_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return shared, pairs
 
 
-def crossing_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of nodes in different components that share a bucket and whose signatures agree enough.
+def crossing_pairs(shared: DataFrame, nodes: DataFrame, text: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of nodes in different components that share a bucket and whose signatures agree enough, each once.
 
     A bucket is cut into groups of about BLOCK nodes and every two groups meet in one task, so a task holds
-    at most two groups; buckets within one component are left out.
+    at most two groups; buckets within one component are left out.  A pair is compared in the first bucket it shares.
     """
     labelled = shared.join(roots, shared["key"] == roots["node"], "left").select(
         "band", "key", F.coalesce("root", "key").alias("root")
@@ -247,19 +263,21 @@ def crossing_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame) -> Dat
         .where("lo <> hi")
         .select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("groups"))
     )
-    member = labelled.join(open_, "band").join(nodes.select("key", "size", "sketch"), "key")
+    member = materialise(labelled.join(open_, "band"), "open")
+    sketches = materialise(sketched(text.join(member.select("key").distinct(), "key", "left_semi")), "sketches")
+    member = member.join(sketches.join(nodes.select("key", "bands"), "key"), "key")
     member = member.withColumn("g", F.expr("cast(pmod(xxhash64(key, 'block'), groups) as int)"))
     member = member.withColumn("o", F.explode(F.expr("sequence(0, groups - 1)"))).select(
-        "band", F.least("g", "o").alias("g1"), F.greatest("g", "o").alias("g2"), "g", "key", "root", "size", "sketch"
+        "band", F.least("g", "o").alias("g1"), F.greatest("g", "o").alias("g2"), "g", "key", "root", "size", "sketch", "bands"
     )
-    member = member.repartition(parts(nodes.sparkSession), "band", "g1", "g2").sortWithinPartitions("band", "g1", "g2", "key")
-    return member.mapInArrow(_crossing, "a binary, b binary").distinct()
+    member = member.repartition(parts(text.sparkSession), "band", "g1", "g2").sortWithinPartitions("band", "g1", "g2", "key")
+    return member.mapInArrow(_crossing, "a binary, b binary")
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("band", "g1", "g2", "g", "key", "root", "size", "sketch")]
+        columns = [batch.column(c).to_pylist() for c in ("band", "g1", "g2", "g", "key", "root", "size", "sketch", "bands")]
         found: list[tuple[bytes, bytes]] = []
         for row in zip(*columns):
             if held and held[0][:3] != row[:3]:
@@ -276,18 +294,22 @@ def _block(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
     """Pairs of a block: of the two groups that meet, or of one group with itself."""
     if len({r[5] for r in rows}) < 2:
         return []
-    sketch = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), REGISTERS)
+    sketch = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), WIDE)
     size = np.array([r[6] for r in rows], np.float64)
     root = np.unique([r[5] for r in rows], return_inverse=True)[1]
+    bands, here = np.array([r[8] for r in rows]), rows[0][8].index(rows[0][0])
     group, across = np.array([r[3] for r in rows]), rows[0][1] != rows[0][2]
     out = []
     for i in range(len(rows) - 1):
-        agree = (sketch[i + 1 :] == sketch[i]).sum(axis=1)
-        ok = (agree >= AGREE) & (root[i + 1 :] != root[i])
+        ok = root[i + 1 :] != root[i]
         ok &= np.minimum(size[i + 1 :], size[i]) >= np.maximum(size[i + 1 :], size[i]) * THRESHOLD - 1e-9
         if across:
             ok &= group[i + 1 :] != group[i]
-        out += [(rows[i][4], rows[i + 1 + j][4]) for j in np.flatnonzero(ok)]
+        j = i + 1 + np.flatnonzero(ok)
+        j = j[(bands[j] == bands[i]).argmax(axis=1) == here]
+        for m, least in AGREE.items():
+            j = j[(sketch[j, :m] == sketch[i, :m]).sum(axis=1) >= least]
+        out += [(rows[i][4], rows[k][4]) for k in j]
     return out
 
 
@@ -302,7 +324,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signs = materialise(signed(docs), "signatures")
     # Copies of a text have the same bands, so any row stands for them all.
     nodes = signs.where("size > 0").groupBy("key").agg(
-        F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+        F.first("size").alias("size"), F.first("bands").alias("bands")
     )
     nodes = materialise(nodes, "nodes")
     shared, pairs = first_pairs(nodes)
@@ -311,7 +333,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     text = materialise(text.join(shared.select("key").distinct(), "key", "left_semi"), "texts")
     links = materialise(similar(pairs, text, THRESHOLD), "links")
     roots = components(links)
-    more = materialise(similar(crossing_pairs(shared, nodes, roots), text, THRESHOLD), "links")
+    more = materialise(similar(crossing_pairs(shared, nodes, text, roots), text, THRESHOLD), "links")
     roots = components(links.union(more))
     return signs.join(roots, signs["key"] == roots["node"], "left").select(
         "doc_id", "key", F.when(F.col("size") > 0, F.coalesce("root", "key")).alias("class_key")
@@ -324,7 +346,8 @@ def classes(docs: DataFrame) -> DataFrame:
     least = found.where("class_key is not null").groupBy("class_key").agg(
         F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")
     )
-    return found.join(least, "class_key", "left").select(
+    # Written first, so that the join has an exchange on both sides and AQE can split a hot class.
+    return found.join(materialise(least, "least"), "class_key", "left").select(
         "doc_id",
         F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
