@@ -54,7 +54,7 @@ class PieceCache(dict):
         if len(self) >= self.limit:
             self.clear()
         text = piece.decode("latin-1")
-        if not text.isascii():
+        if not (text.isascii() and text.isprintable()):
             text = text.encode().decode("latin-1").translate(self.alphabet)
         out = self[piece] = _raw([t.id for t in self.tokenizer.model.tokenize(text)])
         return out
