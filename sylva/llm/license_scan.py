@@ -2,8 +2,9 @@ r"""License scans by ordered signature rules, in DataFrame expressions only.
 
 A text becomes its words, lower-cased and joined by single spaces.  A rule is a regex over whole words, with a keyword,
 a priority and a confidence.  The rules come from hand-written families (names, identifiers and typical phrases of a
-license) times forms of mention; some hundreds in all.  A rule runs on a text only if its keyword, a plain substring,
-stands there.  Of overlapping detections one that lies inside a longer one goes, and of equal or crossing ones the one of
+license) times forms of mention; some hundreds in all.  A rule runs on a text only if two plain substrings stand there,
+the keyword of its family and a word of its form; texts without a word of any form are passed over at once.  Of
+overlapping detections one that lies inside a longer one goes, and of equal or crossing ones the one of
 lower priority goes; the labels of those left are joined to the base labels.
 
 Edge cases: null and empty texts have no words (n_words 0, no labels, score 0); repeated rows are treated alike; an
@@ -12,7 +13,7 @@ empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,21 +28,23 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 
 @dataclass(frozen=True)
 class Rule:
-    keyword: str
+    keyword: str  # a word begins with it
     pattern: str
     label: str
     priority: int
     confidence: float
+    form: str = ""  # a second substring; the keyword, if there is none
 
 
 #: Families: label, keyword (of every mention), a regex of the name, and a regex of versions or None.
 FAMILIES = (
     ("apache", "apache", r"apache(?: software)?", r"(?:version )?(?:1 0|1 1|2 0|2)"),
-    ("mit", "mit", r"(?:mit|expat|mit x11)", None),
+    ("mit", "mit", r"mit(?: x11)?", None),
+    ("mit", "expat", r"expat", None),
     ("bsd", "bsd", r"(?:(?:new|revised|modified|simplified|original) )?bsd", r"(?:0|1|2|3|4) clause"),
     ("gpl", "general public", r"(?:gnu )?general public", r"(?:version |v ?)?[123](?: 0)?"),
     ("gpl", "gpl", r"(?:gnu )?gpl(?:v[123])?", r"(?:version |v ?)?[123](?: 0)?"),
-    ("lgpl", "lesser general", r"(?:gnu )?(?:lesser|library) general public", r"(?:version |v ?)?(?:2 1|2|3)(?: 0)?"),
+    ("lgpl", "lesser general", r"(?:gnu )?lesser general public", r"(?:version |v ?)?(?:2 1|2|3)(?: 0)?"),
     ("lgpl", "lgpl", r"(?:gnu )?lgpl(?:v[23])?", r"(?:version |v ?)?(?:2 1|2|3)(?: 0)?"),
     ("agpl", "affero", r"(?:gnu )?affero general public", r"(?:version |v ?)?[13](?: 0)?"),
     ("agpl", "agpl", r"(?:gnu )?agpl(?:v3)?", r"(?:version |v ?)?[13](?: 0)?"),
@@ -66,21 +69,21 @@ FAMILIES = (
     ("osl", "open software", r"open software", r"(?:version )?[123] [01]"),
     ("afl", "academic free", r"academic free", r"(?:version )?[123] [01]"),
     ("cecill", "cecill", r"cecill(?: [bc])?", r"(?:version )?[12] [01]"),
-    ("odbl", "open database", r"open (?:data commons )?(?:open )?database", r"(?:version )?1 0"),
+    ("odbl", "database", r"open (?:data commons )?(?:open )?database", r"(?:version )?1 0"),
     ("gfdl", "free documentation", r"(?:gnu )?free documentation", r"(?:version )?1 [1-3]"),
 )
-#: Forms of mention: the regex around {name} and {version}, priority and confidence.
+#: Forms of mention: the regex around {name} and {version}, a substring of all matches, priority and confidence.
 FORMS = (
-    (r"(?:licen[cs]ed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[cs]e)?(?: {version})?", 90, 0.98),
-    (r"(?:this|the) (?:work|software|program|file|document|project|code) is (?:licen[cs]ed|released|covered) (?:under|by) (?:the )?{name}(?: licen[cs]e)?(?: {version})?", 95, 0.99),
-    (r"{name} licen[cs]e {version}", 80, 0.95),
-    (r"{name} {version} licen[cs]e", 78, 0.95),
-    (r"{name} licen[cs]e", 70, 0.9),
-    (r"under (?:the )?{name} {version}", 60, 0.8),
-    (r"subject to (?:the )?(?:terms of (?:the )?)?{name}(?: licen[cs]e)?", 65, 0.85),
-    (r"spdx licen[cs]e identifier {name}(?: {version})?(?: only| or later)?", 99, 1.0),
-    (r"see (?:the )?{name} licen[cs]e(?: {version})? for (?:more )?details", 75, 0.9),
-    (r"dual licen[cs]ed under (?:the )?{name}(?: licen[cs]e)?(?: {version})? (?:and|or)", 92, 0.98),
+    (r"(?:licen[cs]ed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[cs]e)?(?: {version})?", " under ", 90, 0.98),
+    (r"(?:this|the) (?:work|software|program|file|document|project|code) is (?:licen[cs]ed|released|covered) (?:under|by) (?:the )?{name}(?: licen[cs]e)?(?: {version})?", " is ", 95, 0.99),
+    (r"{name} licen[cs]e {version}", " licen", 80, 0.95),
+    (r"{name} {version} licen[cs]e", " licen", 78, 0.95),
+    (r"{name} licen[cs]e", " licen", 70, 0.9),
+    (r"under (?:the )?{name} {version}", " under ", 60, 0.8),
+    (r"subject to (?:the )?(?:terms of (?:the )?)?{name}(?: licen[cs]e)?", " subject to ", 65, 0.85),
+    (r"spdx licen[cs]e identifier {name}(?: {version})?(?: only| or later)?", " spdx ", 99, 1.0),
+    (r"see (?:the )?{name} licen[cs]e(?: {version})? for (?:more )?details", " see ", 75, 0.9),
+    (r"dual licen[cs]ed under (?:the )?{name}(?: licen[cs]e)?(?: {version})? (?:and|or)", " dual ", 92, 0.98),
 )
 #: Rules of their own.
 SINGLE = (
@@ -112,11 +115,11 @@ SINGLE = (
 
 def rules() -> list[Rule]:
     out = list(SINGLE)
-    for (label, keyword, name, version), (form, priority, confidence) in product(FAMILIES, FORMS):
+    for (label, keyword, name, version), (form, word, priority, confidence) in product(FAMILIES, FORMS):
         if version is None and form.endswith("{version}") and "(?: {version})" not in form or version is None and "{version} " in form and "(?: {version})" not in form:
             continue
         form = form.replace("(?: {version})?", "") if version is None else form.replace("{version}", version)
-        out.append(Rule(keyword, form.replace("{name}", name), label, priority, confidence))
+        out.append(Rule(keyword, form.replace("{name}", name), label, priority, confidence, word))
     return out
 
 
@@ -144,40 +147,49 @@ def starts(pieces: str) -> str:
 
 def detections(words: str) -> str:
     """SQL of structs (s, e, priority, label, confidence), s and e in words, of all rules that apply."""
-    return f"""flatten(transform(filter(__rules, r -> contains({words}, r.keyword)), r ->
+    active = f"""flatten(transform(filter(__rules, g -> contains({words}, g.keyword)), g -> filter(g.rules, r -> contains({words}, r.form))))"""
+    return f"""flatten(transform({active}, r ->
       aggregate(slice(split({words}, r.before, -1), 2, 1000000000),
         cast(struct({_spaces(f'split({words}, r.before, 2)[0]')}, array()) as
-          struct<at: int, out: array<struct<s: int, e: int, priority: int, label: string, confidence: double>>>),
+          struct<at: int, out: array<struct<s: int, e: int, priority: int, index: int, label: string, confidence: double>>>),
         (a, p) -> struct(a.at + {_spaces('p')} + 1 as at,
           concat(a.out, array(struct(a.at as s, a.at + {_spaces('regexp_extract(concat(p, " "), r.head, 0)')} as e,
-            r.priority as priority, r.label as label, r.confidence as confidence))) as out),
+            r.priority as priority, r.index as index, r.label as label, r.confidence as confidence))) as out),
         a -> a.out)))"""
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of each row of docs."""
-    spark = docs.sparkSession
+    # Priority, then the order above, decides between equals; the index keeps that through the grouping by keyword.
     known = [
-        asdict(r) | {"before": f" (?=(?:{r.pattern}) )", "head": f"^(?:{r.pattern}) "} for r in sorted(rules(), key=lambda r: -r.priority)
+        {"before": f" (?=(?:{r.pattern}) )", "head": f"^(?:{r.pattern}) ", "form": r.form or f" {r.keyword}", "index": k, "own": r}
+        for k, r in enumerate(sorted(rules(), key=lambda r: -r.priority))
     ]
-    literal = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("keyword", "before", "head", "priority", "label", "confidence")]) for r in known])
-    keywords = "|".join(sorted({r["keyword"] for r in known}))
+    groups = []
+    for keyword in dict.fromkeys(k["own"].keyword for k in known):
+        own = [
+            F.struct(*[F.lit(k[c]).alias(c) for c in ("before", "head", "form", "index")], F.lit(k["own"].priority).alias("priority"), F.lit(k["own"].label).alias("label"), F.lit(k["own"].confidence).alias("confidence"))
+            for k in known
+            if k["own"].keyword == keyword
+        ]
+        groups.append(F.struct(F.lit(f" {keyword}").alias("keyword"), F.array(*own).alias("rules")))
+    literal = F.array(*groups)
+    forms = " or ".join(f"contains(__w, '{form}')" for form in sorted({k["form"] for k in known}))
     df = docs.select("doc_id", words_of(F.col("text")).alias("__w"))
     n_words = F.when(F.length("__w") > 2, F.expr(f"{_spaces('__w')} - 1")).otherwise(0)
     gate = {p: f"contains(__w, ' {p} ')" for p in BASE}
     pieces = [
         F.when(F.expr(gate[p]), F.split("__w", f" (?={p} )", -1)).otherwise(F.array(F.lit(""))).alias(f"__p{k}") for k, p in enumerate(BASE)
     ]
-    df = df.select("doc_id", "__w", n_words.cast("long").alias("n_words"), F.expr(f"__w rlike '{keywords}'").alias("__hit"), *pieces)
+    df = df.select("doc_id", "__w", n_words.cast("long").alias("n_words"), F.expr(forms).alias("__hit"), *pieces)
     at = [F.when(F.size(f"__p{k}") > 1, F.expr(starts(f"__p{k}"))).otherwise(F.array().cast("array<int>")).alias(f"__s{k}") for k in range(len(BASE))]
     df = df.select("doc_id", "n_words", "__w", "__hit", *at, F.when(F.col("__hit"), literal).alias("__rules"))
-    none = F.array().cast("array<struct<s: int, e: int, priority: int, label: string, confidence: double>>")
+    none = F.array().cast("array<struct<s: int, e: int, priority: int, index: int, label: string, confidence: double>>")
     df = df.select("doc_id", "n_words", *[f"__s{k}" for k in range(len(BASE))], F.when(F.col("__hit"), F.expr(detections("__w"))).otherwise(none).alias("__all"))
-    kept = """filter(__all, (d, i) -> not exists(transform(__all, (o, j) -> struct(o.s as s, o.e as e, o.priority as p, j as j)), o ->
-      o.j <> i and o.s < d.e and d.s < o.e and (
+    kept = """filter(__all, d -> not exists(__all, o -> o.s < d.e and d.s < o.e and (
         (o.s <= d.s and d.e <= o.e and o.e - o.s > d.e - d.s)
         or (not (d.s <= o.s and o.e <= d.e and d.e - d.s > o.e - o.s)
-            and (o.p > d.priority or (o.p = d.priority and o.j < i))))))"""
+            and (o.priority > d.priority or (o.priority = d.priority and (o.index < d.index or (o.index = d.index and o.s < d.s))))))))"""
     df = df.withColumn("__kept", F.expr(kept))
     places = F.concat(*[f"__s{k}" for k in range(len(BASE))])
     base = F.array_compact(F.array(*[F.when(F.size(f"__s{k}") > 0, F.lit(label)) for k, label in enumerate(BASE.values())]))

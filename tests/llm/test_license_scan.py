@@ -19,20 +19,20 @@ def brute_base(text):
 def brute_labels(text):
     joined = " " + " ".join(words(text)) + " "
     found = []
-    for r in sorted(L.rules(), key=lambda r: -r.priority):
-        if r.keyword in joined:
+    for k, r in enumerate(sorted(L.rules(), key=lambda r: -r.priority)):
+        if f" {r.keyword}" in joined and (r.form or r.keyword) in joined:
             for m in re.finditer(f" (?=((?:{r.pattern}) ))", joined):
                 s = joined[: m.start()].count(" ")
-                found.append((s, s + m[1].count(" "), r))
+                found.append((s, s + m[1].count(" "), r, k))
     kept = []
-    for i, (s, e, r) in enumerate(found):
+    for s, e, r, k in found:
         drop = False
-        for j, (s2, e2, r2) in enumerate(found):
-            if i == j or not (s2 < e and s < e2):
+        for s2, e2, r2, k2 in found:
+            if not (s2 < e and s < e2):
                 continue
             if s2 <= s and e <= e2 and e2 - s2 > e - s:
                 drop = True
-            elif not (s <= s2 and e2 <= e and e - s > e2 - s2) and (r2.priority > r.priority or r2.priority == r.priority and j < i):
+            elif not (s <= s2 and e2 <= e and e - s > e2 - s2) and (r2.priority > r.priority or r2.priority == r.priority and (k2, s2) < (k, s)):
                 drop = True
         if not drop:
             kept.append(r.label)
