@@ -1,6 +1,6 @@
 """Approximate nearest neighbours on a graph built by NN-descent.
 
-Equal vectors are one node.  A first graph links vectors that fall into the same cells of random hyperplanes.  Then, again
+Equal vectors are one node.  A first graph links vectors that share one of their nearest centres.  Then, again
 and again, every node introduces its neighbours to each other, forward and reverse ones, a new one and any other: the
 table of introductions is the join of the edges with the vectors, dealt by the node that introduces, and a pair that is
 closer than one of the two's farthest neighbour becomes a new edge.  It ends when few edges are new.  Every row is in the
@@ -9,8 +9,8 @@ graph.
 Queries walk the graph greedily: from entry nodes (the nearest of a bounded sample) to the neighbours of the best nodes
 not yet visited, all queries one step at a time in one join, until the best BEAM nodes of every query have been visited.
 
-Distances of the walk and of the result are Euclidean, in double precision, on the original vectors; the introductions
-use single precision.
+The graph and the walk use vectors in half precision; the BEAM nodes that a walk ends with are measured again, in double
+precision, on the original vectors.
 
 Edge cases: rows without id, with null or zero vectors, or with null or non-finite components take no part; vectors of
 different lengths are compared as if filled with zeros; repeated rows (equal id and vector) count once; candidates with the
@@ -29,10 +29,10 @@ from pyspark.sql.window import Window
 from .common import discard, map_arrow, materialise, parts, table
 from .vectors import by_group, lists, matrix, valid
 
-DEGREE = 20  # neighbours of a node
-INTRODUCED = 12  # new, and old, neighbours that a node introduces to each other in one round
-ROUNDS, ENOUGH = 8, 0.002  # at most so many rounds; stop when so small a share of the edges is new
-CELL, TREES = 256, 3  # nodes of a cell, sets of hyperplanes
+DEGREE = 32  # neighbours of a node
+INTRODUCED = 24  # new, and old, neighbours that a node introduces to each other in one round
+ROUNDS, ENOUGH = 8, 0.01  # at most so many rounds; stop when so small a share of the edges is new
+CENTRES, NEAR, CELL = 1_024, 8, 512  # at most so many centres, cells of a node, nodes of a cell
 BEAM, ENTRIES, SAMPLE = 96, 16, 1_024
 
 
@@ -60,30 +60,44 @@ def nodes_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 # ---------------------------------------------------------------- the graph
 
 
-def cells(nodes: DataFrame, n: int, width: int) -> DataFrame:
-    """(tree, cell, part, node, v): nodes by the signs of random hyperplanes through the mean, cut into parts."""
-    bits = max(0, int(np.ceil(np.log2(max(n, 1) / CELL))))
-    planes = np.random.default_rng(7).standard_normal((TREES, bits, width)).astype(np.float32)
-    sample = nodes.orderBy(F.xxhash64("node")).limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
-    points = matrix(sample).astype(np.float32)
-    points = np.pad(points, ((0, 0), (0, width - points.shape[1])))
-    middle = [np.median(points @ p.T, axis=0) if bits else np.zeros(0) for p in planes]
+def _peak(b: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([float(np.abs(matrix(b.column("v"))).max(initial=0))])], ["peak"])
+
+
+def _scaled(column: pa.Array, width: int, peak: float) -> np.ndarray:
+    """Vectors with components of at most 1, so that fewer bits hold them whatever their size."""
+    x = (matrix(column) / peak).astype(np.float32)
+    return np.pad(x, ((0, 0), (0, width - x.shape[1])))
+
+
+def cells(nodes: DataFrame, n: int, width: int, peak: float) -> DataFrame:
+    """(cell, sub, part, node, v): every node in the cells of its nearest centres.
+
+    Centres are a sample of nodes, of bounded size.  Cells that would be large are cut by signs of random hyperplanes
+    through the centre, and what is still large by hash.
+    """
+    count = max(1, min(CENTRES, n // 50))
+    near, bits = min(NEAR, count), 0
+    bits = max(0, int(np.ceil(np.log2(max(n, 1) * near / count / CELL))))
+    planes = np.random.default_rng(7).standard_normal((bits, width)).astype(np.float32)
+    sample = nodes.orderBy(F.xxhash64("node", F.lit(3)), "node").limit(count).select("v").toArrow().column("v").combine_chunks()
+    centres = _scaled(sample, width, peak)
 
     def place(b: pa.RecordBatch) -> pa.RecordBatch:
-        x = matrix(b.column("v")).astype(np.float32)
-        x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
-        cell = [((x @ p.T > m) @ (1 << np.arange(bits)) if bits else np.zeros(len(x))).astype(np.int64) for p, m in zip(planes, middle)]
-        flat = np.stack(cell, axis=1).ravel()
-        offsets = np.arange(len(x) + 1, dtype=np.int32) * TREES
-        packed = [r.tobytes() for r in x]
+        x = _scaled(b.column("v"), width, peak)
+        d = _squared(x, centres)
+        cell = np.argpartition(d, near - 1, axis=1)[:, :near] if len(centres) else np.zeros((len(x), 0), int)
+        signs = (x @ planes.T)[:, None, :] > (centres @ planes.T)[cell] if bits else np.zeros((*cell.shape, 0), bool)
+        sub = signs @ (1 << np.arange(bits)) if bits else np.zeros(cell.shape, int)
+        half = [r.tobytes() for r in x.astype(np.float16)]
+        columns = (np.repeat(b.column("node").to_numpy(), near), cell.ravel(), sub.ravel())
         return pa.RecordBatch.from_arrays(
-            [b.column("node"), pa.array(packed, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["node", "v", "cells"]
+            [*(pa.array(c, pa.int64()) for c in columns), pa.array([h for h in half for _ in range(near)], pa.binary())], ["node", "cell", "sub", "v"]
         )
 
-    placed = map_arrow(nodes, place, "node long, v binary, cells array<long>")
-    rows = placed.select("node", "v", F.posexplode("cells").alias("tree", "cell"))
-    size = rows.groupBy("tree", "cell").agg(F.ceil(F.count("*") / (2 * CELL)).alias("cut"))
-    return rows.join(size, ["tree", "cell"]).withColumn("part", F.expr("pmod(xxhash64(node, tree), cut)"))
+    rows = map_arrow(nodes, place, "node long, cell long, sub long, v binary")
+    size = rows.groupBy("cell", "sub").agg(F.ceil(F.count("*") / (2 * CELL)).alias("cut"))
+    return rows.join(size, ["cell", "sub"]).withColumn("part", F.expr("pmod(xxhash64(node, cell), cut)"))
 
 
 def _nearest(ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,14 +120,14 @@ def _edges(u, w, d) -> pa.RecordBatch:
 
 
 def _first(t: pa.Table) -> pa.RecordBatch | None:
-    ids, x = t.column("node").to_numpy(), matrix(t.column("v").combine_chunks(), np.float32)
+    ids, x = t.column("node").to_numpy(), matrix(t.column("v").combine_chunks(), np.float16).astype(np.float32)
     return _edges(*_nearest(ids, _squared(x, x), DEGREE)) if len(ids) > 1 else None
 
 
 def _introduce(t: pa.Table) -> pa.RecordBatch | None:
     """Pairs of one node's neighbours, one of them new, that are closer than the farthest neighbour of either."""
     ids, new = t.column("m").to_numpy(), t.column("new").to_numpy(zero_copy_only=False)
-    far, x = t.column("far").to_numpy(), matrix(t.column("v").combine_chunks(), np.float32)
+    far, x = t.column("far").to_numpy(), matrix(t.column("v").combine_chunks(), np.float16).astype(np.float32)
     d = _squared(x, x)
     ok = (d < far[:, None]) & (new[:, None] | new[None, :]) & (ids[:, None] != ids[None, :])
     i, j = np.nonzero(ok)
@@ -127,19 +141,21 @@ def best_edges(edges: DataFrame, k: int) -> DataFrame:
     return one.withColumn("r", rank).where(F.col("r") <= k).drop("r")
 
 
-def graph(nodes: DataFrame) -> DataFrame:
-    """(u, w, d, new): the DEGREE nearest neighbours w of each node u that NN-descent finds, d squared."""
+def graph(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, w, d, new): the DEGREE nearest neighbours w of each node u that NN-descent finds, d squared; and (node, v), the
+    vectors in half precision, scaled to components of at most 1."""
     spark = nodes.sparkSession
     n, width = nodes.agg(F.count("*"), F.coalesce(F.max(F.length("v")), F.lit(8)) / 8).first()
     width = int(width)
-    vectors = materialise(map_arrow(nodes, lambda b: _single(b, width), "node long, v binary"), "vectors")
-    first = by_group(cells(nodes, n, width), ["tree", "cell", "part"], ["node"], parts(spark), _first, EDGES)
+    peak = map_arrow(nodes, _peak, "peak double").agg(F.max("peak")).first()[0] or 1.0
+    vectors = materialise(map_arrow(nodes, lambda b: _half(b, width, peak), "node long, v binary"), "vectors")
+    first = by_group(cells(nodes, n, width, peak), ["cell", "sub", "part"], ["node"], parts(spark), _first, EDGES)
     edges = materialise(best_edges(first.withColumn("new", F.lit(True)), DEGREE), "edges")
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         far = edges.groupBy("u").agg(F.when(F.count("*") < DEGREE, F.lit(float("inf"))).otherwise(F.max("d")).cast("float").alias("far"))
         both = edges.select(F.col("u").alias("x"), F.col("w").alias("m"), "new").union(edges.select(F.col("w").alias("x"), F.col("u").alias("m"), "new"))
         both = both.groupBy("x", "m").agg(F.max("new").alias("new"))
-        pick = Window.partitionBy("x", "new").orderBy(F.xxhash64("x", "m"))
+        pick = Window.partitionBy("x", "new").orderBy(F.xxhash64("x", "m", F.lit(turn)))
         some = both.withColumn("r", F.row_number().over(pick)).where(F.col("r") <= INTRODUCED).drop("r")
         meets = some.groupBy("x").agg(F.max("new").alias("any")).where("any").select("x")
         some = materialise(some.join(meets, "x"), "introductions")
@@ -156,23 +172,22 @@ def graph(nodes: DataFrame) -> DataFrame:
         edges = after
         if not total or fresh < ENOUGH * total:
             break
-    return edges
+    return edges, vectors
 
 
-def _single(b: pa.RecordBatch, width: int) -> pa.RecordBatch:
-    x = matrix(b.column("v")).astype(np.float32)
-    x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
+def _half(b: pa.RecordBatch, width: int, peak: float) -> pa.RecordBatch:
+    x = _scaled(b.column("v"), width, peak).astype(np.float16)
     return pa.RecordBatch.from_arrays([b.column("node"), pa.array([r.tobytes() for r in x], pa.binary())], ["node", "v"])
 
 
 # ---------------------------------------------------------------- the walk
 
 
-def _measured(pairs: DataFrame) -> DataFrame:
-    """d of (q, node, qv, v): the Euclidean distance in double precision."""
+def _measured(pairs: DataFrame, kind: type) -> DataFrame:
+    """d of (q, node, qv, v): the Euclidean distance of vectors packed as `kind`, in double precision."""
 
     def measure(b: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = matrix(b.column("qv")), matrix(b.column("v"))
+        x, y = (matrix(b.column(c), kind).astype(np.float64) for c in ("qv", "v"))
         width = max(x.shape[1], y.shape[1])
         x, y = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, y))
         d = np.sqrt(((x - y) ** 2).sum(axis=1))
@@ -181,14 +196,14 @@ def _measured(pairs: DataFrame) -> DataFrame:
     return map_arrow(pairs.select("q", "node", "qv", "v"), measure, "q long, node long, d double")
 
 
-def walk(queries: DataFrame, nodes: DataFrame, edges: DataFrame, beam: int = BEAM) -> DataFrame:
-    """(q, node, d): the best `beam` nodes found for each query (q, qv)."""
+def walk(queries: DataFrame, vectors: DataFrame, edges: DataFrame, beam: int = BEAM) -> DataFrame:
+    """(q, node, d): the best `beam` nodes found for each query (q, qv).  Both hold vectors in half precision."""
     links = materialise(edges.select("u", "w").union(edges.select(F.col("w").alias("u"), F.col("u").alias("w"))).distinct(), "links")
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).toArrow()  # a bounded number of entry nodes
-    entry_ids, entry = sample.column("node").to_numpy(), matrix(sample.column("v").combine_chunks())
+    sample = vectors.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).toArrow()  # a bounded number of entry nodes
+    entry_ids, entry = sample.column("node").to_numpy(), matrix(sample.column("v").combine_chunks(), np.float16).astype(np.float32)
 
     def enter(b: pa.RecordBatch) -> pa.RecordBatch:
-        q = matrix(b.column("qv"))
+        q = matrix(b.column("qv"), np.float16).astype(np.float32)
         width = max(q.shape[1], entry.shape[1])
         d = _squared(*(np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, entry)))
         k = min(ENTRIES, d.shape[1])
@@ -200,7 +215,7 @@ def walk(queries: DataFrame, nodes: DataFrame, edges: DataFrame, beam: int = BEA
     best = Window.partitionBy("q").orderBy("d", "node")
 
     def measured(pairs: DataFrame) -> DataFrame:
-        return _measured(pairs.join(queries, "q").join(nodes, "node"))
+        return _measured(pairs.join(queries, "q").join(vectors, "node"), np.float16)
 
     state = measured(map_arrow(queries, enter, "q long, node long")).withColumn("visited", F.lit(False))
     state = materialise(state, "walk")
@@ -221,8 +236,11 @@ def nearest(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
     nodes, members = nodes_of(rows)
     members = materialise(members.distinct(), "members")
     asked = members.where(is_query)
-    queries = materialise(asked.select("node").distinct().join(nodes, "node").select(F.col("node").alias("q"), F.col("v").alias("qv")), "queries")
-    found = materialise(walk(queries, nodes, graph(nodes)), "found")
+    wanted = asked.select("node").distinct()
+    named = lambda vectors: materialise(wanted.join(vectors, "node").select(F.col("node").alias("q"), F.col("v").alias("qv")), "queries")
+    edges, vectors = graph(nodes)
+    found = walk(named(vectors), vectors, edges).select("q", "node")
+    found = materialise(_measured(found.join(named(nodes), "q").join(nodes, "node"), np.float64), "found")
     # The k + 1 smallest ids of a node's copies are enough, found in two steps as a node may hold a third of all rows.
     salted = Window.partitionBy("node", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")
     few = members.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= k + 1)
