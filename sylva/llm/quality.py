@@ -61,7 +61,7 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for base, length in ((word, 1), (word, 2), (shape, 1), (shape, 2), (shape, 3)):
         h = np.full(n, length * 977 + (base is shape), U64)
         for k in range(length):
-            shifted = np.zeros(n, U64)
+            shifted = np.full(n, k + 1, U64)  # past the end of a text
             shifted[: n - k] = np.where(doc[: n - k] == doc[k:], base[k:], U64(k + 1)) if k else base
             h = mix(h ^ shifted)
         families.append(h)
