@@ -209,3 +209,44 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def op6_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def oracle() -> str:
+    """SQL of the same result: every rule at every word of the texts that pass its gates."""
+    ordered = sorted(rules(), key=lambda r: -r.priority)
+    groups = {k: i for i, k in enumerate(dict.fromkeys(r.keyword for r in ordered))}
+    known = ", ".join(
+        f"({i}, {groups[r.keyword]}, ' {r.keyword}', '{r.form or ' ' + r.keyword}', '^(?:{r.pattern}) ', '{r.label}', {r.priority}, {r.confidence!r}::double)"
+        for i, r in enumerate(ordered)
+    )
+    phrases = ", ".join(f"({k}, '{p}', '{label}')" for k, (p, label) in enumerate(BASE.items()))
+    return f"""
+with rules(idx, grp, keyword, form, pattern, label, priority, confidence) as (values {known}),
+base(k, phrase, label) as (values {phrases}),
+texts as (
+  select row_number() over () as r, doc_id, ' ' || trim(regexp_replace(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')) || ' ' as w
+  from documents),
+ends as (select r, doc_id, w, case when w = '  ' then [] else string_split(trim(w), ' ') end as words from texts),
+places as (
+  select r, b.label, unnest(list_filter(range(0, len(words)), lambda i: array_to_string(words[i + 1:i + len(string_split(b.phrase, ' '))], ' ') = b.phrase)) as pos
+  from ends, base b where contains(w, ' ' || b.phrase || ' ')),
+based as (select r, count(*) as n_base, min(pos) as first_word, max(pos) as last_word, list_sort(list(distinct label)) as labels from places group by r),
+active as (select e.r, e.words, u.* from ends e join rules u on contains(e.w, u.keyword) and contains(e.w, u.form)),
+spots as (select *, unnest(range(0, len(words))) as s from active),
+tried as (select *, regexp_extract(array_to_string(words[s + 1:s + 40], ' ') || ' ', pattern) as m from spots),
+hits as (select r, idx, grp, label, priority, confidence, s, s + length(m) - length(replace(m, ' ', '')) as e from tried where m <> ''),
+kept as (
+  select * from hits d where not exists (
+    select 1 from hits o where o.r = d.r and o.s < d.e and d.s < o.e and (
+      (o.s <= d.s and d.e <= o.e and o.e - o.s > d.e - d.s)
+      or (not (d.s <= o.s and o.e <= d.e and d.e - d.s > o.e - o.s)
+        and (o.priority > d.priority or (o.priority = d.priority and (o.idx < d.idx or (o.idx = d.idx and o.s < d.s)))))))),
+found as (
+  select r, list(distinct label) as labels, list_reduce(list(1 - confidence * 0.999 order by grp, idx, s), lambda a, b: a * b) as doubt from kept group by r)
+select e.doc_id, len(e.words)::bigint as n_words, coalesce(b.n_base, 0)::bigint as n_base, b.first_word::bigint as first_word, b.last_word::bigint as last_word,
+  coalesce(array_to_string(b.labels, ','), '') as base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ','), '') as labels,
+  1 - coalesce(f.doubt, 1.0) * (case when b.r is null then 1.0 else 0.1 end) as score
+from ends e left join based b using (r) left join found f using (r)
+"""

@@ -27,4 +27,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_poisson_mixing": mixing.ORACLE, "op10_three_phase_topk": topk.ORACLE}
+    return {
+        "op2_poisson_mixing": mixing.ORACLE,
+        "op6_license_rules": license_scan.oracle(),
+        "op10_three_phase_topk": topk.ORACLE,
+    }

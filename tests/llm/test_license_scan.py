@@ -88,3 +88,16 @@ def test_empty_table_and_repeated_rows(spark):
     assert L.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     docs = spark.createDataFrame([(1, "cc by", 5)] * 2, "doc_id long, text string, labels int")
     assert [r.labels for r in L.scan(docs).collect()] == ["cc-by", "cc-by"]
+
+
+def test_against_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    cursor = con.execute(L.oracle())
+    columns = [d[0] for d in cursor.description]
+    got = L.op6_license_rules(spark, sf)
+    assert sorted(columns) == sorted(got.columns)
+    rows = got.select(*columns).collect()
+    assert sorted(tuple(map(str, r)) for r in rows) == sorted(tuple(map(str, r)) for r in cursor.fetchall())
