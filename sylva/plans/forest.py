@@ -14,6 +14,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -123,9 +124,9 @@ class Forest:
             return self._with(self.trees, path)
         wanted = self.spark.createDataFrame(active, "tree int, leaf int")
         rows = self.training().join(wanted, KEYS, "left_semi")
-        candidates = self.candidates(rows)
+        # Read twice, for the best and for the winners' sides: kept, so that rows are scanned once a level.
+        candidates = self.candidates(rows).persist(StorageLevel.MEMORY_AND_DISK)
         best = best_splits(self.evaluator.evaluate(candidates, KEYS), KEYS)
-        # The winners' sides by label: joined back on the candidate, as rows of labels.
         splits: dict[tuple[int, int], tuple] = {}
         for r in same_rows(candidates, best, [*KEYS, "feature", "op", "num", "str"]).collect():
             value = r["num"] if r["num"] is not None else r["str"]
@@ -133,6 +134,7 @@ class Forest:
             for side, w in ((left, r["lw"]), (right, r["rw"])):
                 if w:
                     side[r["label"]] = w
+        candidates.unpersist()
         return self._with({i: T.grow(t, lambda k, i=i: splits.get((i, k))) for i, t in self.trees.items()}, path)
 
     def expand_times(self, times: int, base: str | None = None, local: bool = False) -> Forest:
@@ -252,8 +254,6 @@ class Forest:
 
     def persisted(self) -> Forest:
         """Rows kept on executors' disks; a lost executor's share is computed again."""
-        from pyspark import StorageLevel
-
         return replace(self, rows=self.rows.persist(StorageLevel.DISK_ONLY))
 
     def flat_map_trees(self, f: Callable[[DataFrame, Sampler, dict[int, T.Tree]], dict[int, T.Tree]]) -> Forest:
