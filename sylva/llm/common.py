@@ -80,7 +80,7 @@ def texts_of(b: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in b.column(name).to_pylist()]
 
 
-def chunks(texts: list[str], limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[str], limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of about `limit` characters, so that arrays per byte stay small."""
     lo = size = 0
     for i, t in enumerate(texts):

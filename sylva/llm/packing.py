@@ -40,7 +40,7 @@ class PieceCache(dict):
     LETTER, DIGIT, SPACE = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\t\n\x0b\x0c\r \x85\xa0"
     PATTERN = f"[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{DIGIT}]|[^{LETTER}{DIGIT}{SPACE}]+"
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
