@@ -677,3 +677,53 @@ def score_rows(spark, sf):
 @query(f"select id, {u('x', 'id')} as u from ({ORDERS})")
 def portable_uniform(spark, sf):
     return orders(spark, sf).select("id", uniform("x", "id").alias("u"))
+
+
+# ---------------------------------------------------------------- predicates, codecs and tree algebra
+
+_OPS = {"isEq": "=", "notEq": "<>", "lt": "<", "ltEq": "<=", "gt": ">", "gtEq": ">="}
+
+
+@query(" union all ".join(f"select '{op}' as op, count(*) filter (where l_quantity {sql} 25) as holds, count(*) filter (where not (l_quantity {sql} 25)) as fails from lineitem" for op, sql in _OPS.items()))
+def predicates(spark, sf):
+    """The six comparisons and their opposites."""
+    rows = table(spark, sf, "lineitem")
+    tests = {op: T.Predicate(op, 25.0) for op in _OPS}
+    sums = rows.agg(*[F.sum(p.column(F.col("l_quantity")).cast("long")).alias(f"{op}_1") for op, p in tests.items()], *[F.sum((~p).column(F.col("l_quantity")).cast("long")).alias(f"{op}_0") for op, p in tests.items()])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(op).alias("op"), F.col(f"{op}_1").alias("holds"), F.col(f"{op}_0").alias("fails")) for op in tests])).alias("r")).select("r.*")
+
+
+@query(f"select ({FIXED})::bigint as leaf, label, count(*)::bigint as weight from ({ORDERS}) group by all")
+def distribution_codec(spark, sf):
+    """Distributions of leaves as JSON objects and back."""
+    targets = routing.leaf_targets(routing.route(orders(spark, sf), {0: fixed_tree()}))
+    entries = F.collect_list(F.struct("label", F.col("weight").cast("long").alias("weight")))
+    written = targets.groupBy("leaf").agg(F.to_json(F.map_from_entries(entries)).alias("json"))
+    return written.select(F.col("leaf").cast("long").alias("leaf"), F.explode(F.from_json("json", "map<string,bigint>")).alias("label", "weight"))
+
+
+@query(f"""with l as (select ({FIXED})::bigint as leaf, count(*)::double as w from ({ORDERS}) group by 1),
+p as (select unnest(['LL', 'LR', 'RL', 'RR']) as path, unnest([0, 1, 2, 3])::bigint as leaf), a as (select path[1:k] as path, w from p join l using (leaf), (select unnest([0, 1, 2]) as k))
+select path, sum(w) as annotation from a group by path""")
+def annotate_fixed_tree(spark, sf):
+    """Weights of leaves, bubbled up to all nodes."""
+    forest = Forest(orders(spark, sf), (PRICE, CUSTOMER, PRIORITY), trees={0: fixed_tree()}).update_targets()
+    rows = [(p, float(t.annotation)) for p, t in T.with_paths(T.annotate(forest.trees[0], T.total))]
+    return spark.createDataFrame(rows, "path string, annotation double")
+
+
+@query(f"select ({FIXED})::bigint as leaf, label, sum(weight)::double as weight from ({ORDERS}) where {h('kfold', 'id')} % 4 = 2 group by all")
+def validation_by_leaf(spark, sf):
+    """Held-out targets of the leaves of one tree of four."""
+    rows = validation_rows(orders(spark, sf), KFold(4)).where("tree = 2")
+    return routing.leaf_targets(routing.route(rows, {2: fixed_tree()})).select(F.col("leaf").cast("long").alias("leaf"), "label", "weight")
+
+
+@query(f"""select id, arg_max(leaf, w) as leaf from (select id, unnest([0, 1, 2, 3])::bigint as leaf, unnest([5.0, 9.0, 20.0, 3.0]) as w, unnest([
+    coalesce(value < 200, true) and coalesce(user_id < 50, true), coalesce(value < 200, true) and coalesce(user_id >= 50, true),
+    coalesce(value >= 200, true) and coalesce(value < 400, true), coalesce(value >= 200, true) and coalesce(value >= 400, true)]) as hit from ({EVENTS})) where hit group by id""")
+def route_heaviest_of_all(spark, sf):
+    """Among all leaves that a row may reach, the one with the largest annotation."""
+    weights = F.array(*[F.lit(float(x.annotation)) for x in T.leaves(events_tree())])
+    found = routing.all_leaves(events(spark, sf), events_tree()).withColumn("w", F.element_at(weights, F.col("leaf") + 1))
+    return found.groupBy("id").agg(F.max_by("leaf", "w").cast("long").alias("leaf"))
