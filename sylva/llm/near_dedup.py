@@ -156,7 +156,8 @@ def similar(pairs: DataFrame, text: DataFrame, threshold: float) -> DataFrame:
     gets the text of `a` once.
     """
     pairs = materialise(pairs, "pairs")
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
+    # Written first, so that AQE can split the join at a hot node.
+    many = materialise(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups")), "many")
     dealt = pairs.join(many, "a").select(
         "a", "b", F.expr("pmod(xxhash64(b, 'group'), groups)").alias("g")
     )
@@ -364,16 +365,17 @@ def keep_first(docs: DataFrame) -> DataFrame:
         found.where("class_key is not null")
         .groupBy("class_key")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"))
-        .select(F.col("best.doc_id").alias("__keep_id"), F.col("best.key").alias("__keep_key"))
+        .select(_row_name(F.col("best.key"), F.col("best.doc_id")).alias("__row"))
     )
-    keyed = docs.withColumn("__key", key_of())
-    wordless = found.where("class_key is null").select(F.col("key").alias("__keep_key")).distinct()
-    kept = keyed.join(
-        best, keyed["__key"].eqNullSafe(best["__keep_key"]) & keyed["doc_id"].eqNullSafe(best["__keep_id"]), "left_semi"
-    )
-    # Equal (doc_id, text) rows are copies of each other: one of them stays.
-    kept = kept.dropDuplicates(["doc_id", "__key"])
-    return kept.unionByName(keyed.join(wordless, keyed["__key"] == wordless["__keep_key"], "left_semi")).select(*docs.columns)
+    named = docs.withColumn("__row", _row_name(key_of(), F.col("doc_id")))
+    # Equal (doc_id, text) rows are copies of each other: one of them stays.  The join has dealt them by the same name,
+    # so the texts are shuffled once.
+    kept = named.join(materialise(best, "best"), "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    return kept.unionByName(docs.where(~F.coalesce("text", F.lit("")).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")))
+
+
+def _row_name(key, doc_id):
+    return F.concat(F.hex(key), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("")))
 
 
 def op8_bagminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
