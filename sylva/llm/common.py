@@ -30,18 +30,33 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write once to shared storage and read back: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sylva/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sylva_path = path  # for discard()
     return out
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/sylva/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by materialise() that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._sylva_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._sylva_path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once its results are written.
+
+    Results are lazy and read them, so no operator can do this by itself.
+    """
+    _delete(spark, _own_dir(spark))
 
 
 def on_workers(spark: SparkSession) -> None:

@@ -264,8 +264,9 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic",
                 x[own] = features([texts[i] for i in own], lexicons[1 - h])
         return pa.RecordBatch.from_arrays([b.column("y"), b.column("late"), pa.array(list(x), pa.list_(pa.float64()))], ["y", "late", "x"])
 
-    rows = map_arrow(sample, measure, "y int, late boolean, x array<double>").orderBy("y", "late", "x").collect()
-    x, y, late = (np.array([r[c] for r in rows], float) for c in ("x", "y", "late"))
+    # At most SAMPLE rows of numbers; sorted, so that the fit doesn't depend on the order in which tasks end.
+    rows = sorted(map(tuple, map_arrow(sample, measure, "y int, late boolean, x array<double>").collect()))
+    y, late, x = (np.array([r[c] for r in rows], float) for c in range(3))
     late = late > 0
     if len(set(y[~late])) < 2 or len(set(y[late])) < 2:
         late = np.zeros(len(y), bool)
