@@ -703,7 +703,7 @@ def distribution_codec(spark, sf):
 
 
 @query(f"""with l as (select ({FIXED})::bigint as leaf, count(*)::double as w from ({ORDERS}) group by 1),
-p as (select unnest(['LL', 'LR', 'RL', 'RR']) as path, unnest([0, 1, 2, 3])::bigint as leaf), a as (select path[1:k] as path, w from p join l using (leaf), (select unnest([0, 1, 2]) as k))
+p as (select unnest(['LL', 'LR', 'RL', 'RR']) as path, unnest([0, 1, 2, 3])::bigint as leaf), a as (select path[1:k] as path, coalesce(w, 0) as w from p left join l using (leaf), (select unnest([0, 1, 2]) as k))
 select path, sum(w) as annotation from a group by path""")
 def annotate_fixed_tree(spark, sf):
     """Weights of leaves, bubbled up to all nodes."""
