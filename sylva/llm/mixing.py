@@ -3,7 +3,7 @@
 A source's mean repetition rate is its target share of the corpus over its present share.  Each document's
 count inverts the Poisson distribution with that mean at a uniform number hashed from seed and doc_id, so the
 result depends on no partitioning; the document is exploded by its count and all copies are dealt out by a
-hash of (seed, doc_id, copy) and sorted by it: a global shuffle.
+hash of (seed, doc_id, copy) and sorted by it: a global shuffle.  Rates have no upper bound.
 
 Edge cases: a null source is a source of its own; a null doc_id hashes like the empty string; null texts have
 length 0 and are kept; a source of weight 0 or of no characters gets no copies; an empty table gives an empty
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise, parts, table
 
-TERMS = 64  # of the Poisson distribution; rates are held to MAX_RATE, far below
-MAX_RATE = 8.0
+REACH = 12.0  # standard deviations, and counts, about the mean outside of which 52-bit uniform numbers never fall
+BLOCK = 4_096  # copies of a document that are made at a time
+MAX_RATE = 8.0  # of ORACLE only: the SQL holds for rates up to it, mix() for any
 BROADCAST_SOURCES = 100_000
 SEED = "mix-1"
 
@@ -48,21 +49,39 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, temperature: float,
     rate = F.try_divide(
         F.lit(scale) * F.col("__mix_all") * F.col("__mix_weight"), F.col("__mix_weights") * F.col("__mix_chars")
     )
-    return size.join(F.broadcast(total)).select(
-        "__mix_source", F.least(F.coalesce(rate, F.lit(0.0)), F.lit(MAX_RATE)).alias("__mix_rate")
-    )
+    size = size.join(F.broadcast(total)).select("__mix_source", F.coalesce(rate, F.lit(0.0)).alias("__mix_rate"))
+    low, high = reach(F.col("__mix_rate"))
+    return size.withColumn("__mix_low", low).withColumn("__mix_high", high).withColumn("__mix_first", first_term(*map(F.col, RATE)))
+
+
+RATE = ("__mix_rate", "__mix_low", "__mix_high")
+
+
+def reach(rate: Column) -> tuple[Column, Column]:
+    """The least and largest count that a uniform number of 52 bits can fall on."""
+    about = F.lit(REACH) * (F.sqrt(rate) + 1)
+    return F.greatest(F.floor(rate - about), F.lit(0)).cast("long"), F.ceil(rate + about).cast("long")
 
 
-def poisson(rate: Column, u: Column) -> Column:
-    """How many terms of the distribution function lie at or below u."""
+def first_term(rate: Column, low: Column, high: Column) -> Column:
+    """The probability of the count `low`: from the sum of all terms in its units, as exp(-rate) can be 0."""
+    step = lambda acc, k: F.struct((acc["p"] * rate / (k + 1)).alias("p"), (acc["sum"] + acc["p"]).alias("sum"))
+    start = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("sum"))
+    return F.when(low == 0, F.exp(-rate)).otherwise(1 / F.aggregate(F.sequence(low, high), start, step)["sum"])
+
+
+def poisson(rate: Column, low: Column, high: Column, first: Column, u: Column) -> Column:
+    """How many terms of the distribution function lie at or below u; terms before `low` do.
+
+    Above the mean, terms too small to reach the next u don't count: rounded sums can stay below the last u.
+    """
     step = lambda acc, k: F.struct(
         (acc["p"] * rate / (k + 1)).alias("p"),
         (acc["cdf"] + acc["p"]).alias("cdf"),
-        (acc["n"] + F.when(u >= acc["cdf"] + acc["p"], 1).otherwise(0)).alias("n"),
+        (acc["n"] + F.when((u >= acc["cdf"] + acc["p"]) & ((k <= rate) | (acc["p"] > 1e-17)), 1).otherwise(0)).alias("n"),
     )
-    start = F.struct(F.exp(-rate).alias("p"), F.lit(0.0).alias("cdf"), F.lit(0).alias("n"))
-    terms = F.sequence(F.lit(0), F.lit(TERMS - 1)).cast("array<double>")
-    return F.aggregate(terms, start, step)["n"]
+    start = F.struct(first.alias("p"), F.lit(0.0).alias("cdf"), low.alias("n"))
+    return F.aggregate(F.sequence(low, high), start, step)["n"]
 
 
 def mix(
@@ -78,11 +97,13 @@ def mix(
     if rate.count() <= BROADCAST_SOURCES:  # beyond it: a shuffled join, whose hot sources AQE splits
         rate = F.broadcast(rate)
     dealt = docs.join(rate, docs["source"].eqNullSafe(rate["__mix_source"]), "left")
-    dealt = dealt.withColumn("__mix_n", poisson(F.col("__mix_rate"), hashed_unit(F.lit(seed), "doc_id")))
-    copies = dealt.where("__mix_n > 0").withColumn("copy", F.explode(F.expr("sequence(0, __mix_n - 1)")))
+    dealt = dealt.withColumn("__mix_n", poisson(*map(F.col, RATE), F.col("__mix_first"), hashed_unit(F.lit(seed), "doc_id")))
+    # In two steps: the copies of a document are never one array.
+    copies = dealt.where("__mix_n > 0").withColumn("__mix_block", F.explode(F.expr(f"sequence(0, __mix_n - 1, {BLOCK})")))
+    copies = copies.withColumn("copy", F.explode(F.expr(f"sequence(__mix_block, least(__mix_block + {BLOCK}, __mix_n) - 1)")))
     copies = copies.withColumn(
         "shuffle_key", hashed_unit(F.lit(seed + "-order"), "doc_id", "copy")
-    ).drop("__mix_source", "__mix_rate", "__mix_n")
+    ).drop("__mix_source", *RATE, "__mix_first", "__mix_n", "__mix_block")
     return copies.repartition(parts(spark), "shuffle_key").sortWithinPartitions("shuffle_key")
 
 

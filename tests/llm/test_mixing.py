@@ -38,3 +38,31 @@ def test_edges(spark):
     assert {"doc_id", "text", "source", "extra", "copy", "shuffle_key"} == set(out.columns)
     rows = [r for r in out.collect() if r.doc_id == 2]
     assert len(rows) % 2 == 0  # equal rows are drawn alike
+
+
+def test_rates_far_above_the_mean_of_even_sources(spark):
+    source = F.when(F.col("id") % 100 == 0, "rare").otherwise("common")
+    docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("0123456789").alias("text"), source.alias("source"))
+    n = {r["source"]: r["count"] for r in M.mix(docs, {"rare": 1.0, "common": 1.0}).groupBy("source").count().collect()}
+    assert abs(n["rare"] - 10000) < 500 and abs(n["common"] - 10000) < 500  # rates of 50 and 0.505
+    # One document of a source: its counts, by seed, are Poisson where exp(-rate) is 0 and copies come in blocks.
+    few = docs.where("doc_id > 0 and source = 'common' or doc_id = 0")
+    for seed in ("a", "b"):
+        copies = M.mix(few, {"rare": 1.0, "common": 1.0}, seed=seed).where("source = 'rare'").agg(F.count("*"), F.max("copy"), F.countDistinct("copy")).first()
+        assert abs(copies[0] - 9900.5) < 600 and copies[1] == copies[0] - 1 and copies[2] == copies[0]
+
+
+def test_counts_invert_the_distribution_at_any_rate(spark):
+    import math
+
+    units = [2.0**-53, 1e-9, 0.01, 0.3, 0.5, 0.9, 0.999999, 1 - 2.0**-53]
+    rows = [(r, u) for r in (0.0, 0.3, 8.0, 50.0, 167.0, 169.0, 900.0, 20000.0) for u in units]
+    df = spark.createDataFrame(rows, "__mix_rate double, u double")
+    low, high = M.reach(F.col("__mix_rate"))
+    df = df.withColumn("__mix_low", low).withColumn("__mix_high", high)
+    rate = [F.col(c) for c in M.RATE]
+    for r in df.withColumn("n", M.poisson(*rate, M.first_term(*rate), F.col("u"))).collect():
+        at = lambda k, m=r["__mix_rate"]: math.exp(-m + k * math.log(m) - math.lgamma(k + 1)) if m else float(k == 0)
+        below = math.fsum(at(k) for k in range(r.n))  # P(count < n) <= u < P(count <= n)
+        assert below <= r.u + 1e-10 and r.u <= below + at(r.n) + 1e-10, r
+        assert abs(r.n - r["__mix_rate"]) <= 9.5 * math.sqrt(r["__mix_rate"]) + 30
