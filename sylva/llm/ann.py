@@ -9,8 +9,9 @@ graph.
 Queries walk the graph greedily: from entry nodes (the nearest of a bounded sample) to the neighbours of the best nodes
 not yet visited, all queries one step at a time in one join, until the best BEAM nodes of every query have been visited.
 
-The graph and the walk use vectors in half precision; the BEAM nodes that a walk ends with are measured again, in double
-precision, on the original vectors.
+The graph and the walk use vectors in single precision, each with an exponent of its own, so that none loses digits to
+another's size; distances are computed in double precision.  The BEAM nodes that a walk ends with are measured again on the
+original vectors.
 
 Edge cases: rows without id, with null or zero vectors, or with null or non-finite components take no part; vectors of
 different lengths are compared as if filled with zeros; repeated rows (equal id and vector) count once; candidates with the
@@ -20,6 +21,8 @@ gives an empty table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +37,7 @@ INTRODUCED = 24  # new, and old, neighbours that a node introduces to each other
 ROUNDS, ENOUGH = 8, 0.01  # at most so many rounds; stop when so small a share of the edges is new
 CENTRES, NEAR, CELL = 1_024, 8, 512  # at most so many centres, cells of a node, nodes of a cell
 BEAM, ENTRIES, SAMPLE = 96, 16, 1_024
+LARGEST = 505  # exponent of components up to which squared distances are finite; larger tables are scaled down to it
 
 
 # ---------------------------------------------------------------- nodes
@@ -64,13 +68,25 @@ def _peak(b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([float(np.abs(matrix(b.column("v"))).max(initial=0))])], ["peak"])
 
 
-def _scaled(column: pa.Array, width: int, peak: float) -> np.ndarray:
-    """Vectors with components of at most 1, so that fewer bits hold them whatever their size."""
-    x = (matrix(column) / peak).astype(np.float32)
-    return np.pad(x, ((0, 0), (0, width - x.shape[1])))
+def _wide(column: pa.Array, width: int, shift: int) -> np.ndarray:
+    """Vectors of equal width, divided by 2 ** shift."""
+    x = matrix(column)
+    return np.pad(np.ldexp(x, -shift) if shift else x, ((0, 0), (0, width - x.shape[1])))
+
+
+def _short(x: np.ndarray) -> list[bytes]:
+    """Each vector packed in single precision: its exponent, then its components over 2 ** exponent."""
+    e = np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None]
+    return [r.tobytes() for r in np.hstack([e, np.ldexp(x, -e)]).astype(np.float32)]
+
+
+def _long(column: pa.Array) -> np.ndarray:
+    """The vectors that _short packed."""
+    x = matrix(column, np.float32)
+    return np.ldexp(x[:, 1:].astype(np.float64), x[:, :1].astype(np.int32))
 
 
-def cells(nodes: DataFrame, n: int, width: int, peak: float) -> DataFrame:
+def cells(nodes: DataFrame, n: int, width: int, shift: int) -> DataFrame:
     """(cell, sub, part, node, v): every node in the cells of its nearest centres.
 
     Centres are a sample of nodes, of bounded size.  Cells that would be large are cut by signs of random hyperplanes
@@ -79,20 +95,20 @@ def cells(nodes: DataFrame, n: int, width: int, peak: float) -> DataFrame:
     count = max(1, min(CENTRES, n // 50))
     near, bits = min(NEAR, count), 0
     bits = max(0, int(np.ceil(np.log2(max(n, 1) * near / count / CELL))))
-    planes = np.random.default_rng(7).standard_normal((bits, width)).astype(np.float32)
+    planes = np.random.default_rng(7).standard_normal((bits, width))
     sample = nodes.orderBy(F.xxhash64("node", F.lit(3)), "node").limit(count).select("v").toArrow().column("v").combine_chunks()
-    centres = _scaled(sample, width, peak)
+    centres = _wide(sample, width, shift)
 
     def place(b: pa.RecordBatch) -> pa.RecordBatch:
-        x = _scaled(b.column("v"), width, peak)
+        x = _wide(b.column("v"), width, shift)
         d = _squared(x, centres)
         cell = np.argpartition(d, near - 1, axis=1)[:, :near] if len(centres) else np.zeros((len(x), 0), int)
         signs = (x @ planes.T)[:, None, :] > (centres @ planes.T)[cell] if bits else np.zeros((*cell.shape, 0), bool)
         sub = signs @ (1 << np.arange(bits)) if bits else np.zeros(cell.shape, int)
-        half = [r.tobytes() for r in x.astype(np.float16)]
+        short = _short(x)
         columns = (np.repeat(b.column("node").to_numpy(), near), cell.ravel(), sub.ravel())
         return pa.RecordBatch.from_arrays(
-            [*(pa.array(c, pa.int64()) for c in columns), pa.array([h for h in half for _ in range(near)], pa.binary())], ["node", "cell", "sub", "v"]
+            [*(pa.array(c, pa.int64()) for c in columns), pa.array([v for v in short for _ in range(near)], pa.binary())], ["node", "cell", "sub", "v"]
         )
 
     rows = map_arrow(nodes, place, "node long, cell long, sub long, v binary")
@@ -109,25 +125,29 @@ def _nearest(ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
 
 
 def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None] - 2 * x @ y.T, 0)
+    d = x @ y.T
+    d *= -2
+    d += (x * x).sum(axis=1)[:, None]
+    d += (y * y).sum(axis=1)[None]
+    return np.maximum(d, 0, out=d)
 
 
-EDGES = "u long, w long, d float"
+EDGES = "u long, w long, d double"
 
 
 def _edges(u, w, d) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(w, pa.int64()), pa.array(d, pa.float32())], ["u", "w", "d"])
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(w, pa.int64()), pa.array(d, pa.float64())], ["u", "w", "d"])
 
 
 def _first(t: pa.Table) -> pa.RecordBatch | None:
-    ids, x = t.column("node").to_numpy(), matrix(t.column("v").combine_chunks(), np.float16).astype(np.float32)
+    ids, x = t.column("node").to_numpy(), _long(t.column("v").combine_chunks())
     return _edges(*_nearest(ids, _squared(x, x), DEGREE)) if len(ids) > 1 else None
 
 
 def _introduce(t: pa.Table) -> pa.RecordBatch | None:
     """Pairs of one node's neighbours, one of them new, that are closer than the farthest neighbour of either."""
     ids, new = t.column("m").to_numpy(), t.column("new").to_numpy(zero_copy_only=False)
-    far, x = t.column("far").to_numpy(), matrix(t.column("v").combine_chunks(), np.float16).astype(np.float32)
+    far, x = t.column("far").to_numpy(), _long(t.column("v").combine_chunks())
     d = _squared(x, x)
     ok = (d < far[:, None]) & (new[:, None] | new[None, :]) & (ids[:, None] != ids[None, :])
     i, j = np.nonzero(ok)
@@ -143,16 +163,17 @@ def best_edges(edges: DataFrame, k: int) -> DataFrame:
 
 def graph(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(u, w, d, new): the DEGREE nearest neighbours w of each node u that NN-descent finds, d squared; and (node, v), the
-    vectors in half precision, scaled to components of at most 1."""
+    vectors as _short packs them."""
     spark = nodes.sparkSession
     n, width = nodes.agg(F.count("*"), F.coalesce(F.max(F.length("v")), F.lit(8)) / 8).first()
     width = int(width)
     peak = map_arrow(nodes, _peak, "peak double").agg(F.max("peak")).first()[0] or 1.0
-    vectors = materialise(map_arrow(nodes, lambda b: _half(b, width, peak), "node long, v binary"), "vectors")
-    first = by_group(cells(nodes, n, width, peak), ["cell", "sub", "part"], ["node"], parts(spark), _first, EDGES)
+    shift = max(0, int(np.frexp(peak)[1]) - LARGEST)
+    vectors = materialise(map_arrow(nodes, lambda b: _vectors(b, width, shift), "node long, v binary"), "vectors")
+    first = by_group(cells(nodes, n, width, shift), ["cell", "sub", "part"], ["node"], parts(spark), _first, EDGES)
     edges = materialise(best_edges(first.withColumn("new", F.lit(True)), DEGREE), "edges")
     for turn in range(ROUNDS):
-        far = edges.groupBy("u").agg(F.when(F.count("*") < DEGREE, F.lit(float("inf"))).otherwise(F.max("d")).cast("float").alias("far"))
+        far = edges.groupBy("u").agg(F.when(F.count("*") < DEGREE, F.lit(float("inf"))).otherwise(F.max("d")).alias("far"))
         both = edges.select(F.col("u").alias("x"), F.col("w").alias("m"), "new").union(edges.select(F.col("w").alias("x"), F.col("u").alias("m"), "new"))
         both = both.groupBy("x", "m").agg(F.max("new").alias("new"))
         pick = Window.partitionBy("x", "new").orderBy(F.xxhash64("x", "m", F.lit(turn)))
@@ -175,19 +196,18 @@ def graph(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, vectors
 
 
-def _half(b: pa.RecordBatch, width: int, peak: float) -> pa.RecordBatch:
-    x = _scaled(b.column("v"), width, peak).astype(np.float16)
-    return pa.RecordBatch.from_arrays([b.column("node"), pa.array([r.tobytes() for r in x], pa.binary())], ["node", "v"])
+def _vectors(b: pa.RecordBatch, width: int, shift: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([b.column("node"), pa.array(_short(_wide(b.column("v"), width, shift)), pa.binary())], ["node", "v"])
 
 
 # ---------------------------------------------------------------- the walk
 
 
-def _measured(pairs: DataFrame, kind: type) -> DataFrame:
-    """d of (q, node, qv, v): the Euclidean distance of vectors packed as `kind`, in double precision."""
+def _measured(pairs: DataFrame, unpack: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """d of (q, node, qv, v): the Euclidean distance of packed vectors, in double precision."""
 
     def measure(b: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = (matrix(b.column(c), kind).astype(np.float64) for c in ("qv", "v"))
+        x, y = (unpack(b.column(c)) for c in ("qv", "v"))
         width = max(x.shape[1], y.shape[1])
         x, y = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, y))
         d = np.sqrt(((x - y) ** 2).sum(axis=1))
@@ -197,13 +217,13 @@ def _measured(pairs: DataFrame, kind: type) -> DataFrame:
 
 
 def walk(queries: DataFrame, vectors: DataFrame, edges: DataFrame, beam: int = BEAM) -> DataFrame:
-    """(q, node, d): the best `beam` nodes found for each query (q, qv).  Both hold vectors in half precision."""
+    """(q, node, d): the best `beam` nodes found for each query (q, qv).  Both hold vectors as _short packs them."""
     links = materialise(edges.select("u", "w").union(edges.select(F.col("w").alias("u"), F.col("u").alias("w"))).distinct(), "links")
     sample = vectors.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).toArrow()  # a bounded number of entry nodes
-    entry_ids, entry = sample.column("node").to_numpy(), matrix(sample.column("v").combine_chunks(), np.float16).astype(np.float32)
+    entry_ids, entry = sample.column("node").to_numpy(), _long(sample.column("v").combine_chunks())
 
     def enter(b: pa.RecordBatch) -> pa.RecordBatch:
-        q = matrix(b.column("qv"), np.float16).astype(np.float32)
+        q = _long(b.column("qv"))
         width = max(q.shape[1], entry.shape[1])
         d = _squared(*(np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, entry)))
         k = min(ENTRIES, d.shape[1])
@@ -215,7 +235,7 @@ def walk(queries: DataFrame, vectors: DataFrame, edges: DataFrame, beam: int = B
     best = Window.partitionBy("q").orderBy("d", "node")
 
     def measured(pairs: DataFrame) -> DataFrame:
-        return _measured(pairs.join(queries, "q").join(vectors, "node"), np.float16)
+        return _measured(pairs.join(queries, "q").join(vectors, "node"), _long)
 
     state = measured(map_arrow(queries, enter, "q long, node long")).withColumn("visited", F.lit(False))
     state = materialise(state, "walk")
@@ -240,7 +260,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
     named = lambda vectors: materialise(wanted.join(vectors, "node").select(F.col("node").alias("q"), F.col("v").alias("qv")), "queries")
     edges, vectors = graph(nodes)
     found = walk(named(vectors), vectors, edges).select("q", "node")
-    found = materialise(_measured(found.join(named(nodes), "q").join(nodes, "node"), np.float64), "found")
+    found = materialise(_measured(found.join(named(nodes), "q").join(nodes, "node"), matrix), "found")
     # The k + 1 smallest ids of a node's copies are enough, found in two steps as a node may hold a third of all rows.
     salted = Window.partitionBy("node", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")
     few = members.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= k + 1)

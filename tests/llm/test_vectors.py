@@ -80,3 +80,25 @@ def test_neighbours_recall_and_distances(spark):
         assert np.allclose([d[v] for v, _ in got[q]], [s for _, s in got[q]], rtol=1e-12)
     assert hit / 300 >= 0.95
     assert [v for v, _ in got[0]] == list(range(2000, 2010))
+
+
+def recall(spark, x, k=10, every=100):
+    """The share of the k nearest of each query, by comparison with all, that are found."""
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % every == 0, k).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit, queries = 0, range(0, len(x), every)
+    for q in queries:
+        with np.errstate(over="ignore"):
+            d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hit += len(set(np.argsort(d, kind="stable")[:k].tolist()) & got[q])
+    return hit / (k * len(queries))
+
+
+def test_recall_beside_one_huge_vector(spark):
+    x = np.random.default_rng(4).normal(size=(1500, 12))
+    for size in (1e9, 1e300):
+        x[77] = size
+        assert recall(spark, x) >= 0.95
