@@ -6,8 +6,9 @@ table of introductions is the join of the edges with the vectors, dealt by the n
 closer than one of the two's farthest neighbour becomes a new edge.  It ends when few edges are new.  Every row is in the
 graph.
 
-Queries walk the graph greedily: from entry nodes (the nearest of a bounded sample) to the neighbours of the best nodes
-not yet visited, all queries one step at a time in one join, until the best BEAM nodes of every query have been visited.
+Queries walk the graph greedily: from their own node, so that a group of nodes without edges to the outside is reached,
+and entry nodes (the nearest of a bounded sample) to the neighbours of the best nodes not yet visited, all queries one step
+at a time in one join, until the best BEAM nodes of every query have been visited.
 
 The graph and the walk use vectors in single precision, each with an exponent of its own, so that none loses digits to
 another's size; distances are computed in double precision.  The BEAM nodes that a walk ends with are measured again on the
@@ -217,7 +218,7 @@ def _measured(pairs: DataFrame, unpack: Callable[[pa.Array], np.ndarray]) -> Dat
 
 
 def walk(queries: DataFrame, vectors: DataFrame, edges: DataFrame, beam: int = BEAM) -> DataFrame:
-    """(q, node, d): the best `beam` nodes found for each query (q, qv).  Both hold vectors as _short packs them."""
+    """(q, node, d): the best `beam` nodes found for each query (q, qv), a node of the graph.  Both hold vectors as _short packs them."""
     links = materialise(edges.select("u", "w").union(edges.select(F.col("w").alias("u"), F.col("u").alias("w"))).distinct(), "links")
     sample = vectors.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).toArrow()  # a bounded number of entry nodes
     entry_ids, entry = sample.column("node").to_numpy(), _long(sample.column("v").combine_chunks())
@@ -237,7 +238,8 @@ def walk(queries: DataFrame, vectors: DataFrame, edges: DataFrame, beam: int = B
     def measured(pairs: DataFrame) -> DataFrame:
         return _measured(pairs.join(queries, "q").join(vectors, "node"), _long)
 
-    state = measured(map_arrow(queries, enter, "q long, node long")).withColumn("visited", F.lit(False))
+    entries = map_arrow(queries, enter, "q long, node long").union(queries.select("q", F.col("q").alias("node"))).distinct()
+    state = measured(entries).withColumn("visited", F.lit(False))
     state = materialise(state, "walk")
     while True:
         open_ = state.where("not visited")

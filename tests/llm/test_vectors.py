@@ -1,5 +1,6 @@
 import duckdb
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sylva.llm import ann, topk
@@ -102,3 +103,20 @@ def test_recall_beside_one_huge_vector(spark):
     for size in (1e9, 1e300):
         x[77] = size
         assert recall(spark, x) >= 0.95
+
+
+def test_walk_reaches_the_own_cluster_of_each_query(spark):
+    rng, clusters, size = np.random.default_rng(5), 3000, 40
+    x = rng.normal(size=(clusters, 1, 6)) * 1000 + rng.normal(size=(clusters, size, 6))
+    d = ((x[:, :, None] - x[:, None]) ** 2).sum(axis=3)
+    near = np.argsort(d, axis=2)[:, :, 1 : ann.DEGREE + 1] + np.arange(clusters)[:, None, None] * size  # no edge leaves a cluster
+    u = np.repeat(np.arange(clusters * size), ann.DEGREE)
+    edges = spark.createDataFrame(pa.table({"u": u, "w": near.ravel()}))
+    vectors = spark.createDataFrame(pa.table({"node": np.arange(clusters * size), "v": pa.array(ann._short(x.reshape(-1, 6)), pa.binary())}))
+    queries = vectors.where("node % 1111 = 0").select(F.col("node").alias("q"), F.col("v").alias("qv"))
+    got = {}
+    for r in ann.walk(queries, vectors, edges).orderBy("q", "d", "node").collect():
+        got.setdefault(r.q, []).append(r.node)
+    asked = range(0, clusters * size, 1111)
+    hit = sum(len(set(got[q][1:11]) & set(near[q // size, q % size, :10].tolist())) for q in asked)
+    assert hit / (10 * len(asked)) >= 0.99
