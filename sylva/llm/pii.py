@@ -45,6 +45,8 @@ WIDER = (
     ("phone", r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])", r"^\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}$"),
     ("card", r"(?<![0-9])[0-9]{13,19}+(?![0-9])", r"^[0-9]{13,19}$"),
 )
+#: What every wider match holds: a digit, a spelled-out at sign, or the keyword of a secret.
+WIDER_GUARD = r"[0-9]|[\[({]at[\])}]|(?i:token|secret|passw(?:or)?d|api[_-]?key)[\"']?\x20?[=:]"
 KINDS = ("email", "ip", "card", "phone", "iban", "secret", "ssn")
 VOTES = ("v_regex", "v_check", "v_list", "v_words")
 PRIOR = np.array([[0.45, 0.4, 0.15], [0.08, 0.32, 0.6]])  # of votes -1, 0 and 1, given class 0 and class 1
@@ -70,10 +72,10 @@ AGAINST = r"version|isbn|order|section|page|figure|serial|\bno\.? ?$|#\s*$"
 # ---------------------------------------------------------------- candidates
 
 
-def found(text: str, pattern: str, guard: str) -> tuple[Column, Column]:
+def found(text: str, pattern: str, guard: str | Column) -> tuple[Column, Column]:
     """All matches of a pattern in a column, and the text before each; empty where the guard fails."""
     p = F.lit(pattern)
-    hit = F.expr(guard)
+    hit = F.expr(guard) if isinstance(guard, str) else guard
     return (
         F.when(hit, F.regexp_extract_all(F.col(text), p, F.lit(0))).otherwise(F.array().cast("array<string>")),
         F.when(hit, F.split(F.col(text), pattern, -1)).otherwise(F.array().cast("array<string>")),
@@ -115,7 +117,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     names = []
     for kind, pattern, guard in (
         *((k, p, "contains(__t, '@')" if k == "email" else "contains(__t, '+')" if k == "phone" else digit) for k, p in BASE.items()),
-        ("wider", wider, f"{digit} or __t rlike '[\\\\[({{]at[\\\\])}}]'"),
+        ("wider", wider, F.col("__t").rlike(WIDER_GUARD)),
     ):
         m, g = found("__t", pattern, guard)
         df = df.withColumn(f"__m_{kind}", m).withColumn(f"__g_{kind}", g)

@@ -108,3 +108,12 @@ def test_reliabilities_favour_the_labelers_that_agree():
     post, table = pii.reliabilities(votes, np.array([50.0, 50, 50, 50]), np.zeros(4, int))
     assert post[0] > 0.9 and post[2] > 0.9 and post[1] < 0.1 and post[3] < 0.1
     assert table[1, 0, 2] > 0.7 and table[1, 0, 2] > table[1, 3, 2] + 0.2
+
+
+def test_secrets_of_letters_only_are_candidates_without_a_digit_in_the_text(spark):
+    says = ["password: abcdefghijklmnopqrst", "my API_KEY='abcdefghijklmnopqrst'", "Token=abcdefghijklmnopqrst", "secret abcdefghijklmnopqrst", "no such word: abcdefghijklmnopqrst"]
+    docs = spark.createDataFrame([(2 * k + n, t + end) for k, t in enumerate(says) for n, end in enumerate((" end", " end 7"))], "doc_id long, text string")
+    got = {r.doc_id: [(c.kind, c.s, c.e) for c in r["__pii"]] for r in pii.candidates(docs).collect()}
+    for k in range(len(says)):
+        assert got[2 * k] == got[2 * k + 1]  # an unrelated digit changes nothing
+        assert [c[0] for c in got[2 * k]] == (["secret"] if k < 3 else [])
