@@ -150,18 +150,23 @@ class Forest:
     def expand_in_memory(self, times: int, path: str | None = None, max_rows: int = 1_000_000) -> Forest:
         """Every leaf that may split grows up to `times` levels in one task, from its rows downsampled to the stopper's size.
 
-        max_rows bounds a task: a leaf with more sampled rows than that keeps those of the smallest hashes.
+        max_rows bounds a task: the rate of a leaf with more sampled rows is lowered to about so many, and its targets are
+        scaled by the rate that results.
         """
         active = {(i, x.index): self.stopper.local_rate(x.target) for i, t in self.trees.items() for x in T.leaves(t) if self.stopper.splits(x.target)}
         if not active:
             return self._with(self.trees, path)
         paths, features, sampler, minimum = self.paths(), self.features, self.sampler, self.stopper.min_size
-        wanted = self.spark.createDataFrame([(*k, r, paths[k]) for k, r in active.items()], "tree int, leaf int, rate double, path string")
         values = [f.value().alias(f"__f{k}") for k, f in enumerate(features)]
-        rows = downsampled(self.training().join(wanted, KEYS), F.col("rate"), self.seed)
-        order = Window.partitionBy(*KEYS).orderBy(hash32(self.seed, "tree", "id"), "id")
-        rows = rows.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= max_rows)
-        rows = rows.select(*KEYS, "path", F.col("label").cast("string").alias("label"), F.col("weight").cast("double").alias("weight"), *values)
+
+        def sampled() -> DataFrame:
+            wanted = self.spark.createDataFrame([(*k, r, paths[k]) for k, r in active.items()], "tree int, leaf int, rate double, path string")
+            return downsampled(self.training().join(wanted, KEYS), F.col("rate"), self.seed)
+
+        # The stopper's rate goes by weight: rows are counted, as light ones can be many more.
+        for r in sampled().groupBy(*KEYS).count().where(F.col("count") > max_rows).collect():
+            active[r["tree"], r["leaf"]] *= max_rows / r["count"]
+        rows = sampled().select(*KEYS, "path", F.col("label").cast("string").alias("label"), F.col("weight").cast("double").alias("weight"), *values)
         while hasattr(sampler, "base"):
             sampler = sampler.base
         rate, seed = getattr(sampler, "feature_rate", None), getattr(sampler, "seed", "")

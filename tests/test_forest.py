@@ -215,3 +215,9 @@ def test_combinators(rows):
     f = Forest(rows, XY).tee(seen.append).flat_map_trees(lambda r, s, t: {0: T.singleton({"a": 1.0})}).flat_map_sampler(lambda r, s, t: KFold(2))
     assert len(seen) == 1 and f.trees == {0: T.singleton({"a": 1.0})} and f.sampler == KFold(2)
     assert Forest(rows, XY).out_of_time(0.5).sampler.num_trees == 1
+
+
+def test_targets_of_leaves_with_more_rows_than_a_task_takes(spark):
+    light = spark.range(8000).select("id", F.lit(0).alias("ts"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("label"), F.lit(0.01).alias("weight"), (F.col("id") % 100).cast("double").alias("x"))
+    tree = Forest(light, (Feature("x", "ordinal"),), SingleTree(), stopper=Stopper(10_000, 10)).update_targets().expand_in_memory(1, max_rows=2000).trees[0]
+    assert abs(sum(T.total(x.target) for x in T.leaves(tree)) - 80) < 8  # 20 before: a quarter of the rows, not scaled
