@@ -151,8 +151,12 @@ class Forest:
         """Every leaf that may split grows up to `times` levels in one task, from its rows downsampled to the stopper's size.
 
         max_rows bounds a task: the rate of a leaf with more sampled rows is lowered to about so many, and its targets are
-        scaled by the rate that results.
+        scaled by the rate that results.  Splits are those of the forest's evaluator over all distinct values; evaluators
+        that only Spark can compute, `randomized`, `cuts` and sparse features raise an error.
         """
+        score = local_grow.scorer(self.evaluator)
+        if self.randomized or any(f.kind == "sparse" or (self.cuts and f.kind == "continuous") for f in self.features):
+            raise ValueError("growth in memory has no randomized candidates, cuts or sparse features: use expand")
         active = {(i, x.index): self.stopper.local_rate(x.target) for i, t in self.trees.items() for x in T.leaves(t) if self.stopper.splits(x.target)}
         if not active:
             return self._with(self.trees, path)
@@ -182,7 +186,7 @@ class Forest:
 
             columns = {f.name: pdf[f"__f{k}"].to_numpy(dtype=object) for k, f in enumerate(features)}
             grown = local_grow.grow(
-                columns, {f.name: f.numeric for f in features}, pdf["label"].to_numpy(), pdf["weight"].to_numpy(), times, minimum, allowed=allowed if rate is not None else None
+                columns, {f.name: f.numeric for f in features}, pdf["label"].to_numpy(), pdf["weight"].to_numpy(), times, minimum, score, allowed=allowed if rate is not None else None
             )
             return pd.DataFrame({"tree": [tree], "leaf": [leaf], "json": [models.dumps(T.renumber(grown))]})
 

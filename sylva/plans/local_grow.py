@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 
+from ..operators.evaluate import AccuracySplit, BrierSplit, ChiSquared, Evaluator, MinWeight
 from .tree import Leaf, Node, Predicate, Tree
 
 
@@ -33,6 +34,54 @@ def chi_squared(left: np.ndarray, total: np.ndarray) -> np.ndarray:
     return out
 
 
+def multiplied_chi_squared(left: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The same with a label counted once for each side on which it occurs."""
+    right = total - left
+    out = np.full(len(left), -np.inf)
+    ok = (left.sum(axis=1) > 1e-12) & (right.sum(axis=1) > 1e-12)
+    left, right, own = left[ok], right[ok], total > 0
+    many = (left > 1e-12).astype(float) + (right > 1e-12)
+    out[ok] = 0
+    for side in (left, right):
+        expected = side.sum(axis=1)[:, None] * total[None, own] / total.sum()
+        out[ok] += (many[:, own] * (side[:, own] - expected) ** 2 / expected).sum(axis=1)
+    return out
+
+
+def _by_sides(error: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A score from the errors (side, its weight) of both sides, over the weight of all."""
+
+    def score(left: np.ndarray, total: np.ndarray) -> np.ndarray:
+        right = total - left
+        lt, rt = left.sum(axis=1), right.sum(axis=1)
+        ok = (lt > 1e-12) & (rt > 1e-12)
+        out = np.full(len(left), -np.inf)
+        out[ok] = -(error(left[ok], lt[ok]) + error(right[ok], rt[ok])) / (lt[ok] + rt[ok])
+        return out
+
+    return score
+
+
+def scorer(evaluator: Evaluator) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """The score of an evaluator on arrays; an error for those that only Spark can compute."""
+    kind = type(evaluator)
+    if kind is ChiSquared:
+        return multiplied_chi_squared if evaluator.label_multiplicity else chi_squared
+    if kind is BrierSplit:
+        return _by_sides(lambda side, w: w - (side * side).sum(axis=1) / w)
+    if kind is AccuracySplit:
+        return _by_sides(lambda side, w: w - side.max(axis=1))
+    if kind is MinWeight:
+        inner, condition = scorer(evaluator.inner), evaluator.condition
+        try:
+            plain = np.asarray(condition(np.array([1.0, 2.0]))).dtype == bool
+        except Exception:
+            plain = False
+        if plain:
+            return lambda left, total: np.where(condition(left.sum(axis=1)) & condition((total - left).sum(axis=1)), inner(left, total), -np.inf)
+    raise ValueError(f"growth in memory can't compute {evaluator}: use expand")
+
+
 def _numeric(v: np.ndarray, y: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     values, code = np.unique(v, return_inverse=True)
     grid = np.zeros((len(values), k))

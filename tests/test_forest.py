@@ -221,3 +221,17 @@ def test_targets_of_leaves_with_more_rows_than_a_task_takes(spark):
     light = spark.range(8000).select("id", F.lit(0).alias("ts"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("label"), F.lit(0.01).alias("weight"), (F.col("id") % 100).cast("double").alias("x"))
     tree = Forest(light, (Feature("x", "ordinal"),), SingleTree(), stopper=Stopper(10_000, 10)).update_targets().expand_in_memory(1, max_rows=2000).trees[0]
     assert abs(sum(T.total(x.target) for x in T.leaves(tree)) - 80) < 8  # 20 before: a quarter of the rows, not scaled
+
+
+def test_local_growth_takes_the_split_of_the_evaluator(rows):
+    whole = rows.where("x is not null and c is not null")
+    heavy = evaluate.MinWeight(lambda w: w >= 60)
+    for e in (heavy, evaluate.BrierSplit(), evaluate.AccuracySplit(), ChiSquared(label_multiplicity=True)):
+        far = Forest(whole, XY, SingleTree(), e, Stopper(10, 10)).update_targets().expand().trees[0]
+        near = Forest(whole, XY, SingleTree(), e, Stopper(10_000, 10)).update_targets().expand_in_memory(1).trees[0]
+        assert (far.feature, far.predicate) == (near.feature, near.predicate), e
+    deep = Forest(whole, XY, SingleTree(), heavy, Stopper(10_000, 10)).update_targets().expand_in_memory(4).trees[0]
+    assert all(T.total(x.target) >= 60 for x in T.leaves(deep))
+    for more in ({"evaluator": evaluate.ErrorSplit(lambda: F.sum("lw"))}, {"evaluator": evaluate.MinWeight(lambda w: F.sqrt(w) > 3)}, {"randomized": True}, {"cuts": 4}):
+        with pytest.raises(ValueError):
+            Forest(whole, (Feature("x", "continuous"),), SingleTree(), stopper=Stopper(10_000, 10), **more).update_targets().expand_in_memory(1)
