@@ -480,8 +480,10 @@ def _leaf_rows(spark, forest: Forest) -> DataFrame:
 
 
 def _embeddings(spark, sf) -> tuple[DataFrame, tuple[Feature, ...]]:
-    names = [f"e{k}" for k in range(16)]
-    e = table(spark, sf, "embeddings").select("vec_id", "label", *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(names)])
+    vectors = table(spark, sf, "embeddings")
+    width = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
+    names = [f"e{k}" for k in range(width)]
+    e = vectors.select("vec_id", "label", *[F.get("embedding", F.lit(k)).cast("double").alias(n) for k, n in enumerate(names)])
     return instances.from_table(e, "vec_id", "label", names), tuple(Feature(n, "continuous") for n in names)
 
 

@@ -235,3 +235,26 @@ def test_local_growth_takes_the_split_of_the_evaluator(rows):
     for more in ({"evaluator": evaluate.ErrorSplit(lambda: F.sum("lw"))}, {"evaluator": evaluate.MinWeight(lambda w: F.sqrt(w) > 3)}, {"randomized": True}, {"cuts": 4}):
         with pytest.raises(ValueError):
             Forest(whole, (Feature("x", "continuous"),), SingleTree(), stopper=Stopper(10_000, 10), **more).update_targets().expand_in_memory(1)
+
+
+def test_embeddings_are_split_on_any_component_as_by_brute_force(spark, tmp_path):
+    from sylva import queries
+
+    x = np.round(np.random.default_rng(3).normal(size=(200, 64)), 1)
+    y = (x[:, 40] >= 0.3).astype(int)
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, y))], "vec_id long, embedding array<double>, label int")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows, features = queries._embeddings(spark, str(tmp_path))
+    assert [f.name for f in features] == [f"e{k}" for k in range(64)]
+    tree = Forest(rows, features, SingleTree(), stopper=Stopper(2000, 20)).update_targets().expand_in_memory(1).trees[0]
+    columns = {r["id"]: r for r in rows.withColumns({f"v_{f.name}": f.value() for f in features}).collect()}
+    best = None
+    for f in sorted(f.name for f in features):
+        v = np.array([columns[k][f"v_{f}"] for k in range(200)])
+        for cut in np.unique(v)[1:]:
+            table = np.array([[((v < cut) == side)[y == k].sum() for k in (0, 1)] for side in (True, False)], float)
+            expected = table.sum(axis=1)[:, None] * table.sum(axis=0)[None] / 200
+            score = round(float(((table - expected) ** 2 / expected).sum()), 9)
+            if best is None or score > best[0]:
+                best = (score, f, T.Predicate("lt", float(cut)))
+    assert (tree.feature, tree.predicate) == best[1:] and tree.feature == "e40"
