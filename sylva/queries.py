@@ -721,6 +721,14 @@ def validation_by_leaf(spark, sf):
     return routing.leaf_targets(routing.route(rows, {2: fixed_tree()})).select(F.col("leaf").cast("long").alias("leaf"), "label", "weight")
 
 
+@query(f"select ({h('kfold', 'id')} % 4)::bigint as tree, ({FIXED})::bigint as leaf, label, sum(weight)::double as weight from ({ORDERS}) group by all")
+def validation_by_leaf_all_trees(spark, sf):
+    """Held-out targets of the leaves of all four trees."""
+    rows = validation_rows(orders(spark, sf), KFold(4))
+    targets = routing.leaf_targets(routing.route(rows, {i: fixed_tree() for i in range(4)}))
+    return targets.select(F.col("tree").cast("long").alias("tree"), F.col("leaf").cast("long").alias("leaf"), "label", "weight")
+
+
 @query(f"""select id, arg_max(leaf, w) as leaf from (select id, unnest([0, 1, 2, 3])::bigint as leaf, unnest([5.0, 9.0, 20.0, 3.0]) as w, unnest([
     coalesce(value < 200, true) and coalesce(user_id < 50, true), coalesce(value < 200, true) and coalesce(user_id >= 50, true),
     coalesce(value >= 200, true) and coalesce(value < 400, true), coalesce(value >= 200, true) and coalesce(value >= 400, true)]) as hit from ({EVENTS})) where hit group by id""")
