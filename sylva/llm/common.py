@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,9 +20,11 @@ _BASE = U64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
+    """The folder that driver and executors share, spark.checkpoint.dir; where it is unset, a new one if all run in this process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="sylva-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -70,10 +73,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SMALL_SHARE = 8 << 20  # bytes of a file for each core below which rows are dealt out anew
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out over all cores if its files are small for them: a file is read by as many tasks as it has row groups."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_SHARE else df
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# ---------------------------------------------------------------- columns
+
+
+def sealed(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with the columns `used` under these names and all others as c0, c1, ...; and what gives back all by their own names.
+
+    So no name of an input column, with dots or twice the same, can clash with an operator's own.
+    """
+    own: list[str] = []
+    for k, c in enumerate(docs.columns):
+        own.append(c.lower() if c.lower() in used and c.lower() not in own else f"c{k}")
+    return docs.toDF(*own), lambda df: df.select(*own).toDF(*docs.columns)
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """The name, with as many underscores after it as it takes to be none of docs' columns."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 # ---------------------------------------------------------------- Arrow mapping
 
 

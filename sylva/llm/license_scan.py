@@ -3,12 +3,15 @@ r"""License scans by ordered signature rules, in DataFrame expressions only.
 A text becomes its words, lower-cased and joined by single spaces.  A rule is a regex over whole words, with a keyword,
 a priority and a confidence.  The rules come from hand-written families (names, identifiers and typical phrases of a
 license) times forms of mention; some hundreds in all.  A rule runs on a text only if two plain substrings stand there,
-the keyword of its family and a word of its form; texts without a word of any form are passed over at once.  Of
-overlapping detections one that lies inside a longer one goes, and of equal or crossing ones the one of
-lower priority goes; the labels of those left are joined to the base labels.
+the keyword of its family and a word of its form; texts without a word of any form are passed over at once.
 
-Edge cases: null and empty texts have no words (n_words 0, no labels, score 0); repeated rows are treated alike; an
-empty table gives an empty table; other columns are ignored.
+A rule's detections are its leftmost non-overlapping matches.  Overlaps are resolved in order of priority (then of the rules
+below): a detection stays if it overlaps none that stays already, so what lies inside or across a detection of higher
+priority goes, and one that has gone itself suppresses nothing.  Priorities follow containment: a form or a name that holds
+another has the higher one.  The labels of those left are joined to the base labels.
+
+Edge cases: null and empty texts have no words (n_words 0, no labels, score 0); only A-Z are lower-cased, so other letters
+never turn into ASCII; repeated rows are treated alike; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +22,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .arrays import apart, let, running
+from .common import spread, table
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # The base phrases and their labels.
@@ -80,11 +84,13 @@ FORMS = (
     (r"{name} {version} licen[cs]e", " licen", 78, 0.95),
     (r"{name} licen[cs]e", " licen", 70, 0.9),
     (r"under (?:the )?{name} {version}", " under ", 60, 0.8),
-    (r"subject to (?:the )?(?:terms of (?:the )?)?{name}(?: licen[cs]e)?", " subject to ", 65, 0.85),
+    (r"subject to (?:the )?(?:terms of (?:the )?)?{name}(?: licen[cs]e)?", " subject to ", 85, 0.95),
     (r"spdx licen[cs]e identifier {name}(?: {version})?(?: only| or later)?", " spdx ", 99, 1.0),
-    (r"see (?:the )?{name} licen[cs]e(?: {version})? for (?:more )?details", " see ", 75, 0.9),
+    (r"see (?:the )?{name} licen[cs]e(?: {version})? for (?:more )?details", " see ", 88, 0.95),
     (r"dual licen[cs]ed under (?:the )?{name}(?: licen[cs]e)?(?: {version})? (?:and|or)", " dual ", 92, 0.98),
 )
+#: Added to the priority of families whose names hold the name of another.
+NARROWER = {"lgpl": 20, "agpl": 20}
 #: Rules of their own.
 SINGLE = (
     Rule("creative commons", r"creative commons (?:licen[cs]e )?attribution(?: [1-4] 0)?", "cc-by", 70, 0.9),
@@ -119,109 +125,107 @@ def rules() -> list[Rule]:
         if version is None and form.endswith("{version}") and "(?: {version})" not in form or version is None and "{version} " in form and "(?: {version})" not in form:
             continue
         form = form.replace("(?: {version})?", "") if version is None else form.replace("{version}", version)
-        out.append(Rule(keyword, form.replace("{name}", name), label, priority, confidence, word))
-    return out
+        out.append(Rule(keyword, form.replace("{name}", name), label, priority + NARROWER.get(label, 0), confidence, word))
+    return sorted(out, key=lambda r: -r.priority)
 
 
 # ---------------------------------------------------------------- expressions
 
+#: What other letters turn into ASCII when lower-cased: the Kelvin sign, and the capital i with a dot.
+TURNING = "Kİ"
+_A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 
 def words_of(text: Column) -> Column:
     """The words of a text, joined by single spaces, with a space before and after."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS, " ")
+    text = F.coalesce(text, F.lit(""))
+    turning = F.contains(text, F.lit(TURNING[0])) | F.contains(text, F.lit(TURNING[1]))
+    # lower() is much the faster; what else it changes is no separator, and in no rule.
+    plain = F.regexp_replace(F.when(turning, F.translate(text, _A, _Z)).otherwise(F.lower(text)), SEPARATORS, " ")
     return F.concat(F.lit(" "), F.trim(plain), F.lit(" "))
 
 
 _spaces = "(length({0}) - length(replace({0}, ' ', '')))".format
 
 
-def starts(pieces: str) -> str:
-    """SQL of the word positions at which matches begin, from the text split before each match.
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    The first piece has a space before each of its words, the others one before each word but the first.
-    """
-    return f"""aggregate(slice({pieces}, 2, size({pieces})),
-      cast(struct({_spaces(f'{pieces}[0]')}, array()) as struct<at: int, out: array<int>>),
-      (a, p) -> struct(a.at + {_spaces('p')} + 1 as at, concat(a.out, array(a.at)) as out), a -> a.out)"""
 
+def known() -> str:
+    """SQL of all rules, grouped by keyword: structs (keyword, rules), the rules with their place in the order of priority."""
+    groups: dict[str, list[str]] = {}
+    for k, r in enumerate(rules()):
+        # A match begins with the space before its first word and ends before the next space: it has as many spaces as words.
+        own = f"named_struct('index', {k}, 'pattern', {_text(f' (?:{r.pattern})(?= )')}, 'form', {_text(r.form or f' {r.keyword}')}, 'label', '{r.label}', 'confidence', {r.confidence}D)"
+        groups.setdefault(r.keyword, []).append(own)
+    return "array(" + ", ".join(f"named_struct('keyword', ' {keyword}', 'rules', array({', '.join(own)}))" for keyword, own in groups.items()) + ")"
 
-def detections(words: str) -> str:
-    """SQL of structs (s, e, priority, label, confidence), s and e in words, of all rules that apply."""
-    active = f"""flatten(transform(filter(__rules, g -> contains({words}, g.keyword)), g -> filter(g.rules, r -> contains({words}, r.form))))"""
-    return f"""flatten(transform({active}, r ->
-      aggregate(slice(split({words}, r.before, -1), 2, 1000000000),
-        cast(struct({_spaces(f'split({words}, r.before, 2)[0]')}, array()) as
-          struct<at: int, out: array<struct<s: int, e: int, priority: int, index: int, label: string, confidence: double>>>),
-        (a, p) -> struct(a.at + {_spaces('p')} + 1 as at,
-          concat(a.out, array(struct(a.at as s, a.at + {_spaces('regexp_extract(concat(p, " "), r.head, 0)')} as e,
-            r.priority as priority, r.index as index, r.label as label, r.confidence as confidence))) as out),
-        a -> a.out)))"""
 
+SPAN = "struct<s: int, e: int, label: string, confidence: double>"
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of each row of docs."""
-    # Priority, then the order above, decides between equals; the index keeps that through the grouping by keyword.
-    known = [
-        {"before": f" (?=(?:{r.pattern}) )", "head": f"^(?:{r.pattern}) ", "form": r.form or f" {r.keyword}", "index": k, "own": r}
-        for k, r in enumerate(sorted(rules(), key=lambda r: -r.priority))
-    ]
-    groups = []
-    for keyword in dict.fromkeys(k["own"].keyword for k in known):
-        own = [
-            F.struct(*[F.lit(k[c]).alias(c) for c in ("before", "head", "form", "index")], F.lit(k["own"].priority).alias("priority"), F.lit(k["own"].label).alias("label"), F.lit(k["own"].confidence).alias("confidence"))
-            for k in known
-            if k["own"].keyword == keyword
-        ]
-        groups.append(F.struct(F.lit(f" {keyword}").alias("keyword"), F.array(*own).alias("rules")))
-    literal = F.array(*groups)
-    forms = " or ".join(f"contains(__w, '{form}')" for form in sorted({k["form"] for k in known}))
+
+def by_rule(words: str) -> str:
+    """SQL of structs (index, found) of the rules that match, by priority; found: structs as SPAN, in words from 0."""
+    active = f"flatten(transform(filter(__rules, g -> contains({words}, g.keyword)), g -> filter(g.rules, r -> contains({words}, r.form))))"
+    matched = f"filter(transform({active}, r -> struct(r.index as index, r as r, regexp_extract_all({words}, r.pattern, 0) as m)), f -> size(f.m) > 0)"
+    length = "transform(f.m, (m, i) -> {0} + {1})".format(_spaces("gaps[i]"), _spaces("m"))
+    span = f"struct(at[i] + {_spaces('gaps[i]')} as s, at[i] + {_spaces('gaps[i]')} + {_spaces('m')} as e, f.r.label as label, f.r.confidence as confidence)"
+    found = let("gaps", f"split({words}, f.r.pattern, -1)", let("n", length, let("at", running("n"), f"transform(f.m, (m, i) -> {span})")))
+    return f"array_sort(transform({matched}, f -> struct(f.index as index, {found} as found)))"
+
+
+def detections(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, the number, first and last place of each base phrase, and `found`: the detections that stay, structs
+    (s, e, label, confidence) with the place of the first word and of the one after the last, by priority."""
+    forms = " or ".join(f"contains(__w, '{form}')" for form in sorted({r.form or f" {r.keyword}" for r in rules()}))
     df = docs.select("doc_id", words_of(F.col("text")).alias("__w"))
     n_words = F.when(F.length("__w") > 2, F.expr(f"{_spaces('__w')} - 1")).otherwise(0)
-    gate = {p: f"contains(__w, ' {p} ')" for p in BASE}
-    pieces = [
-        F.when(F.expr(gate[p]), F.split("__w", f" (?={p} )", -1)).otherwise(F.array(F.lit(""))).alias(f"__p{k}") for k, p in enumerate(BASE)
+    # Split before each place: the first piece has a space before each of its words, the last one as many as words.
+    pieces = [F.when(F.expr(f"contains(__w, ' {p} ')"), F.split("__w", f" (?={p} )", -1)).otherwise(F.array(F.lit(""))).alias(f"__p{k}") for k, p in enumerate(BASE)]
+    df = df.select("doc_id", "__w", n_words.alias("n_words"), F.expr(forms).alias("__hit"), *pieces)
+    places = [
+        F.expr(f"if(size(__p{k}) > 1, struct(size(__p{k}) - 1 as n, {_spaces(f'__p{k}[0]')} as first, n_words - {_spaces(f'element_at(__p{k}, -1)')} as last), null)").alias(f"base{k}")
+        for k in range(len(BASE))
     ]
-    df = df.select("doc_id", "__w", n_words.cast("long").alias("n_words"), F.expr(forms).alias("__hit"), *pieces)
-    at = [F.when(F.size(f"__p{k}") > 1, F.expr(starts(f"__p{k}"))).otherwise(F.array().cast("array<int>")).alias(f"__s{k}") for k in range(len(BASE))]
-    df = df.select("doc_id", "n_words", "__w", "__hit", *at, F.when(F.col("__hit"), literal).alias("__rules"))
-    none = F.array().cast("array<struct<s: int, e: int, priority: int, index: int, label: string, confidence: double>>")
-    df = df.select("doc_id", "n_words", *[f"__s{k}" for k in range(len(BASE))], F.when(F.col("__hit"), F.expr(detections("__w"))).otherwise(none).alias("__all"))
-    kept = """filter(__all, d -> not exists(__all, o -> o.s < d.e and d.s < o.e and (
-        (o.s <= d.s and d.e <= o.e and o.e - o.s > d.e - d.s)
-        or (not (d.s <= o.s and o.e <= d.e and d.e - d.s > o.e - o.s)
-            and (o.priority > d.priority or (o.priority = d.priority and (o.index < d.index or (o.index = d.index and o.s < d.s))))))))"""
-    df = df.withColumn("__kept", F.expr(kept))
-    places = F.concat(*[f"__s{k}" for k in range(len(BASE))])
-    base = F.array_compact(F.array(*[F.when(F.size(f"__s{k}") > 0, F.lit(label)) for k, label in enumerate(BASE.values())]))
-    doubt = F.aggregate(F.col("__kept"), F.lit(1.0), lambda a, d: a * (1 - d["confidence"] * 0.999))
+    df = df.select("doc_id", "n_words", "__w", *places, F.when(F.col("__hit"), F.expr(known())).alias("__rules"))
+    df = df.select("doc_id", "n_words", *[f"base{k}" for k in range(len(BASE))], F.when(F.col("__rules").isNotNull(), F.expr(by_rule("__w"))).alias("__all"))
+    kept = f"aggregate(__all, cast(array() as array<{SPAN}>), (kept, d) -> concat(kept, {let('own', 'd.found', apart('own', 'kept'))}))"
+    none = F.array().cast(f"array<{SPAN}>")
+    return df.select("doc_id", "n_words", *[f"base{k}" for k in range(len(BASE))], F.when(F.size("__all") > 0, F.expr(kept)).otherwise(none).alias("found"))
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of each row of docs."""
+    df = detections(docs)
+    bases = [f"base{k}" for k in range(len(BASE))]
+    base = F.array_compact(F.array(*[F.when(F.col(b).isNotNull(), F.lit(label)) for b, label in zip(bases, BASE.values())]))
+    doubt = F.aggregate(F.col("found"), F.lit(1.0), lambda a, d: a * (1 - d["confidence"] * 0.999))
     doubt = F.when(F.size(base) > 0, doubt * 0.1).otherwise(doubt)
     return df.select(
         "doc_id",
-        "n_words",
-        F.size(places).cast("long").alias("n_base"),
-        F.array_min(places).cast("long").alias("first_word"),
-        F.array_max(places).cast("long").alias("last_word"),
+        F.col("n_words").cast("long").alias("n_words"),
+        sum((F.coalesce(F.col(b)["n"], F.lit(0)) for b in bases), F.lit(0)).cast("long").alias("n_base"),
+        F.least(*[F.col(b)["first"] for b in bases]).cast("long").alias("first_word"),
+        F.greatest(*[F.col(b)["last"] for b in bases]).cast("long").alias("last_word"),
         F.array_join(F.array_sort(base), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat(base, F.expr("transform(__kept, d -> d.label)")))), ",").alias("labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat(base, F.expr("transform(found, d -> d.label)")))), ",").alias("labels"),
         (1 - doubt).alias("score"),
     )
 
 
 def op6_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(spread(table(spark, sf_dir, "documents")))
 
 
 def oracle() -> str:
-    """SQL of the same result: every rule at every word of the texts that pass its gates."""
-    ordered = sorted(rules(), key=lambda r: -r.priority)
-    groups = {k: i for i, k in enumerate(dict.fromkeys(r.keyword for r in ordered))}
-    known = ", ".join(
-        f"({i}, {groups[r.keyword]}, ' {r.keyword}', '{r.form or ' ' + r.keyword}', '^(?:{r.pattern}) ', '{r.label}', {r.priority}, {r.confidence!r}::double)"
-        for i, r in enumerate(ordered)
+    """SQL of the same result: every rule at every word of the texts that pass its gates, overlaps resolved one by one."""
+    listed = ", ".join(
+        f"({i}, ' {r.keyword}', '{r.form or ' ' + r.keyword}', '^(?:{r.pattern}) ', '{r.label}', {r.confidence!r}::double)" for i, r in enumerate(rules())
     )
     phrases = ", ".join(f"({k}, '{p}', '{label}')" for k, (p, label) in enumerate(BASE.items()))
     return f"""
-with rules(idx, grp, keyword, form, pattern, label, priority, confidence) as (values {known}),
+with rules(idx, keyword, form, pattern, label, confidence) as (values {listed}),
 base(k, phrase, label) as (values {phrases}),
 texts as (
   select row_number() over () as r, doc_id, ' ' || trim(regexp_replace(
@@ -235,15 +239,17 @@ based as (select r, count(*) as n_base, min(pos) as first_word, max(pos) as last
 active as (select e.r, e.words, u.* from ends e join rules u on contains(e.w, u.keyword) and contains(e.w, u.form)),
 spots as (select *, unnest(range(0, len(words))) as s from active),
 tried as (select *, regexp_extract(array_to_string(words[s + 1:s + 40], ' ') || ' ', pattern) as m from spots),
-hits as (select r, idx, grp, label, priority, confidence, s, s + length(m) - length(replace(m, ' ', '')) as e from tried where m <> ''),
+hits as (select r, idx, label, confidence, s, s + length(m) - length(replace(m, ' ', '')) as e from tried where m <> ''),
+own as (
+  select r, unnest(list_reduce(list([{{'idx': idx, 's': s, 'e': e, 'label': label, 'confidence': confidence}}] order by s),
+    lambda a, x: case when a[-1].e <= x[1].s then list_concat(a, x) else a end)) as d
+  from hits group by r, idx),
 kept as (
-  select * from hits d where not exists (
-    select 1 from hits o where o.r = d.r and o.s < d.e and d.s < o.e and (
-      (o.s <= d.s and d.e <= o.e and o.e - o.s > d.e - d.s)
-      or (not (d.s <= o.s and o.e <= d.e and d.e - d.s > o.e - o.s)
-        and (o.priority > d.priority or (o.priority = d.priority and (o.idx < d.idx or (o.idx = d.idx and o.s < d.s)))))))),
+  select r, unnest(list_reduce(list([d] order by d.idx, d.s),
+    lambda a, x: case when len(list_filter(a, lambda k: k.s < x[1].e and x[1].s < k.e)) = 0 then list_concat(a, x) else a end)) as d
+  from own group by r),
 found as (
-  select r, list(distinct label) as labels, list_reduce(list(1 - confidence * 0.999 order by grp, idx, s), lambda a, b: a * b) as doubt from kept group by r)
+  select r, list(distinct d.label) as labels, list_reduce(list(1 - d.confidence * 0.999 order by d.idx, d.s), lambda a, b: a * b) as doubt from kept group by r)
 select e.doc_id, len(e.words)::bigint as n_words, coalesce(b.n_base, 0)::bigint as n_base, b.first_word::bigint as first_word, b.last_word::bigint as last_word,
   coalesce(array_to_string(b.labels, ','), '') as base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ','), '') as labels,

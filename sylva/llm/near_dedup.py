@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, discard, map_arrow, materialise, mix, parts, shingles, table, texts_of, unit, word_hashes
+from .common import U64, chunks, discard, map_arrow, materialise, mix, parts, shingles, spread, table, texts_of, unit, word_hashes
 
 BANDS, ROWS, THRESHOLD = 25, 5, 0.8
 REGISTERS = BANDS * ROWS
@@ -379,4 +379,4 @@ def _row_name(key, doc_id):
 
 
 def op8_bagminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents"))
+    return classes(spread(table(spark, sf_dir, "documents")))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table, texts_of
+from .common import map_arrow, spread, table, texts_of
 
 RULES = ("first", "largest", "share")
 SCHEMA = "doc_id long, section int, start long, length long, n_tokens long, n_crossing long, tokens double"
@@ -118,4 +118,4 @@ def section_counts(
 
 
 def op1_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return section_counts(table(spark, sf_dir, "documents"))
+    return section_counts(spread(table(spark, sf_dir, "documents")))
