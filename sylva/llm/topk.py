@@ -1,143 +1,328 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
-The components are split into LISTS ranges; a candidate's score is the sum of its partial scores, one in each list.
-Queries meet candidates in blocks (a block of queries and a block of rows in one task; no pair leaves its task unless it
-may be in a result):
-
-  1. every block gathers, for each query, the heads of its lists (the k best partial scores in each) and sends the k best
-     full scores among them.  The k-th best of what all blocks sent is a safe cutoff: the true k-th is no lower.
-  2. the cutoff goes back to all blocks with the queries.  A score that reaches it has a partial score of at least
-     cutoff / LISTS in some list, signed or not; the block collects the entries of each list down to there.
-  3. the missing partial scores of the collected candidates are resolved, and the scores that reach the cutoff are sent.
-
-Edge cases: rows without id, with a null vector, or with null or non-finite components take no part; vectors of
-different lengths are compared as if filled with zeros; candidates with the id of the query are its own rows; with fewer
-than k candidates the cutoff is minus infinity and all are returned; ties go to the smaller id; repeated candidate rows
-are ranked as often as they occur and repeated queries once; an empty table gives an empty table.
+The components are split into LISTS ranges.  In a range every candidate has a partial score for a query: the entries of the
+query's score list there; a score is the sum of a candidate's entries in all lists.  Each list is kept by tasks of its own,
+which get the components of one range only, of a block of queries and a block of rows.
+
+  1. gather: the tasks of a list send the k best entries of each query.  The entries that the best of each list lack in the
+     other lists are fetched, and the k-th best of their scores is a safe cutoff: the true k-th is no lower.
+  2. collect: the cutoff goes to all lists with the queries.  A score that reaches it has an entry of at least
+     cutoff / LISTS in some list, signed or not; each list sends its entries down to there, and passes over rows whose
+     length rules that out.
+  3. resolve: entries of one pair are added, what a pair lacks is fetched from the list that has it, for these pairs alone,
+     and the scores that reach the cutoff are ranked.
+
+Numbers too large for exact sums in doubles (a component of millions or more) are searched in one list: bounds on the
+rounding widen the cutoff, and what reaches it is scored in whole numbers of any size.
+
+Edge cases: rows without id, with a null vector, or with null or non-finite components take no part; components of 2**500
+and more are an error; scores beyond a 64-bit integer are given as its nearest end; vectors of different lengths are
+compared as if filled with zeros.  An id is ranked once: repeated rows count once, and an id with several different vectors
+has the best score of any of them, as a query and as a candidate.  Candidates with the id of the query are its own rows;
+with fewer than k candidates the cutoff is minus infinity and all are returned; ties go to the smaller id; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_arrow, materialise, parts, table
-from .vectors import by_group, lists, matrix, valid
+from .common import map_arrow, materialise, on_workers, parts, table
+from .vectors import lists, matrix, valid
 
 LISTS = 2
-ROWS, QUERIES, STRIP = 16_384, 2_048, 2_048  # rows and queries of a block; rows multiplied at once
+ROWS, QUERIES, STRIP = 16_384, 4_096, 512  # rows and queries of a block; rows multiplied at once
+LARGEST = 2.0**500
 
 
 def quantised(rows: DataFrame, scale: float = 64.0) -> DataFrame:
-    """(vec_id, v) with v the packed 64-bit integers floor(scale * x)."""
+    """(vec_id, v, most): the whole numbers floor(scale * x) as packed doubles, and the largest magnitude of them."""
 
     def pack(b: pa.RecordBatch) -> pa.RecordBatch:
-        packed = [np.floor(x * scale).astype(np.int64).tobytes() for x in lists(b.column("v"))]
-        return pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(packed, pa.binary())], ["vec_id", "v"])
+        found = [np.floor(x * scale) + 0.0 for x in lists(b.column("v"))]
+        most = [float(np.abs(x).max(initial=0)) for x in found]
+        if max(most, default=0) >= LARGEST:
+            raise ValueError("a component is too large for inner products in doubles")
+        packed = [x.tobytes().rstrip(b"\0") for x in found]
+        packed = [p.ljust(-(-len(p) // 8) * 8, b"\0") for p in packed]
+        return pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(packed, pa.binary()), pa.array(most, pa.float64())], ["vec_id", "v", "most"])
 
-    return map_arrow(valid(rows, zeros=True), pack, "vec_id long, v binary")
+    return map_arrow(valid(rows, zeros=True), pack, "vec_id long, v binary, most double")
+
+
+# ---------------------------------------------------------------- tasks
 
 
 class _Block:
-    """The queries and rows of one task."""
-
-    def __init__(self, t: pa.Table):
-        kind = t.column("side").to_numpy()
-        v = matrix(t.column("v").combine_chunks(), np.int64)
-        self.ids = t.column("vec_id").to_numpy()
-        self.query, self.row = self.ids[kind == 0], self.ids[kind == 1]
-        self.cutoff = t.column("cutoff").to_numpy(zero_copy_only=False)[kind == 0]
-        most = int(np.abs(v).max(initial=0))
-        if v.shape[1] * most * most < 1 << 53:  # sums are exact in doubles, which multiply faster
-            v = v.astype(np.float64)
-        cuts = np.linspace(0, v.shape[1], LISTS + 1).astype(int)
-        self.lists = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:])]
-        self.q, self.x = v[kind == 0], v[kind == 1]
-
-    def strips(self):
-        """Row offset, partial scores by list, and which rows are the query's own, a strip of rows at a time."""
+    """The queries and rows of one task, in one range of components."""
+
+    def __init__(self, t: pa.Table, kind: type):
+        row = t.column("side").to_numpy() == 1
+        v, ids, r = matrix(t.column("v").combine_chunks(), kind), t.column("vec_id").to_numpy(), t.column("r").to_numpy()
+        self.q, self.query, self.qr = v[~row], ids[~row], r[~row]
+        self.cutoff = t.column("cutoff").to_numpy(zero_copy_only=False)[~row]
+        length = np.sqrt((v[row].astype(np.float64) ** 2).sum(axis=1))
+        order = np.argsort(-length, kind="stable")  # long rows first
+        self.x, self.row, self.r, self.length = v[row][order], ids[row][order], r[row][order], length[order]
+        self.reach = np.sqrt((self.q.astype(np.float64) ** 2).sum(axis=1))
+
+    def strips(self) -> Iterator[tuple[slice, np.ndarray]]:
+        """Rows and their partial scores, minus infinity for the query's own rows, a strip at a time."""
         for lo in range(0, len(self.row), STRIP):
-            x = self.x[lo : lo + STRIP]
-            part = [self.q[:, c] @ x[:, c].T for c in self.lists]
-            own = self.query[:, None] == self.row[None, lo : lo + STRIP]
-            yield lo, part, own
-
-
-def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    return np.argpartition(scores, -k, axis=1)[:, -k:] if scores.shape[1] > k else np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
-
-
-def _heads(k: int):
-    def run(t: pa.Table) -> pa.RecordBatch | None:
-        block = _Block(t)
-        kept = np.zeros((len(block.query), 0))
-        for _, part, own in block.strips():
-            seen = np.zeros(own.shape, bool)
-            for scores in part:
-                np.put_along_axis(seen, _best(np.where(own, -np.inf, scores), k), True, axis=1)
-            seen &= ~own
-            full = np.full(own.shape, -np.inf)
-            full[seen] = sum(scores[seen] for scores in part)
-            both = np.concatenate([kept, np.take_along_axis(full, _best(full, k), axis=1)], axis=1)
-            kept = np.take_along_axis(both, _best(both, k), axis=1)
-        i, j = np.nonzero(np.isfinite(kept))
-        return pa.RecordBatch.from_arrays([pa.array(block.query[i]), pa.array(kept[i, j].astype(np.float64))], ["query_id", "score"])
+            at = slice(lo, lo + STRIP)
+            scores = (self.q @ self.x[at].T).astype(np.float64)
+            scores[self.query[:, None] == self.row[None, at]] = -np.inf
+            yield at, scores
+
+    def slack(self, at: slice) -> np.ndarray:
+        """A bound on the rounding of the partial scores of a strip; 0 where sums are exact."""
+        return np.outer(self.reach, self.length[at]) * (max(self.x.shape[1], 1) * 2.0**-50)
+
+    def places(self, ids: np.ndarray, of: str) -> np.ndarray:
+        r = getattr(self, of)
+        order = np.argsort(r)
+        return order[np.searchsorted(r, ids, sorter=order)]
+
+
+Task = Callable[[_Block, pa.RecordBatch | None], Iterator[pa.RecordBatch]]
+
+
+def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "double": pa.float64(), "int": pa.int32()}
+    names = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c).cast(kinds[k]) for c, (_, k) in zip(columns, names)], [n for n, _ in names])
+
+
+HEADS = "q long, r long, vec_id long, list int, p double"
+
+
+def _heads(k: int, list_: int, exact: bool) -> Task:
+    """The k best entries of each query, an id once."""
+
+    def run(block: _Block, _) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(block.query), k), -np.inf)
+        at_row = np.full(best.shape, -1)
+        for at, scores in block.strips():
+            if not exact:
+                scores = scores - block.slack(at)
+            near = np.argpartition(scores, -k, axis=1)[:, -k:] if scores.shape[1] > k else np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
+            both = np.concatenate([best, np.take_along_axis(scores, near, axis=1)], axis=1)
+            rows = np.concatenate([at_row, near + at.start], axis=1)
+            ids = np.where(rows >= 0, block.row[rows], np.iinfo(np.int64).min)
+            order = np.lexsort((-both, ids), axis=-1)
+            both, rows, ids = (np.take_along_axis(c, order, axis=1) for c in (both, rows, ids))
+            both[:, 1:][ids[:, 1:] == ids[:, :-1]] = -np.inf  # an id's other vectors
+            top = np.argsort(-both, axis=1, kind="stable")[:, :k]
+            best, at_row = np.take_along_axis(both, top, axis=1), np.take_along_axis(rows, top, axis=1)
+        i, j = np.nonzero(np.isfinite(best))
+        own = at_row[i, j]
+        yield _batch(HEADS, block.qr[i], block.r[own], block.row[own], np.full(len(i), list_), best[i, j])
 
     return run
 
 
-def _resolve(t: pa.Table) -> pa.RecordBatch | None:
-    block = _Block(t)
-    need = block.cutoff / LISTS
-    need -= np.where(np.isfinite(need), np.abs(need) * 1e-12, 0)  # for sums too large for a double
-    found = [[], [], []]
-    for lo, part, own in block.strips():
-        collected = np.zeros(own.shape, bool)
-        for scores in part:
-            collected |= scores >= need[:, None]
-        i, j = np.nonzero(collected & ~own)
-        score = sum(scores[i, j] for scores in part)
-        reach = score >= block.cutoff[i]
-        for column, values in zip(found, (block.query[i[reach]], block.row[lo + j[reach]], score[reach])):
-            column.append(values)
-    if not found[0]:
-        return None
-    q, r, s = (np.concatenate(c) for c in found)
-    return pa.RecordBatch.from_arrays([pa.array(q), pa.array(r), pa.array(s.astype(np.int64))], ["query_id", "vec_id", "score"])
-
-
-def _blocks(queries: DataFrame, rows: DataFrame, n_queries: int, n_rows: int) -> DataFrame:
-    """Every query in every block of rows, every row in every block of queries."""
-    b, c = max(1, -(-n_rows // ROWS)), max(1, -(-n_queries // QUERIES))
-    left = queries.select(
-        F.expr(f"cast(pmod(xxhash64(vec_id, 'q'), {c}) as int)").alias("qb"), F.explode(F.expr(f"sequence(0, {b - 1})")).alias("rb"),
-        F.lit(0).alias("side"), "vec_id", "v", "cutoff",
-    )
-    right = rows.select(
-        F.explode(F.expr(f"sequence(0, {c - 1})")).alias("qb"), F.expr(f"cast(pmod(xxhash64(vec_id, v, 'r'), {b}) as int)").alias("rb"),
-        F.lit(1).alias("side"), "vec_id", "v", F.lit(0.0).alias("cutoff"),
-    )
-    return left.union(right)
-
-
-def top_k(rows: DataFrame, is_query: Column, k: int, scale: float = 64.0) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score of the k best candidates of each query."""
-    spark = rows.sparkSession
-    all_ = materialise(quantised(rows, scale), "quantised")
-    queries = all_.where(is_query).dropDuplicates(["vec_id"]).withColumn("cutoff", F.lit(float("-inf")))
-    n_rows, n_queries = all_.count(), queries.count()
-    cells = max(1, -(-n_rows // ROWS)) * max(1, -(-n_queries // QUERIES))
-    n = max(parts(spark), min(4 * parts(spark), cells))
-    heads = by_group(_blocks(queries, all_, n_queries, n_rows), ["qb", "rb"], ["side"], n, _heads(k), "query_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"))
-    cutoff = heads.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("safe"))
-    bounded = queries.join(materialise(cutoff, "cutoff"), "vec_id", "left").select("vec_id", "v", F.coalesce("safe", "cutoff").alias("cutoff"))
-    found = by_group(_blocks(bounded, all_, n_queries, n_rows), ["qb", "rb"], ["side"], n, _resolve, "query_id long, vec_id long, score long")
+ENTRIES = "q long, r long, known double, have int"
+
+
+def _collect(list_: int, share: int, exact: bool) -> Task:
+    """Entries of at least cutoff / share; whole scores where sums in doubles aren't exact."""
+
+    def run(block: _Block, _) -> Iterator[pa.RecordBatch]:
+        need = block.cutoff / share
+        for lo in range(0, len(block.row), STRIP):
+            longest = block.length[lo]
+            able = block.reach * longest * (1 + 1e-9) >= need
+            if not able.any():
+                return  # nor has any later row, as they are shorter
+            at = slice(lo, lo + STRIP)
+            scores = (block.q[able] @ block.x[at].T).astype(np.float64)
+            bound = scores if exact else scores + block.slack(at)[able]
+            hit = (bound >= need[able][:, None]) & (block.query[able][:, None] != block.row[None, at])
+            i, j = np.nonzero(hit)
+            queries = np.flatnonzero(able)[i]
+            known = scores[i, j] if exact else _whole(block.q[queries], block.x[at][j])
+            yield _batch(ENTRIES if exact else SCORES, block.qr[queries], block.r[at][j], known, *([np.full(len(i), 1 << list_)] if exact else []))
+
+    return run
+
+
+SCORES = "q long, r long, score long"
+_ENDS = (-(1 << 63), (1 << 63) - 1)
+
+
+def _whole(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, in whole numbers of any size, then brought into 64 bits."""
+    out = [sum(int(x) * int(y) for x, y in zip(u, v)) for u, v in zip(a, b)]
+    return np.array([min(max(s, _ENDS[0]), _ENDS[1]) for s in out], np.int64)
+
+
+def _fetch(list_: int) -> Task:
+    """The entries that pairs lack in this list, added to what is known."""
+
+    def run(block: _Block, asked: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
+        if asked is None:
+            return
+        q, r = asked.column("q").to_numpy(), asked.column("r").to_numpy()
+        i, j = block.places(q, "qr"), block.places(r, "r")
+        for lo in range(0, len(q), 1 << 16):
+            at = slice(lo, lo + (1 << 16))
+            p = np.einsum("ij,ij->i", block.q[i[at]].astype(np.float64), block.x[j[at]].astype(np.float64))
+            known, have = asked.column("known").to_numpy()[at], asked.column("have").to_numpy()[at]
+            yield _batch(ENTRIES, q[at], r[at], known + p, have | (1 << list_))
+
+    return run
+
+
+# ---------------------------------------------------------------- plans
+
+
+class _Lists:
+    """All rows and queries as score lists by range, in blocks."""
+
+    def __init__(self, rows: DataFrame, k: int):
+        self.rows, self.spark, self.k = rows, rows.sparkSession, k
+        self.n, self.asked, most, width = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("asked").cast("long")), F.lit(0)), F.coalesce(F.max("most"), F.lit(0.0)), F.coalesce(F.max(F.length("v")), F.lit(0))).first()
+        width, largest = width // 8, most * most * max(width // 8, 1)
+        self.exact = largest < 2.0**53
+        self.count = LISTS if self.exact and width >= LISTS else 1
+        self.kind = np.float32 if largest < 2.0**24 else np.float64
+        self.cuts = [round(width * c / self.count) for c in range(self.count + 1)]
+        self.rb, self.qb = max(1, -(-self.n // ROWS)), max(1, -(-self.asked // QUERIES))
+
+    def _range(self, list_: int) -> DataFrame:
+        kind, (a, b) = self.kind, self.cuts[list_ : list_ + 2]
+
+        def one(t: pa.RecordBatch) -> pa.RecordBatch:
+            x = matrix(t.column("v"))[:, a:b].astype(kind)
+            return pa.RecordBatch.from_arrays([t.column("r"), t.column("vec_id"), t.column("asked"), pa.array([v.tobytes() for v in x], pa.binary())], ["r", "vec_id", "asked", "v"])
+
+        return map_arrow(self.rows.select("r", "vec_id", "asked", "v"), one, "r long, vec_id long, asked boolean, v binary")
+
+    def _query_block(self, name: str) -> Column:
+        return F.expr(f"cast(pmod(xxhash64({name}, 'q'), {self.qb}) as int)")
+
+    def _row_block(self, name: str) -> Column:
+        return F.expr(f"cast(pmod(xxhash64({name}, 'r'), {self.rb}) as int)")
+
+    def run(self, task: Callable[[int], Task], schema: str, cutoff: DataFrame | None = None, requests: DataFrame | None = None) -> DataFrame:
+        """A task of every list, over each block of its queries and each block of its rows.
+
+        cutoff: (query_id, cutoff).  requests: (list, q, r, known, have), which go to the block that has q and r.
+        """
+        on_workers(self.spark)
+        sides = []
+        for list_ in range(self.count):
+            own = self._range(list_)
+            queries = own.where("asked")
+            if cutoff is None:
+                queries = queries.withColumn("cutoff", F.lit(float("-inf")))
+            else:
+                queries = queries.join(cutoff.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(float("-inf"))))
+            nothing = [F.lit(0).cast("long").alias("q"), F.lit(0.0).alias("known"), F.lit(0).alias("have")]
+            key = F.lit(list_).alias("list")
+            sides.append(queries.select(key, self._query_block("r").alias("qb"), F.explode(F.expr(f"sequence(0, {self.rb - 1})")).alias("rb"), F.lit(0).alias("side"), "r", "vec_id", "v", "cutoff", *nothing))
+            sides.append(own.select(key, F.explode(F.expr(f"sequence(0, {self.qb - 1})")).alias("qb"), self._row_block("r").alias("rb"), F.lit(1).alias("side"), "r", "vec_id", "v", F.lit(0.0).alias("cutoff"), *nothing))
+        if requests is not None:
+            sides.append(
+                requests.select("list", self._query_block("q").alias("qb"), self._row_block("r").alias("rb"), F.lit(2).alias("side"), "r", F.lit(0).cast("long").alias("vec_id"), F.lit(b"").alias("v"), F.lit(0.0).alias("cutoff"), "q", "known", "have")
+            )
+        all_ = sides[0]
+        for side in sides[1:]:
+            all_ = all_.union(side)
+        keys, kind, cells = ["list", "qb", "rb"], self.kind, self.count * self.rb * self.qb
+        tasks = [task(list_) for list_ in range(self.count)]
+
+        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            block = last = None
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                columns = [b.column(c).to_numpy() for c in (*keys, "side")]
+                change = np.zeros(b.num_rows, bool)
+                for c in columns:
+                    change[1:] |= c[1:] != c[:-1]
+                cuts = [0, *np.flatnonzero(change).tolist(), b.num_rows]
+                for lo, hi in zip(cuts[:-1], cuts[1:]):
+                    *now, side = (c[lo] for c in columns)
+                    if now != last:
+                        if held and block is None:
+                            yield from tasks[last[0]](_Block(pa.Table.from_batches(held).combine_chunks(), kind), None)
+                        held, block, last = [], None, now
+                    if side < 2:
+                        held.append(b.slice(lo, hi - lo))
+                    else:  # requests stream by, whatever their number
+                        block = block or _Block(pa.Table.from_batches(held).combine_chunks(), kind)
+                        yield from tasks[now[0]](block, b.slice(lo, hi - lo))
+            if held and block is None:
+                yield from tasks[last[0]](_Block(pa.Table.from_batches(held).combine_chunks(), kind), None)
+
+        n = max(parts(self.spark), min(4 * parts(self.spark), cells))
+        return all_.repartition(n, *keys).sortWithinPartitions(*keys, "side").mapInArrow(stream, schema)
+
+    def complete(self, entries: DataFrame) -> DataFrame:
+        """(q, r, score) of (q, r, known, have), with what is lacking fetched, a list at a time."""
+        full = (1 << self.count) - 1
+        for _ in range(self.count - 1):
+            entries = materialise(entries, "entries")
+            lacking = F.expr(" ".join(["case", *(f"when have & {1 << c} = 0 then {c}" for c in range(self.count)), "end"]))
+            requests = entries.where(f"have <> {full}").withColumn("list", lacking)
+            entries = entries.where(f"have = {full}").union(self.run(_fetch, ENTRIES, requests=requests))
+        return entries.select("q", "r", F.col("known").cast("long").alias("score"))
+
+    def named(self, scores: DataFrame) -> DataFrame:
+        """(query_id, vec_id, score): the best of each pair of ids."""
+        ids = self.rows.select("r", "vec_id")
+        out = scores.join(ids, "r").join(ids.select(F.col("r").alias("q"), F.col("vec_id").alias("query_id")), "q")
+        return out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    def cutoff(self) -> DataFrame:
+        heads = self.run(lambda list_: _heads(self.k, list_, self.exact), HEADS)
+        heads = heads.groupBy("q", "list", "vec_id").agg(F.max("p").alias("p"), F.max_by("r", "p").alias("r"))
+        order = Window.partitionBy("q", "list").orderBy(F.desc("p"), "vec_id")
+        heads = heads.withColumn("n", F.row_number().over(order)).where(F.col("n") <= self.k)
+        if self.exact:
+            scores = self.complete(heads.groupBy("q", "r").agg(F.sum("p").alias("known"), F.sum(F.expr("shiftleft(1, list)")).cast("int").alias("have")))
+        else:  # entries are lower bounds of whole scores
+            scores = heads.select("q", "r", F.col("p").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        ranked = self.named(scores).withColumn("n", F.row_number().over(order)).where(F.col("n") <= self.k)
+        # Scores beyond 64 bits are equal at their end, so all of them reach a cutoff there.
+        score = F.when(F.col("score") > -(2.0**63), F.least(F.col("score").cast("double"), F.lit(2.0**63))).otherwise(float("-inf"))
+        return ranked.where(F.col("n") == self.k).select("query_id", score.alias("cutoff"))
+
+
+def top_k(rows: DataFrame, is_query: Column, k: int, scale: float = 64.0, counts: dict[str, int] | None = None) -> DataFrame:
+    """query_id, rank (from 1), vec_id and score of the k best candidates of each query.
+
+    counts: gets the number of pairs, and of those with an entry collected and with one fetched.
+    """
+    # Repeated rows meet before the shuffle; each vector of an id is then a row with a number of its own.
+    distinct = quantised(rows, scale).groupBy("vec_id", "v").agg(F.max("most").alias("most"))
+    own = materialise(distinct.withColumn("asked", F.coalesce(is_query, F.lit(False))).withColumn("r", F.monotonically_increasing_id()), "rows")
+    search = _Lists(own, k)
+    cutoff = materialise(search.cutoff(), "cutoff")
+    found = search.run(lambda list_: _collect(list_, search.count, search.exact), ENTRIES if search.exact else SCORES, cutoff=cutoff)
+    if search.exact:
+        found = found.groupBy("q", "r").agg(F.sum("known").alias("known"), F.sum("have").cast("int").alias("have"))
+        if counts is not None:
+            found = materialise(found, "collected")
+            lacking = F.sum((F.col("have") != (1 << search.count) - 1).cast("long"))
+            collected, fetched = found.agg(F.count("*"), F.coalesce(lacking, F.lit(0))).first()
+            counts.update(pairs=search.n * search.asked, collected=collected, fetched=fetched)
+        found = search.complete(found)
+        # Sums below the cutoff are no results: they go before ids are joined.
+        asked = own.where("asked").select(F.col("r").alias("q"), F.col("vec_id").alias("query_id"))
+        bound = asked.join(cutoff, "query_id").select("q", "cutoff")
+        found = found.join(bound, "q", "left").where("cutoff is null or score >= cutoff").drop("cutoff")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return search.named(found).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_three_phase_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,8 +337,8 @@ with valid as (
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 scored as (
   select q.vec_id as query_id, c.vec_id,
-    cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score
-  from valid q, valid c where q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+    max(cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint)) as score
+  from valid q, valid c where q.vec_id % 20 = 0 and q.vec_id <> c.vec_id group by all),
 ranked as (
   select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored)
 select query_id, rank, vec_id, score from ranked where rank <= 20

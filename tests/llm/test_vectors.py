@@ -1,6 +1,7 @@
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from sylva.llm import ann, topk
@@ -16,14 +17,23 @@ def test_topk_against_sql(spark, sf):
 
 
 def brute_topk(rows, k, every):
+    """rows: (id, vector), an id with several vectors several times; in whole numbers of any size."""
+    whole = [(i, [int(np.floor(np.float64(x) * 64)) for x in v]) for i, v in rows]
     out = []
-    for q, a in rows:
-        if q % every == 0:
-            found = sorted((-int((np.floor(np.float64(a) * 64).astype(int) * np.floor(np.float64(b) * 64).astype(int)).sum()), i) for i, b in rows if i != q)[:k]
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
+    for q in sorted({i for i, _ in rows if i % every == 0}):
+        best = {}
+        for i, b in whole:
+            for a in (a for j, a in whole if j == q and i != q):
+                best[i] = max(best.get(i, -(1 << 999)), sum(x * y for x, y in zip(a, b)))
+        found = sorted((-min(max(s, -(1 << 63)), (1 << 63) - 1), i) for i, s in best.items())[:k]
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
     return sorted(out)
 
 
+def got_topk(df, k, every, **how):
+    return sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % every == 0, k, **how).select("query_id", "rank", "vec_id", "score").collect())
+
+
 def test_topk_with_ties_signs_and_small_blocks(spark, monkeypatch):
     for name, value in (("ROWS", 40), ("QUERIES", 10), ("STRIP", 16)):
         monkeypatch.setattr(topk, name, value)
@@ -31,9 +41,33 @@ def test_topk_with_ties_signs_and_small_blocks(spark, monkeypatch):
     for shift in (0.0, -3.0, 3.0):
         rows = [(k, [float(x) for x in np.round(rng.normal(size=6) + shift, 1).astype(np.float32)]) for k in range(300)]
         rows += [(300 + k, rows[0][1]) for k in range(100)]
-        df = spark.createDataFrame([(k, v, 0) for k, v in rows], SCHEMA)
-        got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 7 == 0, 20).select("query_id", "rank", "vec_id", "score").collect())
-        assert got == brute_topk(rows, 20, 7)
+        assert got_topk(spark.createDataFrame([(k, v, 0) for k, v in rows], SCHEMA), 20, 7) == brute_topk(rows, 20, 7)
+
+
+def test_topk_ids_with_several_vectors_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(topk, "STRIP", 8)
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.integers(0, 40)) if k % 3 else 0, [float(x) for x in np.round(rng.normal(size=5), 1).astype(np.float32)]) for k in range(150)]
+    df = spark.createDataFrame([(k, v, 0) for k, v in [*rows, *rows[:50], *[rows[0]] * 70]], SCHEMA)
+    assert got_topk(df, 7, 4) == brute_topk(rows, 7, 4)
+
+
+def test_topk_of_huge_components(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, [float(x) for x in rng.normal(size=4).astype(np.float32) * (1, 1e3, 1e9, 1e18, 3e37)[k % 5]]) for k in range(60)]
+    assert got_topk(spark.createDataFrame([(k, v, 0) for k, v in rows], SCHEMA), 6, 4) == brute_topk(rows, 6, 4)
+    rows = [(k, [float(x) for x in rng.normal(size=4).astype(np.float32) * 1e4]) for k in range(60)]
+    assert got_topk(spark.createDataFrame([(k, v, 0) for k, v in rows], SCHEMA), 6, 4) == brute_topk(rows, 6, 4)
+    too_large = spark.createDataFrame([(0, [1e200])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        topk.top_k(too_large, F.col("vec_id") == 0, 2).collect()
+
+
+def test_topk_fetches_for_few_pairs(spark):
+    counts = {}
+    rows = topk.top_k(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), F.col("vec_id") % 20 == 0, 20, counts=counts).count()
+    assert rows == 2000 and counts["pairs"] == 200_000
+    assert 2000 <= counts["collected"] < 0.2 * counts["pairs"] and counts["fetched"] <= counts["collected"]
 
 
 ODD = [
@@ -58,7 +92,7 @@ def test_odd_vectors(spark):
     assert [(r.vec_id, round(r.score, 6)) for r in near if r.query_id == 0] == [(100, 0.0), (1, 1.581139), (700, 2.828427)]
     best = topk.top_k(df, F.col("vec_id") % 100 == 0, 20)
     assert sorted({r.query_id for r in best.collect()}) == [0, 100, 600, 700]
-    assert [r.vec_id for r in best.where("query_id = 0").orderBy("rank").collect()] == [100, 700, 700, 1, 600]
+    assert [r.vec_id for r in best.where("query_id = 0").orderBy("rank").collect()] == [100, 700, 1, 600]
     assert ann.nearest(df.limit(0), F.col("vec_id") % 100 == 0, 10).count() == 0
     assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0, 20).count() == 0
 
