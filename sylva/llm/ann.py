@@ -15,9 +15,10 @@ another's size; distances are computed in double precision.  The BEAM nodes that
 original vectors.
 
 Edge cases: rows without id, with null or zero vectors, or with null or non-finite components take no part; vectors of
-different lengths are compared as if filled with zeros; repeated rows (equal id and vector) count once; candidates with the
-id of the query are its own rows; with fewer than k candidates all are returned; ties go to the smaller id; an empty table
-gives an empty table.
+different lengths are compared as if filled with zeros; repeated rows (equal id and vector) count once, and an id with
+several different vectors is ranked once, at the least distance of any of them, as a query and as a candidate; candidates
+with the id of the query are its own rows; with fewer than k candidates all are returned; ties go to the smaller id; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ INTRODUCED = 24  # new, and old, neighbours that a node introduces to each other
 ROUNDS, ENOUGH = 8, 0.01  # at most so many rounds; stop when so small a share of the edges is new
 CENTRES, NEAR, CELL = 1_024, 8, 512  # at most so many centres, cells of a node, nodes of a cell
 BEAM, ENTRIES, SAMPLE = 96, 16, 1_024
+REVERSE = 64  # nearest of the nodes that have a node as neighbour, to which the walk goes back: a hub may have any number
 LARGEST = 505  # exponent of components up to which squared distances are finite; larger tables are scaled down to it
 
 
@@ -219,7 +221,9 @@ def _measured(pairs: DataFrame, unpack: Callable[[pa.Array], np.ndarray]) -> Dat
 
 def walk(queries: DataFrame, vectors: DataFrame, edges: DataFrame, beam: int = BEAM) -> DataFrame:
     """(q, node, d): the best `beam` nodes found for each query (q, qv), a node of the graph.  Both hold vectors as _short packs them."""
-    links = materialise(edges.select("u", "w").union(edges.select(F.col("w").alias("u"), F.col("u").alias("w"))).distinct(), "links")
+    order = Window.partitionBy("w").orderBy("d", "u")
+    back = edges.withColumn("r", F.row_number().over(order)).where(F.col("r") <= REVERSE)
+    links = materialise(edges.select("u", "w").union(back.select(F.col("w").alias("u"), F.col("u").alias("w"))).distinct(), "links")
     sample = vectors.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).toArrow()  # a bounded number of entry nodes
     entry_ids, entry = sample.column("node").to_numpy(), _long(sample.column("v").combine_chunks())
 
@@ -267,11 +271,11 @@ def nearest(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
     salted = Window.partitionBy("node", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")
     few = members.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= k + 1)
     few = few.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).where(F.col("r") <= k + 1).drop("r")
-    near = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "node"))).where(F.col("r") <= k + 1)
-    spread = near.join(few, "node").select("q", "d", "vec_id")
-    spread = spread.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "vec_id"))).where(F.col("r") <= 2 * k + 2)
+    # An id may be on several nodes: the nearest counts.  Some more than k are kept of a node's, as one is the query's own.
+    ids = found.join(few, "node").groupBy("q", "vec_id").agg(F.min("d").alias("d"))
+    ids = ids.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "vec_id"))).where(F.col("r") <= k + 1)
     per_id = asked.select(F.col("vec_id").alias("query_id"), F.col("node").alias("q")).distinct()
-    out = per_id.join(spread.drop("r"), "q").where("query_id <> vec_id")
+    out = per_id.join(ids.drop("r"), "q").where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.min("d").alias("d"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("d").alias("score"))
 

@@ -11,6 +11,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
@@ -111,18 +112,26 @@ def unused(docs: DataFrame, name: str) -> str:
 # ---------------------------------------------------------------- Arrow mapping
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
-    """mapInArrow for a function of one batch; batches of few rows, as one text may be long."""
+Batches = Iterator[pa.RecordBatch]
+
+
+def map_batches(df: DataFrame, fn: Callable[[Batches], Batches], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow; batches of few rows, as one text may be long."""
     on_workers(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df.mapInArrow(fn, schema)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str | T.StructType) -> DataFrame:
+    """map_batches for a function of one batch."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for b in batches:
             if b.num_rows:
                 out = fn(b)
                 yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def texts_of(b: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -5,10 +5,13 @@ count inverts the Poisson distribution with that mean at a uniform number hashed
 result depends on no partitioning; the document is exploded by its count and all copies are dealt out by a
 hash of (seed, doc_id, copy) and sorted by it: a global shuffle.  Rates have no upper bound.
 
+Rows are dealt out by that hash, the text and the place in the files that they were read from, so that neither rows
+without doc_id nor many equal rows go to one task.
+
 Edge cases: a null source is a source of its own; a null doc_id hashes like the empty string; null texts have
 length 0 and are kept; a source of weight 0 or of no characters gets no copies; an empty table gives an empty
-table; repeated rows are drawn alike.  Columns of the input are kept; the operator's own are copy,
-shuffle_key, and internal ones under names with the prefix `__mix_`.
+table; repeated rows are drawn alike.  Columns of the input are kept, whatever their names; the operator's own are copy
+and shuffle_key, with an underscore more where the input has a column of that name.
 """
 
 from __future__ import annotations
@@ -16,11 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, parts, table
+from .common import materialise, parts, sealed, spread, table, unused
 
 REACH = 12.0  # standard deviations, and counts, about the mean outside of which 52-bit uniform numbers never fall
 BLOCK = 4_096  # copies of a document that are made at a time
-MAX_RATE = 8.0  # of ORACLE only: the SQL holds for rates up to it, mix() for any
 BROADCAST_SOURCES = 100_000
 SEED = "mix-1"
 
@@ -92,23 +94,27 @@ def mix(
     seed: str = SEED,
 ) -> DataFrame:
     """Copies of the documents in a shuffled order, with `copy` (from 0) and `shuffle_key`."""
-    spark = docs.sparkSession
-    rate = materialise(rates(docs, weights, temperature, scale), "rates")
+    spark, copy, key = docs.sparkSession, unused(docs, "copy"), unused(docs, "shuffle_key")
+    plain, _ = sealed(docs, "doc_id", "text", "source")
+    own = plain.columns
+    rate = materialise(rates(plain, weights, temperature, scale), "rates")
     if rate.count() <= BROADCAST_SOURCES:  # beyond it: a shuffled join, whose hot sources AQE splits
         rate = F.broadcast(rate)
-    dealt = docs.join(rate, docs["source"].eqNullSafe(rate["__mix_source"]), "left")
+    # Where a row was read, before any shuffle: the same if its task runs again.
+    plain = plain.withColumn("__mix_at", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
+    dealt = plain.join(rate, plain["source"].eqNullSafe(rate["__mix_source"]), "left")
     dealt = dealt.withColumn("__mix_n", poisson(*map(F.col, RATE), F.col("__mix_first"), hashed_unit(F.lit(seed), "doc_id")))
     # In two steps: the copies of a document are never one array.
     copies = dealt.where("__mix_n > 0").withColumn("__mix_block", F.explode(F.expr(f"sequence(0, __mix_n - 1, {BLOCK})")))
-    copies = copies.withColumn("copy", F.explode(F.expr(f"sequence(__mix_block, least(__mix_block + {BLOCK}, __mix_n) - 1)")))
-    copies = copies.withColumn(
-        "shuffle_key", hashed_unit(F.lit(seed + "-order"), "doc_id", "copy")
-    ).drop("__mix_source", *RATE, "__mix_first", "__mix_n", "__mix_block")
-    return copies.repartition(parts(spark), "shuffle_key").sortWithinPartitions("shuffle_key")
+    copies = copies.withColumn("__mix_copy", F.explode(F.expr(f"sequence(__mix_block, least(__mix_block + {BLOCK}, __mix_n) - 1)")))
+    copies = copies.withColumn("__mix_key", hashed_unit(F.lit(seed + "-order"), "doc_id", "__mix_copy"))
+    copies = copies.withColumn("__mix_deal", F.xxhash64("__mix_key", "text", "__mix_at")).select(*own, "__mix_copy", "__mix_key", "__mix_deal")
+    copies = copies.repartition(parts(spark), "__mix_deal").sortWithinPartitions("__mix_key")
+    return copies.select(*own, "__mix_copy", "__mix_key").toDF(*docs.columns, copy, key)
 
 
 def op2_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(table(spark, sf_dir, "documents"))
+    out = mix(spread(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "source", F.col("copy").cast("long").alias("copy"), "text", "shuffle_key")
 
 
@@ -118,15 +124,15 @@ with size as (
 weighted as (
   select source, chars, case when chars > 0 then pow(chars, 0.7) else 0.0 end as weight from size),
 rate as (
-  select source, least(coalesce(sum(chars) over () * weight / nullif(sum(weight) over () * chars, 0), 0.0), {MAX_RATE}) as r
-  from weighted),
+  select source, coalesce(sum(chars) over () * weight / nullif(sum(weight) over () * chars, 0), 0.0) as r from weighted),
 drawn as (
-  select d.doc_id, d.source, d.text, r.r,
+  select d.doc_id, d.source, d.text,
     (cast(('0x' || substr(md5('{SEED}:' || d.doc_id), 1, 13)) as bigint) + 0.5) / 4503599627370496.0 as u
   from documents d join rate r on d.source is not distinct from r.source),
+term as (select source, r, unnest(range(0, cast(ceil(r + {REACH} * (sqrt(r) + 1)) as bigint) + 1)) as k from rate),
 cdf as (
-  select source, r, k, sum(exp(-r) * pow(r, k) / factorial(cast(k as integer))) over (partition by source order by k) as f
-  from rate, (select unnest(range(0, 30)) as k)),
+  select source, k, sum(case when r = 0 then cast(k = 0 as double) else exp(k * ln(r) - r - lgamma(k + 1)) end) over (partition by source order by k) as f
+  from term),
 counted as (
   select d.doc_id, d.source, d.text, d.u,
     (select count(*) from cdf c where c.source is not distinct from d.source and d.u >= c.f) as n

@@ -6,14 +6,18 @@ process in time and multiplicity whose points are a function of the shingle alon
 below its own multiplicity, and a register keeps the first point that hits it.  Two documents' registers agree
 with a probability that is their weighted Jaccard similarity.
 
-Equal texts are one node (keyed by MD5).  Nodes that share a band are compared, first with the most central
-node of the bucket, and then, in the buckets that hold more than one component after that, across components:
-in blocks of bounded size, by signatures, whose agreeing pairs are verified.  A pair counts as a link only
+Equal texts are one node (known by their MD5, and from then on by a number).  Nodes that share a band are compared, first
+with the most central node of the bucket, and then, in the buckets that hold more than one component after that, across
+components: in groups of bounded size, by wide signatures, whose agreeing pairs are verified.  A pair counts as a link only
 when the exact weighted Jaccard similarity of the two texts is at least the threshold.  Classes are the connected
 components of the links.
 
-With 25 bands of 5 rows a pair of similarity 0.8 shares a band with probability 0.99995.  Nothing is capped: large
-buckets are split into blocks, and a node's partners into groups.
+Groups follow components: those of one component never meet each other, so a bucket of one large component and some strays
+costs as much as its nodes, not their square.  In a bucket with many nodes of small components, as texts with a long
+common passage fill it, these meet by narrower bands of the wide signature instead.
+
+With 25 bands of 5 rows a pair of similarity 0.8 shares a band with probability 0.99995; with the 102 narrower bands of 10
+rows, one with probability 0.99999.  Nothing is capped: large buckets are split, and a node's partners into groups.
 
 Edge cases: a null text is the empty text; texts without words are near-duplicates of nothing, not even of each
 other; texts of 1 to 4 words have one shingle; repeated rows are copies; documents without doc_id get a class
@@ -27,10 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import U64, chunks, discard, map_arrow, materialise, mix, parts, shingles, spread, table, texts_of, unit, word_hashes
+from .common import U64, chunks, discard, map_arrow, map_batches, materialise, mix, parts, sealed, shingles, spread, table, texts_of, unit, word_hashes
 
 BANDS, ROWS, THRESHOLD = 25, 5, 0.8
 REGISTERS = BANDS * ROWS
@@ -39,6 +44,8 @@ REGISTERS = BANDS * ROWS
 WIDE = 1024
 AGREE = {m: int(m * (THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / m) ** 0.5)) for m in (WIDE >> 3, WIDE)}
 BLOCK, GROUP = 512, 64
+NARROW = 10  # registers of a narrower band
+CROWD = 4 * BLOCK  # nodes of small components in a bucket above which they meet by narrower bands
 
 
 # ---------------------------------------------------------------- signatures
@@ -122,12 +129,12 @@ def signed(docs: DataFrame) -> DataFrame:
             )
         return pa.Table.from_batches(out)
 
-    schema = "doc_id long, key binary, size long, bands array<long>"
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of().alias("key"), "text"), sign, schema)
+    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *T.StructType.fromDDL("key binary, size long, bands array<long>")]
+    return map_arrow(docs.select("doc_id", key_of().alias("key"), "text"), sign, T.StructType(fields))
 
 
 def sketched(text: DataFrame) -> DataFrame:
-    """key, size, and a byte of each register of a wide signature, of (key, text)."""
+    """id, size, and a byte of each register of a wide signature, of (id, text)."""
 
     def sketch(b: pa.RecordBatch) -> pa.Table:
         texts, out = texts_of(b), []
@@ -135,14 +142,14 @@ def sketched(text: DataFrame) -> DataFrame:
             h, weight, begin = bags(texts[lo:hi])
             wide = (mix(bag_minhash(h, weight, begin, WIDE).view(U64)) & U64(255)).astype(np.uint8)
             size = [int(weight[a:z].sum()) for a, z in zip(begin[:-1], begin[1:])]
-            columns = [b.column("key").slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array([s.tobytes() for s in wide], pa.binary())]
-            out.append(pa.RecordBatch.from_arrays(columns, ["key", "size", "sketch"]))
+            columns = [b.column("id").slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array([s.tobytes() for s in wide], pa.binary())]
+            out.append(pa.RecordBatch.from_arrays(columns, ["id", "size", "sketch"]))
         return pa.Table.from_batches(out)
 
-    return map_arrow(text.select("key", "text"), sketch, "key binary, size long, sketch binary")
+    return map_arrow(text.select("id", "text"), sketch, "id long, size long, sketch binary")
 
 
-def key_of():
+def key_of() -> Column:
     return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
 
 
@@ -150,23 +157,20 @@ def key_of():
 
 
 def similar(pairs: DataFrame, text: DataFrame, threshold: float) -> DataFrame:
-    """Of (a, b) keys, those whose texts have a weighted Jaccard similarity of at least `threshold`.
+    """Of pairs (a, b) of ids, those whose texts have a weighted Jaccard similarity of at least `threshold`.
 
-    text: (key, text), one row a key.  Partners of one `a` are dealt into groups of about GROUP; each group
+    text: (id, text), one row an id.  Partners of one `a` are dealt into groups of about GROUP; each group
     gets the text of `a` once.
     """
     pairs = materialise(pairs, "pairs")
     # Written first, so that AQE can split the join at a hot node.
     many = materialise(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups")), "many")
-    dealt = pairs.join(many, "a").select(
-        "a", "b", F.expr("pmod(xxhash64(b, 'group'), groups)").alias("g")
-    )
-    wanted = dealt.select("a", "g", F.col("b").alias("key"), F.lit(1).alias("side")).union(
-        dealt.select("a", "g", F.col("a").alias("key"), F.lit(0).alias("side")).distinct()
+    dealt = pairs.join(many, "a").select("a", "b", F.expr("pmod(xxhash64(b, 'group'), groups)").alias("g"))
+    wanted = dealt.select("a", "g", F.col("b").alias("id"), F.lit(1).alias("side")).union(
+        dealt.select("a", "g", F.col("a").alias("id"), F.lit(0).alias("side")).distinct()
     )
-    grouped = wanted.join(text, "key").repartition(parts(text.sparkSession), "a", "g")
-    grouped.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    return grouped.sortWithinPartitions("a", "g", "side").mapInArrow(_verifier(threshold), "a binary, b binary")
+    grouped = wanted.join(text, "id").repartition(parts(text.sparkSession), "a", "g").sortWithinPartitions("a", "g", "side")
+    return map_batches(grouped, _verifier(threshold), "a long, b long")
 
 
 def _verifier(threshold: float):
@@ -174,7 +178,7 @@ def _verifier(threshold: float):
         head, at = None, None  # the sorted shingles of the current `a`
         for batch in batches:
             texts = texts_of(batch)
-            a, g, key, side = (batch.column(c).to_pylist() for c in ("a", "g", "key", "side"))
+            a, g, ids, side = (batch.column(c).to_pylist() for c in ("a", "g", "id", "side"))
             found = []
             for lo, hi in chunks(texts):
                 h, weight, begin = bags(texts[lo:hi])
@@ -183,13 +187,17 @@ def _verifier(threshold: float):
                     if side[i] == 0:
                         head, at = (h[own].copy(), weight[own].copy()), (a[i], g[i])
                     elif at == (a[i], g[i]) and overlap(*head, h[own], weight[own]) >= threshold:
-                        found.append((a[i], key[i]))
+                        found.append((a[i], ids[i]))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], ["a", "b"])
+                yield _pairs(found)
 
     return run
 
 
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+
+
 def overlap(h: np.ndarray, w: np.ndarray, other: np.ndarray, v: np.ndarray) -> float:
     """The weighted Jaccard similarity of two multisets with sorted elements."""
     if not len(h) or not len(other):
@@ -230,87 +238,128 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def first_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Buckets of two nodes and more as (band, key, size), and each bucket's central node with its others.
+    """Buckets of two nodes and more as (band, here, id, size, n), here being the number of the band; and each bucket's
+    central node with its others.
 
     Central is the node whose buckets hold the most nodes in all: among the copies of an original, the original.
     """
-    rows = nodes.select("key", "size", F.explode("bands").alias("band"))
+    rows = nodes.select("id", "size", F.posexplode("bands").alias("here", "band"))
     count = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialise(rows.join(count, "band"), "buckets")
-    central = shared.groupBy("key").agg(F.sum("n").alias("score"))
-    scored = shared.join(central, "key")
-    head = scored.groupBy("band").agg(F.max(F.struct("score", "key", "size")).alias("head"))
+    central = shared.groupBy("id").agg(F.sum("n").alias("score"))
+    scored = shared.join(central, "id")
+    head = scored.groupBy("band").agg(F.max(F.struct("score", "id", "size")).alias("head"))
     pairs = (
         shared.join(head, "band")
-        .where("head.key <> key and least(size, head.size) >= greatest(size, head.size) * 0.8 - 1e-9")
-        .select(F.col("head.key").alias("a"), F.col("key").alias("b"))
+        .where("head.id <> id and least(size, head.size) >= greatest(size, head.size) * 0.8 - 1e-9")
+        .select(F.col("head.id").alias("a"), F.col("id").alias("b"))
         .distinct()
     )
     return shared, pairs
 
 
 def crossing_pairs(shared: DataFrame, nodes: DataFrame, text: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of nodes in different components that share a bucket and whose signatures agree enough, each once.
+    """Pairs of nodes in different components that share a bucket and whose wide signatures agree enough.
 
-    A bucket is cut into groups of about BLOCK nodes and every two groups meet in one task, so a task holds
-    at most two groups; buckets within one component are left out.  A pair is compared in the first bucket it shares.
+    A pair is compared in the first bucket that it shares.
     """
-    labelled = shared.join(roots, shared["key"] == roots["node"], "left").select(
-        "band", "key", F.coalesce("root", "key").alias("root")
-    )
-    open_ = (
-        labelled.groupBy("band")
-        .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
-        .where("lo <> hi")
-        .select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("groups"))
-    )
-    member = materialise(labelled.join(open_, "band"), "open")
-    sketches = materialise(sketched(text.join(member.select("key").distinct(), "key", "left_semi")), "sketches")
-    member = member.join(sketches.join(nodes.select("key", "bands"), "key"), "key")
-    member = member.withColumn("g", F.expr("cast(pmod(xxhash64(key, 'block'), groups) as int)"))
-    member = member.withColumn("o", F.explode(F.expr("sequence(0, groups - 1)"))).select(
-        "band", F.least("g", "o").alias("g1"), F.greatest("g", "o").alias("g2"), "g", "key", "root", "size", "sketch", "bands"
+    labelled = shared.join(roots, shared["id"] == roots["node"], "left").select("band", "here", "id", F.coalesce("root", "id").alias("root"))
+    member = materialise(_grouped(labelled), "open")
+    sketches = sketched(text.join(member.select("id").distinct(), "id", "left_semi")).join(nodes.select("id", "bands"), "id")
+    sketches = materialise(sketches, "sketches")
+    crowd = member.where(f"own = -1 and small > {CROWD}").groupBy("id").agg(F.first("root").alias("root"))
+    narrow = _narrow(crowd.join(sketches.select("id", "sketch"), "id"))
+    found = _compared(member, sketches, f"small <= {CROWD}")
+    return found.union(_compared(materialise(_grouped(narrow), "narrow"), sketches.withColumn("bands", F.lit(None).cast("array<long>")), "true")).distinct()
+
+
+def _grouped(labelled: DataFrame) -> DataFrame:
+    """Of (band, here, id, root), the buckets of several components, with groups: (own, g), where own is the component that
+    has the group to itself, or -1; and small, the number of nodes of small components."""
+    count = labelled.groupBy("band", "root").agg(F.count("*").alias("n"))
+    open_ = count.groupBy("band").agg(F.count("*").alias("components"), F.sum(F.when(F.col("n") < BLOCK // 2, F.col("n")).otherwise(0)).alias("small"))
+    count = count.join(open_.where("components > 1"), "band").select(
+        "band", "root", "small", F.expr(f"if(n < {BLOCK // 2}, -1L, root)").alias("own"), F.expr(f"cast(ceil(if(n < {BLOCK // 2}, small, n) / {BLOCK}) as int)").alias("groups")
     )
-    member = member.repartition(parts(text.sparkSession), "band", "g1", "g2").sortWithinPartitions("band", "g1", "g2", "key")
-    return member.mapInArrow(_crossing, "a binary, b binary")
+    return labelled.join(count, ["band", "root"]).withColumn("g", F.expr("cast(pmod(xxhash64(id, 'block'), groups) as int)"))
+
+
+def _compared(member: DataFrame, sketches: DataFrame, mixed: str) -> DataFrame:
+    """Pairs across components, of groups of a bucket that may hold some.  mixed: a condition on which groups of small
+    components meet each other."""
+    group = member.groupBy("band", "own", "g").agg(F.first("small").alias("small"))
+    left, right = (group.select("band", F.col("own").alias(f"own{k}"), F.col("g").alias(f"g{k}"), *(["small"] if k == 1 else [])) for k in (1, 2))
+    meets = left.join(right, "band").where(f"(own1 < own2 or own1 = own2 and g1 <= g2) and if(own1 = own2, own1 = -1 and {mixed}, true)").drop("small")
+    meets = materialise(meets, "meets")
+    key = ["band", "own1", "g1", "own2", "g2"]
+    own = member.select("band", "here", "own", "g", "id", "root")
+    one = own.join(meets, (own["band"] == meets["band"]) & (own["own"] == meets["own1"]) & (own["g"] == meets["g1"])).drop(meets["band"])
+    two = meets.where("own1 <> own2 or g1 <> g2")
+    two = own.join(two, (own["band"] == two["band"]) & (own["own"] == two["own2"]) & (own["g"] == two["g2"])).drop(two["band"])
+    sides = one.select(*key, F.lit(1).alias("side"), "here", "id", "root").union(two.select(*key, F.lit(2).alias("side"), "here", "id", "root"))
+    rows = sides.join(sketches, "id").select(*key, "side", "here", "id", "root", "size", "sketch", "bands")
+    rows = rows.repartition(parts(member.sparkSession), *key).sortWithinPartitions(*key, "id")
+    return map_batches(rows, _crossing, "a long, b long")
+
+
+def _narrow(rows: DataFrame) -> DataFrame:
+    """(band, here, id, root) of all narrower bands of rows (id, root, sketch)."""
+
+    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
+        n, bands = b.num_rows, _narrow_bands(b.column("sketch").to_pylist())
+        here = np.tile(np.arange(bands.shape[1], dtype=np.int32), n)
+        repeated = [pa.array(np.repeat(b.column(c).to_numpy(), bands.shape[1])) for c in ("id", "root")]
+        return pa.RecordBatch.from_arrays([pa.array(bands.ravel()), pa.array(here), *repeated], ["band", "here", "id", "root"])
+
+    return map_arrow(rows.select("id", "root", "sketch"), cut, "band long, here int, id long, root long")
+
+
+def _narrow_bands(sketches: list[bytes]) -> np.ndarray:
+    """Hashes (sketches x bands) of runs of NARROW registers and their place."""
+    count = WIDE // NARROW
+    bits = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), WIDE)[:, : count * NARROW].astype(U64).reshape(len(sketches), count, NARROW)
+    key = np.broadcast_to(np.arange(1, count + 1, dtype=U64) * U64(0x9E3779B97F4A7C15), bits.shape[:2])
+    for r in range(NARROW):
+        key = mix(key ^ bits[:, :, r]) + U64(r + 1)
+    return key.view(np.int64)
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("band", "g1", "g2", "g", "key", "root", "size", "sketch", "bands")]
-        found: list[tuple[bytes, bytes]] = []
+        columns = [batch.column(c).to_pylist() for c in ("band", "own1", "g1", "own2", "g2", "side", "here", "id", "root", "size", "sketch", "bands")]
+        found: list[tuple[int, int]] = []
         for row in zip(*columns):
-            if held and held[0][:3] != row[:3]:
+            if held and held[0][:5] != row[:5]:
                 found += _block(held)
                 held = []
             held.append(row)
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], ["a", "b"])
+            yield _pairs(found)
     if held and (found := _block(held)):
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], ["a", "b"])
+        yield _pairs(found)
 
 
-def _block(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
-    """Pairs of a block: of the two groups that meet, or of one group with itself."""
-    if len({r[5] for r in rows}) < 2:
+def _block(rows: list[tuple]) -> list[tuple[int, int]]:
+    """Pairs of two groups that meet, or of one group with itself."""
+    if len({r[8] for r in rows}) < 2:
         return []
-    sketch = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), WIDE)
-    size = np.array([r[6] for r in rows], np.float64)
-    root = np.unique([r[5] for r in rows], return_inverse=True)[1]
-    bands, here = np.array([r[8] for r in rows]), rows[0][8].index(rows[0][0])
-    group, across = np.array([r[3] for r in rows]), rows[0][1] != rows[0][2]
+    sketch = np.frombuffer(b"".join(r[10] for r in rows), np.uint8).reshape(len(rows), WIDE)
+    size = np.array([r[9] for r in rows], np.float64)
+    root = np.unique([r[8] for r in rows], return_inverse=True)[1]
+    bands = _narrow_bands([r[10] for r in rows]) if rows[0][11] is None else np.array([r[11] for r in rows])
+    here, side, across = rows[0][6], np.array([r[5] for r in rows]), rows[0][1:3] != rows[0][3:5]
     out = []
     for i in range(len(rows) - 1):
         ok = root[i + 1 :] != root[i]
         ok &= np.minimum(size[i + 1 :], size[i]) >= np.maximum(size[i + 1 :], size[i]) * THRESHOLD - 1e-9
         if across:
-            ok &= group[i + 1 :] != group[i]
+            ok &= side[i + 1 :] != side[i]
         j = i + 1 + np.flatnonzero(ok)
         j = j[(bands[j] == bands[i]).argmax(axis=1) == here]
         for m, least in AGREE.items():
             j = j[(sketch[j, :m] == sketch[i, :m]).sum(axis=1) >= least]
-        out += [(rows[i][4], rows[k][4]) for k in j]
+        out += [(rows[i][7], rows[k][7]) for k in j]
     return out
 
 
@@ -324,21 +373,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     signs = materialise(signed(docs), "signatures")
     # Copies of a text have the same bands, so any row stands for them all.
-    nodes = signs.where("size > 0").groupBy("key").agg(
-        F.first("size").alias("size"), F.first("bands").alias("bands")
-    )
-    nodes = materialise(nodes, "nodes")
+    nodes = signs.where("size > 0").groupBy("key").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = materialise(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
     shared, pairs = first_pairs(nodes)
     # Copies meet before the shuffle: a text is sent once from each task at most.
     text = docs.select(key_of().alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"))
-    text = materialise(text.join(shared.select("key").distinct(), "key", "left_semi"), "texts")
+    wanted = nodes.select("id", "key").join(shared.select("id").distinct(), "id")
+    text = materialise(text.join(wanted, "key").select("id", "text"), "texts")
     links = materialise(similar(pairs, text, THRESHOLD), "links")
     roots = components(links)
     more = materialise(similar(crossing_pairs(shared, nodes, text, roots), text, THRESHOLD), "links")
-    roots = components(links.union(more))
-    return signs.join(roots, signs["key"] == roots["node"], "left").select(
-        "doc_id", "key", F.when(F.col("size") > 0, F.coalesce("root", "key")).alias("class_key")
-    )
+    roots = materialise(components(links.union(more)), "roots")
+    named = nodes.select("id", "key").join(roots, nodes["id"] == roots["node"], "left").select("key", F.coalesce("root", "id").alias("class_key"))
+    return signs.select("doc_id", "key").join(named, "key", "left")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -360,21 +407,22 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Rows without words are all kept.
     """
-    found = materialise(near_duplicates(docs), "classes")
+    plain, undo = sealed(docs, "doc_id", "text")
+    found = materialise(near_duplicates(plain), "classes")
     best = (
         found.where("class_key is not null")
         .groupBy("class_key")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"))
         .select(_row_name(F.col("best.key"), F.col("best.doc_id")).alias("__row"))
     )
-    named = docs.withColumn("__row", _row_name(key_of(), F.col("doc_id")))
+    named = plain.withColumn("__row", _row_name(key_of(), F.col("doc_id")))
     # Equal (doc_id, text) rows are copies of each other: one of them stays.  The join has dealt them by the same name,
     # so the texts are shuffled once.
-    kept = named.join(materialise(best, "best"), "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
-    return kept.unionByName(docs.where(~F.coalesce("text", F.lit("")).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")))
+    kept = named.join(materialise(best, "best"), "__row", "left_semi").dropDuplicates(["__row"]).select(*plain.columns)
+    return undo(kept.unionByName(plain.where(~F.coalesce("text", F.lit("")).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"))))
 
 
-def _row_name(key, doc_id):
+def _row_name(key: Column, doc_id: Column) -> Column:
     return F.concat(F.hex(key), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("")))
 
 

@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from .common import map_arrow, materialise, spread, table, texts_of
 
 CAPACITY = 2048
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, place int"
 
 
 class PieceCache(dict):
@@ -86,21 +86,21 @@ def encoder(path: str) -> PieceCache:
 
 
 def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length and the CRC-32 of its ids."""
+    """One row per piece: doc_id, piece, start, length, the CRC-32 of its ids, and the place of its row in the batch."""
     end = _raw([end_id])
 
     def pieces(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = [[], [], [], [], []]
+        out = [[], [], [], [], [], []]
         encode = encoder(tokenizer_path).encode
-        for doc, text in zip(b.column("doc_id").to_pylist(), texts_of(b)):
+        for place, (doc, text) in enumerate(zip(b.column("doc_id").to_pylist(), texts_of(b))):
             raw = encode(text) + end
             for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                 part = raw[at : at + 4 * capacity]
-                for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part))):
+                for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), place)):
                     column.append(value)
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"]
+            [pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "place"]
         )
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), pieces, PIECES)
@@ -174,7 +174,7 @@ def ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
         [(n, max(1, -(-c // grain))) for n, c in counts.items()] or [(0, 1)], "length long, buckets int"
     )
     dealt = pieces.join(F.broadcast(split), "length").withColumn(
-        "bucket", F.expr("cast(pmod(xxhash64(doc_id, piece), buckets) as int)")
+        "bucket", F.expr("cast(pmod(xxhash64(doc_id, piece, ids_crc32, place), buckets) as int)")  # place: many rows may be equal
     )
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = (

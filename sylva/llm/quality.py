@@ -5,7 +5,7 @@ tokens themselves (lower-cased) and, of one to three, of their shapes: kind, cap
 whether a token repeats the one before.  Each is hashed to one of 2**BITS weights; a text's score is the logistic of
 the dot product of the weights with its n-gram frequencies, a sparse dot product over its own n-grams.
 
-The regression is fitted on at most SAMPLE labelled documents, in one task and in a fixed order; what leaves the
+The regression is fitted on at most SAMPLE labelled rows, in one task and in a fixed order; what leaves the
 task is the vector of weights (2**BITS floats), whatever the corpus.
 
 Edge cases: null and empty texts have no n-grams and score the logistic of the bias; without labelled documents of
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, map_arrow, materialise, mix, span_hashes, table, texts_of
+from .common import U64, map_arrow, materialise, mix, span_hashes, spread, table, texts_of
 from .scoring import append_score, fold, labelled_sample, per_doc
 
 SAMPLE, BITS = 12_000, 18
@@ -132,6 +132,6 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality"
 
 
 def op7_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    docs, held_out = spread(table(spark, sf_dir, "documents")), F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
     scored = append_score(docs, ["doc_id"], fit(docs, table(spark, sf_dir, "labels"), ~held_out), "score")
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, map_arrow, texts_of
+from .common import chunks, map_arrow, materialise, texts_of
 
 Scorer = Callable[[list[str]], np.ndarray]
 
@@ -21,9 +21,10 @@ def fold(doc_id: str, folds: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, size: int) -> DataFrame:
-    """(doc_id, y, text) of at most `size` labelled documents that satisfy `keep`, chosen by a hash of doc_id.
+    """(doc_id, y, text) of at most `size` labelled rows whose doc_id satisfies `keep`, chosen by hashes.
 
-    A document with several labels counts as 1 if any is.  `size` bounds what is broadcast.
+    A document with several labels counts as 1 if any is; equal rows count once.  `size` bounds the ids that are broadcast
+    and, as an id may stand in many rows, the rows.
     """
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & keep)
@@ -32,7 +33,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(size)
     )
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = materialise(rows.withColumn("at", F.xxhash64("doc_id", "text")), "labelled")
+    first = rows.select("at", "doc_id").distinct().orderBy("at", "doc_id").limit(size)
+    return rows.join(F.broadcast(first), ["at", "doc_id"], "left_semi").dropDuplicates(["at", "doc_id"]).select("doc_id", "y", "text")
 
 
 def append_score(docs: DataFrame, keep: list[str], scorer: Scorer, name: str) -> DataFrame:

@@ -4,7 +4,7 @@ Features of a text: densities of lexicon words (a small fixed list, and words an
 labelled documents), how near they stand to a second-person pronoun, rates of capitals, punctuation and
 obfuscation (digits or signs in place of letters, letters drawn out), and length.
 
-The model is fitted on at most SAMPLE labelled documents.  Lexicons are learned in two folds, and a document's
+The model is fitted on at most SAMPLE labelled rows.  Lexicons are learned in two folds, and a document's
 features for the fit use the lexicon of the other fold, so that a word seen in one document only doesn't
 explain that document.  Three quarters of the sample grow the trees, one quarter calibrates them.
 
@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise, table, texts_of
+from .common import map_arrow, materialise, sealed, spread, table, texts_of
 from .scoring import append_score, fold, labelled_sample, per_doc
 
-SAMPLE = 12_000  # labelled documents for the fit
-CANDIDATES, LEXICON = 50_000, 4_000  # entries considered and kept
+SAMPLE = 12_000  # labelled rows for the fit
+SUPPORT, ODDS = (3, 0.004), 8.0  # a lexicon entry: in so many toxic documents and so large a share of them; odds against others
 
 # Words that insult in any corpus, and second-person pronouns of the corpus's languages.
 INSULTS = frozenset("idiot idiots stupid moron morons loser losers scum trash pathetic worthless disgusting clown dumb".split())
@@ -109,7 +109,7 @@ def features(texts: list[str], lexicon: frozenset[str]) -> np.ndarray:
     return np.concatenate(
         [
             counts / length,
-            np.minimum(counts[:, [0, 1, 2, 3, 7, 8]], 20),
+            np.log1p(counts[:, [0, 1, 2, 3, 7, 8]]),
             chars[:, :4] / np.maximum(chars[:, 4:], 1),
             upper[:, None] / length,
             np.log1p(n)[:, None],
@@ -139,20 +139,25 @@ def _tally(sample: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
 
 
 def learn_lexicons(sample: DataFrame, sizes: dict[tuple[int, int], int]) -> list[frozenset[str]]:
-    """Of fold 0, of fold 1, and of both.  sizes: documents by (half, y)."""
-    toxic = _tally(sample.where("y = 1"), None).where("n0 + n1 >= 2")
-    toxic = {r[0]: (r[1], r[2]) for r in toxic.orderBy(F.expr("-(n0 + n1)"), "entry").limit(CANDIDATES).collect()}
+    """Of fold 0, of fold 1, and of both.  sizes: documents by (half, y).
+
+    SUPPORT bounds what comes to the driver by the length of a document, not by the size of the vocabulary.
+    """
+    folds = ((0,), (1,), (0, 1))
+    documents = [[sum(sizes.get((h, y), 0) for h in halves) for y in (0, 1)] for halves in folds]
+    least = [max(SUPPORT[0], SUPPORT[1] * n[1]) for n in documents]
+    toxic = _tally(sample.where("y = 1"), None).where(f"n0 >= {least[0]} or n1 >= {least[1]} or n0 + n1 >= {least[2]}")
+    toxic = {r[0]: (r[1], r[2]) for r in toxic.collect()}
     clean = {r[0]: (r[1], r[2]) for r in _tally(sample.where("y = 0"), frozenset(toxic)).collect()}
     out = []
-    for halves in ((0,), (1,), (0, 1)):
-        positives, negatives = (sum(sizes.get((h, y), 0) for h in halves) for y in (1, 0))
-        score = {}
-        for e, n in toxic.items():
-            p, q = sum(n[h] for h in halves), sum(clean.get(e, (0, 0))[h] for h in halves)
-            odds = (p + 0.5) / (positives + 1) / ((q + 0.5) / (negatives + 1))
-            if p >= max(3, 0.004 * positives) and odds >= 8:
-                score[e] = p * np.log(odds)
-        out.append(frozenset(sorted(score, key=lambda e: (-score[e], e))[:LEXICON]))
+    for halves, n, enough in zip(folds, documents, least):
+        own = []
+        for e, counts in toxic.items():
+            p, q = sum(counts[h] for h in halves), sum(clean.get(e, (0, 0))[h] for h in halves)
+            odds = (p + 0.5) / (n[1] + 1) / ((q + 0.5) / (n[0] + 1))
+            if p >= enough and odds >= ODDS:
+                own.append(e)
+        out.append(frozenset(own))
     return out
 
 
@@ -276,13 +281,13 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic",
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, all columns kept, whose score is below the threshold."""
+    """The rows of docs, all columns kept, whose score is below the threshold; the model is learned from all labels."""
     model = fit(docs, labels, F.lit(True))
-    scored = append_score(docs, docs.columns, model, "__toxicity")
-    return scored.where(F.col("__toxicity") < threshold).drop("__toxicity")
+    plain, undo = sealed(docs, "text")
+    return undo(append_score(plain, plain.columns, model, "__toxicity").where(F.col("__toxicity") < threshold))
 
 
 def op3_toxicity_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    docs, held_out = spread(table(spark, sf_dir, "documents")), F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
     scored = append_score(docs, ["doc_id"], fit(docs, table(spark, sf_dir, "labels"), ~held_out), "score")
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))

@@ -18,7 +18,7 @@ def test_shares_meet_the_targets(spark):
     n = {r["source"]: r["count"] for r in out.collect()}
     assert set(n) == {"rare", "common"}  # the source without a weight gets no copies
     assert abs(n["rare"] - 10000) < 500 and abs(n["common"] - 10000) < 500
-    copies = M.mix(docs, {"rare": 1.0, "common": 1.0}).where("source = 'rare'").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("copy").alias("m"))
+    copies = M.mix(docs, {"rare": 1.0, "common": 1.0}).where("source = 'rare'").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("copy_").alias("m"))
     assert copies.where("m <> n - 1").count() == 0
     per = {r["n"]: r["count"] for r in copies.groupBy("n").count().collect()}
     assert abs(per[5] / 2000 - 0.175) < 0.04  # Poisson with mean 5
@@ -66,3 +66,24 @@ def test_counts_invert_the_distribution_at_any_rate(spark):
         below = math.fsum(at(k) for k in range(r.n))  # P(count < n) <= u < P(count <= n)
         assert below <= r.u + 1e-10 and r.u <= below + at(r.n) + 1e-10, r
         assert abs(r.n - r["__mix_rate"]) <= 9.5 * math.sqrt(r["__mix_rate"]) + 30
+
+
+def test_clashing_columns_and_equal_rows_are_dealt_out(spark):
+    rows = [(None, "same text", "a", 1, 2, 3)] * 400 + [(5, f"t{k}", "a", 1, 2, 3) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copy int, `x.y` int, __mix_rate int")
+    out = M.mix(docs, temperature=1.0, scale=40.0)
+    assert out.columns == ["doc_id", "text", "source", "copy", "x.y", "__mix_rate", "copy_", "shuffle_key"]
+    assert out.select("copy", F.col("`x.y`"), "__mix_rate").distinct().collect() == [(1, 2, 3)]
+    # Copies of one id aren't one partition's.
+    sizes = [r["count"] for r in out.where("doc_id = 5").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * sum(sizes) / 4
+
+
+def test_sql_holds_for_rates_far_above_even_ones(spark, tmp_path):
+    docs = spark.range(30000).select(F.col("id").alias("doc_id"), F.lit("0123456789").alias("text"), F.when(F.col("id") % 15000 == 0, "rare").otherwise(F.concat(F.lit("s"), (F.col("id") % 2).cast("string"))).alias("source"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in M.op2_poisson_mixing(spark, str(tmp_path)).select("doc_id", "source", "copy").collect())
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(f"select doc_id, source, copy from ({M.ORACLE})").fetchall())
+    assert max(r[2] for r in got if r[1] == "rare") > 8

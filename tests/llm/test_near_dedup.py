@@ -60,6 +60,30 @@ def test_against_all_pairs(spark):
     assert all(got[k].class_size == sizes[want[k]] for k in range(len(texts)))
 
 
+def crowd(rng, n, shared=60, own=48):
+    """Texts with a long common passage, few of them near-duplicates: buckets with many small components."""
+    passage = [f"p{k}" for k in range(shared)]
+    out = []
+    for k in range(n):
+        words = [f"o{rng.randint(0, 10**6)}" for _ in range(own)]
+        out.append(" ".join(passage + words))
+        if k % 5 == 0:
+            words[rng.randrange(own)] = "changed"
+            out.append(" ".join(passage + words))
+    return out
+
+
+def test_crowded_buckets_by_narrower_bands(spark, monkeypatch):
+    for name, value in (("BLOCK", 16), ("CROWD", 30)):
+        monkeypatch.setattr(N, name, value)
+    rng = random.Random(8)
+    texts = crowd(rng, 150) + family(rng, 90) + [family(rng, 2)[1] for _ in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute(texts)
+    got = {r.doc_id: r.class_id for r in N.classes(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == want and len(set(want)) < len(texts) - 80
+
+
 def test_documents_against_all_pairs(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
     got = {r.doc_id: r.class_id for r in N.op8_bagminhash_near_dedup(spark, sf).collect()}
@@ -77,6 +101,13 @@ def test_one_of_each_class_stays(spark):
     assert N.classes(docs.limit(0)).count() == 0 and N.keep_first(docs.limit(0)).count() == 0
 
 
+def test_ids_as_text_and_clashing_columns(spark):
+    rows = [("007", "a b c d e f", 1, 2, 3), ("7", "a b c d e f", 4, 5, 6), (None, "x", 7, 8, 9)]
+    kept = N.keep_first(spark.createDataFrame(rows, "doc_id string, text string, __row int, `a.b` int, class_key int"))
+    assert kept.columns == ["doc_id", "text", "__row", "a.b", "class_key"]
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([rows[0], rows[2]], key=str)
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = random.Random(1)
     errors = []

@@ -60,6 +60,14 @@ def test_documents_and_empty_table(spark, sf):
     assert P.pack(docs.limit(0)).count() == 0
 
 
+def test_equal_rows_are_ranked_in_many_buckets(spark):
+    docs = spark.createDataFrame([(None, "a b c")] * 3000, "doc_id long, text string")
+    cut = P.materialise(P.cut(docs, P.default_tokenizer()), "pieces")
+    ranks = P.ranked(cut, {r[0]: r[1] for r in cut.groupBy("length").count().collect()})
+    assert sorted(r["rank"] for r in ranks.collect()) == list(range(3000))
+    assert ranks.select("place").distinct().count() > 100
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 60), max_size=15))
 def test_plan_is_best_fit_decreasing(counts):

@@ -117,6 +117,22 @@ def test_neighbours_recall_and_distances(spark):
     assert [v for v, _ in got[0]] == list(range(2000, 2010))
 
 
+def test_neighbours_of_ids_with_several_vectors(spark):
+    rng = np.random.default_rng(14)
+    rows = [(int(rng.integers(0, 60)) if k % 3 else 0, rng.normal(size=4).astype(np.float32)) for k in range(200)]
+    df = spark.createDataFrame([(k, [float(c) for c in v], 0) for k, v in rows], SCHEMA)
+    got = [(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(df, F.col("vec_id") % 20 == 0, 5).orderBy("query_id", "rank").collect()]
+    want = []
+    for q in sorted({k for k, _ in rows if k % 20 == 0}):
+        d = {}
+        for k, v in rows:
+            for j, w in rows:
+                if j == q and k != q:
+                    d[k] = min(d.get(k, np.inf), float(np.sqrt(((v.astype(float) - w.astype(float)) ** 2).sum())))
+        want += [(q, r + 1, k) for r, (_, k) in enumerate(sorted((x, k) for k, x in d.items())[:5])]
+    assert got == want
+
+
 def recall(spark, x, k=10, every=100):
     """The share of the k nearest of each query, by comparison with all, that are found."""
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
@@ -145,7 +161,8 @@ def test_walk_reaches_the_own_cluster_of_each_query(spark):
     d = ((x[:, :, None] - x[:, None]) ** 2).sum(axis=3)
     near = np.argsort(d, axis=2)[:, :, 1 : ann.DEGREE + 1] + np.arange(clusters)[:, None, None] * size  # no edge leaves a cluster
     u = np.repeat(np.arange(clusters * size), ann.DEGREE)
-    edges = spark.createDataFrame(pa.table({"u": u, "w": near.ravel()}))
+    apart = np.take_along_axis(d, near - np.arange(clusters)[:, None, None] * size, axis=2)
+    edges = spark.createDataFrame(pa.table({"u": u, "w": near.ravel(), "d": apart.ravel()}))
     vectors = spark.createDataFrame(pa.table({"node": np.arange(clusters * size), "v": pa.array(ann._short(x.reshape(-1, 6)), pa.binary())}))
     queries = vectors.where("node % 1111 = 0").select(F.col("node").alias("q"), F.col("v").alias("qv"))
     got = {}
