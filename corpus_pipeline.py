@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sylva.llm import mixing, near_dedup, packing, pii, toxicity
-from sylva.llm.common import materialise, table
+from sylva.llm.common import materialise, spread, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the classifier rejects."""
+    """Without the documents that the classifier, learned from all labels, rejects."""
     return toxicity.reject(docs, table(spark, sf_dir, "labels"))
 
 
@@ -29,7 +29,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated, or left out, to bring sources to their target weights; in a new order."""
-    return mixing.mix(docs).select(*docs.columns)
+    out = mixing.mix(docs)
+    return out.drop(*out.columns[len(docs.columns) :])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +47,12 @@ STAGES = [
 ]
 
 #: The stages use trained models, signatures and a tokenizer, which SQL can't express; tests hold the
-#: pipeline against the operators' brute-force versions.
+#: stages against plain versions of their operators.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
