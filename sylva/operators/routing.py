@@ -8,6 +8,8 @@ orders are hashes of the row's id and the node's path.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,13 +49,14 @@ def goes_left(node: T.Node, path: str, order: str, feature: Column, id_: Column
 
 
 def leaf_case(
-    tree: T.Tree, order: str = "depth", id_: Column | str = "id", seed: str = "traversal", index: int = 0, rows: DataFrame | None = None
+    tree: T.Tree, order: str = "depth", id_: Column | str = "id", seed: str = "traversal", index: int = 0, rows: DataFrame | None = None,
+    of: Callable[[T.Leaf], Column] = lambda leaf: F.lit(leaf.index),
 ) -> Column:
-    """The index of the first leaf of a row, as one expression."""
+    """The index of the first leaf of a row, or what `of` gives for the leaf, as one expression."""
 
     def walk(t: T.Tree, path: str) -> Column:
         if isinstance(t, T.Leaf):
-            return F.lit(t.index)
+            return of(t)
         value = clean(rows, t.feature) if rows is not None else F.col(t.feature)
         left = goes_left(t, path, order, value, id_, seed, index)
         return F.when(left, walk(t.left, path + "L")).otherwise(walk(t.right, path + "R"))
@@ -172,13 +175,19 @@ def all_leaves(rows: DataFrame, tree: T.Tree, limit: int | None = None) -> DataF
 
 
 def targets_frame(spark: SparkSession, trees: dict[int, T.Tree]) -> DataFrame:
-    """tree, leaf, label and weight: the targets of all leaves."""
-    rows = [(i, x.index, str(k), float(w)) for i, t in trees.items() for x in T.leaves(t) for k, w in x.target.items()]
-    return spark.createDataFrame(rows, "tree int, leaf int, label string, weight double")
+    """tree, leaf, label, weight, and the leaf's sum of positive weights and number of labels: the targets of all leaves."""
+    rows = [
+        (i, x.index, str(k), float(w), float(sum(max(v, 0.0) for v in x.target.values())), len(x.target))
+        for i, t in trees.items()
+        for x in T.leaves(t)
+        for k, w in x.target.items()
+    ]
+    return spark.createDataFrame(rows, "tree int, leaf int, label string, weight double, total double, labels int")
 
 
 def leaf_targets(routed: DataFrame, label: str = "label", weight: str = "weight") -> DataFrame:
-    """Sums of weights by (tree, leaf, label)."""
+    """Sums of weights by (tree, leaf, label); rows without a label count nowhere."""
+    routed = routed.where(F.col(label).isNotNull())
     return routed.groupBy("tree", "leaf", F.col(label).alias("label")).agg(F.sum(weight).alias("weight"))
 
 

@@ -1,7 +1,7 @@
 """Sufficient statistics and the candidate splits made from them.
 
 Statistics are rows (keys..., feature, num or str, label, w): weights summed by value and label, with partial aggregation
-before the only shuffle.  Candidates are rows (keys..., feature, op, num, str, label, lw, rw): what of each label goes left
+before the only shuffle; rows without a label are in none.  Candidates are rows (keys..., feature, op, num, str, label, lw, rw): what of each label goes left
 and right.  `keys` are usually tree and leaf.  Rows whose feature is missing are in no statistics.
 """
 
@@ -77,7 +77,7 @@ def long_form(rows: DataFrame, features: list[Feature], keep: list[str]) -> Data
 
 def statistics(rows: DataFrame, features: list[Feature], keys: list[str], label: str = "label", weight: str = "weight") -> DataFrame:
     """Weights by keys, feature, value and label."""
-    long = long_form(rows, features, [*keys, label, weight])
+    long = long_form(rows.where(F.col(label).isNotNull()), features, [*keys, label, weight])
     return long.groupBy(*keys, "feature", "num", "str", F.col(label).alias("label")).agg(F.sum(weight).alias("w"))
 
 
@@ -145,20 +145,26 @@ def approximate_heavy_hitters(rows: DataFrame, feature: str, keys: list[str], ca
 
 
 def _binned_cuts(stats: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
-    """Exact candidates `num < cut` for given cut points (keys..., feature, cuts: array)."""
-    at = stats.join(cuts, [*keys, "feature"])
-    # A value goes left of all cuts greater than it: one row a cut, few cuts a feature.
-    side = at.select(*keys, "feature", "label", "w", F.col("num").alias("__v"), F.explode(F.array_distinct("cuts")).alias("num"))
-    left = F.sum(F.when(F.col("__v") < F.col("num"), F.col("w")).otherwise(0.0))
-    right = F.sum(F.when(F.col("__v") < F.col("num"), 0.0).otherwise(F.col("w")))
-    out = side.groupBy(*keys, "feature", "num", "label").agg(left.cast("double").alias("lw"), right.cast("double").alias("rw"))
-    return out.select(*keys, "feature", F.lit("lt").alias("op"), "num", F.lit(None).cast("string").alias("str"), "label", "lw", "rw")
+    """Exact candidates `num < cut` for given cut points (keys..., feature, cuts: array).
+
+    A value is in the bucket numbered by the cuts that it isn't below; weights are summed by bucket, of which there are
+    as many as cuts, and a cut's left side is the sum of the buckets before it.
+    """
+    at = [*keys, "feature"]
+    cuts = cuts.withColumn("cuts", F.array_sort(F.array_distinct("cuts")))
+    bucket = F.size(F.filter("cuts", lambda c: c <= F.col("num")))
+    summed = stats.join(cuts, at).groupBy(*at, "label", bucket.alias("__b")).agg(F.sum("w").alias("w"))
+    sides = summed.join(cuts.select(*at, F.posexplode("cuts").alias("__i", "num")), at)
+    left = F.sum(F.when(F.col("__b") <= F.col("__i"), F.col("w")).otherwise(0.0))
+    right = F.sum(F.when(F.col("__b") <= F.col("__i"), 0.0).otherwise(F.col("w")))
+    out = sides.groupBy(*at, "num", "label").agg(left.cast("double").alias("lw"), right.cast("double").alias("rw"))
+    return out.select(*at, F.lit("lt").alias("op"), "num", F.lit(None).cast("string").alias("str"), "label", "lw", "rw")
 
 
 def quantiles(rows: DataFrame, features: list[Feature], keys: list[str], k: int = 25, accuracy: int = 10_000, label: str = "label", weight: str = "weight", exact: bool = False) -> DataFrame:
     """Candidates at the quantiles i/k of each numeric feature, with exact sides."""
     raw = [Feature(f.name, "ordinal") for f in features if f.numeric]
-    long = long_form(rows, raw, [*keys, label, weight])
+    long = long_form(rows.where(F.col(label).isNotNull()), raw, [*keys, label, weight])
     points = [i / k for i in range(1, k)]
     if exact:
         array = F.array(*[F.expr(f"percentile_disc({p}) within group (order by num)") for p in points])

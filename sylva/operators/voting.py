@@ -17,18 +17,23 @@ from ..plans.tree import Target
 
 def predictions(routed: DataFrame, targets: DataFrame, keep: list[str] = ("id",)) -> DataFrame:
     """Rows with (tree, leaf) joined to the leaves' targets; the small table of targets is broadcast when Spark sees that it fits."""
-    return routed.select(*keep, "tree", "leaf").join(targets, ["tree", "leaf"]).select(*keep, "tree", "label", "weight")
+    return routed.select(*keep, "tree", "leaf").join(targets, ["tree", "leaf"]).drop("leaf")
 
 
 def soft(votes: DataFrame, ids: list[str] = ("id",)) -> DataFrame:
-    """The mean over trees of each tree's shares; negative weights count 0, and a total below 1 counts 1."""
+    """The mean over trees of each tree's shares; negative weights count 0, and a total below 1 counts 1.
+
+    Votes that bring their leaf's total and number of labels, as those of predictions() do, are summed in one shuffle.
+    """
     ids = list(ids)
-    clean = votes.withColumn("weight", F.greatest("weight", F.lit(0.0)))
-    per_tree = Window.partitionBy(*ids, "tree")
-    share = F.col("weight") / F.greatest(F.sum("weight").over(per_tree), F.lit(1.0))
-    trees = votes.groupBy(*ids).agg(F.countDistinct("tree").alias("__trees"))
-    summed = clean.withColumn("__s", share).groupBy(*ids, "label").agg(F.sum("__s").alias("__s"))
-    return summed.join(trees, ids).select(*ids, "label", (F.col("__s") / F.col("__trees")).alias("p"))
+    votes = votes.repartition(*ids)
+    if not {"total", "labels"} <= set(votes.columns):
+        per_tree = Window.partitionBy(*ids, "tree")
+        votes = votes.withColumn("total", F.sum(F.greatest("weight", F.lit(0.0))).over(per_tree)).withColumn("labels", F.count("*").over(per_tree))
+    share = F.greatest("weight", F.lit(0.0)) / F.greatest("total", F.lit(1.0))
+    summed = votes.groupBy(*ids, "label").agg(F.sum(share).alias("__s"), F.sum(1 / F.col("labels")).alias("__t"))
+    trees = F.round(F.sum("__t").over(Window.partitionBy(*ids)))
+    return summed.select(*ids, "label", (F.col("__s") / trees).alias("p"))
 
 
 def mode(votes: DataFrame, ids: list[str] = ("id",)) -> DataFrame:

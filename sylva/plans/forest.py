@@ -23,13 +23,22 @@ from ..functions import hash32, uniform
 from ..operators import metrics, voting
 from ..operators.evaluate import ChiSquared, Evaluator, Stopper, best_splits
 from ..operators.routing import leaf_targets, route, targets_frame
-from ..operators.sampling import Sampler, SingleTree, downsampled, out_of_time, training_rows, validation_rows
+from ..operators.sampling import KFold, RandomForest, Sampler, SingleTree, downsampled, out_of_time, training_rows, validation_rows
 from ..operators.splitters import Feature, binary, heavy_hitters, one_at_random, quantiles, same_rows, statistics
 from ..sources import models
+from ..sources.storage import on_workers
 from . import local_grow
 from . import tree as T
 
 KEYS = ["tree", "leaf"]
+MOST_TARGETS = 5_000_000
+
+
+def _collected(targets: DataFrame) -> list:
+    rows = targets.limit(MOST_TARGETS + 1).collect()
+    if len(rows) > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets of leaves: too many labels for a model on the driver")
+    return rows
 
 
 @dataclass(frozen=True)
@@ -74,12 +83,33 @@ class Forest:
     # ------------------------------------------------------------ steps
 
     def update_targets(self, path: str | None = None) -> Forest:
-        """Each leaf's target becomes the sum of the training rows that reach it: zero where none does."""
+        """Each leaf's target becomes the sum of the training rows that reach it: zero where none does.
+
+        Models live on the driver, so more than MOST_TARGETS pairs of leaf and label are an error.
+        """
         found: dict[tuple[int, int], T.Target] = {}
-        for r in leaf_targets(self.training()).collect():
+        for r in _collected(leaf_targets(self.training())):
             found.setdefault((r["tree"], r["leaf"]), {})[r["label"]] = r["weight"]
         return self._with({i: T.map_leaves(t, lambda x, i=i: replace(x, target=found.get((i, x.index), {}))) for i, t in self.trees.items()}, path)
 
+    def _statistics(self, rows: DataFrame, features: list[Feature]) -> DataFrame:
+        """Statistics of routed rows by tree and leaf.
+
+        At the roots of a cross-validation they don't depend on the tree but for the fold that it leaves out: rows are
+        summed by fold, once for all trees, and the folds' sums are combined.
+        """
+        if not isinstance(self.sampler, KFold) or any(isinstance(t, T.Node) for t in self.trees.values()):
+            return statistics(rows, features, KEYS)
+        by_fold = statistics(self.rows.withColumn("fold", self.sampler.fold()), features, ["fold"])
+        trees = by_fold.withColumn("tree", F.explode(F.array(*[F.lit(i) for i in self.trees]))).where("tree <> fold")
+        at = ["tree", "feature", "num", "str", "label"]
+        return trees.groupBy(*at).agg(F.sum("w").alias("w")).select("tree", F.lit(0).alias("leaf"), *at[1:], "w")
+
+    def best_splits(self) -> DataFrame:
+        """The best split of each leaf of each tree, with the weight of both sides and the score, whether or not the stopper
+        lets the leaf split."""
+        return best_splits(self.evaluator.evaluate(self.candidates(self.training()), KEYS), KEYS)
+
     def candidates(self, rows: DataFrame) -> DataFrame:
         """All candidate splits of routed rows (with tree and leaf)."""
         dense = [f for f in self.features if f.kind != "sparse" and not (self.cuts and f.kind == "continuous")]
@@ -87,11 +117,11 @@ class Forest:
         sparse = [f for f in self.features if f.kind == "sparse"]
         found = []
         if dense:
-            found.append(binary(self._allowed(statistics(rows, dense, KEYS)), KEYS))
+            found.append(binary(self._allowed(self._statistics(rows, dense)), KEYS))
         if cut:
             found.append(self._allowed(quantiles(rows, cut, KEYS, self.cuts)))
         if sparse:
-            found.append(heavy_hitters(self._allowed(statistics(rows, sparse, KEYS)), leaf_targets(rows), KEYS, self.capacity))
+            found.append(heavy_hitters(self._allowed(self._statistics(rows, sparse)), leaf_targets(rows), KEYS, self.capacity))
         out = found[0]
         for more in found[1:]:
             out = out.unionByName(more)
@@ -125,7 +155,7 @@ class Forest:
         wanted = self.spark.createDataFrame(active, "tree int, leaf int")
         rows = self.training().join(wanted, KEYS, "left_semi")
         # Read twice, for the best and for the winners' sides: kept, so that rows are scanned once a level.
-        candidates = self.candidates(rows).persist(StorageLevel.MEMORY_AND_DISK)
+        candidates = self.candidates(rows).join(F.broadcast(wanted), KEYS, "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
         best = best_splits(self.evaluator.evaluate(candidates, KEYS), KEYS)
         splits: dict[tuple[int, int], tuple] = {}
         for r in same_rows(candidates, best, [*KEYS, "feature", "op", "num", "str"]).collect():
@@ -151,9 +181,11 @@ class Forest:
         """Every leaf that may split grows up to `times` levels in one task, from its rows downsampled to the stopper's size.
 
         max_rows bounds a task: the rate of a leaf with more sampled rows is lowered to about so many, and its targets are
-        scaled by the rate that results.  Splits are those of the forest's evaluator over all distinct values; evaluators
-        that only Spark can compute, `randomized`, `cuts` and sparse features raise an error.
+        scaled by the rate that results.  Splits are those of the forest's evaluator over all distinct values, and rows
+        without the feature of a split go the way of the forest's order; evaluators and samplers that only Spark can
+        compute, `randomized`, `cuts` and sparse features raise an error.
         """
+        on_workers(self.spark)
         score = local_grow.scorer(self.evaluator)
         if self.randomized or any(f.kind == "sparse" or (self.cuts and f.kind == "continuous") for f in self.features):
             raise ValueError("growth in memory has no randomized candidates, cuts or sparse features: use expand")
@@ -161,6 +193,7 @@ class Forest:
         if not active:
             return self._with(self.trees, path)
         paths, features, sampler, minimum = self.paths(), self.features, self.sampler, self.stopper.min_size
+        order = self.order
         values = [f.value().alias(f"__f{k}") for k, f in enumerate(features)]
 
         def sampled() -> DataFrame:
@@ -170,9 +203,12 @@ class Forest:
         # The stopper's rate goes by weight: rows are counted, as light ones can be many more.
         for r in sampled().groupBy(*KEYS).count().where(F.col("count") > max_rows).collect():
             active[r["tree"], r["leaf"]] *= max_rows / r["count"]
-        rows = sampled().select(*KEYS, "path", F.col("label").cast("string").alias("label"), F.col("weight").cast("double").alias("weight"), *values)
+        rows = sampled().where(F.col("label").isNotNull())
+        rows = rows.select(*KEYS, "path", F.col("id").cast("string").alias("id"), F.col("label").cast("string").alias("label"), F.col("weight").cast("double").alias("weight"), *values)
         while hasattr(sampler, "base"):
             sampler = sampler.base
+        if type(sampler).feature not in (Sampler.feature, RandomForest.feature):
+            raise ValueError(f"growth in memory can't ask {sampler} which features a node may use: use expand")
         rate, seed = getattr(sampler, "feature_rate", None), getattr(sampler, "seed", "")
 
         def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -184,9 +220,17 @@ class Forest:
                 digest = hashlib.md5(f"{seed}-feature:{tree}:{top + path}:{feature}".encode()).hexdigest()
                 return int(digest[:8], 16) / 4294967296.0 < rate
 
+            ids = pdf["id"].to_numpy(dtype=object)
+
+            def left(path: str, own: np.ndarray) -> np.ndarray:  # as routing.goes_left of nodes without annotations
+                if order != "random":
+                    return np.full(len(own), order != "probabilistic")
+                coins = (hashlib.md5(f"traversal:{tree}:{'' if i is None else i}:{top + path}".encode()).hexdigest()[:8] for i in ids[own])
+                return np.array([int(c, 16) / 4294967296.0 < 0.5 for c in coins], bool)
+
             columns = {f.name: pdf[f"__f{k}"].to_numpy(dtype=object) for k, f in enumerate(features)}
             grown = local_grow.grow(
-                columns, {f.name: f.numeric for f in features}, pdf["label"].to_numpy(), pdf["weight"].to_numpy(), times, minimum, score, allowed=allowed if rate is not None else None
+                columns, {f.name: f.numeric for f in features}, pdf["label"].to_numpy(), pdf["weight"].to_numpy(), times, minimum, score, allowed=allowed if rate is not None else None, left=left
             )
             return pd.DataFrame({"tree": [tree], "leaf": [leaf], "json": [models.dumps(T.renumber(grown))]})
 
@@ -224,28 +268,37 @@ class Forest:
         """Pairs of leaves merge where that doesn't raise the error on validation rows; every tree is kept."""
         error = error or (lambda held, target: metrics.brier_target(held, voting.soft_target([target]))[0] * T.total(held))
         held: dict[int, dict[int, T.Target]] = {}
-        for r in leaf_targets(self.validation()).collect():
+        for r in _collected(leaf_targets(self.validation())):
             held.setdefault(r["tree"], {}).setdefault(r["leaf"], {})[r["label"]] = r["weight"]
         return self._with({i: T.prune(t, held.get(i, {}), error) for i, t in self.trees.items()}, path)
 
-    def permuted(self, groups: int = 10) -> DataFrame:
-        """Rows with one feature, named in `permuted`, taken from the predecessor in a group ordered by hash."""
-        order = Window.partitionBy("__g").orderBy(hash32(self.seed, "id"), "id")
-        pick = F.pmod(hash32(self.seed + "-pick", "id"), F.lit(len(self.features)))
-        names = F.array(*[F.lit(f.name) for f in self.features])
-        rows = self.rows.withColumn("__g", F.pmod(hash32(self.seed + "-group", "id"), F.lit(groups)))
-        rows = rows.withColumn("__n", F.row_number().over(order))
-        lagged = [F.lag(f.name).over(order).alias(f"__l_{f.name}") for f in self.features]
-        rows = rows.select("*", *lagged).withColumn("permuted", names[pick.cast("int")]).where("__n > 1")
-        changed = {f.name: F.when(F.col("permuted") == f.name, F.col(f"__l_{f.name}")).otherwise(F.col(f.name)) for f in self.features}
-        return rows.withColumns(changed).drop("__g", "__n", *[f"__l_{f.name}" for f in self.features])
+    def permuted(self, groups: int = 10, buckets: int = 1024) -> DataFrame:
+        """Rows with one feature, named in `permuted`, taken from the predecessor in a group ordered by hash.
+
+        A group is cut into buckets of the hash, each sorted on its own; the first row of a bucket takes from the last row
+        of the bucket before it that isn't empty, a table of at most groups * buckets rows.
+        """
+        own = [f.name for f in self.features]
+        pick = F.pmod(hash32(self.seed + "-pick", "id"), F.lit(len(own)))
+        names = F.array(*map(F.lit, own))
+        rows = self.rows.withColumn("__g", F.pmod(hash32(self.seed + "-group", "id"), F.lit(groups)).cast("int")).withColumn("__k", hash32(self.seed, "id"))
+        rows = rows.withColumn("__b", F.floor(F.col("__k") / F.lit((1 << 32) / buckets)).cast("int"))
+        last = rows.groupBy("__g", "__b").agg(F.max(F.struct("__k", "id", F.struct(*own).alias("v"))).alias("last"))
+        last = last.select("__g", "__b", F.lag("last.v").over(Window.partitionBy("__g").orderBy("__b")).alias("__before"))
+        within = Window.partitionBy("__g", "__b").orderBy("__k", "id")
+        rows = rows.withColumn("__n", F.row_number().over(within)).withColumn("__lag", F.lag(F.struct(*own)).over(within)).join(last, ["__g", "__b"])
+        rows = rows.withColumn("__lag", F.when(F.col("__n") == 1, F.col("__before")).otherwise(F.col("__lag"))).where("__lag is not null")
+        rows = rows.withColumn("permuted", names[pick.cast("int")])
+        changed = {c: F.when(F.col("permuted") == c, F.col("__lag")[c]).otherwise(F.col(c)) for c in own}
+        return rows.withColumns(changed).drop("__g", "__k", "__b", "__n", "__lag", "__before")
 
     def feature_importance(self, error: Callable[..., DataFrame] = metrics.brier, voter: Callable[..., DataFrame] = voting.soft, groups: int = 10) -> DataFrame:
         """By feature, the validation error of rows in which that feature was permuted."""
-        rows = validation_rows(self.permuted(groups), self.sampler)
+        permuted = self.permuted(groups)
+        rows = validation_rows(permuted, self.sampler)
         ids = ["id", "permuted"]
         predicted = voter(self.votes(rows, keep=ids), ids=ids)
-        actual = self.permuted(groups).select("id", "permuted", "label", "weight")
+        actual = permuted.select("id", "permuted", "label", "weight")
         return error(actual, predicted, by=["permuted"]).withColumnRenamed("permuted", "feature")
 
     def out_of_time(self, quantile: float = 0.8) -> Forest:

@@ -1,8 +1,8 @@
 """Growth of the subtree below a leaf from the rows that reach it, in one task.
 
 The grower works on columns of one group (numpy), with the same splits and scores as the distributed plan: numbers
-by < at every distinct value, strings by equality, chi-squared, ties to the smaller feature and value.  Rows without
-the chosen feature go left, as they do in routing.
+by < at every distinct value, strings by equality, ties to the smaller feature and value.  Rows without the chosen
+feature go the way that routing sends them.
 """
 
 from __future__ import annotations
@@ -105,15 +105,17 @@ def grow(
     min_size: float = 10,
     score: Callable[[np.ndarray, np.ndarray], np.ndarray] = chi_squared,
     allowed: Callable[[str, str], bool] | None = None,
+    left: Callable[[str, np.ndarray], np.ndarray] | None = None,
 ) -> Tree:
-    """A tree of at most `depth` levels.  allowed(path, feature): whether a node may use a feature."""
+    """A tree of at most `depth` levels.  allowed(path, feature): whether a node may use a feature; left(path, rows): which of
+    the rows without the feature of a node go left, all if not given."""
     names, y = np.unique(np.asarray(label, dtype=str), return_inverse=True)
     names = list(names)
     missing = {f: np.array([x is None or x != x for x in v]) for f, v in columns.items()}
 
-    def node(rows: np.ndarray, left: int, path: str) -> Tree:
+    def node(rows: np.ndarray, levels: int, path: str) -> Tree:
         target = _target(y[rows], names, weight[rows])
-        if not left or len(target) < 2 or sum(target.values()) <= min_size:
+        if not levels or len(target) < 2 or sum(target.values()) <= min_size:
             return Leaf(0, target)
         best = None
         for f in sorted(columns):
@@ -135,9 +137,11 @@ def grow(
         v = columns[f][rows]
         goes = missing[f][rows].copy()
         there = ~goes
+        if left and goes.any():
+            goes[goes] = left(path, rows[goes])
         goes[there] = v[there].astype(float) < value if numeric[f] else v[there].astype(str) == value
         if goes.all() or not goes.any():
             return Leaf(0, target)
-        return Node(f, predicate, node(rows[goes], left - 1, path + "L"), node(rows[~goes], left - 1, path + "R"))
+        return Node(f, predicate, node(rows[goes], levels - 1, path + "L"), node(rows[~goes], levels - 1, path + "R"))
 
     return node(np.arange(len(y)), depth, "")

@@ -13,11 +13,12 @@ from . import streaming
 from .functions import down_rez, dyadic, uniform
 from .operators import evaluate, metrics, routing, splitters, voting
 from .operators.evaluate import AccuracySplit, BrierSplit, ChiSquared, MinWeight, Stopper
-from .operators.sampling import KFold, RandomForest, TimeGrouped, out_of_time, sampled_leaves, training_rows, validation_rows
+from .operators.sampling import KFold, RandomForest, SingleTree, TimeGrouped, out_of_time, sampled_leaves, training_rows, validation_rows
 from .operators.splitters import Feature
 from .plans import tree as T
 from .plans.forest import Forest
 from .sources import instances, models
+from .sources.storage import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -261,43 +262,40 @@ def _best(candidates: DataFrame, evaluator: evaluate.Evaluator, keys: list[str]
     return best.select(*[F.col(k).cast("long").alias(k) for k in keys], "feature", "op", "num", "str", "lt", "rt", F.round("score", 6).alias("score"))
 
 
-def _fold_candidates(spark, sf, features: list[Feature]) -> DataFrame:
-    """At the root statistics don't depend on the tree: they are summed by fold once, then folds are combined."""
-    sampler = KFold(4)
-    by_fold = splitters.statistics(orders(spark, sf).withColumn("fold", sampler.fold()), features, ["fold"])
-    trees = by_fold.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(3)))).where("tree <> fold")
-    stats = trees.groupBy("tree", "feature", "num", "str", "label").agg(F.sum("w").alias("w"))
-    return splitters.binary(stats, ["tree"])
+def _of_forest(spark, sf, features: tuple[Feature, ...], evaluator: evaluate.Evaluator = ChiSquared()) -> DataFrame:
+    """The best first splits of a cross-validated forest."""
+    best = Forest(orders(spark, sf), features, KFold(4), evaluator).best_splits()
+    return best.select(F.col("tree").cast("long").alias("tree"), "feature", "op", "num", "str", "lt", "rt", F.round("score", 6).alias("score"))
 
 
 @query(best_sql(candidates_sql(NUMERIC), "chi2"))
 def best_split_chi2(spark, sf):
-    return _best(_fold_candidates(spark, sf, [PRICE, CUSTOMER]), ChiSquared())
+    return _of_forest(spark, sf, (PRICE, CUSTOMER))
 
 
 @query(best_sql(candidates_sql(NUMERIC), "chi2_multiplicity"))
 def best_split_chi2_multiplicity(spark, sf):
-    return _best(_fold_candidates(spark, sf, [PRICE, CUSTOMER]), ChiSquared(label_multiplicity=True))
+    return _of_forest(spark, sf, (PRICE, CUSTOMER), ChiSquared(label_multiplicity=True))
 
 
 @query(best_sql(candidates_sql(NOMINAL), "chi2"))
 def best_split_nominal(spark, sf):
-    return _best(_fold_candidates(spark, sf, [PRIORITY]), ChiSquared())
+    return _of_forest(spark, sf, (PRIORITY,))
 
 
 @query(best_sql(candidates_sql(NUMERIC + " union all " + NOMINAL), "chi2", "lt > 500 and rt > 500"))
 def best_split_minweight(spark, sf):
-    return _best(_fold_candidates(spark, sf, [PRICE, CUSTOMER, PRIORITY]), MinWeight(lambda w: w > 500))
+    return _of_forest(spark, sf, (PRICE, CUSTOMER, PRIORITY), MinWeight(lambda w: w > 500))
 
 
 @query(best_sql(candidates_sql(NUMERIC), "brier"))
 def best_split_brier(spark, sf):
-    return _best(_fold_candidates(spark, sf, [PRICE, CUSTOMER]), BrierSplit())
+    return _of_forest(spark, sf, (PRICE, CUSTOMER), BrierSplit())
 
 
 @query(best_sql(candidates_sql(NUMERIC), "accuracy"))
 def best_split_accuracy(spark, sf):
-    return _best(_fold_candidates(spark, sf, [PRICE, CUSTOMER]), AccuracySplit())
+    return _of_forest(spark, sf, (PRICE, CUSTOMER), AccuracySplit())
 
 
 SPARSE = f"""stats as (select 0::bigint as tree, cast(user_id as varchar) as str, label, sum(weight) as w from ({EVENTS}) where user_id is not null group by all),
@@ -340,7 +338,8 @@ def best_split_dyadic(spark, sf):
 one as (select *, row_number() over (partition by tree, feature order by {h('split', 'tree', 'feature', 'str')}, str) as r from ids)
 select tree, feature, str, label, lw::double as lw, rw::double as rw from cand semi join (select * from one where r = 1) o using (tree, feature, str)""")
 def random_split(spark, sf):
-    one = splitters.one_at_random(_fold_candidates(spark, sf, [PRIORITY]), ["tree"])
+    forest = Forest(orders(spark, sf), (PRIORITY,), KFold(4))
+    one = splitters.one_at_random(forest.candidates(forest.training()).drop("leaf"), ["tree"])
     return one.select(F.col("tree").cast("long").alias("tree"), "feature", "str", "label", "lw", "rw")
 
 
@@ -437,12 +436,12 @@ def _grown(spark, forest: Forest) -> DataFrame:
     return spark.createDataFrame(rows, "tree long, path string, feature string, num double, lt double, rt double")
 
 
-def tree_sql(levels: int, minimum: int) -> str:
-    """Level by level: rows carry the path of their leaf."""
-    ctes = [f"r0 as (select *, '' as path, floor(o_totalprice / 5000)::double as price, floor(o_custkey / 10)::double as cust from ({FOLDS}))"]
+def tree_sql(levels: int, minimum: int, rows: str = FOLDS, allowed: str = "true") -> str:
+    """Level by level: rows carry the path of their leaf.  allowed: whether a node, by tree and path, may use a feature."""
+    ctes = [f"r0 as (select *, '' as path, floor(o_totalprice / 5000)::double as price, floor(o_custkey / 10)::double as cust from ({rows}))"]
     for k in range(levels):
         stats = f"""select s.* from (select tree, path, feature, num, null::varchar as str, label, sum(weight) as w from (
-          select tree, path, label, weight, 'o_totalprice' as feature, price as num from r{k} union all select tree, path, label, weight, 'o_custkey', cust from r{k}) group by all) s
+          select tree, path, label, weight, 'o_totalprice' as feature, price as num from r{k} union all select tree, path, label, weight, 'o_custkey', cust from r{k}) where {allowed} group by all) s
           semi join (select tree, path from r{k} group by tree, path having sum(weight) > {minimum} and count(distinct label) > 1) g using (tree, path)"""
         own = candidates_sql(stats, "tree, path")
         for name in ("stats", "vals", "labs", "grid", "sided", "cand"):
@@ -474,6 +473,43 @@ def tree_depth2(spark, sf):
     return _grown(spark, forest.expand_times(2))
 
 
+@query(tree_sql(2, 100))
+def grow_in_memory(spark, sf):
+    """The same two levels, grown in one task a tree."""
+    features = (Feature("o_totalprice", "ordinal"), Feature("o_custkey", "ordinal"))
+    forest = Forest(_binned_orders(spark, sf), features, KFold(4), stopper=Stopper(1e12, 100)).update_targets()
+    return _grown(spark, forest.expand_in_memory(2))
+
+
+BOOTSTRAP = f"select * exclude (weight, times), weight * times as weight from (select r.*, tree, {times_sql('tree')} as times from ({ORDERS}) r, (select unnest(range(0, 3)) as tree)) where times > 0"
+ALLOWED = f"{u('rf-feature', 'tree', 'path', 'feature')} < 0.7"
+
+
+@query(tree_sql(2, 100, BOOTSTRAP, ALLOWED))
+def random_forest_depth2(spark, sf):
+    """Two levels of a bootstrap forest with a random subset of features at each node."""
+    features = (Feature("o_totalprice", "ordinal"), Feature("o_custkey", "ordinal"))
+    return _grown(spark, Forest(_binned_orders(spark, sf), features, RandomForest(3, 0.7), stopper=Stopper(100, 100)).expand_times(2))
+
+
+@query(tree_sql(2, 100, BOOTSTRAP, ALLOWED))
+def random_forest_in_memory(spark, sf):
+    """The same, each tree in one task."""
+    features = (Feature("o_totalprice", "ordinal"), Feature("o_custkey", "ordinal"))
+    forest = Forest(_binned_orders(spark, sf), features, RandomForest(3, 0.7), stopper=Stopper(1e12, 100)).update_targets()
+    return _grown(spark, forest.expand_in_memory(2))
+
+
+@query(tree_sql(1, 100, f"select *, 0 as tree from ({ORDERS})"))
+def one_leaf_at_a_time(spark, sf):
+    """The first step of a single tree that splits one leaf a step."""
+    from .plans import recipes
+
+    features = (Feature("o_totalprice", "ordinal"), Feature("o_custkey", "ordinal"))
+    forest, _ = next(recipes.one_leaf_at_a_time(_binned_orders(spark, sf), features, 1, Stopper(100, 100)))
+    return _grown(spark, forest)
+
+
 def _leaf_rows(spark, forest: Forest) -> DataFrame:
     rows = [(i, p, x.index, json.dumps(x.target, sort_keys=True)) for i, t in forest.trees.items() for p, x in T.with_paths(t) if isinstance(x, T.Leaf)]
     return spark.createDataFrame(rows, "tree long, path string, leaf long, target string")
@@ -737,3 +773,275 @@ def route_heaviest_of_all(spark, sf):
     weights = F.array(*[F.lit(float(x.annotation)) for x in T.leaves(events_tree())])
     found = routing.all_leaves(events(spark, sf), events_tree()).withColumn("w", F.element_at(weights, F.col("leaf") + 1))
     return found.groupBy("id").agg(F.max_by("leaf", "w").cast("long").alias("leaf"))
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+
+def values_sql(names: str, rows: list[tuple]) -> str:
+    """SQL of a table of constants."""
+    plain = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"{v!r}::double" if isinstance(v, float) else f"{v}::bigint"
+    return f"select * from (values {', '.join('(' + ', '.join(map(plain, r)) + ')' for r in rows)}) t({names})"
+
+
+def _lines(spark, sf) -> str:
+    """Labelled text made of the orders: key, customer, status."""
+    path = scratch(spark, "lines")
+    table(spark, sf, "orders").select(F.concat_ws(",", "o_orderkey", "o_custkey", "o_orderstatus").alias("value")).write.text(path)
+    return path
+
+
+@query("select concat_ws(',', o_orderkey, o_custkey, o_orderstatus) as id, 0::bigint as ts, o_orderstatus as label, 1.0::double as weight, o_orderkey::double as k, o_custkey::double as c from orders")
+def labelled_text(spark, sf):
+    """Instances from delimited lines whose last field is the label."""
+    return instances.from_csv(spark, _lines(spark, sf), ["k", "c"])
+
+
+@query("select count(*) as lines, count(distinct o_custkey) as customers, sum(o_orderkey)::double as keys from orders")
+def lines_read_twice(spark, sf):
+    """A file of lines read in two passes."""
+    path = _lines(spark, sf)
+    lines = spark.read.text(path).agg(F.count("*").alias("lines"))
+    rows = instances.from_csv(spark, path, ["k", "c"]).agg(F.countDistinct("c").alias("customers"), F.sum("k").alias("keys"))
+    return lines.join(rows)
+
+
+_ROWS = [("a", 5, "x", 2.0, 1.5), ("b", 0, "y", 1.0, None), ("c", -3, "x", 0.5, 0.0)]
+
+
+@query(f"with m as ({values_sql('id, ts, label, weight, f', _ROWS)}) select id, label, weight, f, r.n_name from m join nation r on r.n_nationkey = abs(m.ts)")
+def in_memory_rows(spark, sf):
+    """Rows from memory, joined to a table."""
+    rows = instances.in_memory(spark, _ROWS, "id string, ts long, label string, weight double, f double")
+    return rows.join(table(spark, sf, "nation"), F.abs("ts") == F.col("n_nationkey")).select("id", "label", "weight", "f", "n_name")
+
+
+@query(f"select id, label, 1.0::double as weight, o_totalprice as price, null::double as absent from ({ORDERS})")
+def instances_of_maps(spark, sf):
+    """Instances from maps of features and of targets."""
+    rows = orders(spark, sf).select("id", "ts", F.create_map(F.lit("price"), "o_totalprice").alias("features"), F.create_map("label", F.lit(1).cast("long")).alias("target"))
+    return instances.from_maps(rows, ["price", "absent"]).select("id", "label", "weight", "price", "absent")
+
+
+@query(f"select label, label = '1-URGENT' as parsed, case when label = '1-URGENT' then 'true' else 'false' end as written, count(*) as n from (select o_orderpriority as label from orders) group by all")
+def boolean_labels(spark, sf):
+    """Booleans as exactly 'true' or 'false', and back."""
+    rows = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("label"), (F.col("o_orderpriority") == "1-URGENT").alias("b"))
+    rows = rows.select("label", instances.boolean_label("b").alias("written")).withColumn("parsed", instances.parse_boolean("written"))
+    return rows.groupBy("label", "parsed", "written").agg(F.count("*").alias("n"))
+
+
+def _targets(spark, forest: Forest) -> DataFrame:
+    rows = [(i, x.index, k, w) for i, t in forest.trees.items() for x in T.leaves(t) for k, w in sorted(x.target.items())]
+    return spark.createDataFrame(rows, "tree long, leaf long, label string, weight double")
+
+
+_FOLDED = f"select tree::bigint as tree, ({FIXED})::bigint as leaf, label, sum(weight)::double as weight from ({FOLDS.replace('range(0, 4)', 'range(0, 2)').replace('% 4', '% 2')}) group by all"
+
+
+def _two_fixed(spark, sf) -> Forest:
+    return Forest(orders(spark, sf), (PRICE, CUSTOMER, PRIORITY), KFold(2), trees={0: fixed_tree(), 1: fixed_tree()})
+
+
+@query(_FOLDED)
+def model_written_through(spark, sf):
+    """Targets, written as text and read before they are used."""
+    return _targets(spark, _two_fixed(spark, sf).update_targets(scratch(spark, "model")))
+
+
+@query(_FOLDED)
+def model_of_nodes(spark, sf):
+    """Targets, saved as a table of nodes and loaded into a new forest."""
+    path = scratch(spark, "nodes")
+    forest = _two_fixed(spark, sf).update_targets().save(path, "parquet")
+    return _targets(spark, Forest(forest.rows, forest.features, forest.sampler).load(path, "parquet"))
+
+
+@query(_FOLDED)
+def model_in_steps(spark, sf):
+    """Targets from the first numbered step of a run."""
+    base = scratch(spark, "run")
+    forest = _two_fixed(spark, sf)
+    forest.update_targets(models.step(base, 0))
+    return _targets(spark, forest.load(f"{base}/step_00"))
+
+
+@query(_FOLDED)
+def model_as_strings(spark, sf):
+    """Targets of trees that went through compact strings and through JSON."""
+    trees = {i: models.loads(models.dumps(models.from_string(models.to_string(t)))) for i, t in _two_fixed(spark, sf).update_targets().trees.items()}
+    return _targets(spark, Forest(orders(spark, sf), (PRICE,), KFold(2), trees=trees))
+
+
+@query(_FOLDED)
+def rows_kept_on_disk(spark, sf):
+    """Targets of rows that were persisted."""
+    forest = _two_fixed(spark, sf).persisted()
+    try:
+        return _targets(spark, forest.update_targets())
+    finally:
+        forest.rows.unpersist()
+
+
+@query(f"select label, sum(weight)::double as weight, count(*) as rows from ({ORDERS}) group by label")
+def combinators(spark, sf):
+    """Other trees and another sampler by functions of what the forest holds, and a side effect in between."""
+    seen: list[int] = []
+    forest = _two_fixed(spark, sf).flat_map_sampler(lambda rows, sampler, trees: SingleTree())
+    forest = forest.flat_map_trees(lambda rows, sampler, trees: {0: T.singleton()}).tee(lambda f: seen.append(len(f.trees))).update_targets()
+    assert seen == [1]
+    return _targets(spark, forest).select("label", "weight", F.col("weight").cast("long").alias("rows"))
+
+
+@query(f"""with {HELD}, best as (select id, label from (select *, row_number() over (partition by id order by p desc, label) as r from soft) where r = 1)
+select 'correct' as what, coalesce(sum(a.weight) filter (where a.label = b.label), 0)::double as weight from ({ACTUAL}) a join best b using (id)
+union all select 'incorrect', coalesce(sum(a.weight) filter (where a.label <> b.label), 0)::double from ({ACTUAL}) a join best b using (id)""")
+def metrics_written(spark, sf):
+    """An error as tab-separated text, read again."""
+    path = scratch(spark, "metrics")
+    instances.write_metrics(_votes(spark, sf)[0].validate(metrics.accuracy), path)
+    found = spark.read.option("sep", "\t").schema("correct double, incorrect double").csv(path)
+    return found.select(F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).alias("weight")) for c in found.columns])).alias("r")).select("r.*")
+
+
+@query(f"""with t as (select unnest(range(0, 80))::bigint as tree), r as (select (ts // {DAY}) % 40 as phase, {h('kfold', 'id')} % 2 as fold, weight from ({EVENTS}))
+select t.tree, coalesce(sum(r.weight), 0)::double as weight from t left join r on r.phase = t.tree % 40 and r.fold <> t.tree // 40 group by t.tree""")
+def every_tree_stays(spark, sf):
+    """A row for each tree, with or without rows that train it."""
+    forest = Forest(events(spark, sf), (Feature("value", "continuous"),), TimeGrouped(KFold(2), DAY, 40)).update_targets()
+    return spark.createDataFrame([(i, float(T.total(T.target_of(t)))) for i, t in forest.trees.items()], "tree long, weight double")
+
+
+@query(values_sql("name, kind", [("o_orderkey", "ordinal"), ("o_custkey", "ordinal"), ("o_orderstatus", "nominal"), ("o_totalprice", "continuous"), ("o_orderpriority", "nominal")]))
+def default_kinds(spark, sf):
+    """Kinds of features by the types of columns."""
+    found = splitters.infer_features(table(spark, sf, "orders"))
+    return spark.createDataFrame([(f.name, f.kind) for f in found], "name string, kind string")
+
+
+# ---------------------------------------------------------------- codecs and tree algebra, applied to rows
+
+
+def _decoded(f: Callable, value) -> str:
+    try:
+        return json.dumps(f(value), default=str)
+    except models.ModelError as e:
+        return f"error: {e}"
+
+
+_CASES: list[tuple[str, Callable, object]] = [
+    ("predicate", lambda v: str(models.decode_predicate(v)), {"lt": 2.5}),
+    ("predicate", lambda v: str(models.decode_predicate(v)), {"isEq": "a"}),
+    ("predicate", lambda v: str(models.decode_predicate(v)), {"gtEq": {"ordinal": 3}}),
+    ("predicate", lambda v: str(models.decode_predicate(v)), {"like": "a"}),
+    ("predicate", lambda v: str(models.decode_predicate(v)), {"lt": [1]}),
+    ("tagged", models.decode_tagged, {"sparse": "a"}),
+    ("tagged", models.decode_tagged, {"continuous": "a"}),
+    ("tagged", models.decode_tagged, {"other": 1}),
+    ("option", models.decode_option, []),
+    ("option", models.decode_option, [4]),
+    ("option", models.decode_option, [4, 5]),
+    ("boolean", models.decode_boolean, "true"),
+    ("boolean", models.decode_boolean, "True"),
+    ("single", lambda v: models.single(v, "it"), {"k": 1}),
+    ("single", lambda v: models.single(v, "it"), {}),
+    ("single", lambda v: models.single(v, "it"), {"k": 1, "l": 2}),
+    ("single", lambda v: models.single(v, "it"), 7),
+]
+_SAYS = [
+    '"x < 2.5"', '"x === a"', '"x >= 3"', "error: unknown predicate 'like'", "error: a predicate needs a number, a string or a boolean",
+    '["sparse", "a"]', "error: continuous needs a number", "error: unknown tag 'other'", "null", "4", "error: an option is a list of at most one value",
+    "true", "error: not exactly true or false", '["k", 1]', "error: it is empty", "error: it has more than one key", "error: it is not an object",
+]
+
+
+@query(values_sql("codec, input, output", [(name, json.dumps(v), says) for (name, _, v), says in zip(_CASES, _SAYS)]))
+def codecs(spark, sf):
+    """Small codecs on values that they take, and on those that they refuse."""
+    return spark.createDataFrame([(name, json.dumps(v), _decoded(f, v)) for name, f, v in _CASES], "codec string, input string, output string")
+
+
+@query(values_sql("position, feature, op, value, leaf_index, left_child, annotation", [
+    (0, "value", "lt", 200.0, None, 1, 37.0), (1, "user_id", "lt", 50.0, None, 3, 14.0), (2, "value", "lt", 400.0, None, 5, 23.0),
+    (3, None, None, None, 0, None, 5.0), (4, None, None, None, 1, None, 9.0), (5, None, None, None, 2, None, 20.0), (6, None, None, None, 3, None, 3.0)]))
+def compressed_tree(spark, sf):
+    """A tree as arrays in breadth-first order, after a round trip."""
+    c = T.compress(T.expand_compressed(T.compress(events_tree())))
+    rows = list(zip(range(len(c["leaf"])), *(c[k] for k in ("feature", "op", "value", "leaf", "left", "annotation"))))
+    return spark.createDataFrame(rows, "position long, feature string, op string, value double, leaf_index long, left_child long, annotation double")
+
+
+@query(values_sql("tree, json", [(0, '{"leaf":0,"distribution":{"F":3.0,"O":5.0,"P":2.0}}'), (1, '{"key":"f","predicate":{"lt":0.5},"left":{"leaf":0,"distribution":{"a":3},"annotation":3.0},"right":{"leaf":1,"distribution":{}},"annotation":3.0}')]))
+def tree_json(spark, sf):
+    """Trees as JSON, with and without annotations, after a round trip."""
+    leaf = T.leaf_at(fixed_forest()[0], 0)
+    node = T.Node("f", T.Predicate("lt", 0.5), T.Leaf(0, {"a": 3}, 3.0), T.Leaf(1), 3.0)
+    return spark.createDataFrame([(k, models.dumps(models.loads(models.dumps(t)))) for k, t in enumerate((leaf, node))], "tree long, json string")
+
+
+_OLD = [
+    ("lt", {"lt": 3}, {"not": {"lt": 3}}), ("eq", {"eq": "a"}, {"not": {"eq": "a"}}), ("or", {"or": [{"lt": 3}, {"eq": 3}]}, {"not": {"or": [{"lt": 3}, {"eq": 3}]}}),
+    ("exists", {"exists": True}, {"not": {"exists": True}}), ("apart", {"lt": 3}, {"not": {"lt": 4}}),
+]
+
+
+@query(values_sql("name, json", [
+    ("lt", '{"key":"f","predicate":{"lt":3},"left":{"leaf":0},"right":{"leaf":1}}'), ("eq", '{"key":"f","predicate":{"isEq":"a"},"left":{"leaf":0},"right":{"leaf":1}}'),
+    ("or", '{"key":"f","predicate":{"ltEq":3},"left":{"leaf":0},"right":{"leaf":1}}'), ("exists", "error: exists can't be migrated"), ("apart", "error: branches aren't complements")]))
+def migrated_models(spark, sf):
+    """Splits of the older format, and those that have no equal in the present one."""
+    rows = []
+    for name, left, right in _OLD:
+        old = [{"feature": "f", "predicate": left, "children": {"leaf": 0}}, {"feature": "f", "predicate": right, "children": {"leaf": 1}}]
+        try:
+            rows.append((name, models.migrate_model([f"0\t{json.dumps(old)}"])[0].partition("\t")[2]))
+        except models.ModelError as e:
+            rows.append((name, f"error: {e}"))
+    return spark.createDataFrame(rows, "name string, json string")
+
+
+@query(LEAVES)
+def route_mapped_tree(spark, sf):
+    """Features renamed and constants doubled, on rows that are renamed and doubled alike."""
+    rows = orders(spark, sf).select("id", *[(F.col(c) * 2).alias(f"{c}_2") for c in ("o_totalprice", "o_custkey")], F.col("o_orderpriority").alias("o_orderpriority_2"))
+    tree = T.map_predicates(T.map_features(fixed_tree(), lambda f: f"{f}_2"), lambda v: v if isinstance(v, str) else 2 * v)
+    return routing.route(rows, {0: tree}).select("id", F.col("leaf").cast("long").alias("leaf"))
+
+
+@query(f"""select id, case leaf when 0 then 0 when 1 then case when o_custkey < 300 then 1 else 2 end when 2 then 3 else 4 end::bigint as leaf
+from (select *, ({FIXED}) as leaf from ({ORDERS}))""")
+def route_grafted_tree(spark, sf):
+    """One leaf replaced by a tree; leaves renumbered from left to right."""
+    more = T.Node("o_custkey", T.Predicate("lt", 300.0), T.Leaf(0), T.Leaf(1))
+    tree = T.update_leaves(fixed_tree(), lambda k: more if k == 1 else None)
+    return routing.route(orders(spark, sf), {0: tree}).select("id", F.col("leaf").cast("long").alias("leaf"))
+
+
+@query(f"""with l as (select ({FIXED})::bigint as leaf, count(*)::double as w from ({ORDERS}) group by 1)
+select 4::bigint as leaves, 2::bigint as depth, (select sum(w) from l) as weight, (select sum(w) from l where leaf < 2) * 2 as left_twice, (select w from l where leaf = 2) as third, 'o_totalprice < 250000.0' as says""")
+def tree_algebra(spark, sf):
+    """Folds, mapped annotations, a leaf by its index, and the display of a predicate, on a tree with targets."""
+    tree = T.annotate(Forest(orders(spark, sf), (PRICE, CUSTOMER, PRIORITY), trees={0: fixed_tree()}).update_targets().trees[0], T.total)
+    twice = T.map_annotation(tree, lambda a: 2 * a)
+    row = (T.fold(tree, lambda x: 1, lambda n, a, b: a + b), T.depth(tree), float(tree.annotation), float(twice.left.annotation), float(T.total(T.leaf_at(tree, 2).target)), tree.predicate.display(tree.feature))
+    return spark.createDataFrame([row], "leaves long, depth long, weight double, left_twice double, third double, says string")
+
+
+@query(f"""with {SOFT}, moved as (select id, case label when 'F' then 'closed' else 'open' end as label, sum(p) as p from soft group by all)
+select id, round(max(p) filter (where label = 'closed'), 9) as closed from moved group by id""")
+def predict_mapped(spark, sf):
+    """Votes for labels that are mapped before the vote, and shares that are mapped after it."""
+    votes = _votes(spark, sf)[1].withColumn("label", F.when(F.col("label") == "F", "closed").otherwise("open"))
+    shares = voting.soft(votes).groupBy("id").agg(F.max(F.when(F.col("label") == "closed", F.col("p"))).alias("p"))
+    return shares.select("id", F.round("p", 9).alias("closed"))
+
+
+@query(f"with {SOFT}, r as (select id from ({ORDERS})), l as (select unnest(['F', 'O', 'P']) as label) select r.id, " + ", ".join(f"round(coalesce(max(p) filter (where soft.label = '{k}'), 0), 9) as p_{k}" for k in "FOP") + " from r left join soft using (id) group by r.id")
+def score_by_node_table(spark, sf):
+    """Scores of the same trees, walked as tables of nodes as large ones are."""
+    most, streaming.CASE_NODES = streaming.CASE_NODES, 0
+    try:
+        scored = streaming.score(orders(spark, sf), fixed_forest(), ["F", "O", "P"])
+    finally:
+        streaming.CASE_NODES = most
+    return scored.select("id", *[F.round(f"p_{k}", 9).alias(f"p_{k}") for k in "FOP"])

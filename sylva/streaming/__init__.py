@@ -9,32 +9,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.routing import leaf_case
+from ..operators.routing import CASE_NODES, leaf_case, route_by_level
 from ..plans import tree as T
 
 
+def shares(leaf: T.Leaf, labels: list[str]) -> list[float]:
+    """A leaf's soft vote for each label."""
+    n = max(sum(max(w, 0.0) for w in leaf.target.values()), 1.0)
+    return [max(leaf.target.get(label, 0.0), 0.0) / n for label in labels]
+
+
 def score(rows: DataFrame, trees: dict[int, T.Tree], labels: list[str], order: str = "depth") -> DataFrame:
     """The columns of rows (a table or a stream) and p_<label>, the soft vote of each label.
 
-    No join and no aggregation over rows: it runs in append mode, and in one stage.
+    A small tree is one CASE that gives the shares of its leaf; a larger one walks the table of its nodes.  No aggregation
+    over rows: it runs in append mode, and small trees in one stage.
     """
-    shares = {label: [] for label in labels}
+    out = rows.withColumn("__p", F.array(*[F.lit(0.0)] * len(labels)))
     for i, t in trees.items():
-        leaf = leaf_case(t, order, "id", "traversal", i, rows)
-        leaves = {x.index: x.target for x in T.leaves(t)}
-        for label in labels:
-            by_leaf = F.lit(0.0)
-            for index, target in leaves.items():
-                n = max(sum(max(w, 0.0) for w in target.values()), 1.0)
-                by_leaf = F.when(leaf == index, F.lit(max(target.get(label, 0.0), 0.0) / n)).otherwise(by_leaf)
-            shares[label].append(by_leaf)
-    columns = []
-    for label, parts in shares.items():
-        total = parts[0]
-        for p in parts[1:]:
-            total = total + p
-        columns.append((total / len(parts)).alias(f"p_{label}"))
-    return rows.select("*", *columns)
+        if sum(1 for _ in T.with_paths(t)) <= CASE_NODES:
+            own = leaf_case(t, order, "id", "traversal", i, rows, of=lambda leaf: F.array(*map(F.lit, shares(leaf, labels))))
+            out = out.withColumn("__own", own)
+        else:
+            table = rows.sparkSession.createDataFrame([(x.index, shares(x, labels)) for x in T.leaves(t)], "leaf int, __own array<double>")
+            out = route_by_level(out.withColumn("tree", F.lit(i)), {i: t}, order).join(table, "leaf").drop("tree", "leaf")
+        out = out.withColumn("__p", F.zip_with("__p", "__own", lambda a, b: a + b)).drop("__own")
+    return out.select(*rows.columns, *[(F.col("__p")[k] / len(trees)).alias(f"p_{label}") for k, label in enumerate(labels)])
 
 
 def serve(rows: DataFrame, trees: dict[int, T.Tree], labels: list[str], checkpoint: str, path: str, fmt: str = "parquet"):

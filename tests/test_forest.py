@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -258,3 +262,103 @@ def test_embeddings_are_split_on_any_component_as_by_brute_force(spark, tmp_path
             if best is None or score > best[0]:
                 best = (score, f, T.Predicate("lt", float(cut)))
     assert (tree.feature, tree.predicate) == best[1:] and tree.feature == "e40"
+
+
+def test_rows_without_a_label_count_nowhere(spark):
+    rows = [(k, 0, None if k % 5 == 0 else "ab"[k % 2], 1.0, float(k % 7), "xyz"[k % 3]) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, ts long, label string, weight double, f double, g string")
+    features = (Feature("f", "ordinal"), Feature("g", "nominal"))
+    with_nulls, without = (Forest(d, features, KFold(2), stopper=Stopper(1, 1)) for d in (df, df.where("label is not null")))
+    for grow in (lambda f: f.expand(local=True), lambda f: f.expand_in_memory(2)):
+        assert grow(with_nulls.update_targets()).trees == grow(without.update_targets()).trees
+    assert None not in T.target_of(with_nulls.update_targets().trees[0])
+
+
+def exhaustive(rows, features, levels, minimum, goes_left):
+    """A tree by trying every split of every feature on lists of rows; chi-squared, ties to the smaller feature and value."""
+    target = {}
+    for r in rows:
+        target[r["label"]] = target.get(r["label"], 0.0) + r["weight"]
+    if not levels or len(target) < 2 or sum(target.values()) <= minimum:
+        return target
+    best = None
+    for f in sorted(features):
+        own = [r for r in rows if r[f] is not None]
+        for v in sorted({r[f] for r in own}):
+            side = lambda r: r[f] < v if features[f] else r[f] == v  # noqa: E731, B023
+            sums = [{k: sum(r["weight"] for r in own if r["label"] == k and side(r) == s) for k in {r["label"] for r in own}} for s in (True, False)]
+            n = [sum(x.values()) for x in sums]
+            if min(n) <= 0:
+                continue
+            expected = lambda k, s: (sums[0][k] + sums[1][k]) * n[s] / sum(n)  # noqa: E731, B023
+            score = round(sum((sums[s][k] - expected(k, s)) ** 2 / expected(k, s) for s in (0, 1) for k in sums[0]), 9)
+            if best is None or score > best[0]:
+                best = (score, f, v, side)
+    if best is None:
+        return target
+    _, f, v, side = best
+    left = [r for r in rows if (goes_left(r) if r[f] is None else side(r))]
+    right = [r for r in rows if not (goes_left(r) if r[f] is None else side(r))]
+    return (f, v, exhaustive(left, features, levels - 1, minimum, goes_left), exhaustive(right, features, levels - 1, minimum, goes_left))
+
+
+def plain(tree):
+    return tree.target if isinstance(tree, T.Leaf) else (tree.feature, tree.predicate.value, plain(tree.left), plain(tree.right))
+
+
+def test_growth_against_exhaustive_search(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for k in range(240):
+        f, g = rng.choice([None, 1.0, 2.0, 3.0, 4.0]), rng.choice([None, "x", "y", "z"])
+        label = "a" if (f or 0) > 2 and g != "x" or rng.random() < 0.2 else rng.choice("bc")
+        rows.append({"id": k, "ts": 0, "label": label, "weight": float(rng.randint(1, 3)), "f": f, "g": g, "h": rng.choice([0.0, 1.0])})
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "id long, ts long, label string, weight double, f double, g string, h double")
+    features = (Feature("f", "ordinal"), Feature("g", "nominal"), Feature("h", "ordinal"))
+    forest = Forest(df, features, stopper=Stopper(1e9, 5)).update_targets()
+    want = exhaustive(rows, {"f": True, "g": False, "h": True}, 3, 5, lambda r: True)
+    assert plain(forest.expand_in_memory(3).trees[0]) == want
+    assert plain(forest.expand(local=True).update_targets().expand(local=True).update_targets().expand(local=True).update_targets().trees[0]) == want
+
+
+def test_order_of_missing_features_in_memory(spark):
+    rows = [(k, 0, "ab"[k % 2], 1.0, None if k % 3 else float(k % 2)) for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, ts long, label string, weight double, f double")
+    for order in ("depth", "random", "probabilistic"):
+        grown = Forest(df, (Feature("f", "ordinal"),), stopper=Stopper(1000, 1), order=order).update_targets().expand_in_memory(1)
+        assert isinstance(grown.trees[0], T.Node) and plain(grown.trees[0]) == plain(grown.update_targets().trees[0])
+
+
+def test_samplers_of_ones_own_are_refused_in_memory(spark):
+    class Odd(SingleTree):
+        def feature(self, tree, node, name):
+            return name == "f"
+
+    rows = spark.createDataFrame([(1, 0, "a", 1.0, 1.0), (2, 0, "b", 1.0, 2.0)], "id long, ts long, label string, weight double, f double")
+    with pytest.raises(ValueError, match="use expand"):
+        Forest(rows, (Feature("f", "ordinal"),), Odd(), stopper=Stopper(1, 1)).update_targets().expand_in_memory(1)
+
+
+def test_permutation_by_buckets_equals_one_sorted_group(spark):
+    rows = [(k, 0, "ab"[k % 2], 1.0, float(k), None if k % 4 == 0 else str(k)) for k in range(500)]
+    df = spark.createDataFrame(rows, "id long, ts long, label string, weight double, f double, g string")
+    forest = Forest(df, (Feature("f", "continuous"), Feature("g", "nominal")))
+    one, many = (sorted(tuple(r) for r in forest.permuted(10, buckets).select("id", "permuted", "f", F.coalesce("g", F.lit("none"))).collect()) for buckets in (1, 1024))
+    assert one == many and len(one) == 490
+
+
+def test_growth_in_memory_from_another_folder(tmp_path):
+    code = f"""
+import sys; sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from pyspark.sql import SparkSession
+from sylva.operators.splitters import Feature
+from sylva.operators.evaluate import Stopper
+from sylva.plans.forest import Forest
+spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()
+rows = spark.createDataFrame([(k, 0, 'ab'[k % 2], 1.0, float(k % 2)) for k in range(20)], 'id long, ts long, label string, weight double, f double')
+print('GROWN', Forest(rows, (Feature('f', 'ordinal'),), stopper=Stopper(100, 1)).update_targets().expand_in_memory(1).trees[0].feature)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    assert "GROWN f" in subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300).stdout
