@@ -4,8 +4,8 @@ The components are split into LISTS ranges.  In a range every candidate has a pa
 query's score list there; a score is the sum of a candidate's entries in all lists.  Each list is kept by tasks of its own,
 which get the components of one range only, of a block of queries and a block of rows.
 
-  1. gather: the tasks of a list send the k best entries of each query.  The entries that the best of each list lack in the
-     other lists are fetched, and the k-th best of their scores is a safe cutoff: the true k-th is no lower.
+  1. gather: the tasks of a list send the DEPTH * k best entries of each query.  The entries that the best of each list lack
+     in the other lists are fetched, and the k-th best of their scores is a safe cutoff: the true k-th is no lower.
   2. collect: the cutoff goes to all lists with the queries.  A score that reaches it has an entry of at least
      cutoff / LISTS in some list, signed or not; each list sends its entries down to there, and passes over rows whose
      length rules that out.
@@ -37,6 +37,7 @@ from .common import map_arrow, materialise, on_workers, parts, table
 from .vectors import lists, matrix, valid
 
 LISTS = 2
+DEPTH = 4  # times k entries are gathered of a list: more make the cutoff closer to the k-th score
 ROWS, QUERIES, STRIP = 16_384, 4_096, 512  # rows and queries of a block; rows multiplied at once
 LARGEST = 2.0**500
 
@@ -162,8 +163,8 @@ def _whole(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([min(max(s, _ENDS[0]), _ENDS[1]) for s in out], np.int64)
 
 
-def _fetch(list_: int) -> Task:
-    """The entries that pairs lack in this list, added to what is known."""
+def _fetch(list_: int, full: int) -> Task:
+    """The entries that pairs lack in this list, added to what is known; sums of all lists go if they don't reach the cutoff."""
 
     def run(block: _Block, asked: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
         if asked is None:
@@ -173,8 +174,9 @@ def _fetch(list_: int) -> Task:
         for lo in range(0, len(q), 1 << 16):
             at = slice(lo, lo + (1 << 16))
             p = np.einsum("ij,ij->i", block.q[i[at]].astype(np.float64), block.x[j[at]].astype(np.float64))
-            known, have = asked.column("known").to_numpy()[at], asked.column("have").to_numpy()[at]
-            yield _batch(ENTRIES, q[at], r[at], known + p, have | (1 << list_))
+            known, have = asked.column("known").to_numpy()[at] + p, asked.column("have").to_numpy()[at] | (1 << list_)
+            stays = (have != full) | (known >= block.cutoff[i[at]])
+            yield _batch(ENTRIES, q[at][stays], r[at][stays], known[stays], have[stays])
 
     return run
 
@@ -266,14 +268,14 @@ class _Lists:
         n = max(parts(self.spark), min(4 * parts(self.spark), cells))
         return all_.repartition(n, *keys).sortWithinPartitions(*keys, "side").mapInArrow(stream, schema)
 
-    def complete(self, entries: DataFrame) -> DataFrame:
-        """(q, r, score) of (q, r, known, have), with what is lacking fetched, a list at a time."""
+    def complete(self, entries: DataFrame, cutoff: DataFrame | None = None) -> DataFrame:
+        """(q, r, score) of (q, r, known, have), with what is lacking fetched, a list at a time; fetched ones reach the cutoff."""
         full = (1 << self.count) - 1
         for _ in range(self.count - 1):
             entries = materialise(entries, "entries")
             lacking = F.expr(" ".join(["case", *(f"when have & {1 << c} = 0 then {c}" for c in range(self.count)), "end"]))
             requests = entries.where(f"have <> {full}").withColumn("list", lacking)
-            entries = entries.where(f"have = {full}").union(self.run(_fetch, ENTRIES, requests=requests))
+            entries = entries.where(f"have = {full}").union(self.run(lambda list_: _fetch(list_, full), ENTRIES, cutoff, requests))
         return entries.select("q", "r", F.col("known").cast("long").alias("score"))
 
     def named(self, scores: DataFrame) -> DataFrame:
@@ -283,10 +285,11 @@ class _Lists:
         return out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
     def cutoff(self) -> DataFrame:
-        heads = self.run(lambda list_: _heads(self.k, list_, self.exact), HEADS)
+        depth = self.k * (DEPTH if self.count > 1 else 1)
+        heads = self.run(lambda list_: _heads(depth, list_, self.exact), HEADS)
         heads = heads.groupBy("q", "list", "vec_id").agg(F.max("p").alias("p"), F.max_by("r", "p").alias("r"))
         order = Window.partitionBy("q", "list").orderBy(F.desc("p"), "vec_id")
-        heads = heads.withColumn("n", F.row_number().over(order)).where(F.col("n") <= self.k)
+        heads = heads.withColumn("n", F.row_number().over(order)).where(F.col("n") <= depth)
         if self.exact:
             scores = self.complete(heads.groupBy("q", "r").agg(F.sum("p").alias("known"), F.sum(F.expr("shiftleft(1, list)")).cast("int").alias("have")))
         else:  # entries are lower bounds of whole scores
@@ -316,7 +319,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int, scale: float = 64.0, counts
             lacking = F.sum((F.col("have") != (1 << search.count) - 1).cast("long"))
             collected, fetched = found.agg(F.count("*"), F.coalesce(lacking, F.lit(0))).first()
             counts.update(pairs=search.n * search.asked, collected=collected, fetched=fetched)
-        found = search.complete(found)
+        found = search.complete(found, cutoff)
         # Sums below the cutoff are no results: they go before ids are joined.
         asked = own.where("asked").select(F.col("r").alias("q"), F.col("vec_id").alias("query_id"))
         bound = asked.join(cutoff, "query_id").select("q", "cutoff")
