@@ -57,10 +57,23 @@ def mean(values: DataFrame, value: str = "value", ids: list[str] = ("id",)) -> D
 
 
 def combined(votes: DataFrame, aggregate: Column, ids: list[str] = ("id",), name: str = "vote") -> DataFrame:
-    """Any aggregate of the votes of an id; rewrite the input or the output with the usual DataFrame operations."""
+    """Any aggregate of the votes of an id."""
     return votes.groupBy(*ids).agg(aggregate.alias(name))
 
 
+def adapted(voter: Callable, before: Callable | None = None, after: Callable | None = None) -> Callable:
+    """A voter that votes on before(votes) and returns after(result); of tables, or of lists of targets.
+
+    A `before` that changes weights or labels of a table keeps only (ids, tree, label, weight), as totals change with them.
+    """
+
+    def vote(votes, *args, **kwargs):
+        result = voter(before(votes) if before else votes, *args, **kwargs)
+        return after(result) if after else result
+
+    return vote
+
+
 # The same on the driver, for single rows and for pruning.
 
 

@@ -595,6 +595,17 @@ def predict_combined(spark, sf):
     return voting.combined(_votes(spark, sf)[1], F.max("weight"))
 
 
+@query(f"""with {VOTES}, cut as (select id, tree, label, least(weight, 4.0) as weight from votes),
+s as (select id, label, weight / greatest(sum(weight) over (partition by id, tree), 1.0) as share from cut), soft as (select id, label, round(sum(share) / 3, 9) as p from s group by id, label)
+select id, label, p from soft where p > 0.21""")
+def predict_adapted(spark, sf):
+    """Soft votes of weights cut at 4, of which only larger shares are kept."""
+    cut = lambda votes: votes.select("id", "tree", "label", F.least("weight", F.lit(4.0)).alias("weight"))
+    large = lambda shares: shares.select("id", "label", F.round("p", 9).alias("p")).where("p > 0.21")
+    forest, _ = _votes(spark, sf)
+    return forest.predict(forest.rows, voting.adapted(voting.soft, cut, large))
+
+
 # ---------------------------------------------------------------- validation
 
 HELD = f"{VOTES}, held as (select v.* from votes v where {h('kfold', 'id')} % 3 = tree), soft as (select id, label, greatest(weight, 0) / greatest(sum(greatest(weight, 0)) over (partition by id), 1.0) as p from held)"

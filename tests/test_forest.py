@@ -162,6 +162,8 @@ def test_voters():
     assert voting.soft_target([]) == {} and voting.mode_target([]) == {}
     assert voting.mode_target([{"a": 1, "b": 3, "c": 2}, {"a": 2, "c": 5}, {"b": 3, "c": 4}]) == pytest.approx({"b": 1 / 3, "c": 2 / 3})
     assert voting.mean_target([]) == 0 and voting.mean_target([1, 2, 3, 4]) == 2.5 and voting.mean_target([1.1, -3, 0.1]) == pytest.approx(-0.6)
+    doubled = voting.adapted(voting.mean_target, lambda values: [2 * x for x in values], str)
+    assert doubled([1, 2]) == "3.0" and voting.adapted(voting.mean_target)([1, 2]) == 1.5
     assert voting.threshold_target(voting.soft_target, 0.4, "c")([a]) and not voting.threshold_target(voting.soft_target, 0.5, "c")([a])
 
 
