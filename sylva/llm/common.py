@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -119,7 +120,16 @@ def map_batches(df: DataFrame, fn: Callable[[Batches], Batches], schema: str | T
     """mapInArrow; batches of few rows, as one text may be long."""
     on_workers(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    return df.mapInArrow(fn, schema)
+    module = fn.__module__
+
+    def run(batches: Batches) -> Batches:
+        serve(module)
+        try:
+            yield from fn(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(run, schema)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str | T.StructType) -> DataFrame:
@@ -131,14 +141,43 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.
                 out = fn(b)
                 yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
+    run.__module__ = fn.__module__
     return map_batches(df, run, schema)
 
 
+_caches: list[dict | list] = []
+_served: list[str] = []
+
+
+def kept(cache: dict | list) -> dict | list:
+    """cache, which a Python worker keeps from task to task while these are of one module; see serve()."""
+    _caches.append(cache)
+    return cache
+
+
+def serve(module: str) -> None:
+    """Called in a Python worker before a task of `module`: what it kept for another one is dropped.
+
+    Workers live through all stages of a pipeline, so each would hold the caches of all operators otherwise.
+    """
+    if _served != [module]:
+        _served[:] = [module]
+        for cache in _caches:
+            cache.clear()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: an executor's memory counts its workers', idle ones too."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # glibc
+        libc.malloc_trim(0)
+
+
 def texts_of(b: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in b.column(name).to_pylist()]
 
 
-def chunks(texts: list[str], limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[str], limit: int = 250_000) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of about `limit` characters, so that arrays per byte stay small."""
     lo = size = 0
     for i, t in enumerate(texts):
@@ -168,7 +207,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 _TABLE = mix(np.arange(1, 257, dtype=U64) * _BASE)
-_powers: list[np.ndarray] = []
+_powers: list[np.ndarray] = kept([])
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import map_arrow, materialise, spread, table, texts_of
+from .common import kept, map_arrow, materialise, spread, table, texts_of
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, place int"
@@ -72,11 +72,11 @@ def _raw(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-_encoders: dict[str, PieceCache] = {}
+_encoders: dict[str, PieceCache] = kept({})
 
 
 def encoder(path: str) -> PieceCache:
-    """One per Python worker and tokenizer file, kept from task to task."""
+    """One per Python worker and tokenizer file, kept from task to task while these are of one module."""
     if path not in _encoders:
         import os
 

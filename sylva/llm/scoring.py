@@ -44,7 +44,7 @@ def append_score(docs: DataFrame, keep: list[str], scorer: Scorer, name: str) ->
 
     def score(b: pa.RecordBatch) -> pa.RecordBatch:
         texts = texts_of(b)
-        found = np.concatenate([scorer(texts[lo:hi]) for lo, hi in chunks(texts, 2_000_000)])
+        found = np.concatenate([scorer(texts[lo:hi]) for lo, hi in chunks(texts, 500_000)])
         return pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(found, pa.float64())], [*keep, name])
 
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(name, T.DoubleType())])

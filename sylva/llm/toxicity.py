@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise, sealed, spread, table, texts_of
+from .common import chunks, kept, map_arrow, materialise, sealed, spread, table, texts_of
 from .scoring import append_score, fold, labelled_sample, per_doc
 
 SAMPLE = 12_000  # labelled rows for the fit
@@ -82,7 +82,7 @@ _classes[[33, 63], 1] = True
 _classes[[*range(34, 48), *range(58, 63), 64, *range(91, 97), *range(123, 127)], 2] = True
 _classes[48:58, 3] = True
 _classes[33:, 4] = True
-_codes: dict[int, Codes] = {}
+_codes: dict[int, Codes] = kept({})
 
 
 def features(texts: list[str], lexicon: frozenset[str]) -> np.ndarray:
@@ -265,8 +265,9 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic",
         half, texts = np.array(b.column("half").to_pylist()), texts_of(b)
         x = np.zeros((len(texts), len(features([""], lexicons[0])[0])))
         for h in (0, 1):
-            if (own := np.flatnonzero(half == h)).size:
-                x[own] = features([texts[i] for i in own], lexicons[1 - h])
+            own = np.flatnonzero(half == h)
+            for lo, hi in chunks(part := [texts[i] for i in own], 500_000):
+                x[own[lo:hi]] = features(part[lo:hi], lexicons[1 - h])
         return pa.RecordBatch.from_arrays([b.column("y"), b.column("late"), pa.array(list(x), pa.list_(pa.float64()))], ["y", "late", "x"])
 
     # At most SAMPLE rows of numbers; sorted, so that the fit doesn't depend on the order in which tasks end.
