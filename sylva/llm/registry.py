@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, license_scan, mixing, near_dedup, packing, periodic_runs, pii, quality, token_counts, topk, toxicity
+from . import ann, license_scan, mixing, near_dedup, packing, periodic_runs, pii, quality, simhash, token_counts, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op9_nn_descent": ann.op9_nn_descent,
         "op10_three_phase_topk": topk.op10_three_phase_topk,
         "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+        "op13_simhash_near_dedup": simhash.op13_simhash_near_dedup,
     }
 
 
