@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, license_scan, mixing, near_dedup, packing, periodic_runs, pii, quality, simhash, token_counts, topk, toxicity
+from . import ann, license_scan, mixing, near_dedup, packing, periodic_runs, pii, prefix_trie, quality, simhash, token_counts, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op8_bagminhash_near_dedup": near_dedup.op8_bagminhash_near_dedup,
         "op9_nn_descent": ann.op9_nn_descent,
         "op10_three_phase_topk": topk.op10_three_phase_topk,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
         "op12_periodic_runs": periodic_runs.op12_periodic_runs,
         "op13_simhash_near_dedup": simhash.op13_simhash_near_dedup,
     }
@@ -33,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_poisson_mixing": mixing.ORACLE,
         "op6_license_rules": license_scan.oracle(),
         "op10_three_phase_topk": topk.ORACLE,
+        "op11_prefix_trie": prefix_trie.ORACLE,
     }
