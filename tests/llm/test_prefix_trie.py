@@ -91,3 +91,14 @@ def test_edges(spark):
     more = frame(spark, rows).withColumns({"depth": F.lit(1), "part": F.lit("x"), "k1": F.lit(None).cast("int")})
     assert found(more) == plain(rows)
     assert found(frame(spark, rows).limit(0)) == []
+
+
+def test_sql_against_plain_version(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{sf}/conversations.parquet'")
+    cursor = con.execute(P.ORACLE)
+    place = [[d[0] for d in cursor.description].index(c) for c in COLUMNS]
+    rows = [tuple(r) for r in table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").collect()]
+    assert sorted((tuple(r[k] for k in place) for r in cursor.fetchall()), key=str) == plain(rows)
