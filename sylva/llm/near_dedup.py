@@ -7,17 +7,19 @@ below its own multiplicity, and a register keeps the first point that hits it.
 with a probability that is their weighted Jaccard similarity.
 
 Equal texts are one node (known by their MD5, and from then on by a number).  Nodes that share a band are compared, first
-with the most central node of the bucket, and then, in the buckets that hold more than one component after that, across
-components: in groups of bounded size, by wide signatures, whose agreeing pairs are verified.  A pair counts as a link only
-when the exact weighted Jaccard similarity of the two texts is at least the threshold.  Classes are the connected
-components of the links.
+with the most central node of the bucket, and then, where a bucket holds more than one component after that, across
+components.  A pair counts as a link only when the exact weighted Jaccard similarity of the two texts is at least the
+threshold.  Classes are the connected components of the links.
 
-Groups follow components: those of one component never meet each other, so a bucket of one large component and some strays
-costs as much as its nodes, not their square.  In a bucket with many nodes of small components, as texts with a long
-common passage fill it, these meet by narrower bands of the wide signature instead.
+Across components, nodes meet by the rarest of their shingles.  Sort a text's shingles by how many nodes have them: what a
+pair shares, of similarity 0.8 and more, can't all lie in the last eight ninths of the smaller text and the last four fifths
+of the larger, so the two have a shingle in common among the others (an exact prefix filter, by weights).  What only one
+component has lies in front, so two families that resemble each other too little have none in common and never meet, however
+large they are.  Nodes that do meet are compared by wide signatures in groups of bounded size, and pairs that agree there
+are verified.
 
-With 25 bands of 5 rows a pair of similarity 0.8 shares a band with probability 0.99995; with the 102 narrower bands of 10
-rows, one with probability 0.99999.  Nothing is capped: large buckets are split, and a node's partners into groups.
+With 25 bands of 5 rows a pair of similarity 0.8 shares a band with probability 0.99995.  Nothing is capped: large groups
+are split, and a node's partners into groups.
 
 Edge cases: a null text is the empty text; texts without words are near-duplicates of nothing, not even of each
 other; texts of 1 to 4 words have one shingle; repeated rows are copies; documents without doc_id get a class
@@ -34,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import U64, chunks, discard, map_arrow, map_batches, materialise, mix, parts, sealed, shingles, spread, table, texts_of, unit, word_hashes
 
@@ -44,8 +47,8 @@ REGISTERS = BANDS * ROWS
 WIDE = 1024
 AGREE = {m: int(m * (THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / m) ** 0.5)) for m in (WIDE >> 3, WIDE)}
 BLOCK, GROUP = 512, 64
-NARROW = 10  # registers of a narrower band
-CROWD = 4 * BLOCK  # nodes of small components in a bucket above which they meet by narrower bands
+#: Shares of a text's weight that it has in common with any text of similarity THRESHOLD that isn't larger, or isn't smaller.
+LONG, SHORT = THRESHOLD, 2 * THRESHOLD / (1 + THRESHOLD)
 
 
 # ---------------------------------------------------------------- signatures
@@ -238,12 +241,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def first_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Buckets of two nodes and more as (band, here, id, size, n), here being the number of the band; and each bucket's
-    central node with its others.
+    """Buckets of two nodes and more as (band, id, size, n), and each bucket's central node with its others.
 
     Central is the node whose buckets hold the most nodes in all: among the copies of an original, the original.
     """
-    rows = nodes.select("id", "size", F.posexplode("bands").alias("here", "band"))
+    rows = nodes.select("id", "size", F.explode("bands").alias("band"))
     count = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialise(rows.join(count, "band"), "buckets")
     central = shared.groupBy("id").agg(F.sum("n").alias("score"))
@@ -258,76 +260,75 @@ def first_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return shared, pairs
 
 
-def crossing_pairs(shared: DataFrame, nodes: DataFrame, text: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of nodes in different components that share a bucket and whose wide signatures agree enough.
+def crossing_pairs(shared: DataFrame, text: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of nodes in different components, of buckets that hold several, whose wide signatures agree enough."""
+    labelled = shared.join(roots, shared["id"] == roots["node"], "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    mixed = labelled.groupBy("band").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed")
+    open_ = materialise(labelled.join(mixed, "band").groupBy("id").agg(F.first("root").alias("root")), "open")
+    text = text.join(open_.select("id"), "id", "left_semi")
+    member = materialise(_grouped(prefixes(text).join(open_, "id")), "members")
+    wanted = text.join(member.select("id").distinct(), "id", "left_semi")
+    return _compared(member, materialise(sketched(wanted), "sketches")).distinct()
 
-    A pair is compared in the first bucket that it shares.
-    """
-    labelled = shared.join(roots, shared["id"] == roots["node"], "left").select("band", "here", "id", F.coalesce("root", "id").alias("root"))
-    member = materialise(_grouped(labelled), "open")
-    sketches = sketched(text.join(member.select("id").distinct(), "id", "left_semi")).join(nodes.select("id", "bands"), "id")
-    sketches = materialise(sketches, "sketches")
-    crowd = member.where(f"own = -1 and small > {CROWD}").groupBy("id").agg(F.first("root").alias("root"))
-    narrow = _narrow(crowd.join(sketches.select("id", "sketch"), "id"))
-    found = _compared(member, sketches, f"small <= {CROWD}")
-    return found.union(_compared(materialise(_grouped(narrow), "narrow"), sketches.withColumn("bands", F.lit(None).cast("array<long>")), "true")).distinct()
-
-
-def _grouped(labelled: DataFrame) -> DataFrame:
-    """Of (band, here, id, root), the buckets of several components, with groups: (own, g), where own is the component that
-    has the group to itself, or -1; and small, the number of nodes of small components."""
-    count = labelled.groupBy("band", "root").agg(F.count("*").alias("n"))
-    open_ = count.groupBy("band").agg(F.count("*").alias("components"), F.sum(F.when(F.col("n") < BLOCK // 2, F.col("n")).otherwise(0)).alias("small"))
-    count = count.join(open_.where("components > 1"), "band").select(
-        "band", "root", "small", F.expr(f"if(n < {BLOCK // 2}, -1L, root)").alias("own"), F.expr(f"cast(ceil(if(n < {BLOCK // 2}, small, n) / {BLOCK}) as int)").alias("groups")
+
+def prefixes(text: DataFrame) -> DataFrame:
+    """(shingle, id, short) of (id, text): the rarest shingles of each text, such that any two texts of similarity THRESHOLD
+    have one in common; short: that also suffices for the smaller of two."""
+
+    def spell(b: pa.RecordBatch) -> pa.Table:
+        texts, out = texts_of(b), []
+        for lo, hi in chunks(texts):
+            h, weight, begin = bags(texts[lo:hi])
+            ids = np.repeat(b.column("id").to_numpy()[lo:hi], np.diff(begin))
+            size = np.repeat(np.diff(np.concatenate([[0], np.cumsum(weight)])[begin]), np.diff(begin))
+            out.append(pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h.view(np.int64)), *(pa.array(c.astype(np.int64)) for c in (weight, size))], ["id", "shingle", "weight", "size"]))
+        return pa.Table.from_batches(out)
+
+    rows = materialise(map_arrow(text.select("id", "text"), spell, "id long, shingle long, weight long, size long"), "shingles")
+    # Written first, so that AQE can split the join at a frequent shingle.  What one text alone has stands in front of all.
+    count = materialise(rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "frequent")
+    order = Window.partitionBy("id").orderBy("n", "shingle")
+    before = F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.col("size") - F.sum("weight").over(Window.partitionBy("id"))
+    placed = rows.join(count, "shingle").withColumn("before", before + rest)
+    least = "before <= size - ceil(size * %r - 1e-9)"
+    return placed.where(least % LONG).select("shingle", "id", F.expr(least % SHORT).alias("short"))
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """Of (shingle, id, short, root), the shingles of several components, with groups: (own, g), where own is the component
+    that has the group to itself, or -1 for the nodes of small components."""
+    count = rows.groupBy("shingle", "root").agg(F.count("*").alias("n"), F.max("short").alias("short"))
+    open_ = count.groupBy("shingle").agg(
+        F.min("root").alias("one"), F.max("root").alias("two"), F.max("short").alias("any"), F.sum(F.when(F.col("n") < BLOCK // 2, F.col("n")).otherwise(0)).alias("small")
+    )
+    count = count.drop("short").join(open_.where("one < two and any"), "shingle").select(
+        "shingle", "root", F.expr(f"if(n < {BLOCK // 2}, -1L, root)").alias("own"), F.expr(f"cast(ceil(if(n < {BLOCK // 2}, small, n) / {BLOCK}) as int)").alias("groups")
     )
-    return labelled.join(count, ["band", "root"]).withColumn("g", F.expr("cast(pmod(xxhash64(id, 'block'), groups) as int)"))
-
-
-def _compared(member: DataFrame, sketches: DataFrame, mixed: str) -> DataFrame:
-    """Pairs across components, of groups of a bucket that may hold some.  mixed: a condition on which groups of small
-    components meet each other."""
-    group = member.groupBy("band", "own", "g").agg(F.first("small").alias("small"))
-    left, right = (group.select("band", F.col("own").alias(f"own{k}"), F.col("g").alias(f"g{k}"), *(["small"] if k == 1 else [])) for k in (1, 2))
-    meets = left.join(right, "band").where(f"(own1 < own2 or own1 = own2 and g1 <= g2) and if(own1 = own2, own1 = -1 and {mixed}, true)").drop("small")
-    meets = materialise(meets, "meets")
-    key = ["band", "own1", "g1", "own2", "g2"]
-    own = member.select("band", "here", "own", "g", "id", "root")
-    one = own.join(meets, (own["band"] == meets["band"]) & (own["own"] == meets["own1"]) & (own["g"] == meets["g1"])).drop(meets["band"])
+    return rows.join(count, ["shingle", "root"]).withColumn("g", F.expr("cast(pmod(xxhash64(id, 'block'), groups) as int)"))
+
+
+def _compared(member: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs across components, of the groups of a shingle that may hold some."""
+    group = member.groupBy("shingle", "own", "g").agg(F.max("short").alias("short"))
+    left, right = (group.select("shingle", *[F.col(c).alias(f"{c}{k}") for c in ("own", "g", "short")]) for k in (1, 2))
+    meets = left.join(right, "shingle").where("(own1 < own2 or own1 = own2 and g1 <= g2) and (own1 <> own2 or own1 = -1) and (short1 or short2)")
+    meets = materialise(meets.drop("short1", "short2"), "meets")
+    key = ["shingle", "own1", "g1", "own2", "g2"]
+    own = member.select("shingle", "short", "own", "g", "id", "root")
+    one = own.join(meets, (own["shingle"] == meets["shingle"]) & (own["own"] == meets["own1"]) & (own["g"] == meets["g1"])).drop(meets["shingle"])
     two = meets.where("own1 <> own2 or g1 <> g2")
-    two = own.join(two, (own["band"] == two["band"]) & (own["own"] == two["own2"]) & (own["g"] == two["g2"])).drop(two["band"])
-    sides = one.select(*key, F.lit(1).alias("side"), "here", "id", "root").union(two.select(*key, F.lit(2).alias("side"), "here", "id", "root"))
-    rows = sides.join(sketches, "id").select(*key, "side", "here", "id", "root", "size", "sketch", "bands")
+    two = own.join(two, (own["shingle"] == two["shingle"]) & (own["own"] == two["own2"]) & (own["g"] == two["g2"])).drop(two["shingle"])
+    sides = one.select(*key, F.lit(1).alias("side"), "short", "id", "root").union(two.select(*key, F.lit(2).alias("side"), "short", "id", "root"))
+    rows = sides.join(sketches, "id").select(*key, "side", "short", "id", "root", "size", "sketch")
     rows = rows.repartition(parts(member.sparkSession), *key).sortWithinPartitions(*key, "id")
     return map_batches(rows, _crossing, "a long, b long")
 
 
-def _narrow(rows: DataFrame) -> DataFrame:
-    """(band, here, id, root) of all narrower bands of rows (id, root, sketch)."""
-
-    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
-        n, bands = b.num_rows, _narrow_bands(b.column("sketch").to_pylist())
-        here = np.tile(np.arange(bands.shape[1], dtype=np.int32), n)
-        repeated = [pa.array(np.repeat(b.column(c).to_numpy(), bands.shape[1])) for c in ("id", "root")]
-        return pa.RecordBatch.from_arrays([pa.array(bands.ravel()), pa.array(here), *repeated], ["band", "here", "id", "root"])
-
-    return map_arrow(rows.select("id", "root", "sketch"), cut, "band long, here int, id long, root long")
-
-
-def _narrow_bands(sketches: list[bytes]) -> np.ndarray:
-    """Hashes (sketches x bands) of runs of NARROW registers and their place."""
-    count = WIDE // NARROW
-    bits = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), WIDE)[:, : count * NARROW].astype(U64).reshape(len(sketches), count, NARROW)
-    key = np.broadcast_to(np.arange(1, count + 1, dtype=U64) * U64(0x9E3779B97F4A7C15), bits.shape[:2])
-    for r in range(NARROW):
-        key = mix(key ^ bits[:, :, r]) + U64(r + 1)
-    return key.view(np.int64)
-
-
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("band", "own1", "g1", "own2", "g2", "side", "here", "id", "root", "size", "sketch", "bands")]
+        columns = [batch.column(c).to_pylist() for c in ("shingle", "own1", "g1", "own2", "g2", "side", "short", "id", "root", "size", "sketch")]
         found: list[tuple[int, int]] = []
         for row in zip(*columns):
             if held and held[0][:5] != row[:5]:
@@ -347,16 +348,16 @@ def _block(rows: list[tuple]) -> list[tuple[int, int]]:
     sketch = np.frombuffer(b"".join(r[10] for r in rows), np.uint8).reshape(len(rows), WIDE)
     size = np.array([r[9] for r in rows], np.float64)
     root = np.unique([r[8] for r in rows], return_inverse=True)[1]
-    bands = _narrow_bands([r[10] for r in rows]) if rows[0][11] is None else np.array([r[11] for r in rows])
-    here, side, across = rows[0][6], np.array([r[5] for r in rows]), rows[0][1:3] != rows[0][3:5]
+    side, short, across = np.array([r[5] for r in rows]), np.array([r[6] for r in rows]), rows[0][1:3] != rows[0][3:5]
     out = []
     for i in range(len(rows) - 1):
+        other = size[i + 1 :]
         ok = root[i + 1 :] != root[i]
-        ok &= np.minimum(size[i + 1 :], size[i]) >= np.maximum(size[i + 1 :], size[i]) * THRESHOLD - 1e-9
+        ok &= np.minimum(other, size[i]) >= np.maximum(other, size[i]) * THRESHOLD - 1e-9
+        ok &= np.where(other < size[i], short[i + 1 :], short[i]) | (other == size[i]) & short[i + 1 :]
         if across:
             ok &= side[i + 1 :] != side[i]
         j = i + 1 + np.flatnonzero(ok)
-        j = j[(bands[j] == bands[i]).argmax(axis=1) == here]
         for m, least in AGREE.items():
             j = j[(sketch[j, :m] == sketch[i, :m]).sum(axis=1) >= least]
         out += [(rows[i][7], rows[k][7]) for k in j]
@@ -382,7 +383,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     text = materialise(text.join(wanted, "key").select("id", "text"), "texts")
     links = materialise(similar(pairs, text, THRESHOLD), "links")
     roots = components(links)
-    more = materialise(similar(crossing_pairs(shared, nodes, text, roots), text, THRESHOLD), "links")
+    more = materialise(similar(crossing_pairs(shared, text, roots), text, THRESHOLD), "links")
     roots = materialise(components(links.union(more)), "roots")
     named = nodes.select("id", "key").join(roots, nodes["id"] == roots["node"], "left").select("key", F.coalesce("root", "id").alias("class_key"))
     return signs.select("doc_id", "key").join(named, "key", "left")

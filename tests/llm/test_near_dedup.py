@@ -73,9 +73,8 @@ def crowd(rng, n, shared=60, own=48):
     return out
 
 
-def test_crowded_buckets_by_narrower_bands(spark, monkeypatch):
-    for name, value in (("BLOCK", 16), ("CROWD", 30)):
-        monkeypatch.setattr(N, name, value)
+def test_crowded_buckets(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 16)
     rng = random.Random(8)
     texts = crowd(rng, 150) + family(rng, 90) + [family(rng, 2)[1] for _ in range(3)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -84,6 +83,73 @@ def test_crowded_buckets_by_narrower_bands(spark, monkeypatch):
     assert [got[k] for k in range(len(texts))] == want and len(set(want)) < len(texts) - 80
 
 
+def near_families(rng, n, apart=0.14, size=200):
+    """Two families of n near copies each, of which the originals have a similarity of about 0.75 where apart is 0.14: no
+    text of one is a near-duplicate of one of the other."""
+    base = [f"w{k}" for k in range(size)]
+    other = [f"v{k}" if k < round(size * apart) else w for k, w in enumerate(base)]
+    out = []
+    for words in (base, other):
+        for _ in range(n):
+            own = list(words)
+            for _ in range(rng.randint(0, 2)):
+                own[rng.randrange(round(size * 0.5), size)] = f"z{rng.randint(0, 10**6)}"
+            out.append(" ".join(own))
+    return out
+
+
+def crossing(spark, texts, monkeypatch):
+    """The classes, and how many pairs across components were verified."""
+    found, real = [], N.crossing_pairs
+
+    def counted(*args):
+        pairs = N.materialise(real(*args), "counted")
+        found.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(N, "crossing_pairs", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.class_id for r in N.classes(docs).collect()}, found[0]
+
+
+def test_families_that_are_not_near_enough_never_meet(spark, monkeypatch):
+    for n in (60, 400):
+        texts = near_families(random.Random(n), n)
+        got, pairs = crossing(spark, texts, monkeypatch)
+        assert pairs <= 4 * n
+        if n == 60:
+            assert [got[k] for k in range(len(texts))] == brute(texts)
+        assert len(set(got.values())) == 2
+
+
+def test_links_across_components_are_found_by_rare_shingles(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 16)
+    for apart in (0.05, 0.1, 0.12):
+        texts = near_families(random.Random(7), 50, apart)
+        got, _ = crossing(spark, texts, monkeypatch)
+        assert [got[k] for k in range(len(texts))] == brute(texts), apart
+
+
+def test_prefixes_meet_wherever_texts_are_near(spark):
+    rng = random.Random(11)
+    texts = [t for _ in range(6) for t in family(rng, 8, 40)] + ["a b c d e f " * k for k in (9, 10, 11, 12)] + near_families(rng, 6, 0.1, 60)
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    own = [{}, {}]
+    for r in N.prefixes(frame).collect():
+        own[0].setdefault(r.id, set()).add(r.shingle)
+        if r.short:
+            own[1].setdefault(r.id, set()).add(r.shingle)
+    bags = [bag(t) for t in texts]
+    near = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = sorted((i, j), key=lambda k: sum(bags[k].values()))
+            if sum((bags[i] & bags[j]).values()) >= 0.8 * sum((bags[i] | bags[j]).values()) and texts[i] != texts[j]:
+                near += 1
+                assert own[1].get(a, set()) & own[0].get(b, set())
+    assert near > 20
+
+
 def test_documents_against_all_pairs(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
     got = {r.doc_id: r.class_id for r in N.op8_bagminhash_near_dedup(spark, sf).collect()}
