@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,3 +22,9 @@ def hash32(seed: str | int, *keys: Key) -> Column:
 def uniform(seed: str | int, *keys: Key) -> Column:
     """A double in [0, 1) from hash32."""
     return hash32(seed, *keys) / F.lit(4294967296.0)
+
+
+def uniform_of(seed: str | int, *keys: object) -> float:
+    """uniform() of values on the driver or in a task; numbers and strings as SQL spells them."""
+    parts = [str(seed), *("" if k is None else str(k) for k in keys)]
+    return int(hashlib.md5(":".join(parts).encode()).hexdigest()[:8], 16) / 4294967296.0

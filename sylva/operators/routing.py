@@ -1,9 +1,10 @@
 """Routing of rows to the leaves of trees.
 
 Shallow trees are compiled to one nested CASE per tree, which stays inside whole-stage code generation and needs no
-shuffle.  Deep or many-leaved trees walk a table of nodes instead, one join a level, so that no expression grows with
-the tree.  Where a feature is missing (null or NaN), the order of the two children decides; the coin flips of the random
-orders are hashes of the row's id and the node's path.
+shuffle.  Deep or many-leaved trees are compressed to arrays that numpy walks over whole Arrow batches, in the scan's stage
+as well, so that no expression grows with the tree; or, by route_by_level, a table of nodes is joined once a level.  All
+ways give the same leaves.  Where a feature is missing (null or NaN), the order of the two children decides; the coin flips
+of the random orders are hashes of the row's id and the node's path.
 """
 
 from __future__ import annotations
@@ -16,40 +17,43 @@ from pyspark.sql.window import Window
 
 from ..functions import uniform
 from ..plans import tree as T
+from .features import Columns, Source, name
+from .walk import ORDERS, Walker, leaves_by_walk, text_of
 
-ORDERS = ("depth", "weighted", "random", "probabilistic")
 #: Nodes in all trees up to which a CASE is used.
 CASE_NODES = 256
 #: Rows of the node table up to which it is broadcast; beyond it the joins are shuffled.
 BROADCAST_NODES = 500_000
 
 
-def clean(rows: DataFrame, feature: str) -> Column:
-    """A feature's column, with NaN as missing."""
-    column = F.col(feature)
-    if dict(rows.dtypes).get(feature) in ("double", "float"):
-        column = F.nanvl(column, F.lit(None).cast("double"))
-    return column
+def _nodes(trees: dict[int, T.Tree]) -> int:
+    return sum(1 for t in trees.values() for _ in T.with_paths(t))
 
 
-def goes_left(node: T.Node, path: str, order: str, feature: Column, id_: Column | str = "id", seed: str = "traversal", tree: int = 0) -> Column:
-    """Whether the left child of a node comes first for a row."""
-    a, b = (x.annotation or 0 for x in (node.left, node.right))
+def test(source: Source, node: T.Node) -> Column:
+    """Whether a row goes left at a node; null where the feature is missing."""
+    v = node.predicate.value
+    if T.is_number(v):
+        return T.Predicate(node.predicate.op, float(v)).column(source.number(node.feature))
+    return T.Predicate(node.predicate.op, text_of(v)).column(source.text(node.feature))
+
+
+def left_first(node: T.Node, path: str, order: str, id_: Column | str = "id", seed: str = "traversal", tree: int = 0) -> Column:
+    """Whether the left child of a node comes first for a row without its feature."""
+    a, b = (float(x.annotation or 0) for x in (node.left, node.right))
     if order == "depth":
-        missing = F.lit(True)
-    elif order == "weighted":
-        missing = F.lit(bool(a >= b))
-    elif order == "random":
-        missing = uniform(seed, F.lit(tree), id_, F.lit(path)) < 0.5
-    elif order == "probabilistic":
-        missing = uniform(seed, F.lit(tree), id_, F.lit(path)) * float(a + b) < float(a)
-    else:
-        raise ValueError(f"order is one of {ORDERS}")
-    return F.coalesce(node.predicate.column(feature), missing)
+        return F.lit(True)
+    if order == "weighted":
+        return F.lit(a >= b)
+    if order == "random":
+        return uniform(seed, F.lit(tree), id_, F.lit(path)) < 0.5
+    if order == "probabilistic":
+        return uniform(seed, F.lit(tree), id_, F.lit(path)) * (a + b) < a
+    raise ValueError(f"order is one of {ORDERS}")
 
 
 def leaf_case(
-    tree: T.Tree, order: str = "depth", id_: Column | str = "id", seed: str = "traversal", index: int = 0, rows: DataFrame | None = None,
+    tree: T.Tree, source: Source, order: str = "depth", id_: Column | str = "id", seed: str = "traversal", index: int = 0,
     of: Callable[[T.Leaf], Column] = lambda leaf: F.lit(leaf.index),
 ) -> Column:
     """The index of the first leaf of a row, or what `of` gives for the leaf, as one expression."""
@@ -57,8 +61,7 @@ def leaf_case(
     def walk(t: T.Tree, path: str) -> Column:
         if isinstance(t, T.Leaf):
             return of(t)
-        value = clean(rows, t.feature) if rows is not None else F.col(t.feature)
-        left = goes_left(t, path, order, value, id_, seed, index)
+        left = F.coalesce(test(source, t), left_first(t, path, order, id_, seed, index))
         return F.when(left, walk(t.left, path + "L")).otherwise(walk(t.right, path + "R"))
 
     return walk(tree, "")
@@ -73,105 +76,107 @@ def nodes_frame(spark: SparkSession, trees: dict[int, T.Tree]) -> DataFrame:
                 rows.append((i, path, t.index, None, None, None, None, None, None))
             else:
                 v = t.predicate.value
-                number = isinstance(v, (int, float)) and not isinstance(v, bool)
-                text = None if number else ("true" if v else "false") if isinstance(v, bool) else str(v)
+                number = T.is_number(v)
                 a, b = (float(x.annotation or 0) for x in (t.left, t.right))
-                rows.append((i, path, None, t.feature, t.predicate.op, float(v) if number else None, text, a, b))
+                rows.append((i, path, None, t.feature, t.predicate.op, float(v) if number else None, None if number else text_of(v), a, b))
     return spark.createDataFrame(rows, "tree int, path string, leaf int, feature string, op string, num double, str string, left_weight double, right_weight double")
 
 
-def _compare(value_num: Column, value_str: Column) -> Column:
-    """The node's predicate on the value of its feature; null where the value is missing."""
-    number, text = F.col("num").isNotNull(), F.col("str").isNotNull()
-
-    def op(f) -> Column:
-        return F.when(number, f(value_num, F.col("num"))).when(text, f(value_str, F.col("str")))
-
-    tests = {"isEq": lambda a, b: a == b, "notEq": lambda a, b: a != b, "lt": lambda a, b: a < b, "ltEq": lambda a, b: a <= b, "gt": lambda a, b: a > b, "gtEq": lambda a, b: a >= b}
-    out = None
-    for name, f in tests.items():
-        out = F.when(F.col("op") == name, op(f)) if out is None else out.when(F.col("op") == name, op(f))
-    return out
-
-
-def _missing(order: str, seed: str) -> Column:
-    coin = uniform(seed, "tree", "id", "path")
-    return {
+def route_by_level(rows: DataFrame, trees: dict[int, T.Tree], order: str = "depth", seed: str = "traversal", source: Source | None = None, tree: str = "tree", leaf: str = "leaf") -> DataFrame:
+    """Rows with the index of their first leaf in the tree named by column `tree`, by one join a level."""
+    source, own = source or Columns(rows), list(rows.columns)
+    frame = nodes_frame(rows.sparkSession, trees)
+    if _nodes(trees) <= BROADCAST_NODES:
+        frame = F.broadcast(frame)
+    nodes = frame.toDF(*[f"__{c}" for c in frame.columns])
+    # The input's columns go into a struct, so that none can be taken for a column of the table of nodes.
+    features = {t.feature for x in trees.values() for _, t in T.with_paths(x) if isinstance(t, T.Node)}
+    at = rows.select(F.struct("*").alias("__row"), F.col(name(tree)).alias("__tree"), *[c.alias(f"__{k}") for k, c in source.packed(features).items()], (F.col("id") if "id" in own else F.lit(None)).alias("__id"))
+    number, text = source.unpacked("__feature")
+    left = F.lit(None).cast("boolean")
+    for op in T.OPERATORS:
+        value = F.when(F.col("__num").isNotNull(), T.compare(op, number, F.col("__num"))).when(F.col("__str").isNotNull(), T.compare(op, text, F.col("__str")))
+        left = F.when(F.col("__op") == op, value).otherwise(left)
+    coin = uniform(seed, "__tree", "__id", "__path")
+    first = {
         "depth": F.lit(True),
-        "weighted": F.col("left_weight") >= F.col("right_weight"),
+        "weighted": F.col("__left_weight") >= F.col("__right_weight"),
         "random": coin < 0.5,
-        "probabilistic": coin * (F.col("left_weight") + F.col("right_weight")) < F.col("left_weight"),
+        "probabilistic": coin * (F.col("__left_weight") + F.col("__right_weight")) < F.col("__left_weight"),
     }[order]
-
-
-def _values(rows: DataFrame, features: set[str]) -> tuple[Column, Column]:
-    """The value of the feature named in column `feature`, as a number and as a string."""
-    kinds = dict(rows.dtypes)
-    num, text = F.lit(None).cast("double"), F.lit(None).cast("string")
-    for f in sorted(features):
-        hit = F.col("feature") == f
-        if kinds[f] in ("string", "boolean"):
-            text = F.when(hit, F.col(f).cast("string")).otherwise(text)
-        else:
-            num = F.when(hit, F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double"))).otherwise(num)
-    return num, text
-
-
-def _node_table(spark: SparkSession, trees: dict[int, T.Tree]) -> tuple[DataFrame, set[str], int]:
-    frame = nodes_frame(spark, trees)
-    count = sum(1 for t in trees.values() for _ in T.with_paths(t))
-    features = {t.feature for tree in trees.values() for _, t in T.with_paths(tree) if isinstance(t, T.Node)}
-    return (F.broadcast(frame) if count <= BROADCAST_NODES else frame), features, max(map(T.depth, trees.values()), default=0)
-
-
-def route_by_level(rows: DataFrame, trees: dict[int, T.Tree], order: str = "depth", seed: str = "traversal") -> DataFrame:
-    """Rows that have a `tree` column, with the index of their first leaf, by one join a level."""
-    nodes, features, levels = _node_table(rows.sparkSession, trees)
-    num, text = _values(rows, features)
-    at = rows.withColumn("path", F.lit(""))
-    own = ["leaf", "feature", "op", "num", "str", "left_weight", "right_weight"]
-    for _ in range(levels):
-        joined = at.join(nodes, ["tree", "path"], "left")
-        left = F.coalesce(_compare(num, text), _missing(order, seed))
-        step = F.when(F.col("feature").isNull(), F.lit("")).when(left, F.lit("L")).otherwise(F.lit("R"))
-        at = joined.withColumn("path", F.concat("path", step)).drop(*own)
-    return at.join(nodes.select("tree", "path", "leaf"), ["tree", "path"]).drop("path")
-
-
-def route(rows: DataFrame, trees: dict[int, T.Tree], order: str = "depth", seed: str = "traversal") -> DataFrame:
-    """Rows with `tree` and `leaf`.  Rows without a `tree` column are routed through every tree."""
-    size = sum(1 for t in trees.values() for _ in T.with_paths(t))
-    if "tree" not in rows.columns:
-        rows = rows.withColumn("tree", F.explode(F.array(*[F.lit(i) for i in trees])))
-    if size > CASE_NODES:
-        return route_by_level(rows, trees, order, seed)
-    leaf = None
+    kept = at.columns
+    at = at.withColumn("__path", F.lit(""))
+    for _ in range(max(map(T.depth, trees.values()), default=0)):
+        step = F.when(F.col("__feature").isNull(), F.lit("")).when(F.coalesce(left, first), F.lit("L")).otherwise(F.lit("R"))
+        at = at.join(nodes, ["__tree", "__path"], "left").select(*kept, F.concat("__path", step).alias("__path"))
+    at = at.join(nodes.select("__tree", "__path", "__leaf"), ["__tree", "__path"])
+    return at.select(*[F.col("__row").getField(c).alias(c) for c in own if c != leaf], F.col("__leaf").alias(leaf))
+
+
+def route(
+    rows: DataFrame, trees: dict[int, T.Tree], order: str = "depth", seed: str = "traversal", source: Source | None = None, tree: str = "tree", leaf: str = "leaf", case_nodes: int | None = None,
+) -> DataFrame:
+    """Rows with columns `tree` and `leaf`.  Rows without a column `tree` are routed through every tree.
+
+    A column named like `leaf` is replaced, after its value was read as a feature; where a feature is named like `tree`, the
+    caller gives these two other names.
+    """
+    source = source or Columns(rows)
+    if tree not in rows.columns:
+        rows = rows.withColumn(tree, F.explode(F.array(*[F.lit(i) for i in trees])))
+    elif isinstance(source, Columns) and any(isinstance(t, T.Node) and source.column(t.feature) == tree for x in trees.values() for _, t in T.with_paths(x)):
+        raise ValueError(f"{tree} is a feature: name the column of trees differently")
+    if _nodes(trees) > (CASE_NODES if case_nodes is None else case_nodes):
+        return leaves_by_walk(rows, Walker(trees, order, seed), source, tree=tree, leaf=leaf)
+    found = F.lit(None).cast("int")
     for i, t in trees.items():
-        case = leaf_case(t, order, "id", seed, i, rows)
-        leaf = F.when(F.col("tree") == i, case) if leaf is None else leaf.when(F.col("tree") == i, case)
-    return rows.withColumn("leaf", leaf if leaf is not None else F.lit(None).cast("int"))
-
-
-def all_leaves(rows: DataFrame, tree: T.Tree, limit: int | None = None) -> DataFrame:
-    """Every leaf that a row may reach, from left to right in `ord` (from 1), at most `limit` of them."""
+        found = F.when(F.col(name(tree)) == i, leaf_case(t, source, order, "id", seed, i)).otherwise(found)
+    return rows.withColumn(leaf, found)
+
+
+def all_leaves(
+    rows: DataFrame, trees: T.Tree | dict[int, T.Tree], limit: int | None = None, order: str = "depth", seed: str = "traversal", source: Source | None = None, tree: str = "tree", leaf: str = "leaf", case_nodes: int | None = None,
+) -> DataFrame:
+    """Every leaf that a row may reach, in the order of a search: `ord` from 1, at most `limit` of them.
+
+    trees: one tree, or several by number; then rows have a column `tree`, or are searched in every tree.  Where a feature
+    is missing, the leaves of the child that comes first are before the other's.  Columns of these names are replaced, after
+    their values were read as features.
+    """
+    if limit is not None and limit <= 0:
+        raise ValueError("the limit must be positive")
+    if order not in ORDERS:
+        raise ValueError(f"order is one of {ORDERS}")
+    source, columns = source or Columns(rows), rows.columns
+    several = isinstance(trees, dict)
+    trees = trees if several else {0: trees}
+    number = name(tree) if several else "__tree"
+    if not several:
+        rows = rows.withColumn("__tree", F.lit(0))
+    elif tree not in columns:
+        rows, columns = rows.withColumn(tree, F.explode(F.array(*[F.lit(i) for i in trees]))), [*columns, tree]
+    if _nodes(trees) > (CASE_NODES if case_nodes is None else case_nodes):
+        out = leaves_by_walk(rows, Walker(trees, order, seed), source, tree=tree if several else "__tree", leaf=leaf, ord_="ord", limit=limit)
+        return out if several else out.drop("__tree")
     cases = []
 
-    def walk(t: T.Tree, condition: Column, path: str) -> None:
+    def walk(i: int, t: T.Tree, condition: Column, path: str, key: list[Column]) -> None:
         if isinstance(t, T.Leaf):
-            cases.append(F.when(condition, F.lit(t.index)))
+            cases.append(F.when(condition, F.struct(F.concat(F.lit(""), *key).alias("key"), F.lit(t.index).alias("leaf"))))
             return
-        test = t.predicate.column(clean(rows, t.feature))
-        walk(t.left, condition & F.coalesce(test, F.lit(True)), path + "L")
-        walk(t.right, condition & F.coalesce(~test, F.lit(True)), path + "R")
+        here = test(source, t)
+        first = left_first(t, path, order, "id", seed, i)
+        # A digit for each node above: 0 on the side that comes first.
+        walk(i, t.left, condition & F.coalesce(here, F.lit(True)), path + "L", [*key, F.when(first, F.lit("0")).otherwise(F.lit("1"))])
+        walk(i, t.right, condition & F.coalesce(~here, F.lit(True)), path + "R", [*key, F.when(first, F.lit("1")).otherwise(F.lit("0"))])
 
-    walk(tree, F.lit(True), "")
-    found = F.array_compact(F.array(*cases))
+    for i, t in trees.items():
+        walk(i, t, F.col(number) == i, "", [])
+    found = F.array_sort(F.array_compact(F.array(*cases)))
     if limit is not None:
-        if limit <= 0:
-            raise ValueError("the limit must be positive")
         found = F.slice(found, 1, limit)
-    out = rows.select("*", F.posexplode(found).alias("ord", "leaf"))
-    return out.withColumn("ord", F.col("ord") + 1)
+    out = rows.select(*[F.col(name(c)) for c in columns if c not in (leaf, "ord")], F.posexplode(found).alias("ord", "__leaf"))
+    return out.withColumn("ord", F.col("ord") + 1).withColumn(leaf, F.col("__leaf.leaf")).drop("__leaf")
 
 
 def targets_frame(spark: SparkSession, trees: dict[int, T.Tree]) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import down_rez, dyadic, hash32
+from .features import OpenMap, name
 
 KINDS = ("ordinal", "nominal", "continuous", "sparse")
 
@@ -30,6 +31,7 @@ class Feature:
     name: str
     kind: str
     bin: Callable[[Column], Column] | None = None
+    column: str | None = None  # where it isn't the name
 
     def __post_init__(self):
         if self.kind not in KINDS:
@@ -39,16 +41,56 @@ class Feature:
     def numeric(self) -> bool:
         return self.kind in ("ordinal", "continuous")
 
+    def raw(self) -> Column:
+        v = F.col(name(self.column or self.name))
+        return F.nanvl(v.cast("double"), F.lit(None).cast("double")) if self.numeric else v.cast("string")
+
     def value(self) -> Column:
-        v = F.col(self.name)
+        v = self.raw()
         if not self.numeric:
-            return v.cast("string")
-        v = F.nanvl(v.cast("double"), F.lit(None).cast("double"))
+            return v
         if self.bin:
             return self.bin(v).cast("double")
         return down_rez(v) if self.kind == "continuous" else v
 
 
+@dataclass(frozen=True)
+class MapFeatures:
+    """All features of a map column, whatever their names: each value's kind is its tag, or one for all values.
+
+    Values are numbers, texts, or structs (kind, num, str).  A feature whose values have several kinds is an error, when
+    statistics are made.
+    """
+
+    column: str = "features"
+    kind: str | None = None
+
+    def long(self, rows: DataFrame, keep: list[str], raw: bool = False) -> DataFrame:
+        source = OpenMap(rows, self.column)
+        value = F.col("__v")
+        num, text = source.of(value)
+        if source.tagged:
+            known = value["kind"].isin(*KINDS)
+            kind = F.when(known, value["kind"]).otherwise(F.raise_error(F.concat(F.lit("no kind of value: "), F.coalesce(value["kind"], F.lit("null")))))
+        else:
+            name_of = source.value.typeName()
+            kind = F.lit(self.kind or {"double": "continuous", "float": "continuous", "string": "nominal", "boolean": "nominal"}.get(name_of, "ordinal"))
+        out = rows.select(*keep, F.explode(F.col(name(self.column))).alias("feature", "__v")).where("__v is not null")
+        out = out.select(*keep, "feature", kind.alias("kind"), num.alias("num"), text.alias("str"))
+        whole = F.col("num") if raw else F.when(F.col("kind") == "continuous", down_rez("num")).otherwise(F.col("num"))
+        numeric = F.col("kind").isin("ordinal", "continuous")
+        out = out.withColumns({"num": F.when(numeric, whole), "str": F.when(~numeric, F.col("str"))})
+        return out.where("num is not null or str is not null")
+
+
+def one_kind(stats: DataFrame) -> DataFrame:
+    """Statistics with the one kind of each feature; an error if it has several."""
+    kinds = stats.groupBy("feature").agg(F.min("kind").alias("__lo"), F.max("kind").alias("__hi"))
+    wrong = F.raise_error(F.concat(F.lit("values of several kinds in one feature: "), F.col("feature")))
+    kinds = kinds.select("feature", F.when(F.col("__lo") == F.col("__hi"), F.col("__lo")).otherwise(wrong).alias("kind"))
+    return stats.drop("kind").join(kinds, "feature")
+
+
 def infer_features(df: DataFrame, skip: list[str] = ()) -> list[Feature]:
     """Default kinds by type: integers ordinal, doubles continuous, strings and booleans nominal."""
     kinds = {"double": "continuous", "float": "continuous", "string": "nominal", "boolean": "nominal"}
@@ -60,25 +102,35 @@ def infer_features(df: DataFrame, skip: list[str] = ()) -> list[Feature]:
     ]
 
 
-def long_form(rows: DataFrame, features: list[Feature], keep: list[str]) -> DataFrame:
-    """keep..., feature, num, str: one row for each present feature of each row."""
+def long_form(rows: DataFrame, features: list[Feature] | MapFeatures, keep: list[str], raw: bool = False) -> DataFrame:
+    """keep..., feature, num, str: one row for each present feature of each row; of a map also the kind.
+
+    raw: without binning.  Values are exploded first and binned after, by one expression for all continuous features.
+    """
+    if isinstance(features, MapFeatures):
+        return features.long(rows, keep, raw)
     none = {True: F.lit(None).cast("string"), False: F.lit(None).cast("double")}
     structs = [
         F.struct(
             F.lit(f.name).alias("feature"),
-            (f.value() if f.numeric else none[False]).alias("num"),
-            (none[True] if f.numeric else f.value()).alias("str"),
+            ((f.value() if f.bin and not raw else f.raw()) if f.numeric else none[False]).alias("num"),
+            (none[True] if f.numeric else f.raw()).alias("str"),
+            F.lit(f.kind == "continuous" and not f.bin and not raw).alias("__rough"),
         )
         for f in features
     ]
     out = rows.select(*keep, F.explode(F.array(*structs)).alias("__f")).select(*keep, "__f.*")
-    return out.where("num is not null or str is not null")
+    out = out.where("num is not null or str is not null")
+    if any(f.kind == "continuous" and not f.bin for f in features) and not raw:
+        out = out.withColumn("num", F.when(F.col("__rough"), down_rez("num")).otherwise(F.col("num")))
+    return out.drop("__rough")
 
 
-def statistics(rows: DataFrame, features: list[Feature], keys: list[str], label: str = "label", weight: str = "weight") -> DataFrame:
-    """Weights by keys, feature, value and label."""
+def statistics(rows: DataFrame, features: list[Feature] | MapFeatures, keys: list[str], label: str = "label", weight: str = "weight") -> DataFrame:
+    """Weights by keys, feature (of a map: and kind), value and label."""
     long = long_form(rows.where(F.col(label).isNotNull()), features, [*keys, label, weight])
-    return long.groupBy(*keys, "feature", "num", "str", F.col(label).alias("label")).agg(F.sum(weight).alias("w"))
+    kind = ["kind"] if isinstance(features, MapFeatures) else []
+    return long.groupBy(*keys, "feature", *kind, "num", "str", F.col(label).alias("label")).agg(F.sum(weight).alias("w"))
 
 
 def binned(stats: DataFrame, keys: list[str], fn: Callable[[Column], Column]) -> DataFrame:
@@ -161,10 +213,16 @@ def _binned_cuts(stats: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFram
     return out.select(*at, F.lit("lt").alias("op"), "num", F.lit(None).cast("string").alias("str"), "label", "lw", "rw")
 
 
-def quantiles(rows: DataFrame, features: list[Feature], keys: list[str], k: int = 25, accuracy: int = 10_000, label: str = "label", weight: str = "weight", exact: bool = False) -> DataFrame:
+def _raw_numbers(rows: DataFrame, features: list[Feature] | MapFeatures, keep: list[str]) -> DataFrame:
+    """Unbinned values of numeric features; of a map, of the continuous ones."""
+    if isinstance(features, MapFeatures):
+        return long_form(rows, features, keep, raw=True).where("kind = 'continuous'").drop("kind")
+    return long_form(rows, [f for f in features if f.numeric], keep, raw=True)
+
+
+def quantiles(rows: DataFrame, features: list[Feature] | MapFeatures, keys: list[str], k: int = 25, accuracy: int = 10_000, label: str = "label", weight: str = "weight", exact: bool = False) -> DataFrame:
     """Candidates at the quantiles i/k of each numeric feature, with exact sides."""
-    raw = [Feature(f.name, "ordinal") for f in features if f.numeric]
-    long = long_form(rows.where(F.col(label).isNotNull()), raw, [*keys, label, weight])
+    long = _raw_numbers(rows.where(F.col(label).isNotNull()), features, [*keys, label, weight])
     points = [i / k for i in range(1, k)]
     if exact:
         array = F.array(*[F.expr(f"percentile_disc({p}) within group (order by num)") for p in points])

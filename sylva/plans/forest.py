@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import hash32, uniform
+from ..functions.hashing import uniform_of
 from ..operators import metrics, voting
 from ..operators.evaluate import ChiSquared, Evaluator, Stopper, best_splits
+from ..operators.features import Columns, OpenMap, Source, name
 from ..operators.routing import leaf_targets, route, targets_frame
 from ..operators.sampling import KFold, RandomForest, Sampler, SingleTree, downsampled, out_of_time, training_rows, validation_rows
-from ..operators.splitters import Feature, binary, heavy_hitters, one_at_random, quantiles, same_rows, statistics
+from ..operators.splitters import Feature, MapFeatures, binary, heavy_hitters, one_at_random, one_kind, quantiles, same_rows, statistics
 from ..sources import models
 from ..sources.storage import on_workers
 from . import local_grow
@@ -44,7 +46,7 @@ def _collected(targets: DataFrame) -> list:
 @dataclass(frozen=True)
 class Forest:
     rows: DataFrame
-    features: tuple[Feature, ...]
+    features: tuple[Feature, ...] | MapFeatures  # columns, or all features of a map
     sampler: Sampler = SingleTree()
     evaluator: Evaluator = ChiSquared()
     stopper: Stopper = Stopper()
@@ -57,7 +59,9 @@ class Forest:
 
     def __post_init__(self):
         kinds = dict(self.rows.dtypes)
-        for f in self.features:
+        if isinstance(self.features, MapFeatures):
+            OpenMap(self.rows, self.features.column)
+        for f in () if isinstance(self.features, MapFeatures) else self.features:
             if f.name not in kinds:
                 raise ValueError(f"no column {f.name}")
             if f.numeric and kinds[f.name] in ("string", "boolean"):
@@ -71,11 +75,30 @@ class Forest:
     def spark(self) -> SparkSession:
         return self.rows.sparkSession
 
+    def _read(self, rows: DataFrame) -> tuple[DataFrame, Source]:
+        """Rows whose features can't clash with own columns (tree, leaf, ...), and how to read them."""
+        if isinstance(self.features, MapFeatures):
+            own = rows.withColumn("__features", F.col(name(self.features.column)))
+            return own, OpenMap(own, "__features")
+        used = {f.name for f in self.features} | {t.feature for x in self.trees.values() for _, t in T.with_paths(x) if isinstance(t, T.Node)}
+        columns = {f: f"__x{k}" for k, f in enumerate(sorted(used))}
+        own = rows.withColumns({c: F.col(name(f)) for f, c in columns.items()})
+        return own, Columns(own, columns)
+
+    def _own(self, features: list[Feature] | MapFeatures) -> list[Feature] | MapFeatures:
+        """Features as statistics read them from rows of _read()."""
+        if isinstance(features, MapFeatures):
+            return replace(features, column="__features")
+        columns = self._read(self.rows)[1].columns
+        return [replace(f, column=columns[f.name]) for f in features]
+
     def training(self) -> DataFrame:
-        return route(training_rows(self.rows, self.sampler), self.trees, self.order)
+        rows, source = self._read(self.rows)
+        return route(training_rows(rows, self.sampler), self.trees, self.order, source=source)
 
     def validation(self) -> DataFrame:
-        return route(validation_rows(self.rows, self.sampler), self.trees, self.order)
+        rows, source = self._read(self.rows)
+        return route(validation_rows(rows, self.sampler), self.trees, self.order, source=source)
 
     def paths(self) -> dict[tuple[int, int], str]:
         return {(i, x.index): path for i, t in self.trees.items() for path, x in T.with_paths(t) if isinstance(x, T.Leaf)}
@@ -92,7 +115,7 @@ class Forest:
             found.setdefault((r["tree"], r["leaf"]), {})[r["label"]] = r["weight"]
         return self._with({i: T.map_leaves(t, lambda x, i=i: replace(x, target=found.get((i, x.index), {}))) for i, t in self.trees.items()}, path)
 
-    def _statistics(self, rows: DataFrame, features: list[Feature]) -> DataFrame:
+    def _statistics(self, rows: DataFrame, features: list[Feature] | MapFeatures) -> DataFrame:
         """Statistics of routed rows by tree and leaf.
 
         At the roots of a cross-validation they don't depend on the tree but for the fold that it leaves out: rows are
@@ -100,9 +123,9 @@ class Forest:
         """
         if not isinstance(self.sampler, KFold) or any(isinstance(t, T.Node) for t in self.trees.values()):
             return statistics(rows, features, KEYS)
-        by_fold = statistics(self.rows.withColumn("fold", self.sampler.fold()), features, ["fold"])
+        by_fold = statistics(self._read(self.rows)[0].withColumn("fold", self.sampler.fold()), features, ["fold"])
         trees = by_fold.withColumn("tree", F.explode(F.array(*[F.lit(i) for i in self.trees]))).where("tree <> fold")
-        at = ["tree", "feature", "num", "str", "label"]
+        at = ["tree", "feature", *(["kind"] if isinstance(features, MapFeatures) else []), "num", "str", "label"]
         return trees.groupBy(*at).agg(F.sum("w").alias("w")).select("tree", F.lit(0).alias("leaf"), *at[1:], "w")
 
     def best_splits(self) -> DataFrame:
@@ -112,16 +135,25 @@ class Forest:
 
     def candidates(self, rows: DataFrame) -> DataFrame:
         """All candidate splits of routed rows (with tree and leaf)."""
-        dense = [f for f in self.features if f.kind != "sparse" and not (self.cuts and f.kind == "continuous")]
-        cut = [f for f in self.features if self.cuts and f.kind == "continuous"]
-        sparse = [f for f in self.features if f.kind == "sparse"]
         found = []
-        if dense:
-            found.append(binary(self._allowed(self._statistics(rows, dense)), KEYS))
-        if cut:
-            found.append(self._allowed(quantiles(rows, cut, KEYS, self.cuts)))
-        if sparse:
-            found.append(heavy_hitters(self._allowed(self._statistics(rows, sparse)), leaf_targets(rows), KEYS, self.capacity))
+        if isinstance(self.features, MapFeatures):
+            own = self._own(self.features)
+            stats = self._allowed(one_kind(self._statistics(rows, own)))
+            dense = "kind <> 'sparse'" + (" and kind <> 'continuous'" if self.cuts else "")
+            found.append(binary(stats.where(dense).drop("kind"), KEYS))
+            if self.cuts:
+                found.append(self._allowed(quantiles(rows, own, KEYS, self.cuts)))
+            found.append(heavy_hitters(stats.where("kind = 'sparse'").drop("kind"), leaf_targets(rows), KEYS, self.capacity))
+        else:
+            dense = [f for f in self.features if f.kind != "sparse" and not (self.cuts and f.kind == "continuous")]
+            cut = [f for f in self.features if self.cuts and f.kind == "continuous"]
+            sparse = [f for f in self.features if f.kind == "sparse"]
+            if dense:
+                found.append(binary(self._allowed(self._statistics(rows, self._own(dense))), KEYS))
+            if cut:
+                found.append(self._allowed(quantiles(rows, self._own(cut), KEYS, self.cuts)))
+            if sparse:
+                found.append(heavy_hitters(self._allowed(self._statistics(rows, self._own(sparse))), leaf_targets(rows), KEYS, self.capacity))
         out = found[0]
         for more in found[1:]:
             out = out.unionByName(more)
@@ -187,6 +219,8 @@ class Forest:
         """
         on_workers(self.spark)
         score = local_grow.scorer(self.evaluator)
+        if isinstance(self.features, MapFeatures):
+            raise ValueError("growth in memory needs a list of features: use expand")
         if self.randomized or any(f.kind == "sparse" or (self.cuts and f.kind == "continuous") for f in self.features):
             raise ValueError("growth in memory has no randomized candidates, cuts or sparse features: use expand")
         active = {(i, x.index): self.stopper.local_rate(x.target) for i, t in self.trees.items() for x in T.leaves(t) if self.stopper.splits(x.target)}
@@ -194,7 +228,7 @@ class Forest:
             return self._with(self.trees, path)
         paths, features, sampler, minimum = self.paths(), self.features, self.sampler, self.stopper.min_size
         order = self.order
-        values = [f.value().alias(f"__f{k}") for k, f in enumerate(features)]
+        values = [f.value().alias(f"__f{k}") for k, f in enumerate(self._own(features))]
 
         def sampled() -> DataFrame:
             wanted = self.spark.createDataFrame([(*k, r, paths[k]) for k, r in active.items()], "tree int, leaf int, rate double, path string")
@@ -212,21 +246,17 @@ class Forest:
         rate, seed = getattr(sampler, "feature_rate", None), getattr(sampler, "seed", "")
 
         def build(pdf: pd.DataFrame) -> pd.DataFrame:
-            import hashlib
-
             tree, leaf, top = int(pdf["tree"].iloc[0]), int(pdf["leaf"].iloc[0]), pdf["path"].iloc[0]
 
             def allowed(path: str, feature: str) -> bool:  # the same hash as Sampler.feature
-                digest = hashlib.md5(f"{seed}-feature:{tree}:{top + path}:{feature}".encode()).hexdigest()
-                return int(digest[:8], 16) / 4294967296.0 < rate
+                return uniform_of(f"{seed}-feature", tree, top + path, feature) < rate
 
             ids = pdf["id"].to_numpy(dtype=object)
 
             def left(path: str, own: np.ndarray) -> np.ndarray:  # as routing.goes_left of nodes without annotations
                 if order != "random":
                     return np.full(len(own), order != "probabilistic")
-                coins = (hashlib.md5(f"traversal:{tree}:{'' if i is None else i}:{top + path}".encode()).hexdigest()[:8] for i in ids[own])
-                return np.array([int(c, 16) / 4294967296.0 < 0.5 for c in coins], bool)
+                return np.array([uniform_of("traversal", tree, i, top + path) < 0.5 for i in ids[own]], bool)
 
             columns = {f.name: pdf[f"__f{k}"].to_numpy(dtype=object) for k, f in enumerate(features)}
             grown = local_grow.grow(
@@ -253,7 +283,8 @@ class Forest:
     def votes(self, rows: DataFrame, trees: dict[int, T.Tree] | None = None, keep: list[str] = ("id",)) -> DataFrame:
         """(keep..., tree, label, weight) of rows, or of rows with their own `tree` column."""
         trees = trees or self.trees
-        return voting.predictions(route(rows, trees, self.order), targets_frame(self.spark, trees), list(keep))
+        own, source = replace(self, trees=trees)._read(rows)
+        return voting.predictions(route(own, trees, self.order, source=source), targets_frame(self.spark, trees), list(keep))
 
     def predict(self, rows: DataFrame, voter: Callable[..., DataFrame] = voting.soft) -> DataFrame:
         return voter(self.votes(rows))
@@ -278,18 +309,20 @@ class Forest:
         A group is cut into buckets of the hash, each sorted on its own; the first row of a bucket takes from the last row
         of the bucket before it that isn't empty, a table of at most groups * buckets rows.
         """
+        if isinstance(self.features, MapFeatures):
+            raise ValueError("permutation needs a list of features")
         own = [f.name for f in self.features]
         pick = F.pmod(hash32(self.seed + "-pick", "id"), F.lit(len(own)))
         names = F.array(*map(F.lit, own))
         rows = self.rows.withColumn("__g", F.pmod(hash32(self.seed + "-group", "id"), F.lit(groups)).cast("int")).withColumn("__k", hash32(self.seed, "id"))
         rows = rows.withColumn("__b", F.floor(F.col("__k") / F.lit((1 << 32) / buckets)).cast("int"))
-        last = rows.groupBy("__g", "__b").agg(F.max(F.struct("__k", "id", F.struct(*own).alias("v"))).alias("last"))
+        last = rows.groupBy("__g", "__b").agg(F.max(F.struct("__k", "id", F.struct(*map(name, own)).alias("v"))).alias("last"))
         last = last.select("__g", "__b", F.lag("last.v").over(Window.partitionBy("__g").orderBy("__b")).alias("__before"))
         within = Window.partitionBy("__g", "__b").orderBy("__k", "id")
-        rows = rows.withColumn("__n", F.row_number().over(within)).withColumn("__lag", F.lag(F.struct(*own)).over(within)).join(last, ["__g", "__b"])
+        rows = rows.withColumn("__n", F.row_number().over(within)).withColumn("__lag", F.lag(F.struct(*map(name, own))).over(within)).join(last, ["__g", "__b"])
         rows = rows.withColumn("__lag", F.when(F.col("__n") == 1, F.col("__before")).otherwise(F.col("__lag"))).where("__lag is not null")
         rows = rows.withColumn("permuted", names[pick.cast("int")])
-        changed = {c: F.when(F.col("permuted") == c, F.col("__lag")[c]).otherwise(F.col(c)) for c in own}
+        changed = {c: F.when(F.col("permuted") == c, F.col("__lag").getField(c)).otherwise(F.col(name(c))) for c in own}
         return rows.withColumns(changed).drop("__g", "__k", "__b", "__n", "__lag", "__before")
 
     def feature_importance(self, error: Callable[..., DataFrame] = metrics.brier, voter: Callable[..., DataFrame] = voting.soft, groups: int = 10) -> DataFrame:

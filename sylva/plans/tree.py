@@ -8,7 +8,6 @@ renumbered from left to right after every change.
 from __future__ import annotations
 
 import operator
-import random
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -16,6 +15,8 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.hashing import uniform_of
+
 Target = dict[Any, float]
 
 _OPS = {
@@ -26,9 +27,19 @@ _OPS = {
     "gt": (">", operator.gt),
     "gtEq": (">=", operator.ge),
 }
+OPERATORS = tuple(_OPS)
 _OPPOSITE = {"isEq": "notEq", "notEq": "isEq", "lt": "gtEq", "gtEq": "lt", "gt": "ltEq", "ltEq": "gt"}
 
 
+def compare(op: str, a: Any, b: Any) -> Any:
+    """A comparison by its name, of values or of Columns."""
+    return _OPS[op][1](a, b)
+
+
+def is_number(value: Any) -> bool:
+    return isinstance(value, (int, float)) and not isinstance(value, bool)
+
+
 @dataclass(frozen=True)
 class Predicate:
     """One comparison of a feature's value with a constant."""
@@ -75,9 +86,9 @@ class Node:
     annotation: Any = None
 
     def children(self, row: dict) -> list[Leaf | Node]:
-        """Where a row may go: one child, or both if the feature is missing."""
+        """Where a row may go: one child, or both if the feature is missing (None or NaN)."""
         value = row.get(self.feature)
-        if value is None:
+        if value is None or value != value:
             return [self.left, self.right]
         return [self.left if self.predicate(value) else self.right]
 
@@ -219,29 +230,24 @@ def prune(tree: Tree, held_out: dict[int, Target], error: Callable[[Target, Targ
 # ---------------------------------------------------------------- single rows
 
 
-def search(tree: Tree, row: dict, order: str = "depth", id_: Any = None, seed: str = "traversal") -> Iterator[Leaf]:
+def search(tree: Tree, row: dict, order: str = "depth", id_: Any = None, seed: str = "traversal", index: int = 0) -> Iterator[Leaf]:
     """All leaves that a row with missing features may reach, in order.
 
     order: which child of a missing feature goes first.  'depth': left; 'weighted': the one with the larger
     annotation, left of equals; 'random': by a fair coin; 'probabilistic': left in the share of the annotations.
-    Coins are seeded by the row's id, so equal ids take equal paths.
+    Coins are the hashes that routing on the cluster uses, of the tree's index, the row's id and the node's path.
     """
-    coin = random.Random(f"{seed}:{id_}")
-    stack = [tree]
+    stack = [("", tree)]
     while stack:
-        t = stack.pop()
+        path, t = stack.pop()
         if isinstance(t, Leaf):
             yield t
             continue
-        after = t.children(row)
+        after = [(path + "LR"[x is t.right], x) for x in t.children(row)]
         if len(after) == 2:
-            a, b = (x.annotation or 0 for x in after)
-            first = {
-                "depth": lambda: True,
-                "weighted": lambda a=a, b=b: a >= b,
-                "random": lambda: coin.random() < 0.5,
-                "probabilistic": lambda a=a, b=b: coin.random() * (a + b) < a,
-            }[order]()
+            a, b = (float(x.annotation or 0) for _, x in after)
+            coin = lambda: uniform_of(seed, index, id_, path)  # noqa: B023, E731
+            first = {"depth": lambda: True, "weighted": lambda: a >= b, "random": lambda: coin() < 0.5, "probabilistic": lambda: coin() * (a + b) < a}[order]()  # noqa: B023
             after = after if first else after[::-1]
         stack += after[::-1]
 

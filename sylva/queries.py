@@ -14,7 +14,7 @@ from .functions import down_rez, dyadic, uniform
 from .operators import evaluate, metrics, routing, splitters, voting
 from .operators.evaluate import AccuracySplit, BrierSplit, ChiSquared, MinWeight, Stopper
 from .operators.sampling import KFold, RandomForest, SingleTree, TimeGrouped, out_of_time, sampled_leaves, training_rows, validation_rows
-from .operators.splitters import Feature
+from .operators.splitters import Feature, MapFeatures
 from .plans import tree as T
 from .plans.forest import Forest
 from .sources import instances, models
@@ -424,6 +424,38 @@ def route_limit(spark, sf):
     return routing.all_leaves(events(spark, sf), events_tree(), limit=2).select("id", F.col("leaf").cast("long").alias("leaf"))
 
 
+def _ordered_sql(root: str, low: str, high: str) -> str:
+    """The first two of the leaves that a row may reach; a digit for each node above a leaf, 0 on the side that comes first."""
+    digit = lambda first, left: f"case when {first} then {int(not left)} else {int(left)} end"
+    keys = ", ".join(f"{digit(root, k < 2)} * 2 + {digit(low if k < 2 else high, k % 2 == 0)}" for k in range(4))
+    ranked = f"select a.id, a.leaf, row_number() over (partition by a.id order by k.key) as ord from ({_ALL}) a join (select id, unnest([0, 1, 2, 3])::bigint as leaf, unnest([{keys}]) as key from ({EVENTS})) k on k.id = a.id and k.leaf = a.leaf where a.hit"
+    return f"select id, leaf, ord from ({ranked}) where ord <= 2"
+
+
+def _ordered(order: str, walked: bool) -> Query:
+    def run(spark, sf):
+        found = routing.all_leaves(events(spark, sf), {0: events_tree()}, 2, order, case_nodes=0 if walked else None)
+        return found.select("id", F.col("leaf").cast("long").alias("leaf"), F.col("ord").cast("long").alias("ord"))
+
+    run.__name__ = f"route_leaves_{order}" + "_walked" * walked
+    return run
+
+
+for _order, _root, _low, _high in (
+    ("weighted", "14 >= 23", "5 >= 9", "20 >= 3"),
+    ("random", f"{coin('')} < 0.5", f"{coin('L')} < 0.5", f"{coin('R')} < 0.5"),
+    ("probabilistic", f"{coin('')} * 37 < 14", f"{coin('L')} * 14 < 5", f"{coin('R')} * 23 < 20"),
+):
+    query(_ordered_sql(_root, _low, _high))(_ordered(_order, False))
+    query(_ordered_sql(_root, _low, _high))(_ordered(_order, True))
+
+
+@query(LEAVES)
+def route_by_walk(spark, sf):
+    """The same leaves by compressed trees that numpy walks."""
+    return routing.route(orders(spark, sf), {0: fixed_tree()}, case_nodes=0).select("id", F.col("leaf").cast("long").alias("leaf"))
+
+
 # ---------------------------------------------------------------- growth
 
 
@@ -436,12 +468,17 @@ def _grown(spark, forest: Forest) -> DataFrame:
     return spark.createDataFrame(rows, "tree long, path string, feature string, num double, lt double, rt double")
 
 
-def tree_sql(levels: int, minimum: int, rows: str = FOLDS, allowed: str = "true") -> str:
+#: Names and SQL of the features of orders; and the column that holds each.
+BINNED = {"o_totalprice": "floor(o_totalprice / 5000)::double", "o_custkey": "floor(o_custkey / 10)::double"}
+
+
+def tree_sql(levels: int, minimum: int, rows: str = FOLDS, allowed: str = "true", features: dict[str, str] = BINNED) -> str:
     """Level by level: rows carry the path of their leaf.  allowed: whether a node, by tree and path, may use a feature."""
-    ctes = [f"r0 as (select *, '' as path, floor(o_totalprice / 5000)::double as price, floor(o_custkey / 10)::double as cust from ({rows}))"]
+    own_values = ", ".join(f"{v} as f{i}" for i, v in enumerate(features.values()))
+    ctes = [f"r0 as (select *, '' as path, {own_values} from ({rows}))"]
     for k in range(levels):
-        stats = f"""select s.* from (select tree, path, feature, num, null::varchar as str, label, sum(weight) as w from (
-          select tree, path, label, weight, 'o_totalprice' as feature, price as num from r{k} union all select tree, path, label, weight, 'o_custkey', cust from r{k}) where {allowed} group by all) s
+        long = " union all ".join(f"select tree, path, label, weight, '{f}' as feature, f{i} as num from r{k}" for i, f in enumerate(features))
+        stats = f"""select s.* from (select tree, path, feature, num, null::varchar as str, label, sum(weight) as w from ({long}) where num is not null and {allowed} group by all) s
           semi join (select tree, path from r{k} group by tree, path having sum(weight) > {minimum} and count(distinct label) > 1) g using (tree, path)"""
         own = candidates_sql(stats, "tree, path")
         for name in ("stats", "vals", "labs", "grid", "sided", "cand"):
@@ -449,12 +486,13 @@ def tree_sql(levels: int, minimum: int, rows: str = FOLDS, allowed: str = "true"
             for word in ("from ", "join "):
                 own = own.replace(f"{word}{name} ", f"{word}{name}{k} ").replace(f"{word}{name})", f"{word}{name}{k})").replace(f"{word}{name},", f"{word}{name}{k},")
         keys = "tree, path, feature, op, num, str"
+        value = "case b.feature " + " ".join(f"when '{f}' then r.f{i}" for i, f in enumerate(features)) + " end"
         ctes += [
             own,
             f"sums{k} as (select *, sum(lw) over (partition by {keys}) as lt, sum(rw) over (partition by {keys}) as rt, sum(lw + rw) over (partition by {keys}) as n from cand{k})",
             f"scored{k} as (select {keys}, max(lt) as lt, max(rt) as rt, {SCORES['chi2']} as score from sums{k} where lt > 0 and rt > 0 group by {keys})",
             f"best{k} as (select * from (select *, row_number() over (partition by tree, path order by round(score, 9) desc, feature, op, num nulls last, str) as rn from scored{k}) where rn = 1)",
-            f"""r{k + 1} as (select r.* exclude (path), case when b.feature is null then r.path || '.' when case b.feature when 'o_totalprice' then r.price else r.cust end < b.num then r.path || 'L' else r.path || 'R' end as path
+            f"""r{k + 1} as (select r.* exclude (path), case when b.feature is null then r.path || '.' when coalesce({value} < b.num, true) then r.path || 'L' else r.path || 'R' end as path
               from r{k} r left join best{k} b on b.tree = r.tree and b.path = r.path)""",
         ]
     found = " union all ".join(f"select tree, path, feature, num, lt::double as lt, rt::double as rt from best{k}" for k in range(levels))
@@ -473,6 +511,46 @@ def tree_depth2(spark, sf):
     return _grown(spark, forest.expand_times(2))
 
 
+#: Events whose features are a map: `k` of props but for every seventh id, and two of the columns.
+PROPS = {"k": "case when event_id % 7 <> 0 then json_extract(props, '$.k')::double end", "user": "floor(user_id / 10)::double", "value": "floor(value / 5)::double"}
+EVENT_FOLDS = f"select e.*, event_type as label, 1.0::double as weight, tree from events e, (select unnest(range(0, 3)) as tree) where {h('kfold', 'event_id')} % 3 <> tree"
+
+
+def open_events(spark: SparkSession, sf: str, tagged: bool = False) -> DataFrame:
+    """Events as instances with an open map of features, from the JSON text props and from columns."""
+    e = table(spark, sf, "events")
+    props = F.from_json("props", "map<string, string>")
+    props = F.map_filter(props, lambda k, v: F.col("event_id") % 7 != 0)
+    own = {"user": F.floor(F.col("user_id") / 10), "value": F.floor(F.col("value") / 5)}
+    if tagged:
+        kinds = {"k": "ordinal", "user": "ordinal", "value": "continuous", "day": "nominal"}
+        own = {"user": F.floor(F.col("user_id") / 10), "value": F.col("value"), "day": F.date_format("ts", "yyyy-MM-dd")}
+        features = instances.tagged_map(kinds, own, [props])
+    else:
+        features = F.map_concat(F.transform_values(props, lambda k, v: v.try_cast("double")), F.create_map(*[x for f, c in own.items() for x in (F.lit(f), c.cast("double"))]))
+    return e.select(F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_type").alias("label"), F.lit(1.0).alias("weight"), features.alias("features"))
+
+
+@query(tree_sql(2, 100, EVENT_FOLDS, features=PROPS))
+def open_map_depth2(spark, sf):
+    """Two levels on a map of features of any names: exploded, found by aggregation, routed by lookup."""
+    forest = Forest(open_events(spark, sf), MapFeatures("features", "ordinal"), KFold(3), stopper=Stopper(100, 100))
+    return _grown(spark, forest.expand_times(2))
+
+
+_TAGGED = " union all ".join(
+    f"select tree, '{f}' as feature, {num}::double as num, {text}::varchar as str, label, sum(weight) as w from ({EVENT_FOLDS}) where coalesce({num}::varchar, {text}) is not null group by all"
+    for f, num, text in (("k", PROPS["k"], "null"), ("user", PROPS["user"], "null"), ("value", down_rez_sql("value"), "null"), ("day", "null", "strftime(ts, '%Y-%m-%d')"))
+)
+
+
+@query(best_sql(candidates_sql(_TAGGED), "chi2"))
+def best_split_tagged_values(spark, sf):
+    """Values that say by row what kind they are: numbers split by <, binned if continuous, texts by equality."""
+    found = Forest(open_events(spark, sf, True), MapFeatures(), KFold(3)).best_splits()
+    return found.select(F.col("tree").cast("long").alias("tree"), "feature", "op", "num", "str", "lt", "rt", F.round("score", 6).alias("score"))
+
+
 @query(tree_sql(2, 100))
 def grow_in_memory(spark, sf):
     """The same two levels, grown in one task a tree."""
@@ -1042,10 +1120,6 @@ def predict_mapped(spark, sf):
 
 @query(f"with {SOFT}, r as (select id from ({ORDERS})), l as (select unnest(['F', 'O', 'P']) as label) select r.id, " + ", ".join(f"round(coalesce(max(p) filter (where soft.label = '{k}'), 0), 9) as p_{k}" for k in "FOP") + " from r left join soft using (id) group by r.id")
 def score_by_node_table(spark, sf):
-    """Scores of the same trees, walked as tables of nodes as large ones are."""
-    most, streaming.CASE_NODES = streaming.CASE_NODES, 0
-    try:
-        scored = streaming.score(orders(spark, sf), fixed_forest(), ["F", "O", "P"])
-    finally:
-        streaming.CASE_NODES = most
+    """Scores of the same trees, walked as compressed arrays as large ones are."""
+    scored = streaming.score(orders(spark, sf), fixed_forest(), ["F", "O", "P"], case_nodes=0)
     return scored.select("id", *[F.round(f"p_{k}", 9).alias(f"p_{k}") for k in "FOP"])

@@ -30,6 +30,30 @@ def from_maps(df: DataFrame, features: list[str], feature_map: str = "features",
     return df.select("id", "ts", F.explode(target).alias("label", "weight"), *picked).withColumn("weight", F.col("weight").cast("double"))
 
 
+def tagged_map(kinds: dict[str, str], columns: dict[str, Column], maps: list[Column] = ()) -> Column:
+    """A map from features to values (kind, num, str), of columns and of maps from names to texts.
+
+    kinds: of features by name; numbers are ordinal or continuous.  Names that a map brings and kinds doesn't name are
+    nominal, or ordinal if they spell a number.  Missing values are left out; a later map's value comes first.
+    """
+
+    def value(kind: Column, v: Column) -> Column:
+        numeric = kind.isin("ordinal", "continuous")
+        return F.struct(kind.alias("kind"), F.when(numeric, v.try_cast("double")).alias("num"), F.when(~numeric, v.cast("string")).alias("str"))
+
+    named = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    parts = []
+    if columns:
+        parts.append(F.create_map(*[x for f, c in columns.items() for x in (F.lit(f), value(F.lit(kinds[f]), c))]))
+    for m in maps:
+        guess = lambda v: F.when(v.try_cast("double").isNotNull(), F.lit("ordinal")).otherwise(F.lit("nominal"))
+        parts.append(F.transform_values(m, lambda k, v: value(F.coalesce(F.try_element_at(named, k), guess(v)), v)))
+    out = F.coalesce(parts[0], F.map_from_entries(F.array().cast("array<struct<key:string,value:struct<kind:string,num:double,str:string>>>")))
+    for more in parts[1:]:
+        out = F.map_zip_with(out, F.coalesce(more, F.map_filter(out, lambda k, v: F.lit(False))), lambda k, a, b: F.coalesce(b, a))
+    return F.map_filter(out, lambda k, v: v["num"].isNotNull() | v["str"].isNotNull())
+
+
 def boolean_label(column: str) -> Column:
     """A boolean label as the string 'true' or 'false'."""
     return F.when(F.col(column), F.lit("true")).when(~F.col(column), F.lit("false"))

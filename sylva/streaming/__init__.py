@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.routing import CASE_NODES, leaf_case, route_by_level
+from ..operators.features import Columns, Source, name
+from ..operators.routing import CASE_NODES, leaf_case
+from ..operators.walk import Walker, votes_by_walk
 from ..plans import tree as T
 
 
@@ -19,22 +21,30 @@ def shares(leaf: T.Leaf, labels: list[str]) -> list[float]:
     return [max(leaf.target.get(label, 0.0), 0.0) / n for label in labels]
 
 
-def score(rows: DataFrame, trees: dict[int, T.Tree], labels: list[str], order: str = "depth") -> DataFrame:
+def score(rows: DataFrame, trees: dict[int, T.Tree], labels: list[str], order: str = "depth", source: Source | None = None, case_nodes: int = CASE_NODES) -> DataFrame:
     """The columns of rows (a table or a stream) and p_<label>, the soft vote of each label.
 
-    A small tree is one CASE that gives the shares of its leaf; a larger one walks the table of its nodes.  No aggregation
-    over rows: it runs in append mode, and small trees in one stage.
+    A small tree is one CASE that gives the shares of its leaf; trees of more than case_nodes nodes are walked in Arrow
+    batches.  No aggregation over rows: it runs in append mode, in one stage.
     """
-    out = rows.withColumn("__p", F.array(*[F.lit(0.0)] * len(labels)))
-    for i, t in trees.items():
-        if sum(1 for _ in T.with_paths(t)) <= CASE_NODES:
-            own = leaf_case(t, order, "id", "traversal", i, rows, of=lambda leaf: F.array(*map(F.lit, shares(leaf, labels))))
-            out = out.withColumn("__own", own)
-        else:
-            table = rows.sparkSession.createDataFrame([(x.index, shares(x, labels)) for x in T.leaves(t)], "leaf int, __own array<double>")
-            out = route_by_level(out.withColumn("tree", F.lit(i)), {i: t}, order).join(table, "leaf").drop("tree", "leaf")
-        out = out.withColumn("__p", F.zip_with("__p", "__own", lambda a, b: a + b)).drop("__own")
-    return out.select(*rows.columns, *[(F.col("__p")[k] / len(trees)).alias(f"p_{label}") for k, label in enumerate(labels)])
+    source, out = source or Columns(rows), rows
+    small = {i: t for i, t in trees.items() if sum(1 for _ in T.with_paths(t)) <= case_nodes}
+    large = {i: t for i, t in trees.items() if i not in small}
+    id_ = F.col("id") if "id" in rows.columns else F.lit(None).cast("string")
+    votes = [F.array(*[F.lit(0.0)] * len(labels))]
+    if large:
+        walked = "__walked"
+        while walked in rows.columns:
+            walked += "_"
+        of = {i: {x.index: shares(x, labels) for x in T.leaves(t)} for i, t in large.items()}
+        out = votes_by_walk(rows, Walker(large, order), source, of, len(labels), walked)
+        votes.append(F.col(walked))
+    for i, t in small.items():
+        votes.append(leaf_case(t, source, order, id_, "traversal", i, of=lambda leaf: F.array(*map(F.lit, shares(leaf, labels)))))
+    total = votes[0]
+    for more in votes[1:]:
+        total = F.zip_with(total, more, lambda a, b: a + b)
+    return out.select(*[F.col(name(c)) for c in rows.columns], *[(total[k] / len(trees)).alias(f"p_{label}") for k, label in enumerate(labels)])
 
 
 def serve(rows: DataFrame, trees: dict[int, T.Tree], labels: list[str], checkpoint: str, path: str, fmt: str = "parquet"):
@@ -46,5 +56,5 @@ def score_one(row: dict, trees: dict[int, T.Tree]) -> T.Target:
     """The soft vote for one row on the driver, as a scoring service would answer."""
     from ..operators.voting import soft_target
 
-    found = [T.leaf_for(t, row) for t in trees.values()]
+    found = [T.leaf_for(t, row, id_=row.get("id"), index=i) for i, t in trees.items()]
     return soft_target([x.target for x in found if x])
