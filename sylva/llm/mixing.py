@@ -5,8 +5,9 @@ count inverts the Poisson distribution with that mean at a uniform number hashed
 result depends on no partitioning; the document is exploded by its count and all copies are dealt out by a
 hash of (seed, doc_id, copy) and sorted by it: a global shuffle.  Rates have no upper bound.
 
-Rows are dealt out by that hash, the text and the place in the files that they were read from, so that neither rows
-without doc_id nor many equal rows go to one task.
+Rows are dealt out by that hash, the text and the row's place in the input, so that neither rows without doc_id nor many
+equal rows go to one task.  The place is taken before any shuffle: documents should come from files, where a task that runs
+again finds its rows in the same order.
 
 Edge cases: a null source is a source of its own; a null doc_id hashes like the empty string; null texts have
 length 0 and are kept; a source of weight 0 or of no characters gets no copies; an empty table gives an empty
@@ -92,16 +93,20 @@ def mix(
     temperature: float = 0.7,
     scale: float = 1.0,
     seed: str = SEED,
+    deal: bool = False,
 ) -> DataFrame:
-    """Copies of the documents in a shuffled order, with `copy` (from 0) and `shuffle_key`."""
+    """Copies of the documents in a shuffled order, with `copy` (from 0) and `shuffle_key`.
+
+    deal: small files are dealt out over all cores first.
+    """
     spark, copy, key = docs.sparkSession, unused(docs, "copy"), unused(docs, "shuffle_key")
     plain, _ = sealed(docs, "doc_id", "text", "source")
     own = plain.columns
     rate = materialise(rates(plain, weights, temperature, scale), "rates")
     if rate.count() <= BROADCAST_SOURCES:  # beyond it: a shuffled join, whose hot sources AQE splits
         rate = F.broadcast(rate)
-    # Where a row was read, before any shuffle: the same if its task runs again.
-    plain = plain.withColumn("__mix_at", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
+    plain = plain.withColumn("__mix_at", F.monotonically_increasing_id())
+    plain = spread(plain) if deal else plain
     dealt = plain.join(rate, plain["source"].eqNullSafe(rate["__mix_source"]), "left")
     dealt = dealt.withColumn("__mix_n", poisson(*map(F.col, RATE), F.col("__mix_first"), hashed_unit(F.lit(seed), "doc_id")))
     # In two steps: the copies of a document are never one array.
@@ -114,7 +119,7 @@ def mix(
 
 
 def op2_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(spread(table(spark, sf_dir, "documents")))
+    out = mix(table(spark, sf_dir, "documents"), deal=True)
     return out.select("doc_id", "source", F.col("copy").cast("long").alias("copy"), "text", "shuffle_key")
 
 

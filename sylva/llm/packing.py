@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from .common import kept, map_arrow, materialise, spread, table, texts_of
 
 CAPACITY = 2048
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, place int"
+PIECES = "piece int, start long, length long, ids_crc32 long, place int"
 
 
 class PieceCache(dict):
@@ -90,20 +90,20 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     end = _raw([end_id])
 
     def pieces(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = [[], [], [], [], [], []]
+        out = [[], [], [], [], []]
         encode = encoder(tokenizer_path).encode
-        for place, (doc, text) in enumerate(zip(b.column("doc_id").to_pylist(), texts_of(b))):
+        for place, text in enumerate(texts_of(b)):
             raw = encode(text) + end
             for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                 part = raw[at : at + 4 * capacity]
-                for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), place)):
+                for column, value in zip(out, (k, at // 4, len(part) // 4, zlib.crc32(part), place)):
                     column.append(value)
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "place"]
-        )
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+        doc = b.column("doc_id").take(pa.array(out[4], pa.int64()))
+        return pa.RecordBatch.from_arrays([doc, *(pa.array(c, k) for c, k in zip(out, kinds))], ["doc_id", "piece", "start", "length", "ids_crc32", "place"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), pieces, PIECES)
+    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *T.StructType.fromDDL(PIECES)]
+    return map_arrow(docs.select("doc_id", "text"), pieces, T.StructType(fields))
 
 
 @dataclass

@@ -22,11 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_arrow, spread, table, texts_of
 
 RULES = ("first", "largest", "share")
-SCHEMA = "doc_id long, section int, start long, length long, n_tokens long, n_crossing long, tokens double"
+SCHEMA = "section int, start long, length long, n_tokens long, n_crossing long, tokens double"
 
 _encoders: dict[tuple[str, str], tuple] = {}
 
@@ -89,7 +90,7 @@ def section_counts(
         encoding, size = encoder(tokenizer_path, pattern)
         given = b.column("sections").to_pylist() if sections else [None] * b.num_rows
         columns = [[] for _ in range(7)]
-        for doc, text, at in zip(b.column("doc_id").to_pylist(), texts_of(b), given):
+        for place, (text, at) in enumerate(zip(texts_of(b), given)):
             raw = text.encode("utf-8", "replace")
             buf = np.frombuffer(raw, np.uint8)
             ids = encoding.encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
@@ -104,17 +105,18 @@ def section_counts(
             whole, crossed, exact = attribute(tokens, cuts, rule)
             where = chars[cuts]
             n = len(cuts) - 1
-            for column, values in zip(columns, ([doc] * n, range(n), where[:-1], np.diff(where), whole, crossed, exact)):
-                column.append(np.asarray(values) if column is not columns[0] else values)
-        flat = [pa.array([d for ds in columns[0] for d in ds], pa.int64())]
+            for column, values in zip(columns, ([place] * n, range(n), where[:-1], np.diff(where), whole, crossed, exact)):
+                column.append(np.asarray(values))
+        flat = [b.column("doc_id").take(pa.array(np.concatenate(columns[0]).astype(np.int64)))]
         for c, kind in zip(columns[1:], (pa.int32(), *[pa.int64()] * 4, pa.float64())):
             flat.append(pa.array(np.concatenate(c)).cast(kind))
-        return pa.RecordBatch.from_arrays(flat, [f.split()[0] for f in SCHEMA.split(", ")])
+        return pa.RecordBatch.from_arrays(flat, ["doc_id", *(f.split()[0] for f in SCHEMA.split(", "))])
 
-    wanted = [F.col("doc_id").cast("long").alias("doc_id"), "text"]
+    wanted = ["doc_id", "text"]
     if sections:
         wanted.append(F.col(sections).cast("array<long>").alias("sections"))
-    return map_arrow(docs.select(*wanted), count, SCHEMA)
+    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *T.StructType.fromDDL(SCHEMA)]
+    return map_arrow(docs.select(*wanted), count, T.StructType(fields))
 
 
 def op1_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:

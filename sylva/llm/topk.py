@@ -4,19 +4,21 @@ The components are split into LISTS ranges.  In a range every candidate has a pa
 query's score list there; a score is the sum of a candidate's entries in all lists.  Each list is kept by tasks of its own,
 which get the components of one range only, of a block of queries and a block of rows.
 
-  1. gather: the tasks of a list send the DEPTH * k best entries of each query.  The entries that the best of each list lack
-     in the other lists are fetched, and the k-th best of their scores is a safe cutoff: the true k-th is no lower.
+  1. gather: the tasks of a list send the best entries of each query, DEPTH * k of all tasks together and a few more of each.
+     The entries that the best of each list lack in the other lists are fetched, and the k-th best of their scores is a safe
+     cutoff, as any k candidates' scores would give: the true k-th is no lower.
   2. collect: the cutoff goes to all lists with the queries.  A score that reaches it has an entry of at least
      cutoff / LISTS in some list, signed or not; each list sends its entries down to there, and passes over rows whose
      length rules that out.
   3. resolve: entries of one pair are added, what a pair lacks is fetched from the list that has it, for these pairs alone,
      and the scores that reach the cutoff are ranked.
 
-Numbers too large for exact sums in doubles (a component of millions or more) are searched in one list: bounds on the
-rounding widen the cutoff, and what reaches it is scored in whole numbers of any size.
+Numbers too large for exact sums in doubles (a component of millions or more) go through the same lists and phases with
+bounds in place of entries: lower ones for the cutoff, upper ones to collect and to resolve.  Pairs whose bounds add up to the
+cutoff are scored in whole numbers of any size.
 
-Edge cases: rows without id, with a null vector, or with null or non-finite components take no part; components of 2**500
-and more are an error; scores beyond a 64-bit integer are given as its nearest end; vectors of different lengths are
+Edge cases: rows without id, with a null vector, or with null or non-finite components take no part; whole numbers
+beyond the largest double count as it; scores beyond a 64-bit integer are given as its nearest end; vectors of different lengths are
 compared as if filled with zeros.  An id is ranked once: repeated rows count once, and an id with several different vectors
 has the best score of any of them, as a query and as a candidate.  Candidates with the id of the query are its own rows;
 with fewer than k candidates the cutoff is minus infinity and all are returned; ties go to the smaller id; an empty table
@@ -33,23 +35,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_arrow, materialise, on_workers, parts, table
+from .common import map_arrow, map_batches, materialise, parts, table
 from .vectors import lists, matrix, valid
 
 LISTS = 2
 DEPTH = 4  # times k entries are gathered of a list: more make the cutoff closer to the k-th score
+FEW = 2  # entries more of each block of rows
 ROWS, QUERIES, STRIP = 16_384, 4_096, 512  # rows and queries of a block; rows multiplied at once
-LARGEST = 2.0**500
+LARGEST = 2.0**500  # components of rows with larger ones are bounded by infinity
 
 
 def quantised(rows: DataFrame, scale: float = 64.0) -> DataFrame:
     """(vec_id, v, most): the whole numbers floor(scale * x) as packed doubles, and the largest magnitude of them."""
 
     def pack(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = [np.floor(x * scale) + 0.0 for x in lists(b.column("v"))]
+        with np.errstate(over="ignore"):
+            found = [np.nan_to_num(np.floor(x * scale)) + 0.0 for x in lists(b.column("v"))]
         most = [float(np.abs(x).max(initial=0)) for x in found]
-        if max(most, default=0) >= LARGEST:
-            raise ValueError("a component is too large for inner products in doubles")
         packed = [x.tobytes().rstrip(b"\0") for x in found]
         packed = [p.ljust(-(-len(p) // 8) * 8, b"\0") for p in packed]
         return pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(packed, pa.binary()), pa.array(most, pa.float64())], ["vec_id", "v", "most"])
@@ -66,12 +68,14 @@ class _Block:
     def __init__(self, t: pa.Table, kind: type):
         row = t.column("side").to_numpy() == 1
         v, ids, r = matrix(t.column("v").combine_chunks(), kind), t.column("vec_id").to_numpy(), t.column("r").to_numpy()
-        self.q, self.query, self.qr = v[~row], ids[~row], r[~row]
+        length = np.sqrt((np.clip(v, -LARGEST, LARGEST).astype(np.float64) ** 2).sum(axis=1)) if kind is np.float64 else np.sqrt((v.astype(np.float64) ** 2).sum(axis=1))
+        if kind is np.float64:
+            length[(np.abs(v) > LARGEST).any(axis=1)] = np.inf
+            v = np.clip(v, -LARGEST, LARGEST)
+        self.q, self.query, self.qr, self.reach = v[~row], ids[~row], r[~row], length[~row]
         self.cutoff = t.column("cutoff").to_numpy(zero_copy_only=False)[~row]
-        length = np.sqrt((v[row].astype(np.float64) ** 2).sum(axis=1))
-        order = np.argsort(-length, kind="stable")  # long rows first
-        self.x, self.row, self.r, self.length = v[row][order], ids[row][order], r[row][order], length[order]
-        self.reach = np.sqrt((self.q.astype(np.float64) ** 2).sum(axis=1))
+        order = np.argsort(-length[row], kind="stable")  # long rows first
+        self.x, self.row, self.r, self.length = v[row][order], ids[row][order], r[row][order], length[row][order]
 
     def strips(self) -> Iterator[tuple[slice, np.ndarray]]:
         """Rows and their partial scores, minus infinity for the query's own rows, a strip at a time."""
@@ -81,9 +85,11 @@ class _Block:
             scores[self.query[:, None] == self.row[None, at]] = -np.inf
             yield at, scores
 
-    def slack(self, at: slice) -> np.ndarray:
-        """A bound on the rounding of the partial scores of a strip; 0 where sums are exact."""
-        return np.outer(self.reach, self.length[at]) * (max(self.x.shape[1], 1) * 2.0**-50)
+    def slack(self, i: np.ndarray | slice, j: np.ndarray | slice, pairs: bool = False) -> np.ndarray:
+        """A bound on the rounding of the partial scores of queries i and rows j: of all pairs, or of i and j side by side."""
+        with np.errstate(invalid="ignore"):
+            product = self.reach[i] * self.length[j] if pairs else np.outer(self.reach[i], self.length[j])
+        return np.where(np.isnan(product), np.inf, product * (max(self.x.shape[1], 1) * 2.0**-50))
 
     def places(self, ids: np.ndarray, of: str) -> np.ndarray:
         r = getattr(self, of)
@@ -104,14 +110,14 @@ HEADS = "q long, r long, vec_id long, list int, p double"
 
 
 def _heads(k: int, list_: int, exact: bool) -> Task:
-    """The k best entries of each query, an id once."""
+    """The k best entries of each query, or lower bounds of them, an id once."""
 
     def run(block: _Block, _) -> Iterator[pa.RecordBatch]:
         best = np.full((len(block.query), k), -np.inf)
         at_row = np.full(best.shape, -1)
         for at, scores in block.strips():
             if not exact:
-                scores = scores - block.slack(at)
+                scores = scores - block.slack(slice(None), at)
             near = np.argpartition(scores, -k, axis=1)[:, -k:] if scores.shape[1] > k else np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
             both = np.concatenate([best, np.take_along_axis(scores, near, axis=1)], axis=1)
             rows = np.concatenate([at_row, near + at.start], axis=1)
@@ -132,39 +138,53 @@ ENTRIES = "q long, r long, known double, have int"
 
 
 def _collect(list_: int, share: int, exact: bool) -> Task:
-    """Entries of at least cutoff / share; whole scores where sums in doubles aren't exact."""
+    """Entries, or upper bounds of them, of at least cutoff / share."""
 
     def run(block: _Block, _) -> Iterator[pa.RecordBatch]:
         need = block.cutoff / share
         for lo in range(0, len(block.row), STRIP):
-            longest = block.length[lo]
-            able = block.reach * longest * (1 + 1e-9) >= need
+            with np.errstate(invalid="ignore"):
+                able = ~(block.reach * block.length[lo] * (1 + 1e-9) < need)
             if not able.any():
                 return  # nor has any later row, as they are shorter
             at = slice(lo, lo + STRIP)
             scores = (block.q[able] @ block.x[at].T).astype(np.float64)
-            bound = scores if exact else scores + block.slack(at)[able]
-            hit = (bound >= need[able][:, None]) & (block.query[able][:, None] != block.row[None, at])
+            if not exact:
+                scores = scores + block.slack(able, at)
+            hit = (scores >= need[able][:, None]) & (block.query[able][:, None] != block.row[None, at])
             i, j = np.nonzero(hit)
-            queries = np.flatnonzero(able)[i]
-            known = scores[i, j] if exact else _whole(block.q[queries], block.x[at][j])
-            yield _batch(ENTRIES if exact else SCORES, block.qr[queries], block.r[at][j], known, *([np.full(len(i), 1 << list_)] if exact else []))
+            yield _batch(ENTRIES, block.qr[np.flatnonzero(able)[i]], block.r[at][j], scores[i, j], np.full(len(i), 1 << list_))
 
     return run
 
 
-SCORES = "q long, r long, score long"
 _ENDS = (-(1 << 63), (1 << 63) - 1)
 
 
-def _whole(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of rows, in whole numbers of any size, then brought into 64 bits."""
-    out = [sum(int(x) * int(y) for x, y in zip(u, v)) for u, v in zip(a, b)]
-    return np.array([min(max(s, _ENDS[0]), _ENDS[1]) for s in out], np.int64)
+def whole(a: np.ndarray, b: np.ndarray) -> int:
+    """The inner product in whole numbers of any size, then brought into 64 bits."""
+    s = sum(int(x) * int(y) for x, y in zip(a.tolist(), b.tolist()))
+    return min(max(s, _ENDS[0]), _ENDS[1])
+
+
+def scored(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(q, r, score) of pairs of rows (r, v), which meet by their numbers."""
+
+    def score(b: pa.RecordBatch) -> pa.RecordBatch:
+        q, r = b.column("qv").to_pylist(), b.column("v").to_pylist()
+        found = [whole(np.frombuffer(x), np.frombuffer(y)) for x, y in zip(q, r)]
+        return pa.RecordBatch.from_arrays([b.column("q"), b.column("r"), pa.array(found, pa.int64())], ["q", "r", "score"])
+
+    own = rows.select("r", "v")
+    both = pairs.select("q", "r").join(own, "r").join(own.select(F.col("r").alias("q"), F.col("v").alias("qv")), "q")
+    return map_arrow(both.select("q", "r", "qv", "v"), score, "q long, r long, score long")
+
 
+def _fetch(list_: int, full: int, side: int) -> Task:
+    """The entries that pairs lack in this list, added to what is known; sums of all lists go if they don't reach the cutoff.
 
-def _fetch(list_: int, full: int) -> Task:
-    """The entries that pairs lack in this list, added to what is known; sums of all lists go if they don't reach the cutoff."""
+    side: 0 for entries, -1 and 1 for lower and upper bounds of them.
+    """
 
     def run(block: _Block, asked: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
         if asked is None:
@@ -174,6 +194,8 @@ def _fetch(list_: int, full: int) -> Task:
         for lo in range(0, len(q), 1 << 16):
             at = slice(lo, lo + (1 << 16))
             p = np.einsum("ij,ij->i", block.q[i[at]].astype(np.float64), block.x[j[at]].astype(np.float64))
+            if side:
+                p = p + side * block.slack(i[at], j[at], pairs=True)
             known, have = asked.column("known").to_numpy()[at] + p, asked.column("have").to_numpy()[at] | (1 << list_)
             stays = (have != full) | (known >= block.cutoff[i[at]])
             yield _batch(ENTRIES, q[at][stays], r[at][stays], known[stays], have[stays])
@@ -190,9 +212,9 @@ class _Lists:
     def __init__(self, rows: DataFrame, k: int):
         self.rows, self.spark, self.k = rows, rows.sparkSession, k
         self.n, self.asked, most, width = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("asked").cast("long")), F.lit(0)), F.coalesce(F.max("most"), F.lit(0.0)), F.coalesce(F.max(F.length("v")), F.lit(0))).first()
-        width, largest = width // 8, most * most * max(width // 8, 1)
+        width, largest = width // 8, min(most, 1e150) ** 2 * max(width // 8, 1)
         self.exact = largest < 2.0**53
-        self.count = LISTS if self.exact and width >= LISTS else 1
+        self.count = LISTS if width >= LISTS else 1
         self.kind = np.float32 if largest < 2.0**24 else np.float64
         self.cuts = [round(width * c / self.count) for c in range(self.count + 1)]
         self.rb, self.qb = max(1, -(-self.n // ROWS)), max(1, -(-self.asked // QUERIES))
@@ -217,7 +239,6 @@ class _Lists:
 
         cutoff: (query_id, cutoff).  requests: (list, q, r, known, have), which go to the block that has q and r.
         """
-        on_workers(self.spark)
         sides = []
         for list_ in range(self.count):
             own = self._range(list_)
@@ -266,17 +287,21 @@ class _Lists:
                 yield from tasks[last[0]](_Block(pa.Table.from_batches(held).combine_chunks(), kind), None)
 
         n = max(parts(self.spark), min(4 * parts(self.spark), cells))
-        return all_.repartition(n, *keys).sortWithinPartitions(*keys, "side").mapInArrow(stream, schema)
+        return map_batches(all_.repartition(n, *keys).sortWithinPartitions(*keys, "side"), stream, schema)
 
     def complete(self, entries: DataFrame, cutoff: DataFrame | None = None) -> DataFrame:
-        """(q, r, score) of (q, r, known, have), with what is lacking fetched, a list at a time; fetched ones reach the cutoff."""
+        """(q, r, score) of (q, r, known, have), with what is lacking fetched, a list at a time; fetched ones reach the cutoff.
+
+        Scores are bounds where doubles aren't exact: lower ones without a cutoff, upper ones with one.
+        """
+        side = 0 if self.exact else -1 if cutoff is None else 1
         full = (1 << self.count) - 1
         for _ in range(self.count - 1):
             entries = materialise(entries, "entries")
             lacking = F.expr(" ".join(["case", *(f"when have & {1 << c} = 0 then {c}" for c in range(self.count)), "end"]))
             requests = entries.where(f"have <> {full}").withColumn("list", lacking)
-            entries = entries.where(f"have = {full}").union(self.run(lambda list_: _fetch(list_, full), ENTRIES, cutoff, requests))
-        return entries.select("q", "r", F.col("known").cast("long").alias("score"))
+            entries = entries.where(f"have = {full}").union(self.run(lambda list_: _fetch(list_, full, side), ENTRIES, cutoff, requests))
+        return entries.select("q", "r", (F.col("known").cast("long") if self.exact else F.col("known")).alias("score"))
 
     def named(self, scores: DataFrame) -> DataFrame:
         """(query_id, vec_id, score): the best of each pair of ids."""
@@ -284,20 +309,22 @@ class _Lists:
         out = scores.join(ids, "r").join(ids.select(F.col("r").alias("q"), F.col("vec_id").alias("query_id")), "q")
         return out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
-    def cutoff(self) -> DataFrame:
+    def heads(self) -> DataFrame:
+        """(q, list, vec_id, r, p): the best entries of each query in each list."""
         depth = self.k * (DEPTH if self.count > 1 else 1)
-        heads = self.run(lambda list_: _heads(depth, list_, self.exact), HEADS)
+        sent = min(depth, -(-depth // self.rb) + FEW)
+        heads = self.run(lambda list_: _heads(sent, list_, self.exact), HEADS)
         heads = heads.groupBy("q", "list", "vec_id").agg(F.max("p").alias("p"), F.max_by("r", "p").alias("r"))
         order = Window.partitionBy("q", "list").orderBy(F.desc("p"), "vec_id")
-        heads = heads.withColumn("n", F.row_number().over(order)).where(F.col("n") <= depth)
-        if self.exact:
-            scores = self.complete(heads.groupBy("q", "r").agg(F.sum("p").alias("known"), F.sum(F.expr("shiftleft(1, list)")).cast("int").alias("have")))
-        else:  # entries are lower bounds of whole scores
-            scores = heads.select("q", "r", F.col("p").alias("score"))
+        return heads.withColumn("n", F.row_number().over(order)).where(F.col("n") <= depth)
+
+    def cutoff(self) -> DataFrame:
+        heads = self.heads().groupBy("q", "r").agg(F.sum("p").alias("known"), F.sum(F.expr("shiftleft(1, list)")).cast("int").alias("have"))
+        scores = self.complete(heads)
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         ranked = self.named(scores).withColumn("n", F.row_number().over(order)).where(F.col("n") <= self.k)
         # Scores beyond 64 bits are equal at their end, so all of them reach a cutoff there.
-        score = F.when(F.col("score") > -(2.0**63), F.least(F.col("score").cast("double"), F.lit(2.0**63))).otherwise(float("-inf"))
+        score = F.when(F.col("score") > -(2.0**63), F.least(F.col("score").cast("double"), F.lit(2.0**63 - 1024))).otherwise(float("-inf"))
         return ranked.where(F.col("n") == self.k).select("query_id", score.alias("cutoff"))
 
 
@@ -311,19 +338,20 @@ def top_k(rows: DataFrame, is_query: Column, k: int, scale: float = 64.0, counts
     own = materialise(distinct.withColumn("asked", F.coalesce(is_query, F.lit(False))).withColumn("r", F.monotonically_increasing_id()), "rows")
     search = _Lists(own, k)
     cutoff = materialise(search.cutoff(), "cutoff")
-    found = search.run(lambda list_: _collect(list_, search.count, search.exact), ENTRIES if search.exact else SCORES, cutoff=cutoff)
-    if search.exact:
-        found = found.groupBy("q", "r").agg(F.sum("known").alias("known"), F.sum("have").cast("int").alias("have"))
-        if counts is not None:
-            found = materialise(found, "collected")
-            lacking = F.sum((F.col("have") != (1 << search.count) - 1).cast("long"))
-            collected, fetched = found.agg(F.count("*"), F.coalesce(lacking, F.lit(0))).first()
-            counts.update(pairs=search.n * search.asked, collected=collected, fetched=fetched)
-        found = search.complete(found, cutoff)
-        # Sums below the cutoff are no results: they go before ids are joined.
-        asked = own.where("asked").select(F.col("r").alias("q"), F.col("vec_id").alias("query_id"))
-        bound = asked.join(cutoff, "query_id").select("q", "cutoff")
-        found = found.join(bound, "q", "left").where("cutoff is null or score >= cutoff").drop("cutoff")
+    found = search.run(lambda list_: _collect(list_, search.count, search.exact), ENTRIES, cutoff=cutoff)
+    found = found.groupBy("q", "r").agg(F.sum("known").alias("known"), F.sum("have").cast("int").alias("have"))
+    if counts is not None:
+        found = materialise(found, "collected")
+        lacking = F.sum((F.col("have") != (1 << search.count) - 1).cast("long"))
+        collected, fetched = found.agg(F.count("*"), F.coalesce(lacking, F.lit(0))).first()
+        counts.update(pairs=search.n * search.asked, collected=collected, fetched=fetched)
+    found = search.complete(found, cutoff)
+    # Sums below the cutoff are no results: they go before ids are joined.
+    asked = own.where("asked").select(F.col("r").alias("q"), F.col("vec_id").alias("query_id"))
+    bound = asked.join(cutoff, "query_id").select("q", "cutoff")
+    found = found.join(bound, "q", "left").where("cutoff is null or score >= cutoff").drop("cutoff")
+    if not search.exact:
+        found = scored(found, own)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return search.named(found).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import on_workers
+from .common import map_batches
 
 
 def valid(rows: DataFrame, zeros: bool) -> DataFrame:
@@ -42,7 +42,6 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], parts: int, fn: C
 
     Like applyInArrow, but groups stream through one Arrow mapping, so that many small groups cost little.
     """
-    on_workers(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -69,4 +68,5 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], parts: int, fn: C
                 held.append(b.slice(lo, hi - lo))
         yield from close()
 
-    return df.repartition(parts, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    run.__module__ = fn.__module__
+    return map_batches(df.repartition(parts, *keys).sortWithinPartitions(*keys, *order), run, schema)

@@ -79,6 +79,19 @@ def test_clashing_columns_and_equal_rows_are_dealt_out(spark):
     assert len(sizes) == 4 and max(sizes) < 2 * sum(sizes) / 4
 
 
+def test_equal_rows_are_spread_over_all_partitions(spark, tmp_path):
+    docs = spark.range(40_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same text").alias("text"), F.lit("a").alias("source"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    # A seed by which the document has a copy.
+    seed = next(s for s in "abcdefgh" if M.mix(docs.limit(1), temperature=1.0, seed=s).count())
+    for out in (M.mix(spark.read.parquet(str(tmp_path / "documents.parquet")), temperature=1.0, seed=seed, deal=d) for d in (False, True)):
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 1.1 * sum(sizes) / 4
+    found = M.op2_poisson_mixing(spark, str(tmp_path))
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert not sizes or len(sizes) == 4 and max(sizes) < 1.1 * sum(sizes) / 4
+
+
 def test_sql_holds_for_rates_far_above_even_ones(spark, tmp_path):
     docs = spark.range(30000).select(F.col("id").alias("doc_id"), F.lit("0123456789").alias("text"), F.when(F.col("id") % 15000 == 0, "rare").otherwise(F.concat(F.lit("s"), (F.col("id") % 2).cast("string"))).alias("source"))
     docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))

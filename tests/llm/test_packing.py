@@ -102,3 +102,10 @@ def test_piece_cache(text):
     cache = P.PieceCache(P.default_tokenizer(), limit=3)
     ids = cache.tokenizer.encode(text, add_special_tokens=False).ids
     assert cache.encode(text) == struct.pack(f"<{len(ids)}I", *ids)
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("a1", "some words"), (None, None), ("b2", "x " * 3000)], "doc_id string, text string")
+    rows = P.pack(docs).collect()
+    assert sorted({r.doc_id for r in rows if r.doc_id}) == ["a1", "b2"] and sum(r.doc_id is None for r in rows) == 1
+    assert sum(r.doc_id == "b2" for r in rows) == 2

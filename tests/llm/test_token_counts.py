@@ -77,3 +77,9 @@ def test_documents_and_edges(spark, sf):
     assert twice.count() == 2 * C.section_counts(docs.limit(1)).count()
     with pytest.raises(ValueError):
         C.section_counts(docs, rule="other")
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("a1", "one line\nanother"), (None, "")], "doc_id string, text string")
+    rows = C.section_counts(docs).collect()
+    assert sorted((r.doc_id or "", r.section) for r in rows) == [("", 0), ("a1", 0), ("a1", 1)]

@@ -58,9 +58,40 @@ def test_topk_of_huge_components(spark):
     assert got_topk(spark.createDataFrame([(k, v, 0) for k, v in rows], SCHEMA), 6, 4) == brute_topk(rows, 6, 4)
     rows = [(k, [float(x) for x in rng.normal(size=4).astype(np.float32) * 1e4]) for k in range(60)]
     assert got_topk(spark.createDataFrame([(k, v, 0) for k, v in rows], SCHEMA), 6, 4) == brute_topk(rows, 6, 4)
-    too_large = spark.createDataFrame([(0, [1e200])], "vec_id long, embedding array<double>")
-    with pytest.raises(Exception, match="too large"):
-        topk.top_k(too_large, F.col("vec_id") == 0, 2).collect()
+    wide = (1, 1e9, 1e155, 1e200, 1e305)
+    rows = [(k, [float(x) * wide[k % 5] if rng.random() < 0.8 else 0.0 for x in rng.normal(size=5)]) for k in range(60)]
+    rows += [(60, [1e305, -1e305, 1.0, 0.0, 0.0]), (61, [1.0, 1.0, 2.0, 0.0, 0.0]), (64, [1.0, 1.0, 3.0, 0.0, 0.0])]
+    assert got_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 6, 4) == brute_topk(rows, 6, 4)
+    beyond = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.5e308, 1.0]), (2, [-1e307, 5.0])], "vec_id long, embedding array<double>")
+    assert [r[1:] for r in got_topk(beyond, 2, 100)] == [(1, 1, (1 << 63) - 1), (2, 2, -(1 << 63))]
+
+
+def test_one_outlier_leaves_the_lists_as_they_are(spark, monkeypatch):
+    for name, value in (("ROWS", 700), ("QUERIES", 40), ("STRIP", 64)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(16)
+    centres = rng.normal(size=(20, 8)) * 3
+    rows = [(k, [float(x) for x in (centres[k % 20] + rng.normal(size=8) * 0.3).astype(np.float32)]) for k in range(2000)]
+    rows[77] = (77, [*rows[77][1][:7], 3e30])
+    counts = {}
+    df = spark.createDataFrame([(k, v, 0) for k, v in rows], SCHEMA)
+    assert got_topk(df, 5, 50, counts=counts) == brute_topk(rows, 5, 50)
+    assert counts["pairs"] == 80_000 and counts["collected"] < 0.3 * counts["pairs"]
+
+
+def test_gathered_entries_follow_the_queries(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 100)
+    rng = np.random.default_rng(17)
+    sent = []
+    real = topk._heads
+    monkeypatch.setattr(topk, "_heads", lambda k, *rest: sent.append(k) or real(k, *rest))
+    for n in (400, 2000):
+        rows = [(k, [float(x) for x in rng.normal(size=6)], 0) for k in range(n)]
+        df = spark.createDataFrame(rows, SCHEMA)
+        assert got_topk(df, 5, 50) == brute_topk([(k, [float(np.float32(x)) for x in v]) for k, v, _ in rows], 5, 50)
+        blocks = n // 100
+        assert set(sent) == {-(-20 // blocks) + topk.FEW}  # of each block, list and query: 20 in all and FEW more a block
+        sent.clear()
 
 
 def test_topk_fetches_for_few_pairs(spark):
