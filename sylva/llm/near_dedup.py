@@ -11,12 +11,13 @@ with the most central node of the bucket, and then, where a bucket holds more th
 components.  A pair counts as a link only when the exact weighted Jaccard similarity of the two texts is at least the
 threshold.  Classes are the connected components of the links.
 
-Across components, nodes meet by the rarest of their shingles.  Sort a text's shingles by how many nodes have them: what a
-pair shares, of similarity 0.8 and more, can't all lie in the last eight ninths of the smaller text and the last four fifths
-of the larger, so the two have a shingle in common among the others (an exact prefix filter, by weights).  What only one
-component has lies in front, so two families that resemble each other too little have none in common and never meet, however
-large they are.  Nodes that do meet are compared by wide signatures in groups of bounded size, and pairs that agree there
-are verified.
+Across components, nodes meet by the rarest of their shingles.  Sort a text's shingles by how many nodes have them.  What two
+texts of similarity 0.8 share begins somewhere; in front of that rarest common shingle neither can have more weight than the
+similarity leaves it: about a ninth, or a fifth of the larger one.  So only shingles there are an index (an exact prefix and
+position filter, by weights).  What only one component has lies in front, so two families that resemble each other too
+little never meet, however large they are.  Nodes that do meet are compared by wide signatures in groups of bounded size,
+and pairs that agree there are verified: in a first round the best of each node, in a second one all that lie in different
+components after that.
 
 With 25 bands of 5 rows a pair of similarity 0.8 shares a band with probability 0.99995.  Nothing is capped: large groups
 are split, and a node's partners into groups.
@@ -260,20 +261,31 @@ def first_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return shared, pairs
 
 
-def crossing_pairs(shared: DataFrame, text: DataFrame, roots: DataFrame) -> DataFrame:
+class Crossing:
     """Pairs of nodes in different components, of buckets that hold several, whose wide signatures agree enough."""
-    labelled = shared.join(roots, shared["id"] == roots["node"], "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    mixed = labelled.groupBy("band").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed")
-    open_ = materialise(labelled.join(mixed, "band").groupBy("id").agg(F.first("root").alias("root")), "open")
-    text = text.join(open_.select("id"), "id", "left_semi")
-    member = materialise(_grouped(prefixes(text).join(open_, "id")), "members")
-    wanted = text.join(member.select("id").distinct(), "id", "left_semi")
-    return _compared(member, materialise(sketched(wanted), "sketches")).distinct()
+
+    def __init__(self, shared: DataFrame, text: DataFrame, roots: DataFrame):
+        labelled = shared.join(roots, shared["id"] == roots["node"], "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+        mixed = labelled.groupBy("band").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed")
+        # Written first, so that AQE can split a hot bucket.
+        self.open = materialise(labelled.join(materialise(mixed, "mixed"), "band").select("id").distinct(), "open")
+        text = text.join(self.open, "id", "left_semi")
+        self.prefixes = materialise(prefixes(text), "prefixes")
+        member = _grouped(self._of(roots))
+        self.sketches = materialise(sketched(text.join(member.select("id").distinct(), "id", "left_semi")), "sketches")
+
+    def _of(self, roots: DataFrame) -> DataFrame:
+        own = self.open.join(roots, self.open["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("root"))
+        return self.prefixes.join(materialise(own, "roots"), "id")
+
+    def pairs(self, roots: DataFrame, best: bool) -> DataFrame:
+        """best: of a node and a shingle, only the partner that agrees most."""
+        return _compared(materialise(_grouped(self._of(roots)), "members"), self.sketches, best).distinct()
 
 
 def prefixes(text: DataFrame) -> DataFrame:
-    """(shingle, id, short) of (id, text): the rarest shingles of each text, such that any two texts of similarity THRESHOLD
-    have one in common; short: that also suffices for the smaller of two."""
+    """(shingle, id, before, short) of (id, text): the rarest shingles of each text, such that any two texts of similarity
+    THRESHOLD have one in common.  before: the weight of rarer ones; short: it also suffices for the smaller of two."""
 
     def spell(b: pa.RecordBatch) -> pa.Table:
         texts, out = texts_of(b), []
@@ -292,11 +304,11 @@ def prefixes(text: DataFrame) -> DataFrame:
     rest = F.col("size") - F.sum("weight").over(Window.partitionBy("id"))
     placed = rows.join(count, "shingle").withColumn("before", before + rest)
     least = "before <= size - ceil(size * %r - 1e-9)"
-    return placed.where(least % LONG).select("shingle", "id", F.expr(least % SHORT).alias("short"))
+    return placed.where(least % LONG).select("shingle", "id", "before", F.expr(least % SHORT).alias("short"))
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """Of (shingle, id, short, root), the shingles of several components, with groups: (own, g), where own is the component
+    """Of (shingle, id, before, short, root), the shingles of several components, with groups: (own, g), where own is the component
     that has the group to itself, or -1 for the nodes of small components."""
     count = rows.groupBy("shingle", "root").agg(F.count("*").alias("n"), F.max("short").alias("short"))
     open_ = count.groupBy("shingle").agg(
@@ -308,60 +320,77 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return rows.join(count, ["shingle", "root"]).withColumn("g", F.expr("cast(pmod(xxhash64(id, 'block'), groups) as int)"))
 
 
-def _compared(member: DataFrame, sketches: DataFrame) -> DataFrame:
+def _compared(member: DataFrame, sketches: DataFrame, best: bool) -> DataFrame:
     """Pairs across components, of the groups of a shingle that may hold some."""
     group = member.groupBy("shingle", "own", "g").agg(F.max("short").alias("short"))
     left, right = (group.select("shingle", *[F.col(c).alias(f"{c}{k}") for c in ("own", "g", "short")]) for k in (1, 2))
     meets = left.join(right, "shingle").where("(own1 < own2 or own1 = own2 and g1 <= g2) and (own1 <> own2 or own1 = -1) and (short1 or short2)")
     meets = materialise(meets.drop("short1", "short2"), "meets")
     key = ["shingle", "own1", "g1", "own2", "g2"]
-    own = member.select("shingle", "short", "own", "g", "id", "root")
+    own = member.select("shingle", "before", "own", "g", "id", "root")
     one = own.join(meets, (own["shingle"] == meets["shingle"]) & (own["own"] == meets["own1"]) & (own["g"] == meets["g1"])).drop(meets["shingle"])
     two = meets.where("own1 <> own2 or g1 <> g2")
     two = own.join(two, (own["shingle"] == two["shingle"]) & (own["own"] == two["own2"]) & (own["g"] == two["g2"])).drop(two["shingle"])
-    sides = one.select(*key, F.lit(1).alias("side"), "short", "id", "root").union(two.select(*key, F.lit(2).alias("side"), "short", "id", "root"))
-    rows = sides.join(sketches, "id").select(*key, "side", "short", "id", "root", "size", "sketch")
+    sides = one.select(*key, F.lit(1).alias("side"), "before", "id", "root").union(two.select(*key, F.lit(2).alias("side"), "before", "id", "root"))
+    rows = sides.join(sketches, "id").select(*key, "side", "before", "id", "root", "size", "sketch")
     rows = rows.repartition(parts(member.sparkSession), *key).sortWithinPartitions(*key, "id")
-    return map_batches(rows, _crossing, "a long, b long")
-
-
-def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("shingle", "own1", "g1", "own2", "g2", "side", "short", "id", "root", "size", "sketch")]
-        found: list[tuple[int, int]] = []
-        for row in zip(*columns):
-            if held and held[0][:5] != row[:5]:
-                found += _block(held)
-                held = []
-            held.append(row)
-        if found:
+    return map_batches(rows, _crossing(best), "a long, b long")
+
+
+def _crossing(best: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("shingle", "own1", "g1", "own2", "g2", "side", "before", "id", "root", "size", "sketch")]
+            found: list[tuple[int, int]] = []
+            for row in zip(*columns):
+                if held and held[0][:5] != row[:5]:
+                    found += _block(held, best)
+                    held = []
+                held.append(row)
+            if found:
+                yield _pairs(found)
+        if held and (found := _block(held, best)):
             yield _pairs(found)
-    if held and (found := _block(held)):
-        yield _pairs(found)
+
+    return run
 
 
-def _block(rows: list[tuple]) -> list[tuple[int, int]]:
+def _block(rows: list[tuple], best: bool) -> list[tuple[int, int]]:
     """Pairs of two groups that meet, or of one group with itself."""
     if len({r[8] for r in rows}) < 2:
         return []
     sketch = np.frombuffer(b"".join(r[10] for r in rows), np.uint8).reshape(len(rows), WIDE)
     size = np.array([r[9] for r in rows], np.float64)
     root = np.unique([r[8] for r in rows], return_inverse=True)[1]
-    side, short, across = np.array([r[5] for r in rows]), np.array([r[6] for r in rows]), rows[0][1:3] != rows[0][3:5]
-    out = []
+    side, across = np.array([r[5] for r in rows]), rows[0][1:3] != rows[0][3:5]
+    rest = size - np.array([r[6] for r in rows])  # what two texts share at most, if this is the rarest shingle that they do
+    one, two, agree = [], [], []
     for i in range(len(rows) - 1):
         other = size[i + 1 :]
         ok = root[i + 1 :] != root[i]
         ok &= np.minimum(other, size[i]) >= np.maximum(other, size[i]) * THRESHOLD - 1e-9
-        ok &= np.where(other < size[i], short[i + 1 :], short[i]) | (other == size[i]) & short[i + 1 :]
+        ok &= np.minimum(rest[i + 1 :], rest[i]) >= (other + size[i]) * (SHORT / 2) - 1e-9
         if across:
             ok &= side[i + 1 :] != side[i]
         j = i + 1 + np.flatnonzero(ok)
         for m, least in AGREE.items():
-            j = j[(sketch[j, :m] == sketch[i, :m]).sum(axis=1) >= least]
-        out += [(rows[i][7], rows[k][7]) for k in j]
-    return out
+            same = (sketch[j, :m] == sketch[i, :m]).sum(axis=1)
+            j, same = j[same >= least], same[same >= least]
+        one.append(np.full(len(j), i))
+        two.append(j)
+        agree.append(same)
+    i, j, same = map(np.concatenate, (one, two, agree))
+    if best:
+        most = np.zeros(len(rows), np.int64)
+        np.maximum.at(most, i, same)
+        np.maximum.at(most, j, same)
+        first = np.full(len(rows), len(i))
+        np.minimum.at(first, i, np.where(same == most[i], np.arange(len(i)), len(i)))
+        np.minimum.at(first, j, np.where(same == most[j], np.arange(len(i)), len(i)))
+        taken = np.unique(first[first < len(i)])
+        i, j = i[taken], j[taken]
+    return [(rows[a][7], rows[b][7]) for a, b in zip(i.tolist(), j.tolist())]
 
 
 # ---------------------------------------------------------------- the operator
@@ -383,8 +412,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     text = materialise(text.join(wanted, "key").select("id", "text"), "texts")
     links = materialise(similar(pairs, text, THRESHOLD), "links")
     roots = components(links)
-    more = materialise(similar(crossing_pairs(shared, text, roots), text, THRESHOLD), "links")
-    roots = materialise(components(links.union(more)), "roots")
+    # First each node with the one that it agrees with most, then whatever is still in different components.
+    crossing = Crossing(shared, text, roots)
+    for best in (True, False):
+        links = materialise(links.union(similar(crossing.pairs(roots, best), text, THRESHOLD)), "links")
+        roots = components(links)
+    roots = materialise(roots, "roots")
     named = nodes.select("id", "key").join(roots, nodes["id"] == roots["node"], "left").select("key", F.coalesce("root", "id").alias("class_key"))
     return signs.select("doc_id", "key").join(named, "key", "left")
 
