@@ -150,8 +150,15 @@ class OutOfTime(Sampler):
         return self.base.feature(tree, node, name)
 
 
-def out_of_time(base: Sampler, rows: DataFrame, quantile: float = 0.8, exact: bool = False) -> OutOfTime:
-    """OutOfTime with the threshold at a quantile of the rows' times."""
+def out_of_time(base: Sampler, rows: DataFrame, quantile: float = 0.8, exact: bool = False, compression: int | None = None, finest: int = 20) -> OutOfTime:
+    """OutOfTime with the threshold at a quantile of the rows' times; with `compression`, at the upper bound that a dyadic
+    tree of times compressed so knows of it, times told apart down to 2**finest."""
+    if compression is not None:
+        from .splitters import dyadic_quantiles
+
+        stats = rows.groupBy(F.col(base.time_column).cast("double").alias("num")).agg(F.count("*").cast("double").alias("w"))
+        stats = stats.where("num is not null").select(F.lit("ts").alias("feature"), "num", F.lit(None).cast("string").alias("str"), F.lit("all").alias("label"), "w")
+        return OutOfTime(base, int(dyadic_quantiles(stats, [], quantile, compression, finest, 62 - finest).first()["upper"]))
     ts = F.col(base.time_column)
     at = F.percentile_approx(ts, F.lit(quantile), F.lit(1_000_000)) if not exact else F.expr(f"percentile_disc({quantile}) within group (order by {base.time_column})")
     return OutOfTime(base, int(rows.agg(at.cast("long")).first()[0]))

@@ -26,7 +26,7 @@ from ..operators.evaluate import ChiSquared, Evaluator, Stopper, best_splits
 from ..operators.features import Columns, OpenMap, Source, name
 from ..operators.routing import leaf_targets, route, targets_frame
 from ..operators.sampling import KFold, RandomForest, Sampler, SingleTree, downsampled, out_of_time, training_rows, validation_rows
-from ..operators.splitters import Feature, MapFeatures, binary, heavy_hitters, one_at_random, one_kind, quantiles, same_rows, statistics
+from ..operators.splitters import Feature, MapFeatures, adaptive_dyadic_cuts, binary, heavy_hitter_sketches, heavy_hitters, one_at_random, one_kind, quantile_digests, quantiles, raw_statistics, same_rows, statistics
 from ..sources import models
 from ..sources.storage import on_workers
 from . import local_grow
@@ -53,6 +53,9 @@ class Forest:
     order: str = "depth"
     capacity: int = 1000  # values of a sparse feature that are candidates
     cuts: int = 0  # continuous features: split at so many quantiles instead of binned values
+    digests: int = 0  # quantiles and their sides from digests of this size, instead of exact sides
+    tracked: int = 0  # sparse features: frequent values from sketches of so many items, instead of exact counts
+    dyadic: int | None = None  # continuous features: split in nodes of dyadic trees compressed to shares above 2**-dyadic
     randomized: bool = False  # one candidate per feature, chosen by hash
     seed: str = "forest"
     trees: dict[int, T.Tree] = field(default_factory=dict)
@@ -139,26 +142,41 @@ class Forest:
         if isinstance(self.features, MapFeatures):
             own = self._own(self.features)
             stats = self._allowed(one_kind(self._statistics(rows, own)))
-            dense = "kind <> 'sparse'" + (" and kind <> 'continuous'" if self.cuts else "")
+            dense = "kind <> 'sparse'" + (" and kind <> 'continuous'" if self.cuts or self.dyadic is not None else "")
             found.append(binary(stats.where(dense).drop("kind"), KEYS))
-            if self.cuts:
-                found.append(self._allowed(quantiles(rows, own, KEYS, self.cuts)))
-            found.append(heavy_hitters(stats.where("kind = 'sparse'").drop("kind"), leaf_targets(rows), KEYS, self.capacity))
+            if self.cuts or self.dyadic is not None:
+                found.append(self._cut(rows, own))
+            found.append(self._frequent(rows, own, stats.where("kind = 'sparse'").drop("kind")))
         else:
-            dense = [f for f in self.features if f.kind != "sparse" and not (self.cuts and f.kind == "continuous")]
-            cut = [f for f in self.features if self.cuts and f.kind == "continuous"]
+            cut = [f for f in self.features if (self.cuts or self.dyadic is not None) and f.kind == "continuous"]
+            dense = [f for f in self.features if f.kind != "sparse" and f not in cut]
             sparse = [f for f in self.features if f.kind == "sparse"]
             if dense:
                 found.append(binary(self._allowed(self._statistics(rows, self._own(dense))), KEYS))
             if cut:
-                found.append(self._allowed(quantiles(rows, self._own(cut), KEYS, self.cuts)))
+                found.append(self._cut(rows, self._own(cut)))
             if sparse:
-                found.append(heavy_hitters(self._allowed(self._statistics(rows, self._own(sparse))), leaf_targets(rows), KEYS, self.capacity))
+                own = self._own(sparse)
+                found.append(self._frequent(rows, own, None if self.tracked else self._allowed(self._statistics(rows, own))))
         out = found[0]
         for more in found[1:]:
             out = out.unionByName(more)
         return one_at_random(out, KEYS, self.seed) if self.randomized else out
 
+    def _cut(self, rows: DataFrame, features: list[Feature] | MapFeatures) -> DataFrame:
+        """Candidates of continuous features by quantiles, digests or dyadic trees."""
+        if self.digests:
+            return self._allowed(quantile_digests(rows, features, KEYS, self.cuts or 25, self.digests))
+        if self.dyadic is None:
+            return self._allowed(quantiles(rows, features, KEYS, self.cuts))
+        return adaptive_dyadic_cuts(self._allowed(raw_statistics(rows, features, KEYS)), KEYS, self.dyadic)
+
+    def _frequent(self, rows: DataFrame, features: list[Feature] | MapFeatures, stats: DataFrame | None) -> DataFrame:
+        """Candidates of sparse features."""
+        if self.tracked:
+            return self._allowed(heavy_hitter_sketches(rows, features, leaf_targets(rows), KEYS, self.capacity, self.tracked))
+        return heavy_hitters(stats, leaf_targets(rows), KEYS, self.capacity)
+
     def _allowed(self, stats: DataFrame) -> DataFrame:
         """Without features that the sampler denies a node; nodes are named by their paths, which stay."""
         test = self.sampler.feature(F.col("tree"), F.col("__path"), F.col("feature"))
@@ -221,7 +239,7 @@ class Forest:
         score = local_grow.scorer(self.evaluator)
         if isinstance(self.features, MapFeatures):
             raise ValueError("growth in memory needs a list of features: use expand")
-        if self.randomized or any(f.kind == "sparse" or (self.cuts and f.kind == "continuous") for f in self.features):
+        if self.randomized or any(f.kind == "sparse" or ((self.cuts or self.dyadic is not None) and f.kind == "continuous") for f in self.features):
             raise ValueError("growth in memory has no randomized candidates, cuts or sparse features: use expand")
         active = {(i, x.index): self.stopper.local_rate(x.target) for i, t in self.trees.items() for x in T.leaves(t) if self.stopper.splits(x.target)}
         if not active:

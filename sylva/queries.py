@@ -334,6 +334,58 @@ def best_split_dyadic(spark, sf):
     return _best(splitters.dyadic_cuts(stats, ["tree"], 4), ChiSquared())
 
 
+@query(best_sql(SPARSE, "chi2"))
+def best_split_sparse_sketch(spark, sf):
+    """Frequent values from one sketch a label, which tracks more items than there are values here."""
+    rows = events(spark, sf).withColumn("tree", F.lit(0))
+    parents = rows.groupBy("tree", "label").agg(F.sum("weight").alias("weight"))
+    return _best(splitters.heavy_hitter_sketches(rows, [Feature("user_id", "sparse")], parents, ["tree"], 20, 20_000), ChiSquared())
+
+
+@query(f"select label, count(*)::double as w, 9::bigint as cuts, true as near from ({EVENTS}) where value is not null group by label")
+def quantile_digest_sides(spark, sf):
+    """Sides of nine cuts by digests: each within 1.5 % of the label's rows of the exact one."""
+    rows = events(spark, sf).withColumn("tree", F.lit(0))
+    found = splitters.quantile_digests(rows, [Feature("value", "continuous")], ["tree"], 10, 1000).persist()
+    values = splitters.raw_statistics(rows, [Feature("value", "continuous")], ["tree"]).select("label", F.col("num").alias("x"), "w")
+    exact = found.select("label", "num", "lw", "rw").join(values, "label").groupBy("label", "num", "lw", "rw").agg(F.sum(F.when(F.col("x") <= F.col("num"), F.col("w")).otherwise(0.0)).alias("left"), F.sum("w").alias("w"))
+    near = (F.abs(F.col("lw") - F.col("left")) <= 0.015 * F.col("w")) & (F.abs(F.col("lw") + F.col("rw") - F.col("w")) < 1e-6)
+    return exact.groupBy("label").agg(F.max("w").alias("w"), F.count("*").alias("cuts"), F.min(near).alias("near"))
+
+
+def dyadic_sql(value: str, levels: int, finest: int = 0) -> str:
+    """CTEs: kept nodes (l, pos, w), and whether both halves hold values."""
+    return f"""base as (select floor(({value}) / {2**finest}.0)::bigint as v, sum(weight) as w from ({EVENTS}) where ({value}) is not null group by 1),
+lev as (select v, w, unnest(range(0, {levels + 1})) as l from base),
+node as (select l, floor(v / pow(2.0, l))::bigint as pos, sum(w) as w from lev group by all),
+half as (select l + 1 as l, floor(pos / 2.0)::bigint as pos, count(*) as n from node group by all),
+kept as (select n.l + {finest} as l, n.pos, n.w, coalesce(h.n, 0) = 2 as halves from node n left join half h on h.l = n.l and h.pos = n.pos where n.w > (select sum(w) from base) / 64.0)"""
+
+
+@query(best_sql(f"""{dyadic_sql('value', 40)},
+cuts as (select distinct (pos + 0.5) * pow(2.0, l) as num from kept where halves),
+cand as (select 0::bigint as tree, 'value' as feature, 'lt' as op, c.num, null::varchar as str, label, sum(case when value < c.num then weight else 0 end) as lw, sum(case when value < c.num then 0 else weight end) as rw
+  from ({EVENTS}), cuts c where value is not null group by all)""", "chi2"))
+def best_split_adaptive_dyadic(spark, sf):
+    """Thresholds in the middle of the nodes of a tree of dyadic intervals that hold more than 1/64 of the weight."""
+    rows = events(spark, sf).withColumn("tree", F.lit(0))
+    stats = splitters.raw_statistics(rows, [Feature("value", "continuous")], ["tree"])
+    return _best(splitters.adaptive_dyadic_cuts(stats, ["tree"], 6), ChiSquared())
+
+
+@query(f"""with {dyadic_sql('ts', 42, 20)},
+ends as (select pos * pow(2.0, l) as x from kept union select (pos + 1) * pow(2.0, l) from kept),
+share as (select x, (select sum(weight) from ({EVENTS}) where ts < x) / (select sum(w) from base) as below from ends),
+cut as (select min(x)::bigint as threshold from share where below >= 0.8)
+select threshold, count(*) filter (where ts < threshold) as n_train, count(*) filter (where ts >= threshold) as n_valid from ({EVENTS}), cut group by threshold""")
+def out_of_time_by_dyadic_tree(spark, sf):
+    """Rows before and from the upper bound that a compressed tree of times knows of their quantile."""
+    rows = events(spark, sf)
+    sampler = out_of_time(KFold(2), rows, 0.8, compression=6)
+    before = F.col("ts") < sampler.threshold
+    return rows.agg(F.lit(sampler.threshold).cast("long").alias("threshold"), F.sum(before.cast("long")).alias("n_train"), F.sum((~before).cast("long")).alias("n_valid"))
+
+
 @query(f"""with {candidates_sql(NOMINAL)}, ids as (select distinct tree, feature, op, num, str from cand),
 one as (select *, row_number() over (partition by tree, feature order by {h('split', 'tree', 'feature', 'str')}, str) as r from ids)
 select tree, feature, str, label, lw::double as lw, rw::double as rw from cand semi join (select * from one where r = 1) o using (tree, feature, str)""")

@@ -181,7 +181,9 @@ def read(spark: SparkSession, path: str, form: str = "tsv") -> dict[int, Tree]:
 # ---------------------------------------------------------------- the older format
 
 _NEGATION = {"isEq": "notEq", "notEq": "isEq", "lt": "gtEq", "gtEq": "lt", "gt": "ltEq", "ltEq": "gt"}
-_UNION = {frozenset(("lt", "isEq")): "ltEq", frozenset(("gt", "isEq")): "gtEq", frozenset(("lt", "gt")): "notEq", frozenset(("ltEq", "gt")): None, frozenset(("lt", "gtEq")): None}
+#: What a predicate lets through: smaller, equal and greater values.
+_LETS = {"lt": frozenset("<"), "isEq": frozenset("="), "gt": frozenset(">"), "ltEq": frozenset("<="), "gtEq": frozenset(">="), "notEq": frozenset("<>")}
+_NAMED = {lets: op for op, lets in _LETS.items()}
 
 
 def _old_predicate(value: Any) -> Predicate:
@@ -197,7 +199,7 @@ def _old_predicate(value: Any) -> Predicate:
         for p in found[1:]:
             if p.value != out.value:
                 raise ModelError("or of different values")
-            joined = out.op if p.op == out.op else _UNION.get(frozenset((p.op, out.op)))
+            joined = _NAMED.get(_LETS[p.op] | _LETS[out.op])
             if joined is None:
                 raise ModelError(f"no predicate is {out.op} or {p.op}")
             out = Predicate(joined, out.value)
