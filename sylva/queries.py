@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from . import streaming
 from .functions import down_rez, dyadic, uniform
 from .operators import evaluate, metrics, routing, splitters, voting
+from .operators.features import Columns
 from .operators.evaluate import AccuracySplit, BrierSplit, ChiSquared, MinWeight, Stopper
 from .operators.sampling import KFold, RandomForest, SingleTree, TimeGrouped, out_of_time, sampled_leaves, training_rows, validation_rows
 from .operators.splitters import Feature, MapFeatures
@@ -131,16 +132,6 @@ def rf_multiplicity(spark, sf):
     return rows.groupBy(F.col("tree").cast("long").alias("tree"), times.alias("times")).agg(F.count("*").alias("n"))
 
 
-@query(f"""select tree, node, feature, {u('rf-feature', 'tree', 'node', 'feature')} < 0.5 as included
-from (select unnest(range(0, 3)) as tree), (select unnest(['', 'L', 'R', 'LL', 'LR', 'RL', 'RR']) as node),
-  (select unnest(['o_totalprice', 'o_custkey', 'o_orderpriority']) as feature)""")
-def rf_feature_subset(spark, sf):
-    grid = spark.range(3).withColumnRenamed("id", "tree")
-    grid = grid.withColumn("node", F.explode(F.array(*map(F.lit, ["", "L", "R", "LL", "LR", "RL", "RR"]))))
-    grid = grid.withColumn("feature", F.explode(F.array(*map(F.lit, ["o_totalprice", "o_custkey", "o_orderpriority"]))))
-    return grid.withColumn("included", RandomForest(3, 0.5).feature(F.col("tree"), F.col("node"), F.col("feature")))
-
-
 DAY = 86_400_000_000
 
 
@@ -832,19 +823,39 @@ def feature_importance_fixed(spark, sf):
 # ---------------------------------------------------------------- models and streams
 
 
-@query()
+@query(LEAVES)
 def model_roundtrip(spark, sf):
-    """Every fixed tree through JSON and through the compact string."""
-    trees = [fixed_tree(), events_tree(), *fixed_forest().values()]
-    rows = [(k, models.loads(models.dumps(t)) == t, models.from_string(models.to_string(t)) == t) for k, t in enumerate(trees)]
-    return spark.createDataFrame(rows, "tree long, json boolean, compact boolean")
+    """Leaves by a tree that went through JSON, the compact string and compressed arrays."""
+    tree = T.expand_compressed(T.compress(models.from_string(models.to_string(models.loads(models.dumps(fixed_tree()))))))
+    return routing.route(orders(spark, sf), {0: tree}).select("id", F.col("leaf").cast("long").alias("leaf"))
 
 
-@query()
+def _older(tree: T.Tree) -> object:
+    """A tree in the older format, in which a split is two branches with predicates of their own."""
+    if isinstance(tree, T.Leaf):
+        return {"leaf": tree.index, "distribution": tree.target}
+    left = {{"isEq": "eq"}.get(tree.predicate.op, tree.predicate.op): tree.predicate.value}
+    return [{"feature": tree.feature, "predicate": p, "children": _older(t)} for p, t in ((left, tree.left), ({"not": left}, tree.right))]
+
+
+@query(LEAVES)
 def migrate_model(spark, sf):
-    leaf = lambda k: {"leaf": k, "distribution": {"a": k}}
-    old = [{"feature": "f", "predicate": {"lt": 3}, "children": leaf(0)}, {"feature": "f", "predicate": {"not": {"lt": 3}}, "children": leaf(1)}]
-    return spark.createDataFrame([tuple(line.split("\t")) for line in models.migrate_model([f"0\t{json.dumps(old)}"])], "tree string, json string")
+    """Leaves by a tree of the older format, migrated."""
+    line = models.migrate_model([f"0\t{json.dumps(_older(fixed_tree()))}"])[0]
+    return routing.route(orders(spark, sf), {0: models.loads(line.partition("\t")[2])}).select("id", F.col("leaf").cast("long").alias("leaf"))
+
+
+_NODE = f"(['LL', 'LR', 'RL', 'RR'])[({FIXED}) + 1]"
+
+
+@query(f"""select tree, node, feature, {u('rf-feature', 'tree', 'node', 'feature')} < 0.5 as included, count(*) as n
+from (select unnest(range(0, 3)) as tree), (select {_NODE} as node, o_orderpriority as feature from ({ORDERS})) group by all""")
+def rf_feature_subset(spark, sf):
+    """Which of the features that reach a node a random forest lets it use; features are named by the rows."""
+    rows = routing.route(orders(spark, sf).withColumn("tree", F.lit(0)), {0: fixed_tree()}).drop("tree")
+    rows = rows.select(F.element_at(F.array(*map(F.lit, ["LL", "LR", "RL", "RR"])), F.col("leaf") + 1).alias("node"), F.col("o_orderpriority").alias("feature"))
+    grid = rows.groupBy("node", "feature").agg(F.count("*").alias("n")).withColumn("tree", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
+    return grid.withColumn("included", RandomForest(3, 0.5).feature(F.col("tree"), F.col("node"), F.col("feature")))
 
 
 @query(f"with {SOFT}, r as (select id from ({ORDERS})), l as (select unnest(['F', 'O', 'P']) as label) select r.id, " + ", ".join(f"round(coalesce(max(p) filter (where soft.label = '{k}'), 0), 9) as p_{k}" for k in "FOP") + " from r left join soft using (id) group by r.id")
@@ -1046,92 +1057,87 @@ def every_tree_stays(spark, sf):
     return spark.createDataFrame([(i, float(T.total(T.target_of(t)))) for i, t in forest.trees.items()], "tree long, weight double")
 
 
-@query(values_sql("name, kind", [("o_orderkey", "ordinal"), ("o_custkey", "ordinal"), ("o_orderstatus", "nominal"), ("o_totalprice", "continuous"), ("o_orderpriority", "nominal")]))
+_KINDS = {"o_orderkey": "ordinal", "o_custkey": "ordinal", "o_orderstatus": "nominal", "o_totalprice": "continuous", "o_orderpriority": "nominal"}
+
+
+@query(" union all ".join(f"select '{c}' as name, '{k}' as kind, count({c}) as present, count(distinct {c}) as cells from orders" for c, k in _KINDS.items()))
 def default_kinds(spark, sf):
-    """Kinds of features by the types of columns."""
-    found = splitters.infer_features(table(spark, sf, "orders"))
-    return spark.createDataFrame([(f.name, f.kind) for f in found], "name string, kind string")
+    """Kinds of features by the types of columns, and what each has: present values, and distinct ones."""
+    rows = table(spark, sf, "orders")
+    found = splitters.infer_features(rows)
+    raw = [Feature(f.name, f.kind, (lambda c: c) if f.kind == "continuous" else None) for f in found]  # unbinned
+    cells = splitters.long_form(rows, raw, []).groupBy("feature", "num", "str").agg(F.count("*").alias("n"))
+    cells = cells.groupBy(F.col("feature").alias("name")).agg(F.sum("n").alias("present"), F.count("*").alias("cells"))
+    return spark.createDataFrame([(f.name, f.kind) for f in found], "name string, kind string").join(cells, "name")
 
 
 # ---------------------------------------------------------------- codecs and tree algebra, applied to rows
 
 
-def _decoded(f: Callable, value) -> str:
-    try:
-        return json.dumps(f(value), default=str)
-    except models.ModelError as e:
-        return f"error: {e}"
-
-
-_CASES: list[tuple[str, Callable, object]] = [
-    ("predicate", lambda v: str(models.decode_predicate(v)), {"lt": 2.5}),
-    ("predicate", lambda v: str(models.decode_predicate(v)), {"isEq": "a"}),
-    ("predicate", lambda v: str(models.decode_predicate(v)), {"gtEq": {"ordinal": 3}}),
-    ("predicate", lambda v: str(models.decode_predicate(v)), {"like": "a"}),
-    ("predicate", lambda v: str(models.decode_predicate(v)), {"lt": [1]}),
-    ("tagged", models.decode_tagged, {"sparse": "a"}),
-    ("tagged", models.decode_tagged, {"continuous": "a"}),
-    ("tagged", models.decode_tagged, {"other": 1}),
-    ("option", models.decode_option, []),
-    ("option", models.decode_option, [4]),
-    ("option", models.decode_option, [4, 5]),
-    ("boolean", models.decode_boolean, "true"),
-    ("boolean", models.decode_boolean, "True"),
-    ("single", lambda v: models.single(v, "it"), {"k": 1}),
-    ("single", lambda v: models.single(v, "it"), {}),
-    ("single", lambda v: models.single(v, "it"), {"k": 1, "l": 2}),
-    ("single", lambda v: models.single(v, "it"), 7),
-]
-_SAYS = [
-    '"x < 2.5"', '"x === a"', '"x >= 3"', "error: unknown predicate 'like'", "error: a predicate needs a number, a string or a boolean",
-    '["sparse", "a"]', "error: continuous needs a number", "error: unknown tag 'other'", "null", "4", "error: an option is a list of at most one value",
-    "true", "error: not exactly true or false", '["k", 1]', "error: it is empty", "error: it has more than one key", "error: it is not an object",
-]
-
-
-@query(values_sql("codec, input, output", [(name, json.dumps(v), says) for (name, _, v), says in zip(_CASES, _SAYS)]))
+@query("""select o_orderpriority as label, 'x === ' || o_orderpriority as predicate, '["nominal", "' || o_orderpriority || '"]' as tagged, '["ordinal", ' || count(*) || ']' as number,
+  count(*) as n, o_orderpriority = '1-URGENT' as urgent, 'error: continuous needs a number' as refused from orders group by o_orderpriority""")
 def codecs(spark, sf):
-    """Small codecs on values that they take, and on those that they refuse."""
-    return spark.createDataFrame([(name, json.dumps(v), _decoded(f, v)) for name, f, v in _CASES], "codec string, input string, output string")
+    """Predicates, tagged values, options and booleans of what a table holds, written as JSON and read again."""
+    rows = table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n")).collect()
+    again = lambda v: json.loads(json.dumps(v))
+    out = []
+    for label, n in rows:
+        predicate = models.decode_predicate(again(models.encode_predicate(T.Predicate("isEq", label))))
+        tagged, number = (json.dumps(models.decode_tagged(again(v))) for v in ({"nominal": label}, {"ordinal": n}))
+        try:
+            refused = json.dumps(models.decode_tagged({"continuous": label}))
+        except models.ModelError as e:
+            refused = f"error: {e}"
+        urgent = models.decode_boolean("true" if label == "1-URGENT" else "false")
+        out.append((label, str(predicate), tagged, number, models.decode_option(again([n])), urgent, refused))
+    return spark.createDataFrame(out, "label string, predicate string, tagged string, number string, n long, urgent boolean, refused string")
 
 
-@query(values_sql("position, feature, op, value, leaf_index, left_child, annotation", [
-    (0, "value", "lt", 200.0, None, 1, 37.0), (1, "user_id", "lt", 50.0, None, 3, 14.0), (2, "value", "lt", 400.0, None, 5, 23.0),
-    (3, None, None, None, 0, None, 5.0), (4, None, None, None, 1, None, 9.0), (5, None, None, None, 2, None, 20.0), (6, None, None, None, 3, None, 3.0)]))
+_LEAF_TARGETS = f"select ({FIXED})::bigint as leaf, label, sum(weight)::double as weight from ({ORDERS}) group by all"
+
+
+def _fixed_targets(spark, sf) -> T.Tree:
+    return Forest(orders(spark, sf), (PRICE, CUSTOMER, PRIORITY), trees={0: fixed_tree()}).update_targets().trees[0]
+
+
+@query(_LEAF_TARGETS)
 def compressed_tree(spark, sf):
-    """A tree as arrays in breadth-first order, after a round trip."""
-    c = T.compress(T.expand_compressed(T.compress(events_tree())))
-    rows = list(zip(range(len(c["leaf"])), *(c[k] for k in ("feature", "op", "value", "leaf", "left", "annotation"))))
-    return spark.createDataFrame(rows, "position long, feature string, op string, value double, leaf_index long, left_child long, annotation double")
+    """Targets of a tree as arrays in breadth-first order, after a round trip."""
+    tree = T.expand_compressed(T.compress(_fixed_targets(spark, sf)))
+    return spark.createDataFrame([(x.index, k, w) for x in T.leaves(tree) for k, w in x.target.items()], "leaf long, label string, weight double")
 
 
-@query(values_sql("tree, json", [(0, '{"leaf":0,"distribution":{"F":3.0,"O":5.0,"P":2.0}}'), (1, '{"key":"f","predicate":{"lt":0.5},"left":{"leaf":0,"distribution":{"a":3},"annotation":3.0},"right":{"leaf":1,"distribution":{}},"annotation":3.0}')]))
+@query(f"""select leaf, '{{"leaf":' || leaf || ',"distribution":{{' || string_agg('"' || label || '":' || cast(weight as bigint) || '.0', ',' order by label) || '}},"annotation":' || cast(sum(weight) as bigint) || '.0}}' as json
+from ({_LEAF_TARGETS}) group by leaf""")
 def tree_json(spark, sf):
-    """Trees as JSON, with and without annotations, after a round trip."""
-    leaf = T.leaf_at(fixed_forest()[0], 0)
-    node = T.Node("f", T.Predicate("lt", 0.5), T.Leaf(0, {"a": 3}, 3.0), T.Leaf(1), 3.0)
-    return spark.createDataFrame([(k, models.dumps(models.loads(models.dumps(t)))) for k, t in enumerate((leaf, node))], "tree long, json string")
+    """Leaves with targets and annotations as JSON, after a round trip."""
+    tree = T.map_leaves(T.annotate(_fixed_targets(spark, sf), T.total), lambda x: T.Leaf(x.index, dict(sorted(x.target.items())), x.annotation))
+    again = models.loads(models.dumps(models.loads(models.dumps(tree))))
+    return spark.createDataFrame([(x.index, models.dumps(x)) for x in T.leaves(again) if x.target], "leaf long, json string")
 
 
-_OLD = [
-    ("lt", {"lt": 3}, {"not": {"lt": 3}}), ("eq", {"eq": "a"}, {"not": {"eq": "a"}}), ("or", {"or": [{"lt": 3}, {"eq": 3}]}, {"not": {"or": [{"lt": 3}, {"eq": 3}]}}),
-    ("exists", {"exists": True}, {"not": {"exists": True}}), ("apart", {"lt": 3}, {"not": {"lt": 4}}),
-]
+_SQL_OPS = {"lt": "<", "isEq": "=", "gt": ">", "ltEq": "<=", "gtEq": ">=", "notEq": "<>"}
+_FULL = [{"<", ">="}, {">", "<="}, {"=", "<>"}, {"<=", ">="}, {"<=", "<>"}, {">=", "<>"}]
 
 
-@query(values_sql("name, json", [
-    ("lt", '{"key":"f","predicate":{"lt":3},"left":{"leaf":0},"right":{"leaf":1}}'), ("eq", '{"key":"f","predicate":{"isEq":"a"},"left":{"leaf":0},"right":{"leaf":1}}'),
-    ("or", '{"key":"f","predicate":{"ltEq":3},"left":{"leaf":0},"right":{"leaf":1}}'), ("exists", "error: exists can't be migrated"), ("apart", "error: branches aren't complements")]))
+@query(" union all ".join(
+    f"select '{p}|{q}' as name, " + ("-1::bigint" if {a, b} in _FULL else f"count(*) filter (where o_custkey {a} 700 or o_custkey {b} 700)") + " as n, count(*) as total from orders"
+    for p, a in _SQL_OPS.items() for q, b in _SQL_OPS.items()))
 def migrated_models(spark, sf):
-    """Splits of the older format, and those that have no equal in the present one."""
-    rows = []
-    for name, left, right in _OLD:
-        old = [{"feature": "f", "predicate": left, "children": {"leaf": 0}}, {"feature": "f", "predicate": right, "children": {"leaf": 1}}]
-        try:
-            rows.append((name, models.migrate_model([f"0\t{json.dumps(old)}"])[0].partition("\t")[2]))
-        except models.ModelError as e:
-            rows.append((name, f"error: {e}"))
-    return spark.createDataFrame(rows, "name string, json string")
+    """Splits of the older format by the union of any two comparisons: how many orders go left, or -1 where no predicate is that union."""
+    rows, split = table(spark, sf, "orders"), {}
+    for p in _SQL_OPS:
+        for q in _SQL_OPS:
+            left = {"or": [{p: 700}, {q: 700}]}
+            old = [{"feature": "o_custkey", "predicate": left, "children": {"leaf": 0, "distribution": {}}}, {"feature": "o_custkey", "predicate": {"not": left}, "children": {"leaf": 1, "distribution": {}}}]
+            try:
+                split[f"{p}|{q}"] = models.loads(models.migrate_model([f"0\t{json.dumps(old)}"])[0].partition("\t")[2])
+            except models.ModelError:
+                split[f"{p}|{q}"] = None
+    source = Columns(rows)
+    counts = [(F.sum((routing.leaf_case(t, source) == 0).cast("long")) if t else F.lit(-1).cast("long")).alias(f"n{k}") for k, t in enumerate(split.values())]
+    names = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"n{k}").alias("n")) for k, c in enumerate(split)])
+    return rows.agg(F.count("*").alias("total"), *counts).select("total", F.explode(names).alias("x")).select("x.*", "total")
 
 
 @query(LEAVES)
