@@ -28,12 +28,13 @@ from ..operators.routing import leaf_targets, route, targets_frame
 from ..operators.sampling import KFold, RandomForest, Sampler, SingleTree, downsampled, out_of_time, training_rows, validation_rows
 from ..operators.splitters import Feature, MapFeatures, adaptive_dyadic_cuts, binary, heavy_hitter_sketches, heavy_hitters, one_at_random, one_kind, quantile_digests, quantiles, raw_statistics, same_rows, statistics
 from ..sources import models
-from ..sources.storage import on_workers
+from ..sources.storage import on_workers, scratch
 from . import local_grow
 from . import tree as T
 
 KEYS = ["tree", "leaf"]
 MOST_TARGETS = 5_000_000
+BUCKET_ROWS = 50_000  # rows that are sorted together for a permutation
 
 
 def _collected(targets: DataFrame) -> list:
@@ -248,15 +249,20 @@ class Forest:
         order = self.order
         values = [f.value().alias(f"__f{k}") for k, f in enumerate(self._own(features))]
 
-        def sampled() -> DataFrame:
-            wanted = self.spark.createDataFrame([(*k, r, paths[k]) for k, r in active.items()], "tree int, leaf int, rate double, path string")
-            return downsampled(self.training().join(wanted, KEYS), F.col("rate"), self.seed)
-
+        wanted = self.spark.createDataFrame([(*k, r, paths[k]) for k, r in active.items()], "tree int, leaf int, rate double, path string")
+        rows = downsampled(self.training().join(wanted, KEYS), F.col("rate"), self.seed)
+        rows = rows.select(*KEYS, "path", "id", F.col("label").cast("string").alias("label"), F.col("weight").cast("double").alias("weight"), *values)
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # counted, then grown from
         # The stopper's rate goes by weight: rows are counted, as light ones can be many more.
-        for r in sampled().groupBy(*KEYS).count().where(F.col("count") > max_rows).collect():
-            active[r["tree"], r["leaf"]] *= max_rows / r["count"]
-        rows = sampled().where(F.col("label").isNotNull())
-        rows = rows.select(*KEYS, "path", F.col("id").cast("string").alias("id"), F.col("label").cast("string").alias("label"), F.col("weight").cast("double").alias("weight"), *values)
+        lower = {}
+        for r in rows.groupBy(*KEYS).count().where(F.col("count") > max_rows).collect():
+            k = r["tree"], r["leaf"]
+            active[k] = lower[k] = active[k] * max_rows / r["count"]
+        sampled = rows.where(F.col("label").isNotNull())
+        if lower:  # the same hash against a lower rate
+            rate_of = self.spark.createDataFrame([(*k, r) for k, r in lower.items()], "tree int, leaf int, rate double")
+            sampled = downsampled(sampled.join(rate_of, KEYS, "left"), F.coalesce("rate", F.lit(2.0)), self.seed).drop("rate")
+        sampled = sampled.withColumn("id", F.col("id").cast("string"))
         while hasattr(sampler, "base"):
             sampler = sampler.base
         if type(sampler).feature not in (Sampler.feature, RandomForest.feature):
@@ -282,7 +288,8 @@ class Forest:
             )
             return pd.DataFrame({"tree": [tree], "leaf": [leaf], "json": [models.dumps(T.renumber(grown))]})
 
-        grown = {(r["tree"], r["leaf"]): models.loads(r["json"]) for r in rows.groupBy(*KEYS).applyInPandas(build, "tree int, leaf int, json string").collect()}
+        grown = {(r["tree"], r["leaf"]): models.loads(r["json"]) for r in sampled.groupBy(*KEYS).applyInPandas(build, "tree int, leaf int, json string").collect()}
+        rows.unpersist()
         scale = {k: 1 / r for k, r in active.items()}
 
         def graft(i: int):
@@ -321,12 +328,13 @@ class Forest:
             held.setdefault(r["tree"], {}).setdefault(r["leaf"], {})[r["label"]] = r["weight"]
         return self._with({i: T.prune(t, held.get(i, {}), error) for i, t in self.trees.items()}, path)
 
-    def permuted(self, groups: int = 10, buckets: int = 1024) -> DataFrame:
+    def permuted(self, groups: int = 10, buckets: int | None = None) -> DataFrame:
         """Rows with one feature, named in `permuted`, taken from the predecessor in a group ordered by hash.
 
-        A group is cut into buckets of the hash, each sorted on its own; the first row of a bucket takes from the last row
-        of the bucket before it that isn't empty, a table of at most groups * buckets rows.
+        A group is cut into buckets of the hash, each sorted on its own, of about BUCKET_ROWS rows; the first row of a bucket
+        takes from the last row of the bucket before it that isn't empty.  The number of buckets changes no result.
         """
+        buckets = buckets or 1 + self.rows.count() // (groups * BUCKET_ROWS)
         if isinstance(self.features, MapFeatures):
             raise ValueError("permutation needs a list of features")
         own = [f.name for f in self.features]
@@ -345,7 +353,9 @@ class Forest:
 
     def feature_importance(self, error: Callable[..., DataFrame] = metrics.brier, voter: Callable[..., DataFrame] = voting.soft, groups: int = 10) -> DataFrame:
         """By feature, the validation error of rows in which that feature was permuted."""
-        permuted = self.permuted(groups)
+        path = scratch(self.spark, "permuted")  # read twice: as actual rows and for what is predicted of them
+        self.permuted(groups).write.parquet(path)
+        permuted = self.spark.read.parquet(path)
         rows = validation_rows(permuted, self.sampler)
         ids = ["id", "permuted"]
         predicted = voter(self.votes(rows, keep=ids), ids=ids)

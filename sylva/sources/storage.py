@@ -22,6 +22,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{at.rstrip('/')}/sylva/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate files of this application, once its results are written."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{at.rstrip('/')}/sylva/{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def on_workers(spark: SparkSession) -> None:
     """Python workers import this package from where the driver did, unless it was shipped to them."""
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
