@@ -11,6 +11,7 @@ from abc import ABC, abstractmethod
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -98,6 +99,74 @@ class ErrorSplit(Evaluator):
         return _grouped(candidates, keys, self.error().alias("__e")).withColumn("score", -F.col("__e")).drop("__e")
 
 
+class _Columns:
+    """Vectors by label as arrays of a column."""
+
+    total = staticmethod(lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x))
+    most = staticmethod(lambda v: F.array_max(v))
+    least1 = staticmethod(lambda t: F.greatest(t, F.lit(1.0)))
+    scaled = staticmethod(lambda v, t: F.transform(v, lambda x: x / t))
+    both = staticmethod(lambda f, a, b: F.zip_with(a, b, f))
+
+    @staticmethod
+    def first(v: Column, m: Column) -> Column:
+        """1 at the first label whose number is m, 0 elsewhere."""
+        at = F.array_position(v, m)
+        return F.transform(v, lambda x, i: F.when(i + 1 == at, 1.0).otherwise(0.0))
+
+
+class _Arrays:
+    """Vectors by label as rows of numpy arrays."""
+
+    total = staticmethod(lambda v: v.sum(axis=1, keepdims=True))
+    most = staticmethod(lambda v: v.max(axis=1, keepdims=True))
+    least1 = staticmethod(lambda t: np.maximum(t, 1.0))
+    scaled = staticmethod(lambda v, t: v / t)
+    both = staticmethod(lambda f, a, b: f(a, b))
+    first = staticmethod(lambda v, m: (np.arange(v.shape[1]) == (v == m).argmax(axis=1)[:, None]).astype(float))
+
+
+#: What a target's weights by label, in the order of labels, make a leaf predict: a number for each label.
+VOTERS = {
+    "soft": lambda w, o: o.scaled(w, o.least1(o.total(w))),
+    "mode": lambda w, o: o.first(w, o.most(w)),
+}
+#: What a prediction p costs on the rows of weights w, summed over them.
+ERRORS = {
+    "brier": lambda w, p, o: o.total(o.both(lambda a, q: a * (1 - 2 * q), w, p)) + o.total(w) * o.total(o.both(lambda q, r: q * r, p, p)),
+    "accuracy": lambda w, p, o: o.total(w) - o.total(o.both(lambda a, q: a * q, w, o.first(p, o.most(p)))),
+}
+
+
+@dataclass(frozen=True)
+class VotedError(Evaluator):
+    """Minus the mean error, over the rows of both sides, of what a voter makes of each side.
+
+    error and voter are names of ERRORS and VOTERS, or functions like those: written once, over vectors by label, they run
+    on Spark's arrays and, where a tree grows in one task, on numpy's.
+    """
+
+    error: str | Callable = "brier"
+    voter: str | Callable = "soft"
+
+    def of(self, w, o):
+        """The error of one side."""
+        error, voter = (kinds[f] if isinstance(f, str) else f for f, kinds in ((self.error, ERRORS), (self.voter, VOTERS)))
+        return error(w, voter(w, o), o)
+
+    def evaluate(self, candidates, keys):
+        # A row a label is few: the labels of one candidate, in their order.
+        cells = F.sort_array(F.collect_list(F.struct(F.col("label").alias("label"), F.col("lw").cast("double").alias("l"), F.col("rw").cast("double").alias("r"))))
+        sums = _grouped(candidates, keys, cells.alias("__cells"))
+        sums = sums.withColumns({"__l": F.col("__cells.l"), "__r": F.col("__cells.r")})
+        cost = self.of(F.col("__l"), _Columns) + self.of(F.col("__r"), _Columns)
+        return sums.withColumn("score", -cost / (F.col("lt") + F.col("rt"))).drop("__cells", "__l", "__r")
+
+    def local(self, w: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """The errors of sides w (sides x labels)."""
+        return self.of(w, _Arrays)[:, 0]
+
+
 def best_splits(scored: DataFrame, keys: list[str], digits: int = 9) -> DataFrame:
     """The best candidate of each node; ties of the rounded score go to the smaller feature, then value."""
     order = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", digits)), "feature", "op", F.asc_nulls_last("num"), "str")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from ..operators.evaluate import AccuracySplit, BrierSplit, ChiSquared, Evaluator, MinWeight
+from ..operators.evaluate import AccuracySplit, BrierSplit, ChiSquared, Evaluator, MinWeight, VotedError
 from .tree import Leaf, Node, Predicate, Tree
 
 
@@ -71,6 +71,8 @@ def scorer(evaluator: Evaluator) -> Callable[[np.ndarray, np.ndarray], np.ndarra
         return _by_sides(lambda side, w: w - (side * side).sum(axis=1) / w)
     if kind is AccuracySplit:
         return _by_sides(lambda side, w: w - side.max(axis=1))
+    if kind is VotedError:
+        return _by_sides(evaluator.local)
     if kind is MinWeight:
         inner, condition = scorer(evaluator.inner), evaluator.condition
         try:

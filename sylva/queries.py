@@ -13,7 +13,7 @@ from . import streaming
 from .functions import down_rez, dyadic, uniform
 from .operators import evaluate, metrics, routing, splitters, voting
 from .operators.features import Columns
-from .operators.evaluate import AccuracySplit, BrierSplit, ChiSquared, MinWeight, Stopper
+from .operators.evaluate import AccuracySplit, BrierSplit, ChiSquared, MinWeight, Stopper, VotedError
 from .operators.sampling import KFold, RandomForest, SingleTree, TimeGrouped, out_of_time, sampled_leaves, training_rows, validation_rows
 from .operators.splitters import Feature, MapFeatures
 from .plans import tree as T
@@ -289,6 +289,17 @@ def best_split_accuracy(spark, sf):
     return _of_forest(spark, sf, (PRICE, CUSTOMER), AccuracySplit())
 
 
+@query(best_sql(candidates_sql(NUMERIC), "brier"))
+def best_split_voted_brier(spark, sf):
+    """The same by an error and a voter that are written once, for Spark's arrays and for numpy's."""
+    return _of_forest(spark, sf, (PRICE, CUSTOMER), VotedError("brier", "soft"))
+
+
+@query(best_sql(candidates_sql(NUMERIC), "accuracy"))
+def best_split_voted_accuracy(spark, sf):
+    return _of_forest(spark, sf, (PRICE, CUSTOMER), VotedError("accuracy", "mode"))
+
+
 SPARSE = f"""stats as (select 0::bigint as tree, cast(user_id as varchar) as str, label, sum(weight) as w from ({EVENTS}) where user_id is not null group by all),
 top as (select *, row_number() over (partition by label order by w desc, str) as r from stats),
 parent as (select label, sum(weight) as total from ({EVENTS}) group by label),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sylva.operators import splitters
-from sylva.operators.evaluate import Stopper
+from sylva.operators.evaluate import AccuracySplit, BrierSplit, Stopper, VotedError
 from sylva.operators.sampling import RandomForest, SingleTree, out_of_time
 from sylva.operators.splitters import Feature, MapFeatures
 from sylva.plans import tree as T
@@ -97,3 +97,28 @@ def test_unions_of_older_predicates():
             with pytest.raises(models.ModelError):
                 models._old_predicate({"or": [{p: 3}, {q: 3}]})
     assert models._old_predicate({"or": [{"not": {"lt": 3}}, {"eq": 3}]}) == T.Predicate("gtEq", 3)
+
+
+def test_voted_errors_split_alike_on_the_cluster_and_in_memory(rows):
+    squared = lambda w, o: o.scaled(w, o.least1(o.total(w)))
+    cases = [(VotedError("brier", "soft"), BrierSplit()), (VotedError("accuracy", "mode"), AccuracySplit()), (VotedError(lambda w, p, o: o.total(w) - o.total(o.both(lambda a, q: a * q, w, p)), squared), None)]
+    for voted, plain in cases:
+        found = []
+        for e in (voted, plain):
+            if e:
+                forest = Forest(rows, (Feature("x", "continuous"),), SingleTree(), e, Stopper(10_000, 100)).update_targets()
+                found += [forest.expand(local=True).trees[0], forest.expand_in_memory(1).trees[0]]
+        assert len({(t.feature, t.predicate) for t in found}) == 1 and T.depth(found[0]) == 1
+
+
+def test_voted_errors_by_hand():
+    from sylva.operators.evaluate import _Arrays
+
+    w = np.array([[3.0, 1.0, 0.0], [2.0, 2.0, 4.0], [0.2, 0.2, 0.0]])
+    for k, row in enumerate(w):
+        t = row.sum()
+        p = row / max(t, 1)
+        want = sum(row[y] * sum((float(y == l) - p[l]) ** 2 for l in range(3)) for y in range(3))
+        assert abs(VotedError().local(w, None)[k] - want) < 1e-12
+        assert abs(VotedError("accuracy", "mode").local(w, None)[k] - (t - row.max())) < 1e-12
+    assert _Arrays.first(w, _Arrays.most(w)).tolist() == [[1, 0, 0], [0, 0, 1], [1, 0, 0]]
