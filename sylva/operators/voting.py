@@ -6,13 +6,16 @@ Input of a voter: (id, tree, label, weight), the target of the leaf that the row
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..plans.tree import Target
+from ..sources.storage import on_workers
 
 
 def predictions(routed: DataFrame, targets: DataFrame, keep: list[str] = ("id",)) -> DataFrame:
@@ -61,6 +64,35 @@ def combined(votes: DataFrame, aggregate: Column, ids: list[str] = ("id",), name
     return votes.groupBy(*ids).agg(aggregate.alias(name))
 
 
+def folded(votes: DataFrame, fold: Callable[[list[Target]], Target], ids: list[str] = ("id",)) -> DataFrame:
+    """Any function of the list of targets that an id's trees give, one for each tree in their order: (ids..., label, p).
+
+    For aggregates that no Column expresses: votes of an id are collected (a row a tree and label), and the function runs in
+    Arrow batches of ids.  Labels are texts.
+    """
+    ids = list(ids)
+    on_workers(votes.sparkSession)
+    cells = F.sort_array(F.collect_list(F.struct("tree", F.col("label").cast("string").alias("label"), F.col("weight").cast("double").alias("weight"))))
+    rows = votes.groupBy(*ids).agg(cells.alias("__cells"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, labels, shares = [], [], []
+            for k, own in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                targets: dict[int, Target] = {}
+                for c in own:
+                    targets.setdefault(c["tree"], {})[c["label"]] = c["weight"]
+                for label, p in fold(list(targets.values())).items():
+                    at.append(k)
+                    labels.append(label)
+                    shares.append(float(p))
+            kept = [c.take(pa.array(at, pa.int64())) for c in b.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(labels, pa.string()), pa.array(shares, pa.float64())], [*ids, "label", "p"])
+
+    fields = [votes.schema[c] for c in ids] + [T.StructField("label", T.StringType()), T.StructField("p", T.DoubleType())]
+    return rows.mapInArrow(run, T.StructType(fields))
+
+
 def adapted(voter: Callable, before: Callable | None = None, after: Callable | None = None) -> Callable:
     """A voter that votes on before(votes) and returns after(result); of tables, or of lists of targets.
 

@@ -705,6 +705,12 @@ def predict_soft(spark, sf):
     return voting.soft(_votes(spark, sf)[1]).select("id", "label", F.round("p", 9).alias("p"))
 
 
+@query(f"with {SOFT} select id, label, round(p, 9) as p from soft")
+def predict_folded(spark, sf):
+    """The same shares by a function of the list of an id's targets that Spark knows nothing of."""
+    return voting.folded(_votes(spark, sf)[1], voting.soft_target).select("id", "label", F.round("p", 9).alias("p"))
+
+
 @query(f"""with {VOTES}, best as (select id, tree, label from (select *, row_number() over (partition by id, tree order by weight desc, label) as r from votes) where r = 1)
 select id, label, round(count(*) / 3.0, 9)::double as p from best group by id, label""")
 def predict_mode(spark, sf):
