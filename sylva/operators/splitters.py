@@ -289,7 +289,7 @@ def dyadic_tree(stats: DataFrame, keys: list[str], compression: int = 6, finest:
     own = [*keys, "feature"]
     width = float(2.0**finest)
     base = stats.where("num is not null").groupBy(*own, F.floor(F.col("num") / width).cast("long").alias("__v")).agg(F.sum("w").alias("w"))
-    # Up to the root of values of one sign and size, shifts by one level each.
+    # Each sum counts in its interval of every level; equal ones are summed before the shuffle.
     level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("__l")
     rows = base.select(*own, "__v", "w", level)
     half = F.expr("cast(floor(__v / pow(2.0D, __l)) as long)")
