@@ -122,3 +122,16 @@ def test_voted_errors_by_hand():
         assert abs(VotedError().local(w, None)[k] - want) < 1e-12
         assert abs(VotedError("accuracy", "mode").local(w, None)[k] - (t - row.max())) < 1e-12
     assert _Arrays.first(w, _Arrays.most(w)).tolist() == [[1, 0, 0], [0, 0, 1], [1, 0, 0]]
+
+
+def test_frequent_values_by_sketches_are_those_of_all_counts(spark):
+    rng = random.Random(5)
+    for values, weights in ((400, (1.0,)), (4000, (1.0, 0.5))):  # within and beyond what the sketches track
+        data = [(0, rng.choice("ab"), rng.choice(weights), f"v{int(values * rng.random() ** 1.2)}") for _ in range(12_000)]
+        rows = spark.createDataFrame(data, "tree int, label string, weight double, s string").repartition(4).cache()
+        parents = rows.groupBy("tree", "label").agg(F.sum("weight").alias("weight"))
+        feature = [Feature("s", "sparse")]
+        exact = splitters.heavy_hitters(splitters.statistics(rows, feature, ["tree"]), parents, ["tree"], 10)
+        sketch = splitters.heavy_hitter_sketches(rows, feature, parents, ["tree"], 10, 500)
+        assert sorted(map(str, exact.collect())) == sorted(map(str, sketch.select(*exact.columns).collect()))
+        rows.unpersist()
