@@ -364,3 +364,15 @@ print('GROWN', Forest(rows, (Feature('f', 'ordinal'),), stopper=Stopper(100, 1))
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     assert "GROWN f" in subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300).stdout
+
+
+def test_stopper_counts_rows_without_the_feature_of_the_last_split(spark):
+    # Left of x < 1 are 40 rows, of which 24 lack x: more than the stopper's 30 only with them.
+    rows = [(k, 0, "ab"[k % 2] if k < 40 else "b", 1.0, None if k < 24 else float(k >= 40), float(k % 2)) for k in range(100)]
+    df = spark.createDataFrame(rows, "id long, ts long, label string, weight double, x double, y double")
+    whole, only_x = (Feature("x", "ordinal"), Feature("y", "ordinal")), (Feature("x", "ordinal"),)
+    first = Forest(df, only_x, stopper=Stopper(30, 30)).update_targets().expand()
+    assert first.partial and not first.update_targets().partial
+    assert T.depth(Forest(df, whole, stopper=Stopper(30, 30), trees=first.trees, partial=True).expand().trees[0]) == 2
+    again = first.expand_from(1, 1)
+    assert sum(T.total(x.target) for x in T.leaves(again.trees[0])) == 100
