@@ -135,3 +135,13 @@ def test_frequent_values_by_sketches_are_those_of_all_counts(spark):
         sketch = splitters.heavy_hitter_sketches(rows, feature, parents, ["tree"], 10, 500)
         assert sorted(map(str, exact.collect())) == sorted(map(str, sketch.select(*exact.columns).collect()))
         rows.unpersist()
+
+
+def test_time_quantiles_are_exact(spark, monkeypatch):
+    times = spark.range(3_000_000, numPartitions=4).select((F.col("id") * 7919 % 3_000_017 - 1000).alias("ts"))
+    want = sorted(k * 7919 % 3_000_017 - 1000 for k in range(3_000_000))
+    for q in (0.05, 0.5, 0.8, 0.999):  # some are a few ranks off by an approximate percentile of so many values
+        assert out_of_time(SingleTree(), times, q).threshold == want[int(round(3_000_000 * q)) - 1]
+    monkeypatch.setattr("sylva.operators.sampling.BUCKETS", 3)
+    few = spark.createDataFrame([(v,) for v in (5, None, -(10**15), 7, 7, 10**15)], "ts long")
+    assert [out_of_time(SingleTree(), few, q).threshold for q in (0.0, 0.2, 0.4, 0.41, 0.8, 1.0)] == [-(10**15), -(10**15), 5, 7, 7, 10**15]
