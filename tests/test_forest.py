@@ -376,3 +376,15 @@ def test_stopper_counts_rows_without_the_feature_of_the_last_split(spark):
     assert T.depth(Forest(df, whole, stopper=Stopper(30, 30), trees=first.trees, partial=True).expand().trees[0]) == 2
     again = first.expand_from(1, 1)
     assert sum(T.total(x.target) for x in T.leaves(again.trees[0])) == 100
+
+
+def test_leaves_with_more_rows_than_a_task_takes_grow_from_all_of_them(spark):
+    rng = np.random.default_rng(4)
+    none = lambda v: None if rng.random() < 0.1 else v
+    rows = [(k, 0, "abc"[int(rng.integers(3))], float(rng.integers(1, 3)), none(float(rng.integers(12))), none("xyz"[int(rng.integers(3))])) for k in range(900)]
+    df = spark.createDataFrame(rows, "id long, ts long, label string, weight double, f double, g string").cache()
+    for sampler, order in ((KFold(2), "depth"), (RandomForest(2, 0.7), "random")):
+        forest = Forest(df, (Feature("f", "ordinal"), Feature("g", "nominal")), sampler, stopper=Stopper(1e9, 20), order=order).update_targets()
+        whole = forest.expand_in_memory(3)
+        for most in (250, 1):
+            assert {i: plain(t) for i, t in forest.expand_in_memory(3, max_rows=most).trees.items()} == {i: plain(t) for i, t in whole.trees.items()}
