@@ -388,3 +388,18 @@ def test_leaves_with_more_rows_than_a_task_takes_grow_from_all_of_them(spark):
         whole = forest.expand_in_memory(3)
         for most in (250, 1):
             assert {i: plain(t) for i, t in forest.expand_in_memory(3, max_rows=most).trees.items()} == {i: plain(t) for i, t in whole.trees.items()}
+
+
+def test_voters_work_on_bounded_parts_and_shuffle_no_votes(spark, monkeypatch):
+    monkeypatch.setattr("sylva.plans.forest.VOTE_ROWS", 100)
+    df = spark.range(0, 1000, 1, 3).select("id", F.lit(0).alias("ts"), F.lit("a").alias("label"), F.lit(1.0).alias("weight"), (F.col("id") % 10).cast("double").alias("x"))
+    trees = {i: T.Node("x", T.Predicate("lt", float(i)), T.Leaf(0, {"a": 3.0, "b": 1.0}), T.Leaf(1, {"b": 2.0})) for i in (3, 6)}
+    forest = Forest(df, (Feature("x", "ordinal"),), KFold(2), trees=trees)
+    cut = lambda votes: votes.select("id", "tree", "label", F.least("weight", F.lit(2.0)).alias("weight"))
+    sums = lambda votes: votes.groupBy("id", "tree").agg(F.sum("weight").alias("value"))
+    for voter in (voting.soft, voting.mode, voting.adapted(voting.soft, cut), voting.adapted(voting.mean, sums), lambda v: voting.combined(v, F.max("weight"))):
+        found = forest.predict(df, voter)
+        assert found.select("id").distinct().count() == 1000
+        assert found.rdd.getNumPartitions() == 11
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
