@@ -403,3 +403,11 @@ def test_voters_work_on_bounded_parts_and_shuffle_no_votes(spark, monkeypatch):
         assert found.rdd.getNumPartitions() == 11
         plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
         assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
+def test_a_draw_is_hashed_once(rows):
+    drawn = sampling.training_rows(rows.select("id", "weight"), RandomForest(2, 0.5))
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1  # not once for each term of the distribution
+    want = rows.select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("tree")).withColumn("w", RandomForest(2, 0.5).times(F.col("tree")).cast("double")).where("w > 0")
+    assert sorted(map(tuple, drawn.select("id", "tree", "weight").collect())) == sorted(map(tuple, want.collect()))
