@@ -411,3 +411,14 @@ def test_a_draw_is_hashed_once(rows):
     assert plan.count("md5(") == 1  # not once for each term of the distribution
     want = rows.select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("tree")).withColumn("w", RandomForest(2, 0.5).times(F.col("tree")).cast("double")).where("w > 0")
     assert sorted(map(tuple, drawn.select("id", "tree", "weight").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_equal_counts_score_alike_however_many_rows_there_are(spark):
+    rng = np.random.default_rng(6)
+    left, every = [13.0, 15.0, 18.0, 14.0, 16.0], [1199871.0, 1200317.0, 1199011.0, 1200744.0, 1200057.0]
+    cells = [(0, "s", "isEq", None, f"v{k}", "abcde"[i], left[i], every[i] - left[i]) for k in range(100) for i in rng.permutation(5)]
+    df = spark.createDataFrame(cells, "tree int, feature string, op string, num double, str string, label string, lw double, rw double")
+    scores = ChiSquared().evaluate(df.coalesce(1), ["tree"]).select(F.round("score", 9)).distinct().collect()
+    n, lt = sum(every), sum(left)
+    want = sum((l - b * lt / n) ** 2 / (b * lt / n) + (b * lt / n - l) ** 2 / (b * (n - lt) / n) for l, b in zip(left, every))
+    assert len(scores) == 1 and abs(scores[0][0] - want) < 1e-8
